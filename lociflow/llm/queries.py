@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .mixing import MIX_SQL, mixed_sizes
+from .packing import pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +17,27 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents")).drop("first_position")
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer that the packing query fixes."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
+
+
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mix_sources": MIX_SQL,
+}
