@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mixed_sizes
 from .packing import pack
+from .secrets import secret_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +33,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
