@@ -8,12 +8,17 @@ from .minhash import near_duplicates
 from .mixing import MIX_SQL, mixed_sizes
 from .packing import pack
 from .secrets import secret_report
+from .vector_dedup import NEAR_VECTORS_SQL, vector_near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.9)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -38,6 +43,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_vector_near_dedup": op3_vector_near_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -45,5 +51,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_vector_near_dedup": NEAR_VECTORS_SQL,
     "op6_mix_sources": MIX_SQL,
 }
