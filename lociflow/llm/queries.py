@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import search
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mixed_sizes
 from .packing import pack
@@ -15,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.9)
 
@@ -43,6 +49,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ivf_pq_search": op1_ivf_pq_search,
     "op3_vector_near_dedup": op3_vector_near_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
