@@ -9,6 +9,7 @@ from .ann import search
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mixed_sizes
 from .packing import pack
+from .quality import quality_scores
 from .secrets import secret_report
 from .vector_dedup import NEAR_VECTORS_SQL, vector_near_duplicates
 
@@ -29,6 +30,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(table(spark, sf_dir, "documents")).drop("first_position")
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op1_ivf_pq_search": op1_ivf_pq_search,
     "op3_vector_near_dedup": op3_vector_near_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_quality_discriminant": op5_quality_discriminant,
     "op6_mix_sources": op6_mix_sources,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
