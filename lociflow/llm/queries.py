@@ -11,6 +11,8 @@ from .mixing import MIX_SQL, mixed_sizes
 from .packing import pack
 from .quality import quality_scores
 from .secrets import secret_report
+from .toxicity import toxicity_scores
+from .urls import judged_pages
 from .vector_dedup import NEAR_VECTORS_SQL, vector_near_duplicates
 
 
@@ -22,6 +24,10 @@ def op1_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.9)
 
@@ -49,17 +55,23 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
 
 
+def op9_toxicity_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_ivf_pq_search": op1_ivf_pq_search,
+    "op2_url_filter": op2_url_filter,
     "op3_vector_near_dedup": op3_vector_near_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_discriminant": op5_quality_discriminant,
     "op6_mix_sources": op6_mix_sources,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_toxicity_network": op9_toxicity_network,
     "op10_secret_scan": op10_secret_scan,
 }
 
