@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,10 +23,25 @@ from pyspark.sql import functions as F
 from .common import written
 
 END_ID = 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 RANK_BITS = 44
 
 
+class Growing:
+    """An array that is appended to at amortised constant cost."""
+
+    def __init__(self, kind: type):
+        self.room, self.used = np.empty(1 << 12, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.used + len(values) > len(self.room):
+            room = np.empty(2 * (self.used + len(values)), self.room.dtype)
+            room[: self.used] = self.room[: self.used]
+            self.room = room
+        self.room[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+
 class WordTokens:
     """Token ids of white-space separated chunks, by a tokenizer that never joins across white space."""
 
@@ -37,17 +54,17 @@ class WordTokens:
 
     def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.flat, self.at, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.at, self.length = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
 
     def learn(self, words: list[bytes]) -> None:
         new = list(set(words).difference(self.slot))
         if not new:
             return
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        length = np.array([len(x) for x in ids], np.int64)
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, *ids])
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.at.extend(self.flat.used + np.cumsum(length) - length)
+        self.length.extend(length)
+        self.flat.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())))
         self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -57,18 +74,24 @@ class WordTokens:
             self.clear()
         self.learn(words)
         slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        length = self.length[slots]
+        length = self.length.room[slots]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
-        places = np.repeat(self.at[slots] - (ends - length), length) + np.arange(total)
-        return np.append(self.flat[places], np.uint32(END_ID))
+        places = np.repeat(self.at.room[slots] - (ends - length), length) + np.arange(total)
+        return np.append(self.flat.room[places], np.uint32(END_ID))
+
+
+@cache
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker, which serves many tasks."""
+    return WordTokens(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and END_ID, cut only where longer than capacity."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = WordTokens(tokenizer_path)
+        tokens = word_tokens(tokenizer_path)
         for batch in batches:
             row, start, length, crc = [], [], [], []
             for i, text in enumerate(batch["text"]):
