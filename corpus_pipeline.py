@@ -3,17 +3,64 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lociflow.llm.common import written
+from lociflow.llm.minhash import near_duplicates
+from lociflow.llm.mixing import mix
+from lociflow.llm.packing import pack
+from lociflow.llm.quality import good_documents
+from lociflow.llm.queries import table, tokenizer_path
+from lociflow.llm.secrets import redacted
 
-STAGES: list = []
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier accepts."""
+    return good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, on five-word shingles at 0.8: the one with the smallest id.
+
+    Documents without words stay, and of rows that repeat a kept id and its text one stays.
+    """
+    groups = written(near_duplicates(docs, shingle_words=5, percent=80), "groups")
+    gone = groups.where("not kept").select("doc_id").distinct()
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    repeats = groups.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced by a mark and n_chars set anew where one was."""
+    clean = redacted(docs.withColumn("__was", F.length("text")))
+    return clean.withColumn("n_chars", F.when(F.length("text") != F.col("__was"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them, sorted by training position."""
+    return mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of at most 4096 tokens."""
+    return pack(docs, tokenizer_path(), capacity=4096)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("minhash near-dedup", near_duplicate_stage),
+    ("secret scans", secret_stage),
+    ("mixing sources", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
 #: Learned scores, sketches and a tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import search
+from .licenses import license_report
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mixed_sizes
 from .packing import pack
@@ -55,6 +56,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op5_quality_discriminant": op5_quality_discriminant,
     "op6_mix_sources": op6_mix_sources,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_toxicity_network": op9_toxicity_network,
     "op10_secret_scan": op10_secret_scan,
 }
