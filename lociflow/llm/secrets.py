@@ -156,15 +156,17 @@ def cut_offs(tokens: DataFrame, fdr: float) -> dict[int, float]:
     return out
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05) -> DataFrame:
-    """docs with spans: array<struct<start, no, stop>>, by start, then kind; no counts KINDS, then the random tokens."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.withColumn("__base", base_spans(text))
-    found_ = written(base.withColumn("__more", candidates(text, F.col("__base"))), "spans")
-    cuts = cut_offs(found_.select(F.explode("__more").alias("t")).select("t.cls", "t.p"), fdr)
+def all_spans(base: Column, more: Column, cuts: dict[int, float]) -> Column:
+    """array<struct<start, no, stop>>, by start, then kind; no counts KINDS, then the random tokens."""
     keep = lambda x: reduce(or_, ((x["cls"] == c) & (x["p"] >= p) for c, p in cuts.items()), F.lit(False))
-    more = F.transform(F.filter("__more", keep), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("no"), x["stop"].alias("stop")))
-    return found_.withColumn("spans", F.array_sort(F.concat("__base", more))).drop("__base", "__more")
+    added = F.transform(F.filter(more, keep), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("no"), x["stop"].alias("stop")))
+    return F.array_sort(F.concat(base, added))
+
+
+def examined(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with __base, the spans of fixed kinds, and __more, the judged tokens."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.withColumn("__base", base_spans(text)).withColumn("__more", candidates(text, F.col("__base")))
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05) -> DataFrame:
@@ -174,16 +176,20 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that repeat an id, or have a null one, are scanned each for itself. An empty table gives an empty one.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    seen = written(examined(slim, "text").drop("text"), "spans")
+    cuts = cut_offs(seen.select(F.explode("__more").alias("t")).select("t.cls", "t.p"), fdr)
     names = F.array(*(F.lit(k[0]) for k in KINDS), F.lit(RANDOM))
     told = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", names[x["no"]], x["start"].cast("string"), x["stop"].cast("string"))), ",")
-    count = lambda no: F.size(F.filter("spans", lambda x: x["no"] == no)).cast("long")
-    base = F.filter("spans", lambda x: x["no"] < len(KINDS))
-    return scanned(slim, "doc_id", "text", fdr).select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    count = lambda no: F.size(F.filter("__base", lambda x: x["no"] == no)).cast("long")
+    every = all_spans(F.col("__base"), F.col("__more"), cuts)
+    return seen.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(told(F.col("__base")), 256).alias("base_sha256"), told(every).alias("spans"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by mark; spans that meet become one. Null texts stay null."""
     text = F.col(text_col)
+    cuts = cut_offs(examined(docs, text_col).select(F.explode("__more").alias("t")).select("t.cls", "t.p"), fdr)
+    seen = examined(docs, text_col).withColumn("__spans", all_spans(F.col("__base"), F.col("__more"), cuts))
     none = F.array().cast("array<string>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -193,5 +199,5 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fd
         return F.when((x["start"] < acc["at"]) & (F.size(acc["out"]) > 0), meets).otherwise(apart)
 
     start = F.struct(none.alias("out"), F.lit(0).cast("long").alias("at"))
-    joined = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return scanned(docs, id_col, text_col, fdr).withColumn(text_col, F.when(F.size("spans") > 0, joined).otherwise(text)).select(*docs.columns)
+    joined = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    return seen.withColumn(text_col, F.when(F.size("__spans") > 0, joined).otherwise(text)).select(*docs.columns)
