@@ -6,10 +6,12 @@ two sets each coordinate agrees with probability J, and the fraction that agrees
 independent. Bands of `rows` coordinates make bucket keys; documents that share a bucket are candidates.
 
 Links are exact: equal sets are one class from the start, classes are compared on their full sets, and a link is
-confirmed only by 100 * intersection >= percent * union. Buckets are never expanded into all pairs at once. Star rounds
-compare the members of a bucket with one member of it; the classes joined so far collapse; what is left are pairs of
-one bucket in different components, and these are compared in full, except where sizes or the triangle inequality of
-the Jaccard distance rule a link out. So no pair that shares a bucket is missed, whatever the size of the bucket.
+confirmed only by 100 * intersection >= percent * union. Buckets are never expanded into all pairs. First the members
+of a bucket are compared with one member of it, and the classes joined so far collapse. Then pairs of one small bucket
+in different components are compared in full. In a large bucket sketches tell, by their concentration, which classes
+may link with which other component (a pair at similarity 0.8 fails with probability below 1e-8), and such a class is
+compared with every member of that component, in blocks, by products of incidence matrices. So a pair that shares a
+bucket is found whatever the size of the bucket.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from .common import words_of, written
 from .components import connected_components
 
 MASK = (1 << 64) - 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
+SMALL_BUCKET = 32
+BUCKET_BLOCK, SET_BLOCK, SET_BLOCK_SHINGLES, COLUMNS = 2048, 256, 200_000, 8192
 
 
 class WordHashes(dict):
@@ -97,13 +101,13 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def document_sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, node, keys): node is a 128-bit name of the set, null for empty sets."""
+    """(id, n_shingles, node, keys, bits): node is a 128-bit name of the set, null for empty sets; bits has 8 bits of each coordinate."""
     t = bands * rows
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, seeds = WordHashes(), round_seeds(t)
         for batch in batches:
-            sizes, nodes, keys = [], [], [None] * len(batch)
+            sizes, nodes, keys, bits = [], [], [None] * len(batch), [None] * len(batch)
             sketches, at = [], []
             for i, text in enumerate(batch["text"]):
                 s = shingle_set(text, shingle_words, cache)
@@ -113,12 +117,13 @@ def document_sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words
                     sketches.append(sketch(s, t, seeds))
                     at.append(i)
             if at:
-                for i, k in zip(at, band_keys(np.stack(sketches), bands, rows).view(np.int64), strict=True):
-                    keys[i] = k
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "n_shingles": sizes, "node": nodes, "keys": keys})
+                sketches = np.stack(sketches)
+                for i, k, b in zip(at, band_keys(sketches, bands, rows).view(np.int64), (mixed(sketches) & np.uint64(255)).astype(np.uint8), strict=True):
+                    keys[i], bits[i] = k, b.tobytes()
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "n_shingles": sizes, "node": nodes, "keys": keys, "bits": bits})
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInPandas(work, "id long, n_shingles long, node binary, keys array<long>")
+    return slim.mapInPandas(work, "id long, n_shingles long, node binary, keys array<long>, bits binary")
 
 
 def candidate_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
@@ -131,11 +136,11 @@ def candidate_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: s
             yield batch[same][["node", "text"]]
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.join(wanted, "id").select("node", "text").mapInPandas(work, "node binary, text string").dropDuplicates(["node"])
+    return slim.join(wanted.hint("merge"), "id").select("node", "text").mapInPandas(work, "node binary, text string").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """(a, b, shared, linked, distance) of candidate pairs(a, b), from their full sets."""
+    """(a, b, linked) of candidate pairs(a, b), from their full sets."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -146,15 +151,90 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: in
                 x, y = known(p), known(q)
                 inter[i] = len(np.intersect1d(x, y, assume_unique=True))
                 union[i] = len(x) + len(y) - inter[i]
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": 100 * inter >= percent * union, "distance": 1.0 - inter / union})
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": 100 * inter >= percent * union})
 
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInPandas(work, "a binary, b binary, linked boolean, distance double")
+    return two.select("a", "b", "text_a", "text_b").mapInPandas(work, "a binary, b binary, linked boolean")
+
+
+def suspects(at: DataFrame, percent: int, t: int) -> DataFrame:
+    """(node, component) for classes of a large bucket whose sketch may link with a class of a larger component.
+
+    at(key, node, n, c, size, bits, blocks): members with their component and its size; a bucket is dealt out in blocks.
+    """
+    share = percent / 100
+    need = t * share - 6.5 * np.sqrt(t * share * (1 - share))
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("node")
+        comp, name = pd.factorize(group["c"])
+        size, n = group["size"].to_numpy(), group["n"].to_numpy()
+        bits = np.frombuffer(b"".join(group["bits"]), np.uint8).reshape(len(group), t)
+        order = size * len(name) + comp  # of two components the larger one is compared with in whole
+        rest = np.flatnonzero(comp != comp[order.argmax()])
+        found = []
+        for i in rest:
+            other = np.flatnonzero((comp != comp[i]) & (order > order[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            agree = (bits[other] == bits[i]).sum(1)
+            if len(some := np.unique(comp[other[agree >= need]])):
+                found.append((group["node"].iat[i], [name[c] for c in some]))
+        return pd.DataFrame(found, columns=["node", "components"])
+
+    dealt = at.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    found = dealt.select("key", "i", "j", "node", "n", "c", "size", "bits").groupBy("key", "i", "j").applyInPandas(work, "node binary, components array<binary>")
+    of_node = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("components"))).alias("components"))
+    return of_node.select("node", F.explode("components").alias("component"))
+
+
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of one with each of two, by products of incidence matrices."""
+    both = np.intersect1d(np.unique(np.concatenate(one)), np.unique(np.concatenate(two)), assume_unique=True)
+    out = np.zeros((len(one), len(two)), np.float32)
+    at = [[np.searchsorted(both, x[np.isin(x, both, assume_unique=True)]) for x in side] for side in (one, two)]
+    for a in range(0, len(both), COLUMNS):
+        dense = []
+        for side in at:
+            m = np.zeros((len(side), COLUMNS), np.float32)
+            for k, x in enumerate(side):
+                m[k, x[np.searchsorted(x, a) : np.searchsorted(x, a + COLUMNS)] - a] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def links_with(asked: DataFrame, labels: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """(a, b) for links of asked(node, component) with any class of that component, on full sets, in blocks."""
+    n_blocks = lambda n, w: F.ceil(F.greatest(n / SET_BLOCK, w / SET_BLOCK_SHINGLES))
+    wanted = asked.select("component").distinct()
+    of = labels.join(wanted, "component", "left_semi").select("component", "node", "n")
+    left, right = asked.join(labels.select("node", "n"), "node"), of
+    blocks = lambda df, name: df.groupBy("component").agg(n_blocks(F.count(F.lit(1)), F.sum("n")).alias(name))
+    counts = blocks(left, "p").join(blocks(right, "q"), "component")
+    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
+    span = lambda k: F.explode(F.expr(f"sequence(0L, {k} - 1)"))
+    left = left.join(counts, "component").select("component", "node", F.lit(0).alias("side"), own("p").alias("i"), span("q").alias("j"))
+    right = right.join(counts, "component").select("component", "node", F.lit(1).alias("side"), span("p").alias("i"), own("q").alias("j"))
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        cache = WordHashes()
+        sides = [group[group["side"] == k] for k in (0, 1)]
+        sets = [[shingle_set(t, shingle_words, cache) for t in side["text"]] for side in sides]
+        if not all(sets):
+            return pd.DataFrame({"a": [], "b": []})
+        inter = shared_counts(*sets)
+        size = [np.array([len(x) for x in side]) for side in sets]
+        union = size[0][:, None] + size[1][None, :] - inter
+        i, j = np.nonzero(100 * inter >= percent * union)
+        keep = np.unique(i, return_index=True)[1]  # one link of a class with the component joins them
+        return pd.DataFrame({"a": sides[0]["node"].to_numpy()[i[keep]], "b": sides[1]["node"].to_numpy()[j[keep]]})
+
+    return left.unionByName(right).join(texts, "node").groupBy("component", "i", "j").applyInPandas(work, "a binary, b binary")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, star_rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -169,39 +249,36 @@ def near_duplicates(
     classes = written(classes, "classes")
     reps = rows_.select("node", "id", "keys").join(classes, ["node", "id"])
     in_bands = reps.select("node", "id", "n", F.explode("keys").alias("key"))
-    full = in_bands.select("key").groupBy("key").count().where("count > 1").select("key")
-    members = written(in_bands.join(full, "key").select("key", "node", "id", "n"), "members")
-    texts = written(candidate_texts(docs, members.select("node", "id").distinct(), id_col, text_col, shingle_words), "texts")
-
-    done = None
-    labels = None
-    centre = None
-    for r in range(star_rounds + 1):
-        at = members if labels is None else members.join(labels.select("node", F.col("component").alias("c")), "node", "left")
-        at = at.select("key", "node", "n", (F.coalesce("c", "node") if labels is not None else F.col("node")).alias("c"))
-        split = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n", "c")).alias("s"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        fits = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
-        if r < star_rounds:
-            pairs = at.join(split.select("key", F.col("s.node").alias("o"), F.col("s.n").alias("m"), F.col("s.c").alias("d")), "key").where(f"c <> d and {fits}")
-        else:
-            some = at.join(split.select("key"), "key", "left_semi")
-            if centre is not None:
-                some = some.join(centre, "node", "left")
-            else:
-                some = some.withColumns({"near": F.lit(None).cast("binary"), "away": F.lit(None).cast("double")})
-            other = some.select("key", *(F.col(x).alias(y) for x, y in zip(("node", "n", "c", "near", "away"), ("o", "m", "d", "near2", "away2"), strict=True)))
-            pairs = some.join(other, "key").where(f"c < d and {fits} and not coalesce(near = near2 and abs(away - away2) > {1 - percent / 100 + 1e-9}, false)")
-        pairs = pairs.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        tried = written(verified(pairs, texts, shingle_words, percent), "verified")
-        done = tried if done is None else done.unionByName(tried)
-        labels = connected_components(done.where("linked").select("a", "b"))
-        if r == 0:  # each class's distance to one class, for the triangle inequality
-            ends = tried.select(F.col("a").alias("node"), F.col("b").alias("near"), "distance").union(tried.select("b", "a", "distance"))
-            centre = ends.groupBy("node").agg(F.min(F.struct(F.xxhash64("near", F.lit(0)), F.col("near"), F.col("distance"))).alias("s")).select("node", F.col("s.near").alias("near"), F.col("s.distance").alias("away"))
-            centre = written(centre, "centres")
-    named = classes.join(labels, "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
+    full = in_bands.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = written(in_bands.join(full, "key").select("key", "m", "node", "id", "n"), "members")
+    nodes = written(members.select("node", "id", "n").distinct(), "nodes")
+    texts = written(candidate_texts(docs, nodes.select("node", "id"), id_col, text_col, shingle_words), "texts")
+
+    fits = f"least(n, o_n) * 100 >= greatest(n, o_n) * {percent}"
+    pair = (F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
+    as_other = lambda df: df.select("key", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("c").alias("d"))
+    first = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", F.col("node").alias("c"))).alias("s"))
+    stars = members.withColumn("c", F.col("node")).join(as_other(first.select("key", "s.*")), "key").where(f"c <> d and {fits}").select(*pair).distinct()
+    tried = written(verified(stars, texts, shingle_words, percent), "stars")
+    labels = connected_components(tried.where("linked").select("a", "b"))
+    labels = written(nodes.join(labels, "node", "left").select("node", "id", "n", F.coalesce("component", "node").alias("component")), "labels")
+    of = labels.select("node", F.col("component").alias("c"))
+    at = members.join(of, "node")
+    split = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    at = written(at.join(split, "key", "left_semi"), "split")
+
+    few = at.where(F.col("m") <= SMALL_BUCKET)
+    pairs = few.join(as_other(few), "key").where(f"c < d and {fits}").select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
+    links = verified(pairs, texts, shingle_words, percent).where("linked").select("a", "b")
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    large = at.where(F.col("m") > SMALL_BUCKET).join(sizes.withColumnRenamed("component", "c"), "c").withColumn("blocks", F.ceil(F.col("m") / BUCKET_BLOCK))
+    sketches = rows_.select("node", "id", "bits").join(nodes.select("node", "id"), ["node", "id"]).select("node", "bits").dropDuplicates(["node"])
+    asked = written(suspects(large.join(sketches, "node"), percent, bands * rows), "suspects")
+    links = written(links.unionByName(links_with(asked, labels, texts, shingle_words, percent)), "links")
+    joined = links.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = connected_components(joined)
+    labels = labels.join(merged.toDF("component", "root"), "component", "left").withColumn("component", F.coalesce("root", "component"))
+    named = classes.join(labels.select("node", "component"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
     by_class = named.join(least, "c").select("node", "component_id")
     out = rows_.select("id", "n_shingles", "node").join(by_class, "node", "left")

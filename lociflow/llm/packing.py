@@ -23,8 +23,15 @@ from pyspark.sql import functions as F
 from .common import written
 
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_200_000
 RANK_BITS = 44
+FINAL_MARKS = b".,;:!?"
+
+
+def ends_plain(word: bytes) -> bool:
+    """Whether the last character is a letter or digit that lower-casing leaves one."""
+    last = word[-4:].decode("utf-8", "replace")[-1:]
+    return last.isalnum() and last < "\u0130"
 
 
 class Growing:
@@ -43,33 +50,66 @@ class Growing:
 
 
 class WordTokens:
-    """Token ids of white-space separated chunks, by a tokenizer that never joins across white space."""
+    """Token ids of white-space separated chunks, by a lower-casing word-end tokenizer that never joins across white space."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.flat, self.at, self.length = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self.slot))
-        if not new:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+    def encoded(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of each word; words of plain letters are one pre-token each, so they are encoded together and told apart by word ends."""
+        plain = [w for w in words if w.isalpha() and max(w) < "\u0130"]
+        out: dict[str, list[int]] = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                flat = ids.tolist()
+                out = {w: flat[a:b] for w, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return out
+
+    def add(self, words: list[bytes], ids: list[list[int]]) -> None:
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         self.at.extend(self.flat.used + np.cumsum(length) - length)
         self.length.extend(length)
         self.flat.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())))
-        self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
+        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
+
+    def learn(self, words: list[bytes]) -> None:
+        """Adds words; final marks are a pre-token of their own after a letter or digit, so such words are put together."""
+        new = list(set(words).difference(self.slot))
+        if not new:
+            return
+        cores = [w.rstrip(FINAL_MARKS) for w in new]
+        pairs = [(c, w[len(c) :]) if len(c) < len(w) and ends_plain(c) else (w, b"") for w, c in zip(new, cores, strict=True)]
+        parts = list({x for pair in pairs for x in pair if x}.difference(self.slot))
+        names = [x.decode("utf-8", "replace") for x in parts]
+        known = self.encoded(names)
+        self.add(parts, [known[x] for x in names])
+        whole = [(w, pair) for w, pair in zip(new, pairs, strict=True) if pair[1]]
+        self.add([w for w, _ in whole], [self.ids(c) + self.ids(m) for _, (c, m) in whole])
+
+    def ids(self, word: bytes) -> list[int]:
+        k = self.slot[word]
+        a = self.at.room[k]
+        return self.flat.room[a : a + self.length.room[k]].tolist()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The ids of a text, in order, then END_ID."""
-        words = text.encode("utf-8", "replace").split() if text else []
+        raw = text.encode("utf-8", "replace") if text else b""
+        words = (raw if b"<|" in raw else raw.lower()).split()  # the names of special tokens are told by case
         if len(self.slot) > CACHED_WORDS:
             self.clear()
         self.learn(words)

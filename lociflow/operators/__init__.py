@@ -1 +1 @@
-
+"""Genomic operators over DataFrames."""

@@ -1 +1 @@
-
+"""Named queries over the tables of a data folder."""
