@@ -23,6 +23,8 @@ from .vectors import from_bytes, matrix, unit, usable
 
 #: Rows that centroids are fitted on, and of these the rows that codebooks are fitted on, at most.
 FIT_SAMPLE, CODE_SAMPLE = 20_000, 5_000
+#: Rows of the sample whose neighbours in it say how many lists to probe.
+PROBE_SAMPLE = 500
 LIST_BLOCK, QUERY_BLOCK, QUERY_TILE = 4096, 2048, 256
 
 
@@ -65,6 +67,18 @@ class Quantiser:
         codes = np.stack([nearest(rest[:, i], w) for i, w in enumerate(self.words)], 1).astype(np.uint8)
         return lists, codes
 
+    def probes_for(self, u: np.ndarray, k: int, recall: float) -> int:
+        """How many lists hold that share of the k nearest rows of PROBE_SAMPLE rows of a sample, other than themselves."""
+        if len(u) < 2:
+            return len(self.centres)
+        q = np.linspace(0, len(u) - 1, min(len(u), PROBE_SAMPLE)).astype(np.int64)
+        near = u[q] @ u.T
+        near[np.arange(len(q)), q] = -np.inf
+        best = np.argpartition(-near, min(k, len(u) - 1) - 1, 1)[:, : min(k, len(u) - 1)]
+        place = np.argsort(np.argsort(-(u[q] @ self.centres.T), 1, kind="stable"), 1)
+        ranks = np.sort(np.take_along_axis(place, nearest(u, self.centres)[best], 1).ravel())
+        return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """For each subspace, the products of the queries with its codewords."""
         parts = self.split(q)
@@ -78,8 +92,9 @@ def search(
     vec_col: str = "embedding",
     k: int = 5,
     lists: int | None = None,
-    probe_share: float = 0.9,
-    rerank: int = 512,
+    probe_share: float | None = None,
+    recall: float = 0.97,
+    rerank: int = 128,
     sub_dims: int = 2,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors that is_query picks, its k nearest other rows found.
@@ -87,7 +102,9 @@ def search(
     score is the cosine in double precision; ties go to the smaller id. Rows that `usable` leaves out are neither
     queries nor candidates; a query with fewer candidates gets them all. Rows that repeat an id are no candidates of
     each other, and a query's id is searched once, with its first vector in order. An empty table gives an empty one.
-    Lists default to about half the square root of the number of rows; a query probes probe_share of them.
+    Lists default to about half the square root of the number of rows. A query probes probe_share of them; by default as
+    many as hold the share `recall` of nearest rows within the sample, where neighbours are farther apart than among
+    all rows, so that clustered vectors need few and vectors without structure most of them.
     """
     rows, d, kind = usable(vectors, id_col, vec_col)
     rows = written(rows, "vectors")
@@ -100,9 +117,11 @@ def search(
     fit = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy("id").limit(FIT_SAMPLE).select("vec").toPandas()
     sample = fit if len(fit) else rows.limit(1).select("vec").toPandas()
     lists = lists or max(1, min(4096, round(n**0.5 / 2)))
-    fitted = spark.sparkContext.broadcast(Quantiser(unit(matrix(sample["vec"])), lists, sub_dims))  # bounded by lists and 256 words
-    lists = len(fitted.value.centres)
-    probes = max(1, min(lists, round(lists * probe_share)))
+    units = unit(matrix(sample["vec"]))
+    quantiser = Quantiser(units, lists, sub_dims)
+    lists = len(quantiser.centres)
+    probes = quantiser.probes_for(units, k, recall) if probe_share is None else max(1, min(lists, round(lists * probe_share)))
+    fitted = spark.sparkContext.broadcast(quantiser)  # bounded by lists and 256 words
 
     def indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
