@@ -87,38 +87,58 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(no, *kind[1:]) for no, kind in enumerate(KINDS))))
 
 
-def upper_tail(z: Column) -> Column:
-    """P(Z > z) of the normal law (Abramowitz and Stegun 26.2.17), from 1e-12 up."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-z * z / 2) * poly * 0.3989422804014327
-    return F.greatest(F.when(z >= 0, tail).otherwise(1 - tail), F.lit(1e-12))
+def upper_tail(value: Column) -> Column:
+    """P(Z > value) of the normal law (Abramowitz and Stegun 26.2.17), from 1e-12 up."""
+
+    def of(z: Column, t: Column) -> Column:
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        tail = F.exp(-z * z / 2) * poly * 0.3989422804014327
+        return F.greatest(F.when(z >= 0, tail).otherwise(1 - tail), F.lit(1e-12))
+
+    return let(value, lambda z: let(1 / (1 + 0.2316419 * F.abs(z)), lambda t: of(z, t)))
+
+
+def summed(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+
+def chi_squared_z(token: Column, alphabet: Column, n: Column) -> Column:
+    """The standardised number of equal pairs of characters."""
+    k, pairs = F.length(alphabet).cast("double"), n * (n - 1) / 2
+    count = lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double")
+    equal = summed(F.transform(F.split(alphabet, ""), lambda c: let(count(c), lambda m: m * (m - 1) / 2)))
+    return (equal - pairs / k) / F.sqrt(pairs / k * (1 - 1 / k))
+
+
+def runs_z(high: Column, n: Column) -> Column:
+    """The standardised number of runs of 0 and 1; 6 if all are equal."""
+    runs = 1 + summed(F.transform(high, lambda x, i: F.when((i > 0) & (x != high[F.greatest(i - 1, F.lit(0))]), 1.0).otherwise(0.0)))
+    z = lambda both: let(both * (both - n) / (n * n * (n - 1)), lambda v: F.when(v > 0, (runs - both / n - 1) / F.sqrt(F.abs(v) + 1e-9)).otherwise(6.0))
+    return let(summed(high), lambda ones: let(2 * ones * (n - ones), z))
+
+
+def serial_z(r: Column, n: Column) -> Column:
+    """The standardised lag-one correlation; 6 if all are equal."""
+
+    def of(d: Column) -> Column:
+        lag = summed(F.transform(d, lambda v, i: F.when(i > 0, v * d[F.greatest(i - 1, F.lit(0))]).otherwise(0.0)))
+        return let(summed(F.transform(d, lambda v: v * v)), lambda var: F.when(var > 0, (lag / F.greatest(var, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(6.0))
+
+    return let(summed(r) / n, lambda mean: let(F.transform(r, lambda x: x - mean), of))
 
 
 def randomness(token: Column, alphabet: Column) -> Column:
     """Combined p of chi-squared uniformity, runs and serial correlation under uniformly random characters."""
-    summed = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-
-    def of(r: Column) -> Column:
-        n, k = F.size(r).cast("double"), F.length(alphabet).cast("double")
-        pairs = n * (n - 1) / 2
-        equal = summed(F.transform(F.split(alphabet, ""), lambda c: let((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), lambda m: m * (m - 1) / 2)))
-        z_chi = (equal - pairs / k) / F.sqrt(pairs / k * (1 - 1 / k))
-        high = F.transform(r, lambda x: (x > k / 2).cast("double"))
-        ones = summed(high)
-        runs = 1 + let(high, lambda h: summed(F.transform(h, lambda x, i: F.when((i > 0) & (x != h[F.greatest(i - 1, F.lit(0))]), 1.0).otherwise(0.0))))
-        both = 2 * ones * (n - ones)
-        spread = both * (both - n) / (n * n * (n - 1))
-        z_runs = F.when(spread > 0, (runs - both / n - 1) / F.sqrt(F.abs(spread) + 1e-9)).otherwise(6.0)
-        mean = summed(r) / n
-        var = summed(F.transform(r, lambda x: (x - mean) * (x - mean)))
-        lag = let(r, lambda x: summed(F.transform(x, lambda v, i: F.when(i > 0, (v - mean) * (x[F.greatest(i - 1, F.lit(0))] - mean)).otherwise(0.0))))
-        z_serial = F.when(var > 0, (lag / F.greatest(var, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(6.0)
-        x = -(F.log(upper_tail(z_chi)) + F.log(F.least(2 * upper_tail(F.abs(z_runs)), F.lit(1.0))) + F.log(F.least(2 * upper_tail(F.abs(z_serial)), F.lit(1.0))))
-        return F.exp(-x) * (1 + x + x * x / 2)
+    half = F.length(alphabet) / 2
+    two_sided = lambda z: F.least(2 * upper_tail(F.abs(z)), F.lit(1.0))
+
+    def of(r: Column, n: Column) -> Column:
+        high = F.transform(r, lambda x: (x > half).cast("double"))
+        tails = (upper_tail(chi_squared_z(token, alphabet, n)), let(let(high, lambda h: runs_z(h, n)), two_sided), let(serial_z(r, n), two_sided))
+        return let(-(F.log(tails[0]) + F.log(tails[1]) + F.log(tails[2])), lambda x: F.exp(-x) * (1 + x + x * x / 2))
 
     ranks = F.filter(F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double")), lambda x: x > 0)
-    return let(ranks, of)
+    return let(ranks, lambda r: let(F.size(r).cast("double"), lambda n: of(r, n)))
 
 
 def candidates(text: Column, base: Column) -> Column:
