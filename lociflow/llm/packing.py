@@ -13,7 +13,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 END_ID = 1
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 400_000
 RANK_BITS = 44
 FINAL_MARKS = b".,;:!?"
 
@@ -34,21 +33,6 @@ def ends_plain(word: bytes) -> bool:
     return last.isalnum() and last < "\u0130"
 
 
-class Growing:
-    """An array that is appended to at amortised constant cost."""
-
-    def __init__(self, kind: type):
-        self.room, self.used = np.empty(1 << 12, kind), 0
-
-    def extend(self, values: np.ndarray) -> None:
-        if self.used + len(values) > len(self.room):
-            room = np.empty(2 * (self.used + len(values)), self.room.dtype)
-            room[: self.used] = self.room[: self.used]
-            self.room = room
-        self.room[self.used : self.used + len(values)] = values
-        self.used += len(values)
-
-
 class WordTokens:
     """Token ids of white-space separated chunks, by a lower-casing word-end tokenizer that never joins across white space."""
 
@@ -60,11 +44,8 @@ class WordTokens:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.flat, self.at, self.length = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
+        self.kind = np.dtype("<u2" if len(self.ends_word) <= 1 << 16 else "<u4")
+        self.known: dict[bytes, bytes] = {}  # word to its ids' bytes
 
     def encoded(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of each word; words of plain letters are one pre-token each, so they are encoded together and told apart by word ends."""
@@ -80,45 +61,32 @@ class WordTokens:
         out.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
         return out
 
-    def add(self, words: list[bytes], ids: list[list[int]]) -> None:
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at.extend(self.flat.used + np.cumsum(length) - length)
-        self.length.extend(length)
-        self.flat.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())))
-        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
-
-    def learn(self, words: list[bytes]) -> None:
-        """Adds words; final marks are a pre-token of their own after a letter or digit, so such words are put together."""
-        new = list(set(words).difference(self.slot))
-        if not new:
-            return
+    def learned(self, words: list[bytes]) -> list[bytes]:
+        """Adds words and returns the new ones; final marks are a pre-token of their own after a letter or digit, so such words are put together."""
+        new = list(set(words).difference(self.known))
         cores = [w.rstrip(FINAL_MARKS) for w in new]
         pairs = [(c, w[len(c) :]) if len(c) < len(w) and ends_plain(c) else (w, b"") for w, c in zip(new, cores, strict=True)]
-        parts = list({x for pair in pairs for x in pair if x}.difference(self.slot))
+        parts = list({x for pair in pairs for x in pair if x}.difference(self.known))
         names = [x.decode("utf-8", "replace") for x in parts]
-        known = self.encoded(names)
-        self.add(parts, [known[x] for x in names])
-        whole = [(w, pair) for w, pair in zip(new, pairs, strict=True) if pair[1]]
-        self.add([w for w, _ in whole], [self.ids(c) + self.ids(m) for _, (c, m) in whole])
-
-    def ids(self, word: bytes) -> list[int]:
-        k = self.slot[word]
-        a = self.at.room[k]
-        return self.flat.room[a : a + self.length.room[k]].tolist()
+        found = self.encoded(names)
+        self.known.update((x, np.array(found[name], self.kind).tobytes()) for x, name in zip(parts, names, strict=True))
+        self.known.update((w, self.known[c] + self.known[m]) for w, (c, m) in zip(new, pairs, strict=True) if m)
+        return list({*new, *parts})
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """The ids of a text, in order, then END_ID."""
+        """The ids of a text, in order, then END_ID. Words stay known while there are fewer than CACHED_WORDS: frequent ones come early."""
         raw = text.encode("utf-8", "replace") if text else b""
         words = (raw if b"<|" in raw else raw.lower()).split()  # the names of special tokens are told by case
-        if len(self.slot) > CACHED_WORDS:
-            self.clear()
-        self.learn(words)
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        length = self.length.room[slots]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.repeat(self.at.room[slots] - (ends - length), length) + np.arange(total)
-        return np.append(self.flat.room[places], np.uint32(END_ID))
+        get = self.known.__getitem__
+        try:
+            ids = b"".join(map(get, words))
+        except KeyError:
+            full = len(self.known) >= CACHED_WORDS
+            new = self.learned(words)
+            ids = b"".join(map(get, words))
+            for w in new if full else ():
+                del self.known[w]
+        return np.append(np.frombuffer(ids, self.kind), self.kind.type(END_ID))
 
 
 @cache
