@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -71,17 +72,17 @@ def mann_whitney_p(u: float, m: int, n: int, ties: float) -> float:
     return 1.0 if var <= 0 else min(1.0, math.erfc((high - m * n / 2 - 0.5) / math.sqrt(var) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mann_whitney_column(u: pd.Series, m: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([mann_whitney_p(*x) for x in zip(u, m, n, ties, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_column(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(*x) for x in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kolmogorov_column(d: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([kolmogorov_sf(*x) for x in zip(d, n, strict=True)], dtype="float64")
 

@@ -34,7 +34,7 @@ def region_content(regions: DataFrame, chunks: DataFrame, width: int) -> DataFra
     length. gc is the share of G or C among bases other than N, null if there are none; an empty region has nfrac 1.
     """
     sized = regions.join(F.broadcast(chromosome_lengths(chunks)), "chrom", "left")  # a row for each chromosome
-    cut = sized.withColumns({"__a": F.greatest("start", F.lit(0)), "__b": F.least("end", "size")})
+    cut = sized.withColumns({"__a": F.greatest("start", F.lit(0)), "__b": F.least("end", F.coalesce("size", F.lit(0)))})
     at = chunks.select("chrom", "chunk", "seq", "cum_gc", "cum_nn")
     for side in ("a", "b"):
         here = at.select("chrom", F.col("chunk").alias(f"__k{side}"), *(F.col(c).alias(f"__{c}_{side}") for c in ("seq", "cum_gc", "cum_nn")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # The chromatin states in canonical order (position = code), their groups, and the active ones.
 STATES = (
@@ -44,8 +43,6 @@ AUTOSOMES = {
     ),
 }
 
-SEGMENTS = T.StructType.fromDDL("chrom string, start long, end long, state string")
-PEAKS = T.StructType.fromDDL("chrom string, start long, end long, signal double")
 
 
 def group_of_state() -> dict[str, str]:
