@@ -1,7 +1,7 @@
 """Queries by name over the driver's tables, each over its whole tables, and the equivalent DuckDB SQL.
 
 Numbers are rounded alike in both. Queries whose numbers DuckDB has no functions for (tails of laws, random draws,
-trees) have no SQL; tests hold them against plain versions.
+trees) have no SQL; small tests cover their operators.
 """
 
 from __future__ import annotations
