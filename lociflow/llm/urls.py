@@ -1,9 +1,10 @@
 """URL rules, and for hosts that no rule fits, trust and distrust propagated over the link graph of hosts.
 
 A rule is a host suffix and a path prefix; the longest that fits decides. Where none fits, the host's links decide:
-personalised PageRank spreads trust from hosts that have allowed pages along links, and distrust from hosts that have
-blocked pages against them (a page that links to blocked hosts is suspect). A host is blocked if its distrust reaches
-the threshold and exceeds its trust.
+personalised PageRank spreads trust from hosts that have allowed pages along links, and distrust goes from hosts that have
+blocked pages against them (a page that links to blocked hosts is suspect). Both are counted in shares of a host's own
+pages, so they don't depend on the rest of the corpus. A host is blocked if its distrust reaches the threshold and
+exceeds its trust.
 """
 
 from __future__ import annotations
@@ -48,16 +49,24 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def page_rank(seeds: DataFrame, links: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds(host, share), shares summing to 1, over links(a, b, n).
+    """(host, rank): personalised PageRank from seeds(host, share) over links(a, b, n).
 
-    Each round is one join and one sum; what a host without links would pass on is dropped, so ranks sum to 1 at most.
-    Hosts that nothing reaches are left out.
+    What a host without links would pass on is dropped, so ranks sum to the sum of shares at most. Hosts that nothing
+    reaches are left out.
     """
     out = links.groupBy("a").agg(F.sum("n").alias("all"))
-    steps = written(links.join(out, "a").select("a", "b", (F.col("n") / F.col("all")).alias("w")), "steps")
-    if steps.isEmpty():
-        return seeds.select("host", ((1 - damping) * F.col("share")).alias("rank"))
+    return spread(seeds, links.join(out, "a").select("a", "b", (F.col("n") / F.col("all")).alias("w")), rounds, damping)
+
+
+def spread(seeds: DataFrame, steps: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """(host, rank): each round, 1 - damping of the seeds' shares and damping * w of a's rank to b, over steps(a, b, w).
+
+    Each round is one join and one sum.
+    """
+    steps = written(steps, "steps")
     base = seeds.select("host", ((1 - damping) * F.col("share")).alias("rank"))
+    if steps.isEmpty():
+        return base
     rank = base
     for _ in range(rounds):
         moved = rank.join(steps, F.col("host") == F.col("a")).select(F.col("b").alias("host"), (damping * F.col("rank") * F.col("w")).alias("rank"))
@@ -66,23 +75,27 @@ def page_rank(seeds: DataFrame, links: DataFrame, rounds: int, damping: float) -
 
 
 def judged_pages(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, rounds: int = 8, damping: float = 0.85, least_distrust: float = 1e-9
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, rounds: int = 8, damping: float = 0.85, least_distrust: float = 0.5
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of pages.
 
-    Seeds are weighed by their host's share of all allowed, or blocked, pages. trust and distrust are those of the host,
-    0 where nothing reaches it. A null url, or one without ://, has an empty host, which no link reaches: it is allowed.
+    A host's seed is the share of allowed, or blocked, ones among all its pages, with or without a rule. trust and distrust
+    are those of the host, in units of what a host gets from itself if a rule allows, or blocks, all its pages, and 0 where
+    nothing reaches it. A link to another host passes on 1 / max(pages, links to other hosts) of that one's distrust, so
+    neither further hosts nor others that link to the same one change it. Without links between hosts, a page without a
+    rule is blocked if rules block at least the share least_distrust of its host's pages, and more than they allow. A null url, or one without ://, has an empty host, which no link reaches: it is allowed.
     Null html has no links. Rows that repeat an id are rows of their own. An empty table gives an empty one.
     """
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     named = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     ruled = named.withColumn("rule", rule).withColumn("ruling", verdict)
-    counts = written(ruled.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruling") == "allow").alias("allowed"), F.count_if(F.col("ruling") == "block").alias("blocked")), "hosts")
-    totals = counts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
+    counts = written(ruled.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("ruling") == "allow").alias("allowed"), F.count_if(F.col("ruling") == "block").alias("blocked")), "hosts")
     links = written(host_links(pages, url_col, html_col), "host_links")
-    seeds = lambda col, total: counts.where(F.col(col) > 0).select("host", (F.col(col) / max(1, total or 0)).alias("share"))
-    trust = page_rank(seeds("allowed", totals["a"]), links, rounds, damping).withColumnRenamed("rank", "trust")
-    distrust = page_rank(seeds("blocked", totals["b"]), links.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"), rounds, damping).withColumnRenamed("rank", "distrust")
+    seeds = lambda col: counts.where(F.col(col) > 0).select("host", (F.col(col) / F.col("pages")).alias("share"))
+    trust = page_rank(seeds("allowed"), links, rounds, damping).select("host", (F.col("rank") / (1 - damping)).alias("trust"))
+    own = links.groupBy("a").agg(F.sum("n").alias("all")).join(counts.select(F.col("host").alias("a"), "pages"), "a")
+    back = links.join(own, "a").select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("n") / F.greatest("pages", "all")).alias("w"))
+    distrust = spread(seeds("blocked"), back, rounds, damping).select("host", (F.col("rank") / (1 - damping)).alias("distrust"))
     known = trust.join(distrust, "host", "full_outer").where("host <> ''")
     out = ruled.join(known, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     by_links = F.when((F.col("distrust") >= least_distrust) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")

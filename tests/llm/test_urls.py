@@ -60,3 +60,21 @@ def test_defined_cases(spark):
     assert judged_pages(spark.createDataFrame([], PAGES)).count() == 0
     got = rows_of(judged_pages(spark.createDataFrame([(1, "http://a.net/", None), (1, "http://a.net/", None), (None, None, None)], PAGES)), "page_id")
     assert [(r["page_id"], r["verdict"]) for r in got] == [(1, "block"), (1, "block"), (None, "allow")]
+
+
+def test_verdict_depends_on_the_hosts_own_pages(spark):
+    few = [("http://few.example.com/de/1", None)] + [(f"http://few.example.com/fr/{i}", None) for i in range(9)]
+    most = [(f"http://most.example.com/de/{i}", None) for i in range(9)] + [("http://most.example.com/fr/", '<a href="/de/1">')]
+    linking = [(f"http://farm{i}.test/", '<a href="http://most.example.com/de/1">') for i in range(30)]
+    once = [("http://once.test/0", '<a href="http://most.example.com/de/1">')] + [(f"http://once.test/{i}", None) for i in range(1, 30)]
+    rest = [(f"http://h{i}.net/", None) for i in range(3000)]
+
+    def verdicts(rows):
+        got = judged_pages(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], PAGES)).where("rule is null")
+        return {(r["host"], r["verdict"], round(r["trust"], 9), round(r["distrust"], 9)) for r in got.collect()}
+
+    small = verdicts(few + most + linking + once)
+    by_host = {host: verdict for host, verdict, _, _ in small}
+    assert len(by_host) == len(small) and by_host["few.example.com"] == "allow" and by_host["most.example.com"] == "block"
+    assert by_host["farm0.test"] == "block" and by_host["once.test"] == "allow"
+    assert verdicts(few + most + linking + once + rest) == small
