@@ -2,14 +2,15 @@
 
 Texts and templates are compared as words without case and marks. A fingerprint is the hash of K words that is the
 smallest of its winnowing window, so any shared run of K + WINDOW - 1 words shares one. An inverted index from
-fingerprints to places in templates gives diagonals; hits near one diagonal make a candidate, which a local alignment
-within a band around it turns into matched words, coverage of the template and a span of the text. Templates are a
-fixed small list, so the index goes to every executor.
+fingerprints to places in templates gives diagonals; each hit outside the notices found so far is a candidate, which a
+local alignment within a band around its diagonal turns into matched words, coverage of the template and a span of the
+text. Templates are a fixed small list, so the index goes to every executor.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,39 +68,39 @@ def winnowed(grams: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(windows)) + WINDOW - 1 - windows[:, ::-1].argmin(1))
 
 
-def aligned(template: list[str], words: list[str], shift: int) -> tuple[int, int, int]:
-    """Matched words, first and last word of the best local alignment with words[i + shift + d], |d| <= BAND, for template[i].
+def aligned(template: list[str], words: list[str | None], shift: int) -> list[tuple[int, int]]:
+    """(i, j) of the words template[i] == words[j] of the best local alignment with words[i + shift + d], |d| <= BAND.
 
     A match counts 2, a mismatch or gap -1.
     """
     width = 2 * BAND + 1
-    score = np.zeros((len(template) + 1, width + 2), np.int64)
-    move = np.zeros((len(template) + 1, width + 2), np.int8)  # 0 begins here, 1 both, 2 template only, 3 words only
+    score = [[0] * (width + 2) for _ in range(len(template) + 1)]
+    move = [[0] * (width + 2) for _ in range(len(template) + 1)]  # 0 begins here, 1 both, 2 template only, 3 words only
     best = (0, 0, 0)
     for i in range(1, len(template) + 1):
+        above, here, word = score[i - 1], score[i], template[i - 1]
         for c in range(1, width + 1):
             j = i - 1 + shift + c - 1 - BAND
             if not 0 <= j < len(words):
                 continue
-            same = template[i - 1] == words[j]
-            options = (0, score[i - 1, c] + (2 if same else -1), score[i - 1, c + 1] - 1, score[i, c - 1] - 1)
-            k = int(np.argmax(options))
-            score[i, c], move[i, c] = options[k], k
-            if options[k] > best[0]:
-                best = (int(options[k]), i, c)
+            options = (0, above[c] + (2 if word == words[j] else -1), above[c + 1] - 1, here[c - 1] - 1)
+            here[c] = max(options)
+            move[i][c] = options.index(here[c])
+            if here[c] > best[0]:
+                best = (here[c], i, c)
     _, i, c = best
-    matched, first, last = 0, -1, -1
-    while i > 0 and move[i, c]:
+    pairs = []
+    while i > 0 and move[i][c]:
         j = i - 1 + shift + c - 1 - BAND
-        if move[i, c] == 1:
+        if move[i][c] == 1:
             if template[i - 1] == words[j]:
-                matched, first, last = matched + 1, j, j if last < 0 else last
+                pairs.append((i - 1, j))
             i -= 1
-        elif move[i, c] == 2:
+        elif move[i][c] == 2:
             i, c = i - 1, c + 1
         else:
             c -= 1
-    return matched, first, last
+    return pairs[::-1]
 
 
 class Templates:
@@ -108,6 +109,7 @@ class Templates:
     def __init__(self, templates=TEMPLATES):
         self.names = [name for name, _ in templates]
         self.words = [word_spans(text)[0] for _, text in templates]
+        self.bags = [Counter(words) for words in self.words]
         rows = []
         for t, words in enumerate(self.words):
             grams = gram_hashes(words)
@@ -118,6 +120,23 @@ class Templates:
         short = [r[0] for r in rows if len(self.words[r[1]]) < K + WINDOW - 1]  # windows may skip these, so they are looked up everywhere
         self.short = np.array(short, np.uint64)
 
+    def notices(self, t: int, words: list[str], hits: list[tuple[int, int]], least: float) -> list[list[tuple[int, int]]]:
+        """Alignments of template t, from hits (diagonal, place). Each one's matched words are masked for the next ones,
+        and a hit that none covers is aligned again, so notices may follow each other within the band."""
+        template, rest, found = self.words[t], list(words), []
+        for d, place in sorted(set(hits)):
+            while rest[place] is not None:
+                near = Counter(rest[max(0, d - BAND) : max(0, d + len(template) + BAND)])
+                if sum(min(n, near[w]) for w, n in self.bags[t].items()) < least * len(template):
+                    break
+                pairs = aligned(template, rest, d)
+                if not pairs or len(pairs) / len(template) < least:
+                    break
+                found.append(pairs)
+                for _, j in pairs:
+                    rest[j] = None
+        return found
+
     def scan(self, text: str | None, least: float) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, stop) of the notices, by start; of overlapping ones that with most matched words."""
         words, spans = word_spans(text) if text else ([], np.empty((0, 2), np.int64))
@@ -129,17 +148,8 @@ class Templates:
         hits: dict[int, list[int]] = {}
         for p in np.flatnonzero(hi > lo):
             for t, i in self.at[lo[p] : hi[p]]:
-                hits.setdefault(int(t), []).append(int(places[p]) - int(i))
-        found = []
-        for t, diagonals in hits.items():
-            last = None
-            for d in sorted(diagonals):
-                if last is not None and d - last <= BAND:
-                    continue
-                last = d
-                matched, a, b = aligned(self.words[t], words, d)
-                if matched and matched / len(self.words[t]) >= least:
-                    found.append((matched, matched / len(self.words[t]), a, b, t))
+                hits.setdefault(int(t), []).append((int(places[p]) - int(i), int(places[p])))
+        found = [(len(f), len(f) / len(self.words[t]), f[0][1], f[-1][1], t) for t, some in hits.items() for f in self.notices(t, words, some, least)]
         taken: list[tuple[int, float, int, int, int]] = []
         for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
             if all(f[3] < g[2] or f[2] > g[3] for g in taken):

@@ -45,3 +45,14 @@ def test_spans_are_code_points_and_empty_table(spark):
     assert text[a:b] == "All rights reserved"
     assert license_report(documents(spark, [])).count() == 0
     assert Templates().scan("", 0.7) == [] and word_spans("a-b c")[0] == ["a-b", "c"] and np.size(winnowed(np.empty(0, np.uint64))) == 0
+
+
+def test_short_notices_back_to_back():
+    index = Templates()
+    text = "x All rights reserved. y All rights reserved."
+    assert [text[a:b] for _, _, a, b in index.scan(text, 0.7)] == ["All rights reserved"] * 2
+    for i in (0, 2, 4, 7, 8, 9):
+        name, notice = TEMPLATES[i]
+        for k in (2, 3, 40):
+            text = f"{notice}.\n" * k
+            assert [(n, text[a:b]) for n, _, a, b in index.scan(text, 0.7)] == [(name, notice)] * k, (notice, k)
