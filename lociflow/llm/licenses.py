@@ -1,7 +1,8 @@
 """License notices in texts: winnowed fingerprints of templates pick candidates, banded alignment measures them.
 
 Texts and templates are compared as words without case and marks. A fingerprint is the hash of K words that is the
-smallest of its winnowing window, so any shared run of K + WINDOW - 1 words shares one. An inverted index from
+smallest of its winnowing window, so any shared run of K + WINDOW - 1 words shares one. Short templates are looked up by
+the word that names the license instead, and no notice counts without its naming words. An inverted index from
 fingerprints to places in templates gives diagonals; each hit outside the notices found so far is a candidate, which a
 local alignment within a band around its diagonal turns into matched words, coverage of the template and a span of the
 text. Templates are a fixed small list, so the index goes to every executor.
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, WINDOW, BAND = 3, 2, 8
+VERSION = re.compile(r"^v?([0-9]+)(?:\.0)*$")
 WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
 
 # Notices by license name.
@@ -45,10 +47,25 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved"),
 )
 
+#: The words that tell a license from others of similar notices: those that a template has must be among its matched words.
+#: The first one is looked up everywhere for templates of under ANCHORED words.
+NAMING = {
+    "Apache-2.0": ("apache", "2"),
+    "MIT": ("mit",),
+    "GPL-3.0": ("gnu", "general", "public", "3"),
+    "CC-BY-NC-4.0": ("by-nc", "4"),
+    "CC-BY-4.0": ("attribution", "creative", "commons", "4"),
+    "all-rights-reserved": ("reserved", "all", "rights"),
+}
+#: Words within a notice that make it another license's, unless the template has them.
+FOREIGN = frozenset("lesser library affero noncommercial non-commercial sharealike share-alike noderivatives noderivs".split())
+ANCHORED = 16
+
 
 def word_spans(text: str) -> tuple[list[str], np.ndarray]:
-    """Lower-cased words and their (start, stop) in code points."""
+    """Lower-cased words, version numbers without v and .0, and their (start, stop) in code points."""
     found = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+    found = [(VERSION.sub(r"\1", w), a, b) if w[-1] in "0123456789" else (w, a, b) for w, a, b in found]
     return [f[0] for f in found], np.array([f[1:] for f in found], np.int64).reshape(-1, 2)
 
 
@@ -109,15 +126,22 @@ class Templates:
     def __init__(self, templates=TEMPLATES):
         self.names = [name for name, _ in templates]
         self.words = [word_spans(text)[0] for _, text in templates]
+        self.naming = [[w for w in NAMING.get(name, ()) if w in words] for name, words in zip(self.names, self.words, strict=True)]
+        self.anchors: dict[str, list[tuple[int, int]]] = {}
+        for t, words in enumerate(self.words):
+            if self.naming[t] and len(words) < ANCHORED:  # too short for a fingerprint to be left where words are changed
+                for i in (i for i, w in enumerate(words) if w == self.naming[t][0]):
+                    self.anchors.setdefault(self.naming[t][0], []).append((t, i))
+        anchored = {t for some in self.anchors.values() for t, _ in some}
         self.bags = [Counter(words) for words in self.words]
         rows = []
         for t, words in enumerate(self.words):
-            grams = gram_hashes(words)
+            grams = gram_hashes(words) if t not in anchored else []
             rows += [(int(grams[i]), t, int(i)) for i in range(len(grams))]  # every place, so that any fingerprint of a text finds it
         rows.sort()
         self.keys = np.array([r[0] for r in rows], np.uint64)
         self.at = np.array([r[1:] for r in rows], np.int64).reshape(-1, 2)
-        short = [r[0] for r in rows if len(self.words[r[1]]) < K + WINDOW - 1]  # windows may skip these, so they are looked up everywhere
+        short = [r[0] for r in rows if len(self.words[r[1]]) < 2 * (K + WINDOW - 1)]  # with a changed word, windows may skip these, so they are looked up everywhere
         self.short = np.array(short, np.uint64)
 
     def notices(self, t: int, words: list[str], hits: list[tuple[int, int]], least: float) -> list[list[tuple[int, int]]]:
@@ -125,6 +149,7 @@ class Templates:
         and a hit that none covers is aligned again, so notices may follow each other within the band."""
         template, rest, found = self.words[t], list(words), []
         for d, place in sorted(set(hits)):
+            tried: list[int] = []  # masked for this hit alone, as the words may be another notice's
             while rest[place] is not None:
                 near = Counter(rest[max(0, d - BAND) : max(0, d + len(template) + BAND)])
                 if sum(min(n, near[w]) for w, n in self.bags[t].items()) < least * len(template):
@@ -132,9 +157,15 @@ class Templates:
                 pairs = aligned(template, rest, d)
                 if not pairs or len(pairs) / len(template) < least:
                     break
-                found.append(pairs)
+                named = {template[i] for i, _ in pairs}.issuperset(self.naming[t])
+                if named and FOREIGN.isdisjoint(set(words[pairs[0][1] : pairs[-1][1] + 1]).difference(template)):
+                    found.append(pairs)
+                else:
+                    tried += [j for _, j in pairs]
                 for _, j in pairs:
                     rest[j] = None
+            for j in tried:
+                rest[j] = words[j]
         return found
 
     def scan(self, text: str | None, least: float) -> list[tuple[str, float, int, int]]:
@@ -142,18 +173,20 @@ class Templates:
         words, spans = word_spans(text) if text else ([], np.empty((0, 2), np.int64))
         grams = gram_hashes(words)
         places = np.union1d(winnowed(grams), np.flatnonzero(np.isin(grams, self.short))).astype(np.int64)
-        if not len(places) or not len(self.keys):
-            return []
         lo, hi = np.searchsorted(self.keys, grams[places]), np.searchsorted(self.keys, grams[places], "right")
         hits: dict[int, list[int]] = {}
         for p in np.flatnonzero(hi > lo):
             for t, i in self.at[lo[p] : hi[p]]:
                 hits.setdefault(int(t), []).append((int(places[p]) - int(i), int(places[p])))
+        for p, w in enumerate(words):
+            for t, i in self.anchors.get(w, ()):
+                hits.setdefault(t, []).append((p - i, p))
         found = [(len(f), len(f) / len(self.words[t]), f[0][1], f[-1][1], t) for t, some in hits.items() for f in self.notices(t, words, some, least)]
-        taken: list[tuple[int, float, int, int, int]] = []
+        taken, used = [], np.zeros(len(words), bool)
         for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
-            if all(f[3] < g[2] or f[2] > g[3] for g in taken):
+            if not used[f[2] : f[3] + 1].any():
                 taken.append(f)
+                used[f[2] : f[3] + 1] = True
         return [(self.names[t], cover, int(spans[a, 0]), int(spans[b, 1])) for _, cover, a, b, t in sorted(taken, key=lambda f: f[2])]
 
 

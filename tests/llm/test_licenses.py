@@ -56,3 +56,27 @@ def test_short_notices_back_to_back():
         for k in (2, 3, 40):
             text = f"{notice}.\n" * k
             assert [(n, text[a:b]) for n, _, a, b in index.scan(text, 0.7)] == [(name, notice)] * k, (notice, k)
+
+
+def test_a_notice_needs_the_words_that_name_its_license():
+    index = Templates()
+    names = lambda text: [n for n, *_ in index.scan(f"Some words first. {text}. Some words last.", 0.7)]
+    for text in (
+        "Released under the BSD License", "Licensed under CC BY-SA 4.0", "Licensed under CC BY-NC 3.0", "This work is licensed under the GNU General Public License, version 2",
+        "This work is licensed under the GNU Lesser General Public License, version 3", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Licensed under the Apache License, Version 1.1",
+    ):
+        assert names(text) == [], text
+    assert names("Released under the BSD License. Released under the MIT License") == ["MIT"]
+    assert names("Licensed under the Apache License, Version 2") == ["Apache-2.0"] and names("This work is licensed under the GNU General Public License, version 3.0") == ["GPL-3.0"]
+
+
+def test_short_notices_with_any_other_word_changed_are_found():
+    index = Templates()
+    for i in (2, 7):
+        name, notice = TEMPLATES[i]
+        for k, word in enumerate(notice.split()):
+            if word not in ("MIT", "BY-NC", "4.0"):
+                for salt in range(20):
+                    text = f"p{salt} " + " ".join([*notice.split()[:k], f"x{salt}", *notice.split()[k + 1 :]]) + f" q{salt}"
+                    assert [n for n, *_ in index.scan(text, 0.7)] == [name], text
