@@ -248,7 +248,7 @@ def coverage_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placenta's marks in urgent regions against all others, by resampling."""
     found = coverage(spark, sf_dir).where("tissue = 'placenta'").join(A.regions(spark, sf_dir).select("region_id", "priority"), "region_id")
     part = lambda cond: found.where(cond).select("assay", F.col("region_id").alias("item"), "coverage")
-    return enrich.coverage_enrichment(part("priority = '1-URGENT'"), part("priority <> '1-URGENT'"), n_boot=50)
+    return enrich.coverage_enrichment(part("priority = '1-URGENT'"), part("priority <> '1-URGENT'"))
 
 
 # Sequence content and matched background
@@ -274,7 +274,7 @@ def region_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matched_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many matched regions each query got."""
     chunks = nulls.genome_chunks(A.sequences(spark, sf_dir, CHUNK), CHUNK)
-    return nulls.sample_matched(A.text_regions(spark, sf_dir), chunks, CHUNK, n_per=2, tries=16)[1]
+    return nulls.sample_matched(A.text_regions(spark, sf_dir), chunks, CHUNK)[1]
 
 
 @query(
@@ -358,12 +358,13 @@ def genomic_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sampled_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean absolute sampled Shapley values of a product of two bins, by bin."""
+    """Mean absolute sampled Shapley values of a product of two bins, by bin, against the ten samples of smallest id."""
     import numpy as np
 
     names = [row["bin_key"] for row in A.matrix(spark, sf_dir).select("bin_key").distinct().orderBy("bin_key").collect()]  # 64 names
     rows = shap.wide_rows(A.matrix(spark, sf_dir), names)
-    found = shap.sampled_shap(rows, names, lambda x: x[:, 0] * x[:, 1], np.zeros((1, len(names))), orders=2)
+    background = np.array([row["x"] for row in rows.orderBy("sample_id").limit(10).collect()]).reshape(-1, len(names))
+    found = shap.sampled_shap(rows, names, lambda x: x[:, 0] * x[:, 1], background)
     return selection.importance_by_shap(found)
 
 
@@ -500,7 +501,7 @@ def tissue_plot_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tissue_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tissue.permutation_p(*scored(spark, sf_dir), n_perm=200)
+    return tissue.permutation_p(*scored(spark, sf_dir))
 
 
 # Crossing builds

@@ -212,3 +212,32 @@ def test_readers_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(REGION).parquet(str(tmp_path / "in"))
     annotate_stream(stream, toy(spark), ACTIVE_STATES, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_queries_draw_as_often_as_their_operators(spark, sf_dir, monkeypatch):
+    import inspect
+
+    from lociflow.operators import enrich, nulls, shap, tissue
+    from lociflow.plans import catalogue
+
+    class Called(Exception):
+        pass
+
+    for query, module, name, draws in (
+        ("matched_background", nulls, "sample_matched", {"n_per": 100, "tries": 200}), ("coverage_enrichment", enrich, "coverage_enrichment", {"n_boot": 1000}),
+        ("tissue_permutations", tissue, "permutation_p", {"n_perm": 2000}), ("sampled_shap", shap, "sampled_shap", {"orders": 64}),
+    ):
+        signature = inspect.signature(getattr(module, name))
+
+        def spy(*args, signature=signature, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            raise Called(bound.arguments)
+
+        monkeypatch.setattr(module, name, spy)
+        with pytest.raises(Called) as caught:
+            catalogue.QUERIES[query](spark, sf_dir)
+        arguments = caught.value.args[0]
+        assert {k: arguments[k] for k in draws} == draws
+        if query == "sampled_shap":
+            assert len(arguments["background"]) == 10
