@@ -9,28 +9,31 @@ Links are exact: equal sets are one class from the start, classes are compared o
 confirmed only by 100 * intersection >= percent * union. Buckets are never expanded into all pairs. First the members
 of a bucket are compared with one member of it, and the classes joined so far collapse. Then pairs of one small bucket
 in different components are compared in full. In a large bucket sketches tell, by their concentration, which classes
-may link with which other component (a pair at similarity 0.8 fails with probability below 1e-8), and such a class is
+may link with which larger component (a pair at similarity 0.8 fails with probability below 1e-8), and such a class is
 compared with every member of that component, in blocks, by products of incidence matrices. So a pair that shares a
-bucket is found whatever the size of the bucket.
+bucket is found whatever the size of the bucket. Sketches are compared for the members outside a bucket's largest
+component only, so a bucket costs its size times the share of members that don't belong to its main group; a large bucket
+of texts that share much but link with nothing is the case that stays quadratic.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of, written
+from .common import hot_keys, release, spread_join, values, words_of, written
 from .components import connected_components
 
 MASK = (1 << 64) - 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 SMALL_BUCKET = 32
+PARTNERS = 256
 BUCKET_BLOCK, SET_BLOCK, SET_BLOCK_SHINGLES, COLUMNS = 2048, 256, 200_000, 8192
 
 
@@ -101,18 +104,19 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def document_sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, node, keys, bits): node is a 128-bit name of the set, null for empty sets; bits has 8 bits of each coordinate."""
+    """(id, text_key, n_shingles, set, keys, bits): set is a 128-bit name of the set, null for empty sets; bits has 8 bits of each coordinate."""
     t = bands * rows
+    schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seeds = WordHashes(), round_seeds(t)
         for batch in batches:
-            sizes, nodes, keys, bits = [], [], [None] * len(batch), [None] * len(batch)
+            sizes, names, keys, bits = [], [], [None] * len(batch), [None] * len(batch)
             sketches, at = [], []
-            for i, text in enumerate(batch["text"]):
+            for i, text in enumerate(values(batch, "text")):
                 s = shingle_set(text, shingle_words, cache)
                 sizes.append(len(s))
-                nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                names.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 if len(s):
                     sketches.append(sketch(s, t, seeds))
                     at.append(i)
@@ -120,70 +124,101 @@ def document_sketches(docs: DataFrame, id_col: str, text_col: str, shingle_words
                 sketches = np.stack(sketches)
                 for i, k, b in zip(at, band_keys(sketches, bands, rows).view(np.int64), (mixed(sketches) & np.uint64(255)).astype(np.uint8), strict=True):
                     keys[i], bits[i] = k, b.tobytes()
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "n_shingles": sizes, "node": nodes, "keys": keys, "bits": bits})
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), *(pa.array(x, f.type) for x, f in zip((sizes, names, keys, bits), list(schema)[2:], strict=True))], schema=schema)
+        del cache
+        release()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInPandas(work, "id long, n_shingles long, node binary, keys array<long>, bits binary")
+    slim = _slim(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    return slim.mapInArrow(work, "id long, text_key long, n_shingles long, set binary, keys array<long>, bits binary")
 
 
-def candidate_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(node, text) for wanted(node, id); the text is checked to have that set, as ids may repeat."""
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(node, shingles) for wanted(node, set, id): the sorted hashes of the set, from a text of that id that has this set, as ids may repeat."""
+    schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            same = [xxhash.xxh3_128_digest(shingle_set(t, shingle_words, cache).tobytes()) == n for n, t in zip(batch["node"], batch["text"], strict=True)]
-            yield batch[same][["node", "text"]]
+            found = []
+            for node, name, text in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist(), values(batch, "text"), strict=True):
+                shingles = shingle_set(text, shingle_words, cache).tobytes()
+                if xxhash.xxh3_128_digest(shingles) == name:
+                    found.append((node, shingles))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], schema=schema)
+        del cache
+        release()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.join(wanted.hint("merge"), "id").select("node", "text").mapInPandas(work, "node binary, text string").dropDuplicates(["node"])
+    found = _slim(docs, id_col, text_col).join(wanted.select("node", "set", "id").hint("merge"), "id").select("node", "set", "text")
+    return found.mapInArrow(work, "node binary, shingles binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """(a, b, linked) of candidate pairs(a, b), from their full sets."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of distinct candidate pairs(a, b), from their full sets.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-        known = lru_cache(maxsize=64)(lambda text: shingle_set(text, shingle_words, cache))
-        for batch in batches:
-            inter, union = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)
-            for i, (p, q) in enumerate(zip(batch["text_a"], batch["text_b"], strict=True)):
-                x, y = known(p), known(q)
-                inter[i] = len(np.intersect1d(x, y, assume_unique=True))
-                union[i] = len(x) + len(y) - inter[i]
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": 100 * inter >= percent * union})
+    The partners of a are dealt into blocks. A block gets a's set once and then its partners' sets, one after another, so
+    no task holds more than a batch however many partners there are.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_())])
 
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInPandas(work, "a binary, b binary, linked boolean")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.empty(0, np.uint64)
+        for batch in batches:
+            found = []
+            for a, b, raw in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), values(batch, "shingles"), strict=True):
+                y = np.frombuffer(raw, np.uint64)
+                if b is None:
+                    x = y
+                else:
+                    inter = len(np.intersect1d(x, y, assume_unique=True))
+                    found.append((a, b, 100 * inter >= percent * (len(x) + len(y) - inter)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], s.type) for k, s in enumerate(schema)], schema=schema)
+        release()
+
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("blocks"))
+    partners = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), "b", F.col("b").alias("node"))
+    heads = blocks.select("a", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.lit(None).cast("binary").alias("b"), F.col("a").alias("node"))
+    units = partners.unionByName(heads).join(sets, "node").select("a", "block", "b", "shingles")
+    return units.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(work, "a binary, b binary, linked boolean")
 
 
 def suspects(at: DataFrame, percent: int, t: int) -> DataFrame:
     """(node, component) for classes of a large bucket whose sketch may link with a class of a larger component.
 
-    at(key, node, n, c, size, bits, blocks): members with their component and its size; a bucket is dealt out in blocks.
+    at(key, node, n, c, size, bits): members of buckets with their component and its size. Members of a bucket's largest
+    component are only compared with: of a bucket, blocks of the others meet blocks of all.
     """
     share = percent / 100
     need = t * share - 6.5 * np.sqrt(t * share * (1 - share))
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node")
-        comp, name = pd.factorize(group["c"])
-        size, n = group["size"].to_numpy(), group["n"].to_numpy()
+        names = sorted(set(zip(group["size"], group["c"], strict=True)))  # the order of components is the same in every block
+        code = {c: i for i, (_, c) in enumerate(names)}
+        order, n, asks = group["c"].map(code).to_numpy(), group["n"].to_numpy(), group["side"].to_numpy() == 0
         bits = np.frombuffer(b"".join(group["bits"]), np.uint8).reshape(len(group), t)
-        order = size * len(name) + comp  # of two components the larger one is compared with in whole
-        rest = np.flatnonzero(comp != comp[order.argmax()])
         found = []
-        for i in rest:
-            other = np.flatnonzero((comp != comp[i]) & (order > order[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        for i in np.flatnonzero(asks):
+            other = np.flatnonzero(~asks & (order > order[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             agree = (bits[other] == bits[i]).sum(1)
-            if len(some := np.unique(comp[other[agree >= need]])):
-                found.append((group["node"].iat[i], [name[c] for c in some]))
+            if len(some := np.unique(order[other[agree >= need]])):
+                found.append((group["node"].iat[i], [names[c][1] for c in some]))
         return pd.DataFrame(found, columns=["node", "components"])
 
-    dealt = at.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = dealt.select("key", "i", "j", "node", "n", "c", "size", "bits").groupBy("key", "i", "j").applyInPandas(work, "node binary, components array<binary>")
+    size = lambda col: F.ceil(col / BUCKET_BLOCK)
+    parts = at.groupBy("key", "c").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    buckets = parts.groupBy("key").agg(F.max(F.struct("size", "c", "n")).alias("top"), F.sum("n").alias("n"))
+    buckets = written(buckets.select("key", "n", F.col("top.c").alias("top"), size(F.col("n") - F.col("top.n")).alias("p"), size(F.col("n")).alias("q")), "buckets")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    known = spread_join(at, buckets.drop("n"), "key", hot_keys(buckets, "key", total)).withColumn("asks", F.col("c") != F.col("top"))
+    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
+    span = lambda k: F.explode(F.expr(f"sequence(0L, {k} - 1)"))
+    cols = ["key", "node", "n", "c", "size", "bits"]
+    asking = known.where("asks").select(*cols, F.lit(0).alias("side"), own("p").alias("i"), span("q").alias("j"))
+    asked = known.select(*cols, F.lit(1).alias("side"), span("p").alias("i"), own("q").alias("j"))
+    found = asking.unionByName(asked).groupBy("key", "i", "j").applyInPandas(work, "node binary, components array<binary>")
     of_node = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("components"))).alias("components"))
     return of_node.select("node", F.explode("components").alias("component"))
 
@@ -204,25 +239,27 @@ def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links_with(asked: DataFrame, labels: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """(a, b) for links of asked(node, component) with any class of that component, on full sets, in blocks."""
+def links_with(asked: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) for links of asked(node, component) with any class of that component, on full sets, in blocks.
+
+    labels is (node, n, component).
+    """
     n_blocks = lambda n, w: F.ceil(F.greatest(n / SET_BLOCK, w / SET_BLOCK_SHINGLES))
-    wanted = asked.select("component").distinct()
-    of = labels.join(wanted, "component", "left_semi").select("component", "node", "n")
-    left, right = asked.join(labels.select("node", "n"), "node"), of
-    blocks = lambda df, name: df.groupBy("component").agg(n_blocks(F.count(F.lit(1)), F.sum("n")).alias(name))
-    counts = blocks(left, "p").join(blocks(right, "q"), "component")
+    left, right = asked.join(labels.select("node", "n"), "node"), labels.select("component", "node", "n")
+    blocks = lambda df, name: df.groupBy("component").agg(n_blocks(F.count(F.lit(1)), F.sum("n")).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+    counts = written(blocks(left, "p").join(blocks(right, "q"), "component"), "blocks")
+    total = counts.agg(F.sum("n_p").alias("p"), F.sum("n_q").alias("q")).first()
+    dealt = lambda df, k: spread_join(df, counts.select("component", "p", "q"), "component", hot_keys(counts.select("component", F.col(f"n_{k}").alias("n")), "component", total[k] or 0))
     own = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
     span = lambda k: F.explode(F.expr(f"sequence(0L, {k} - 1)"))
-    left = left.join(counts, "component").select("component", "node", F.lit(0).alias("side"), own("p").alias("i"), span("q").alias("j"))
-    right = right.join(counts, "component").select("component", "node", F.lit(1).alias("side"), span("p").alias("i"), own("q").alias("j"))
+    left = dealt(left, "p").select("component", "node", F.lit(0).alias("side"), own("p").alias("i"), span("q").alias("j"))
+    right = dealt(right, "q").select("component", "node", F.lit(1).alias("side"), span("p").alias("i"), own("q").alias("j"))
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        cache = WordHashes()
         sides = [group[group["side"] == k] for k in (0, 1)]
-        sets = [[shingle_set(t, shingle_words, cache) for t in side["text"]] for side in sides]
-        if not all(sets):
+        if not len(sides[0]) or not len(sides[1]):
             return pd.DataFrame({"a": [], "b": []})
+        sets = [[np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in sides]
         inter = shared_counts(*sets)
         size = [np.array([len(x) for x in side]) for side in sets]
         union = size[0][:, None] + size[1][None, :] - inter
@@ -230,57 +267,70 @@ def links_with(asked: DataFrame, labels: DataFrame, texts: DataFrame, shingle_wo
         keep = np.unique(i, return_index=True)[1]  # one link of a class with the component joins them
         return pd.DataFrame({"a": sides[0]["node"].to_numpy()[i[keep]], "b": sides[1]["node"].to_numpy()[j[keep]]})
 
-    return left.unionByName(right).join(texts, "node").groupBy("component", "i", "j").applyInPandas(work, "a binary, b binary")
+    return left.unionByName(right).join(sets, "node").groupBy("component", "i", "j").applyInPandas(work, "a binary, b binary")
+
+
+def class_name(id_col: str, set_col: str):
+    """The id in 8 bytes that sort like it, then the name of the set: the least name of a component begins with its least id."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.col(id_col).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), set_col)
+
+
+def id_of(name: str):
+    return (F.conv(F.hex(F.substring(name, 1, 8)), 16, 10).cast("decimal(20,0)") - F.expr("9223372036854775808BD")).cast("long")
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+    """(doc_id, n_shingles, component_id, kept, text_key, component) for every row of docs.
 
     Two documents link if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
     reachable by links, itself included; kept is true for that row. A pair at similarity 0.8 shares none of the 40
     buckets with probability 1.3e-7. Null and blank texts have empty sets and link with nothing; rows with a null id
-    link with nothing, have a null component and are kept. Rows that repeat an id are rows of their own: equal ones
-    share component and verdict. An empty table gives an empty one; other columns of docs don't matter.
+    link with nothing, have a null component_id and are kept. Rows that repeat an id are rows of their own: equal ones
+    share component and verdict. component tells groups apart even where unlinked rows share an id (null for empty sets
+    and null ids), and text_key, a hash of the text, such rows. An empty table gives an empty one; other columns of docs
+    don't matter.
     """
     rows_ = written(document_sketches(docs, id_col, text_col, shingle_words, bands, rows), "sketches")
-    classes = rows_.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"))
-    classes = written(classes, "classes")
-    reps = rows_.select("node", "id", "keys").join(classes, ["node", "id"])
-    in_bands = reps.select("node", "id", "n", F.explode("keys").alias("key"))
+    classes = rows_.where("set is not null and id is not null").groupBy("set")
+    classes = classes.agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "keys", "bits"))).withColumnRenamed("n_shingles", "n")
+    classes = written(classes.withColumn("node", class_name("id", "set")), "classes")
+    in_bands = classes.select("node", "n", F.explode("keys").alias("key"))
     full = in_bands.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = written(in_bands.join(full, "key").select("key", "m", "node", "id", "n"), "members")
-    nodes = written(members.select("node", "id", "n").distinct(), "nodes")
-    texts = written(candidate_texts(docs, nodes.select("node", "id"), id_col, text_col, shingle_words), "texts")
+    members = written(in_bands.join(full, "key").select("key", "m", "node", "n"), "members")
+    nodes = written(classes.drop("keys").join(members.select("node").distinct(), "node", "left_semi"), "nodes")
+    sets = written(candidate_sets(docs, nodes, id_col, text_col, shingle_words), "sets")
 
     fits = f"least(n, o_n) * 100 >= greatest(n, o_n) * {percent}"
-    pair = (F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
-    as_other = lambda df: df.select("key", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("c").alias("d"))
-    first = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", F.col("node").alias("c"))).alias("s"))
-    stars = members.withColumn("c", F.col("node")).join(as_other(first.select("key", "s.*")), "key").where(f"c <> d and {fits}").select(*pair).distinct()
-    tried = written(verified(stars, texts, shingle_words, percent), "stars")
-    labels = connected_components(tried.where("linked").select("a", "b"))
-    labels = written(nodes.join(labels, "node", "left").select("node", "id", "n", F.coalesce("component", "node").alias("component")), "labels")
-    of = labels.select("node", F.col("component").alias("c"))
-    at = members.join(of, "node")
+    first = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("s"))
+    first = first.select("key", F.col("s.node").alias("o"), F.col("s.n").alias("o_n"))
+    stars = members.join(first, "key").where(f"node <> o and {fits}").select(F.col("o").alias("a"), F.col("node").alias("b")).distinct()
+    tried = written(verified(written(stars, "pairs"), sets, percent), "stars")
+    labels = nodes.select("node", "n").join(connected_components(tried.where("linked").select("a", "b")), "node", "left")
+    labels = written(labels.withColumn("component", F.coalesce("component", "node")), "labels")
+    n_nodes, sizes = labels.count(), labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    of = written(spread_join(labels.select("node", "component"), sizes.withColumnRenamed("n", "size"), "component", hot_keys(sizes, "component", n_nodes)).withColumnRenamed("component", "c"), "sizes")
+    at = written(members.join(of, "node"), "labelled")
     split = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     at = written(at.join(split, "key", "left_semi"), "split")
 
     few = at.where(F.col("m") <= SMALL_BUCKET)
-    pairs = few.join(as_other(few), "key").where(f"c < d and {fits}").select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
-    links = verified(pairs, texts, shingle_words, percent).where("linked").select("a", "b")
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    large = at.where(F.col("m") > SMALL_BUCKET).join(sizes.withColumnRenamed("component", "c"), "c").withColumn("blocks", F.ceil(F.col("m") / BUCKET_BLOCK))
-    sketches = rows_.select("node", "id", "bits").join(nodes.select("node", "id"), ["node", "id"]).select("node", "bits").dropDuplicates(["node"])
-    asked = written(suspects(large.join(sketches, "node"), percent, bands * rows), "suspects")
-    links = written(links.unionByName(links_with(asked, labels, texts, shingle_words, percent)), "links")
-    joined = links.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    other = few.select("key", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("c").alias("d"))
+    pairs = few.join(other, "key").where(f"c < d and {fits}").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = written(verified(written(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), sets, percent), "verified").where("linked").select("a", "b")
+    many = at.where(F.col("m") > SMALL_BUCKET)
+    if not many.isEmpty():
+        asked = written(suspects(many.join(nodes.select("node", "bits"), "node"), percent, bands * rows), "suspects")
+        if not asked.isEmpty():
+            found = found.unionByName(written(links_with(asked, labels, sets, percent), "links"))
+    name = of.select("node", "c")
+    joined = found.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     merged = connected_components(joined)
-    labels = labels.join(merged.toDF("component", "root"), "component", "left").withColumn("component", F.coalesce("root", "component"))
-    named = classes.join(labels.select("node", "component"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("c"))
-    least = named.groupBy("c").agg(F.min("id").alias("component_id"))
-    by_class = named.join(least, "c").select("node", "component_id")
-    out = rows_.select("id", "n_shingles", "node").join(by_class, "node", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    labels = spread_join(labels.select("node", "component"), merged.toDF("component", "root"), "component", hot_keys(sizes, "component", n_nodes), "left")
+    labels = labels.select("node", F.coalesce("root", "component").alias("component"))
+    named = written(classes.select("set", "node").join(labels, "node", "left").select("set", F.coalesce("component", "node").alias("component")), "components")
+    out = rows_.select("id", "text_key", "n_shingles", "set").join(named, "set", "left").withColumn("component", F.when(F.col("id").isNotNull(), F.col("component")))
+    component = F.when(F.col("id").isNotNull(), F.coalesce(id_of("component"), "id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "text_key", "component")

@@ -16,13 +16,14 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, values, written
 
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 RANK_BITS = 44
 FINAL_MARKS = b".,;:!?"
 
@@ -98,11 +99,13 @@ def word_tokens(path: str) -> WordTokens:
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and END_ID, cut only where longer than capacity."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer_path)
         for batch in batches:
             row, start, length, crc = [], [], [], []
-            for i, text in enumerate(batch["text"]):
+            for i, text in enumerate(values(batch, "text")):
                 ids = tokens(text).astype("<u4")
                 for a in range(0, len(ids), capacity):
                     part = ids[a : a + capacity]
@@ -111,10 +114,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: st
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
             start = np.array(start, np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").iloc[row].array, "piece": (start // capacity).astype(np.int32), "start": start, "length": np.array(length, np.int64), "ids_crc32": np.array(crc, np.int64)})
+            columns = (pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(length, pa.int64()), pa.array(crc, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *columns], schema=schema)
+        release()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInPandas(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:

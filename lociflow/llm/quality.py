@@ -1,6 +1,6 @@
 """Quality of documents by regularised quadratic discriminant analysis of transformed text statistics.
 
-The moments of both classes (count, mean, second moments) are summed over all labelled training rows in Spark; the
+The moments of both classes (count, mean, second moments) are summed over the labelled training rows in Spark; the
 driver sees numbers of the size of one covariance. Class covariances shrink towards the pooled one and that towards its
 diagonal. A score is the logistic of the log-density difference plus the log prior ratio; Mahalanobis distances come
 from the cached inverse Cholesky factors.
@@ -13,16 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, values, written
 
 #: Statistics by name; each is a function of the whole text alone.
 FEATURES = (
     "words", "word_length", "word_length_spread", "distinct_words", "repeated_pairs", "upper", "digits", "marks", "shouts", "bars", "signs",
     "other_bytes", "lines", "repeated_lines", "upper_words", "no_letter_words", "stops", "commas", "common_words", "joined_marks",
 )
+#: Labelled rows that the moments are summed over, about, if there are more.
+FIT_ROWS = 100_000
 KIND = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 white space, 5 ! or ?, 6 |, 7 # $ % & * @ ^ ~ = + < > \ _, 8 . , 9 , ; : 10 other ASCII marks, 11 beyond ASCII
 for kind, chars in ((1, b"abcdefghijklmnopqrstuvwxyz"), (2, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (3, b"0123456789"), (4, b" \t\n\r\v\f"), (5, b"!?"), (6, b"|"), (7, b"#$%&*@^~=+<>\\_{}[]"), (8, b"."), (9, b",;:"), (10, b"\"'()-/`")):
     KIND[np.frombuffer(chars, np.uint8)] = kind
@@ -96,33 +99,56 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, x) for every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "x": [statistics(t) for t in batch["text"]]})
+            x = pa.array([statistics(t) for t in values(batch, "text")], schema.field("x").type)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], schema=schema)
+        release()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInPandas(work, "doc_id long, x array<double>")
+    return _slim(docs, id_col, text_col).mapInArrow(work, "doc_id long, x array<double>")
 
 
-def fit(x: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, **shrinkage) -> Discriminant:
-    """From features(doc_id, x) and labels(doc_id, label), without the rows of the held-out fold and null labels."""
-    d = len(FEATURES)
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def training_labels(labels: DataFrame, label_col: str, folds: int, fold: int) -> DataFrame:
+    """(doc_id, label) of labels(doc_id, label) without the held-out fold and null labels: all, or about FIT_ROWS by a hash of the id if there are more.
+
+    So it's small enough to broadcast, which is checked, and texts needn't be shuffled.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"), folds, fold))
+    n = known.count()
+    if n > FIT_ROWS:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(FIT_ROWS / n * (1 << 20)))
+        n = known.count()
+    return F.broadcast(known) if n <= 2 * FIT_ROWS else known
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def fit(rows: DataFrame, value: str, statistic=np.asarray, **shrinkage) -> Discriminant:
+    """From rows(label, value): the moments of statistic(value), summed over all rows."""
+    d = len(FEATURES)
+    schema = pa.schema([("c", pa.int32()), ("i", pa.int32()), ("v", pa.float64())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + d + d * d))
         for batch in batches:
-            for c in (0, 1):
-                if len(some := batch["x"][batch["label"] == c]):
-                    m = np.stack(list(some))
-                    total[c] += np.concatenate([[len(m)], m.sum(0), (m.T @ m).ravel()])
-        yield pd.DataFrame({"c": np.repeat([0, 1], total.shape[1]), "i": np.tile(np.arange(total.shape[1]), 2), "v": total.ravel()})
-
-    rows = x.join(known, "doc_id").select("label", "x").mapInPandas(sums, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).collect()
+            if len(batch):
+                m = np.stack([statistic(v) for v in values(batch, value)])
+                label = batch.column("label").to_numpy()
+                for c in (0, 1):
+                    some = m[label == c]
+                    total[c] += np.concatenate([[len(some)], some.sum(0), (some.T @ some).ravel()])
+        columns = (np.repeat([0, 1], total.shape[1]).astype(np.int32), np.tile(np.arange(total.shape[1], dtype=np.int32), 2), total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
+        release()
+
+    found = rows.select("label", value).mapInArrow(sums, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros((2, 1 + d + d * d))
-    for r in rows:
+    for r in found:
         flat[r["c"], r["i"]] = r["v"]
     return Discriminant({c: (flat[c, 0], flat[c, 1 : d + 1], flat[c, d + 1 :].reshape(d, d)) for c in (0, 1)}, **shrinkage)
 
@@ -135,7 +161,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Gaussian is the pooled one. An empty table gives an empty one; other columns don't matter.
     """
     x = written(features(docs, id_col, text_col), "features")
-    model = fit(x, labels, label_col, folds, fold)
+    model = fit(x.join(training_labels(labels, label_col, folds, fold), "doc_id"), "x")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,11 +174,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that the classifier accepts."""
-    model = fit(features(docs, id_col, text_col), labels, label_col, folds, fold)
+    model = fit(_slim(docs, id_col, text_col).join(training_labels(labels, label_col, folds, fold), "doc_id"), "text", statistics)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            yield pd.Series(model.scores(np.stack([statistics(t) for t in part])) if len(part) else [], dtype="float64")
+            x = [statistics(t) for t in values({"text": part}, "text")]
+            yield pa.array(model.scores(np.stack(x)) if x else [], pa.float64())
+        release()
 
     return docs.where(score(F.col(text_col).cast("string")) >= threshold)

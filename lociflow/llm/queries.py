@@ -34,7 +34,7 @@ def op3_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_sizes(table(spark, sf_dir, "documents")).drop("first_position")
+    return mixed_sizes(table(spark, sf_dir, "documents"))
 
 
 def tokenizer_path() -> str:

@@ -40,7 +40,7 @@ def test_links_match_all_pairs(spark):
     rows = corpus()
     for k in (2, 5):
         got = rows_of(near_duplicates(documents(spark, rows, extra=True), shingle_words=k), "doc_id")
-        assert [tuple(r) for r in got] == brute(rows, k)
+        assert [tuple(r)[:4] for r in got] == brute(rows, k)
 
 
 def test_large_bucket_of_near_copies(spark):
@@ -49,13 +49,13 @@ def test_large_bucket_of_near_copies(spark):
     base = prose(r, 60)
     rows = list(enumerate([changed(r, base, s) for s in r.choice([0.02, 0.05, 0.09, 0.15], 300)]))
     got = rows_of(near_duplicates(documents(spark, rows), shingle_words=2), "doc_id")
-    assert [tuple(x) for x in got] == brute(rows, 2)
+    assert [tuple(x)[:4] for x in got] == brute(rows, 2)
 
 
 def test_defined_cases(spark):
     same = "one two three four five six"
     got = rows_of(near_duplicates(documents(spark, [(5, same), (5, same), (7, same), (None, same), (8, None), (9, "")]), shingle_words=5), "doc_id")
-    assert [tuple(r) for r in got] == [(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 0, 8, True), (9, 0, 9, True), (None, 2, None, True)]
+    assert [tuple(r)[:4] for r in got] == [(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 0, 8, True), (9, 0, 9, True), (None, 2, None, True)]
     assert near_duplicates(documents(spark, [])).count() == 0
 
 
