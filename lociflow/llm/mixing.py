@@ -128,11 +128,12 @@ def _small(sources: DataFrame) -> DataFrame:
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, first_position) for every row of docs."""
+    """(doc_id, size, source_size, target, taken, first_position, last_position) for every row of docs; positions are null where none is taken."""
     rows, units = mix_plan(docs, **options)
     u = units.toDF("s", "d", *units.columns[2:])
     out = rows.join(u, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    at = lambda k: F.try_element_at("positions", F.lit(k))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), at(1).alias("first_position"), at(-1).alias("last_position"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
@@ -144,7 +145,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **o
     return placed.repartitionByRange("__at", id_col).sortWithinPartitions("__at", id_col).select(*docs.columns)
 
 
-#: DuckDB SQL for mixed_sizes with the default parameters, without first_position's schedule arithmetic.
+#: DuckDB SQL of the query, with the default parameters.
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -159,30 +160,52 @@ WITH sized AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY most / w DESC, i DESC ROWS UNBOUNDED PRECEDING) AS level FROM weighed
 ), targets AS (
-  SELECT source, source_size, least(most, w * max(level) OVER ()) AS target FROM levels
+  SELECT source, source_size, i, least(most, w * max(level) OVER ()) AS target FROM levels
 ), parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS passes,
          target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS more FROM targets
 ), units AS (
   SELECT source, doc_id, h, sum(size)::BIGINT AS size FROM sized GROUP BY source, doc_id, h
+), known AS (
+  SELECT u.*, p.source_size, p.i, p.target, p.passes, p.more, CASE WHEN 8 * u.size > p.more THEN u.size ELSE 0 END AS big,
+         sum(u.size) OVER (PARTITION BY u.source ORDER BY u.h, u.doc_id ROWS UNBOUNDED PRECEDING) - u.size AS before
+  FROM units u JOIN parts p ON u.source IS NOT DISTINCT FROM p.source
 ), run AS (
-  SELECT *, 8 * size > more AND sum(CASE WHEN 8 * size > more THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) <= more AS extra
-  FROM (SELECT u.*, p.source_size, p.target, p.passes, p.more FROM units u JOIN parts p ON u.source IS NOT DISTINCT FROM p.source)
+  SELECT *, CASE WHEN big > 0 AND ahead + size <= more THEN ahead END AS place
+  FROM (SELECT *, sum(big) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - big AS ahead FROM known)
 ), gaps AS (
-  SELECT source, max(more) - coalesce(sum(size) FILTER (WHERE extra), 0) AS gap FROM run GROUP BY source
+  SELECT source, coalesce(sum(size) FILTER (WHERE place IS NOT NULL), 0) AS had, max(more) - had AS gap FROM run GROUP BY source
 ), run2 AS (
-  SELECT r.* EXCLUDE (extra), extra OR 8 * size <= more AND sum(CASE WHEN 8 * size <= more THEN size ELSE 0 END) OVER (PARTITION BY r.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) <= gap AS extra
-  FROM run r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source
+  SELECT * EXCLUDE (place), CASE WHEN small AND behind + size <= gap THEN had + behind ELSE place END AS place
+  FROM (SELECT r.*, g.had, g.gap, 8 * r.size <= r.more AS small,
+               sum(CASE WHEN 8 * r.size <= r.more THEN r.size ELSE 0 END) OVER (PARTITION BY r.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING)
+               - CASE WHEN 8 * r.size <= r.more THEN r.size ELSE 0 END AS behind
+        FROM run r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source)
 ), gaps2 AS (
-  SELECT source, max(more) - coalesce(sum(size) FILTER (WHERE extra), 0) AS gap2 FROM run2 GROUP BY source
+  SELECT source, coalesce(sum(size) FILTER (WHERE place IS NOT NULL), 0) AS had2, max(more) - had2 AS gap2 FROM run2 GROUP BY source
 ), fills AS (
   SELECT r.source, r.doc_id, row_number() OVER (PARTITION BY r.source ORDER BY abs(r.size - g.gap2), r.h, r.doc_id) AS k
   FROM run2 r JOIN gaps2 g ON r.source IS NOT DISTINCT FROM g.source
-  WHERE NOT r.extra AND r.size > 0 AND abs(r.size - g.gap2) < g.gap2
+  WHERE r.place IS NULL AND r.size > 0 AND abs(r.size - g.gap2) < g.gap2
 ), times AS (
-  SELECT r.*, r.passes + CASE WHEN r.extra AND r.more > 0 OR f.k IS NOT NULL THEN 1 ELSE 0 END AS times
-  FROM run2 r LEFT JOIN fills f ON f.k = 1 AND r.source IS NOT DISTINCT FROM f.source AND r.doc_id IS NOT DISTINCT FROM f.doc_id AND NOT r.extra
+  SELECT r.*, f.k IS NOT NULL AS fill, greatest(r.passes * r.source_size + g.had2, 1) AS stream,
+         r.passes + CASE WHEN r.place IS NOT NULL AND r.more > 0 OR f.k IS NOT NULL THEN 1 ELSE 0 END AS times,
+         r.passes * r.source_size + CASE WHEN f.k IS NOT NULL THEN g.had2 ELSE coalesce(r.place, 0) END AS tail
+  FROM run2 r JOIN gaps2 g ON r.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN fills f ON f.k = 1 AND r.source IS NOT DISTINCT FROM f.source AND r.doc_id IS NOT DISTINCT FROM f.doc_id AND r.place IS NULL
+), shares AS (
+  SELECT *, least((CASE WHEN passes > 0 THEN before ELSE tail END + size / 2::DOUBLE) / stream, 1.0::DOUBLE) AS s1,
+         least((CASE WHEN times - 1 < passes THEN (times - 1) * source_size + before ELSE tail END + size / 2::DOUBLE) / stream, 1.0::DOUBLE) AS s2
+  FROM times
 )
-SELECT s.doc_id, s.size, t.source_size, t.target, (s.size * t.times)::BIGINT AS taken
-FROM sized s JOIN times t ON s.source IS NOT DISTINCT FROM t.source AND s.doc_id IS NOT DISTINCT FROM t.doc_id
+SELECT s.doc_id, s.size, t.source_size, t.target, (s.size * t.times)::BIGINT AS taken,
+  CASE WHEN t.times > 0 THEN CASE t.i % 3  -- the integral of the weight schedule solved for time
+    WHEN 0 THEN (sqrt(greatest(2.25::DOUBLE - 2.0::DOUBLE * s1, 0)) - 1.5::DOUBLE) / -1.0::DOUBLE WHEN 1 THEN s1
+    ELSE CASE WHEN s1 * 0.875::DOUBLE <= 0.25::DOUBLE THEN s1 * 0.875::DOUBLE / 0.5::DOUBLE
+              ELSE 0.5::DOUBLE + (sqrt(0.25::DOUBLE + 6.0::DOUBLE * least(s1 * 0.875::DOUBLE - 0.25::DOUBLE, 0.625::DOUBLE)) - 0.5::DOUBLE) / 3.0::DOUBLE END END END AS first_position,
+  CASE WHEN t.times > 0 THEN CASE t.i % 3
+    WHEN 0 THEN (sqrt(greatest(2.25::DOUBLE - 2.0::DOUBLE * s2, 0)) - 1.5::DOUBLE) / -1.0::DOUBLE WHEN 1 THEN s2
+    ELSE CASE WHEN s2 * 0.875::DOUBLE <= 0.25::DOUBLE THEN s2 * 0.875::DOUBLE / 0.5::DOUBLE
+              ELSE 0.5::DOUBLE + (sqrt(0.25::DOUBLE + 6.0::DOUBLE * least(s2 * 0.875::DOUBLE - 0.25::DOUBLE, 0.625::DOUBLE)) - 0.5::DOUBLE) / 3.0::DOUBLE END END END AS last_position
+FROM sized s JOIN shares t ON s.source IS NOT DISTINCT FROM t.source AND s.doc_id IS NOT DISTINCT FROM t.doc_id
 """
