@@ -26,6 +26,7 @@ FIT_SAMPLE, CODE_SAMPLE = 20_000, 5_000
 #: Rows of the sample whose neighbours in it say how many lists to probe.
 PROBE_SAMPLE = 500
 LIST_BLOCK, QUERY_BLOCK, QUERY_TILE = 4096, 2048, 256
+MOST_LISTS = 4096
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -93,7 +94,7 @@ def search(
     k: int = 5,
     lists: int | None = None,
     probe_share: float | None = None,
-    recall: float = 0.97,
+    recall: float = 0.93,
     rerank: int = 128,
     sub_dims: int = 2,
 ) -> DataFrame:
@@ -102,9 +103,10 @@ def search(
     score is the cosine in double precision; ties go to the smaller id. Rows that `usable` leaves out are neither
     queries nor candidates; a query with fewer candidates gets them all. Rows that repeat an id are no candidates of
     each other, and a query's id is searched once, with its first vector in order. An empty table gives an empty one.
-    Lists default to about half the square root of the number of rows. A query probes probe_share of them; by default as
+    Lists default to four times the square root of the number of rows, MOST_LISTS at most. A query probes probe_share of them; by default as
     many as hold the share `recall` of nearest rows within the sample, where neighbours are farther apart than among
-    all rows, so that clustered vectors need few and vectors without structure most of them.
+    all rows, so that clustered vectors need few and vectors without structure most of them; and more where those hold
+    fewer than k other rows.
     """
     rows, d, kind = usable(vectors, id_col, vec_col)
     rows = written(rows, "vectors")
@@ -114,9 +116,11 @@ def search(
     if not n:
         return spark.createDataFrame([], schema)
     every = max(1, n // FIT_SAMPLE)
-    fit = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy("id").limit(FIT_SAMPLE).select("vec").toPandas()
-    sample = fit if len(fit) else rows.limit(1).select("vec").toPandas()
-    lists = lists or max(1, min(4096, round(n**0.5 / 2)))
+    # every row has the same chance; the order is by another hash, so the limit cuts no range of ids off
+    thinned = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    fit = thinned.orderBy(F.xxhash64("id", F.lit(1)), "id", "vec").limit(FIT_SAMPLE).select("vec").toPandas()
+    sample = fit if len(fit) else rows.orderBy("id", "vec").limit(1).select("vec").toPandas()
+    lists = lists or max(1, min(MOST_LISTS, round(4 * n**0.5)))
     units = unit(matrix(sample["vec"]))
     quantiser = Quantiser(units, lists, sub_dims)
     lists = len(quantiser.centres)
@@ -130,17 +134,22 @@ def search(
                 at, codes = fitted.value.encode(unit(x))
                 yield pd.DataFrame({"list": at.astype(np.int32), "id": batch["id"], "codes": [c.tobytes() for c in codes], "raw": [v.tobytes() for v in x.astype(kind)]})
 
+    index = written(rows.mapInPandas(indexed, "list int, id long, codes binary, raw binary"), "index")
+    held_by = np.zeros(lists, np.int64)
+    for r in index.groupBy("list").count().collect():  # a row for each list
+        held_by[r["list"]] = r["count"]
+
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x = matrix(batch["vec"])
-                near = np.argsort(-(unit(x) @ fitted.value.centres.T), 1, kind="stable")[:, :probes].astype(np.int32)
-                yield pd.DataFrame({"id": batch["id"], "raw": [v.tobytes() for v in x.astype(kind)], "lists": list(near)})
+                near = np.argsort(-(unit(x) @ fitted.value.centres.T), 1, kind="stable").astype(np.int32)
+                enough = (np.cumsum(held_by[near], 1) < k + batch["own"].to_numpy()[:, None]).sum(1) + 1  # until k other rows are there
+                yield pd.DataFrame({"id": batch["id"], "raw": [v.tobytes() for v in x.astype(kind)], "lists": [a[: max(probes, n)] for a, n in zip(near, enough, strict=True)]})
 
-    index = written(rows.mapInPandas(indexed, "list int, id long, codes binary, raw binary"), "index")
     named = {id_col: F.col("id"), vec_col: F.col("vec")}
     wanted = rows.select("id", "vec", *(c.alias(k_) for k_, c in named.items() if k_ not in ("id", "vec"))).where(is_query)
-    asked = wanted.groupBy("id").agg(F.min("vec").alias("vec")).mapInPandas(probed, "id long, raw binary, lists array<int>")
+    asked = wanted.groupBy("id").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("own")).mapInPandas(probed, "id long, raw binary, lists array<int>")
     asked = written(asked.select("id", "raw", F.explode("lists").alias("list")), "probes")
     sizes = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks"))
     loads = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("loads"))
