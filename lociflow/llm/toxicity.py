@@ -2,8 +2,8 @@
 
 A word's vector joins the rows of two tables at two hashes of the word, so that one collision doesn't make two words
 alike. Filters of several widths slide over the words; each filter's largest value in the text feeds a logistic
-output. The network is trained in numpy on a bounded sample of labelled rows (FIT_ROWS rows of each class, chosen by a
-hash, of at most FIT_WORDS words each); texts are scored whole. One column of the tables starts from the log-odds of
+output. The network is trained in numpy on a bounded sample of labelled rows: FIT_ROWS rows of each class, chosen by a
+hash and whole whatever their length; texts are scored whole. One column of the tables starts from the log-odds of
 words. The language of a text is inferred from its function words, and for each language the cut-off that is best on a
 calibration part of the sample is moved to the fixed threshold.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import words_of
 from .quality import held_out
 
-FIT_ROWS, FIT_WORDS = 3000, 3000
+FIT_ROWS = 3000
 BUCKETS, HALF, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 12
 PAD = BUCKETS  # row of zeros
 CACHED_WORDS = 200_000
@@ -215,9 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordCodes()
         for batch in batches:
-            codes = [coded(t, cache) for t in batch["text"]]
-            keep = [len(c) <= FIT_WORDS for c in codes]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "codes": [c.tobytes() for c in codes]})[keep]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "codes": [coded(t, cache).tobytes() for t in batch["text"]]})
 
     rows = slim.mapInPandas(work, "doc_id long, label int, codes binary").where("length(codes) > 0")
     found = pd.concat([rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "codes").limit(FIT_ROWS).toPandas() for c in (0, 1)])
