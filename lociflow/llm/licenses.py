@@ -11,7 +11,6 @@ text. Templates are a fixed small list, so the index goes to every executor.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,30 +19,94 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, WINDOW, BAND = 3, 2, 8
+K, WINDOW, BAND = 3, 4, 8
 VERSION = re.compile(r"^v?([0-9]+)(?:\.0)*$")
 WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
 
-# Notices by license name.
+# Notices by license name, public wordings.
+MIT_GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software '
+    "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+)
+BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+)
+BSD_LISTS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce "
+    "the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+)
+BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF '
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+GNU_TERMS = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, "
+    "either version {version} of the License, or (at your option) any later version"
+)
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     (
         "Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations '
+        "under the License.",
     ),
     ("MIT", "Released under the MIT License"),
+    ("MIT", MIT_GRANT),
     (
         "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        MIT_GRANT + ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+        'shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
     ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", GNU_TERMS.format(what="program", kind="General Public License", version="3")),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", GNU_TERMS.format(what="program", kind="General Public License", version="2")),
+    ("LGPL-2.1", GNU_TERMS.format(what="library", kind="Lesser General Public License", version="2.1")),
+    ("LGPL-3.0", GNU_TERMS.format(what="library", kind="Lesser General Public License", version="3")),
+    ("AGPL-3.0", GNU_TERMS.format(what="program", kind="Affero General Public License", version="3")),
+    ("BSD", BSD_CONDITIONS),
+    ("BSD-2-Clause", f"{BSD_CONDITIONS}: {BSD_LISTS} {BSD_WARRANTY}"),
+    ("BSD-3-Clause", f"{BSD_CONDITIONS}: {BSD_LISTS} {BSD_NAMES} {BSD_WARRANTY}"),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.",
+    ),
     (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     ),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+        "software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to "
+        "the following restrictions",
+    ),
     ("all-rights-reserved", "All rights reserved"),
 )
 
@@ -53,13 +116,23 @@ NAMING = {
     "Apache-2.0": ("apache", "2"),
     "MIT": ("mit",),
     "GPL-3.0": ("gnu", "general", "public", "3"),
+    "GPL-2.0": ("gnu", "general", "public", "2"),
+    "LGPL-2.1": ("lesser", "gnu", "general", "public", "2.1"),
+    "LGPL-3.0": ("lesser", "gnu", "general", "public", "3"),
+    "AGPL-3.0": ("affero", "gnu", "general", "public", "3"),
+    "BSD-3-Clause": ("neither", "endorse"),
+    "MPL-2.0": ("mozilla", "2"),
     "CC-BY-NC-4.0": ("by-nc", "4"),
+    "CC-BY-SA-4.0": ("by-sa", "attribution-sharealike", "creative", "commons", "4"),
     "CC-BY-4.0": ("attribution", "creative", "commons", "4"),
+    "CC0-1.0": ("waived",),
     "all-rights-reserved": ("reserved", "all", "rights"),
 }
 #: Words within a notice that make it another license's, unless the template has them.
 FOREIGN = frozenset("lesser library affero noncommercial non-commercial sharealike share-alike noderivatives noderivs".split())
 ANCHORED = 16
+#: Codes of words that no template has, and of words that a notice has taken.
+OTHER, MASKED = -1, -2
 
 
 def word_spans(text: str) -> tuple[list[str], np.ndarray]:
@@ -85,35 +158,30 @@ def winnowed(grams: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(windows)) + WINDOW - 1 - windows[:, ::-1].argmin(1))
 
 
-def aligned(template: list[str], words: list[str | None], shift: int) -> list[tuple[int, int]]:
-    """(i, j) of the words template[i] == words[j] of the best local alignment with words[i + shift + d], |d| <= BAND.
+def aligned(template: np.ndarray, words: np.ndarray, shift: int) -> list[tuple[int, int]]:
+    """(i, j) with template[i] == words[j] of the best local alignment with words[i + shift + d], |d| <= BAND.
 
-    A match counts 2, a mismatch or gap -1.
+    A match counts 2, a mismatch or gap -1. A row of the band is computed at once; a run of gaps along it is a running
+    maximum of score + place.
     """
     width = 2 * BAND + 1
-    score = [[0] * (width + 2) for _ in range(len(template) + 1)]
-    move = [[0] * (width + 2) for _ in range(len(template) + 1)]  # 0 begins here, 1 both, 2 template only, 3 words only
-    best = (0, 0, 0)
-    for i in range(1, len(template) + 1):
-        above, here, word = score[i - 1], score[i], template[i - 1]
-        for c in range(1, width + 1):
-            j = i - 1 + shift + c - 1 - BAND
-            if not 0 <= j < len(words):
-                continue
-            options = (0, above[c] + (2 if word == words[j] else -1), above[c + 1] - 1, here[c - 1] - 1)
-            here[c] = max(options)
-            move[i][c] = options.index(here[c])
-            if here[c] > best[0]:
-                best = (here[c], i, c)
-    _, i, c = best
+    column = np.arange(width)
+    at = np.arange(len(template))[:, None] + (shift - BAND) + column
+    inside = (at >= 0) & (at < len(words))
+    equal = inside & (words[np.clip(at, 0, len(words) - 1)] == template[:, None])
+    gain = np.where(equal, 2, -1)
+    score = np.zeros((len(template) + 1, width + 1), np.int64)
+    for i, above in enumerate(score[:-1]):
+        here = np.maximum(np.maximum(above[:-1] + gain[i], above[1:] - 1), 0) * inside[i]
+        score[i + 1, :-1] = (np.maximum.accumulate(here + column) - column) * inside[i]
+    i, c = np.unravel_index(score[:, :-1].argmax(), (len(score), width))
     pairs = []
-    while i > 0 and move[i][c]:
-        j = i - 1 + shift + c - 1 - BAND
-        if move[i][c] == 1:
-            if template[i - 1] == words[j]:
-                pairs.append((i - 1, j))
+    while i > 0 and score[i, c] > 0:
+        if score[i, c] == score[i - 1, c] + gain[i - 1, c]:
             i -= 1
-        elif move[i][c] == 2:
+            if equal[i, c]:
+                pairs.append((int(i), int(at[i, c])))
+        elif score[i, c] == score[i - 1, c + 1] - 1:
             i, c = i - 1, c + 1
         else:
             c -= 1
@@ -133,7 +201,9 @@ class Templates:
                 for i in (i for i, w in enumerate(words) if w == self.naming[t][0]):
                     self.anchors.setdefault(self.naming[t][0], []).append((t, i))
         anchored = {t for some in self.anchors.values() for t, _ in some}
-        self.bags = [Counter(words) for words in self.words]
+        self.codes = {w: i for i, w in enumerate(sorted({w for words in self.words for w in words}))}
+        self.coded = [np.array([self.codes[w] for w in words], np.int64) for words in self.words]
+        self.bags = [np.unique(codes, return_counts=True) for codes in self.coded]
         rows = []
         for t, words in enumerate(self.words):
             grams = gram_hashes(words) if t not in anchored else []
@@ -144,35 +214,36 @@ class Templates:
         short = [r[0] for r in rows if len(self.words[r[1]]) < 2 * (K + WINDOW - 1)]  # with a changed word, windows may skip these, so they are looked up everywhere
         self.short = np.array(short, np.uint64)
 
-    def notices(self, t: int, words: list[str], hits: list[tuple[int, int]], least: float) -> list[list[tuple[int, int]]]:
+    def notices(self, t: int, words: list[str], codes: np.ndarray, hits: list[tuple[int, int]], least: float) -> list[list[tuple[int, int]]]:
         """Alignments of template t, from hits (diagonal, place). Each one's matched words are masked for the next ones,
         and a hit that none covers is aligned again, so notices may follow each other within the band."""
-        template, rest, found = self.words[t], list(words), []
+        template, rest, found = self.coded[t], codes.copy(), []
+        kinds, wanted = self.bags[t]
         for d, place in sorted(set(hits)):
             tried: list[int] = []  # masked for this hit alone, as the words may be another notice's
-            while rest[place] is not None:
-                near = Counter(rest[max(0, d - BAND) : max(0, d + len(template) + BAND)])
-                if sum(min(n, near[w]) for w, n in self.bags[t].items()) < least * len(template):
+            while rest[place] != MASKED:
+                near = np.bincount(rest[max(0, d - BAND) : max(0, d + len(template) + BAND)] + 2, minlength=len(self.codes) + 2)[2:]
+                if np.minimum(wanted, near[kinds]).sum() < least * len(template):
                     break
                 pairs = aligned(template, rest, d)
                 if not pairs or len(pairs) / len(template) < least:
                     break
-                named = {template[i] for i, _ in pairs}.issuperset(self.naming[t])
-                if named and FOREIGN.isdisjoint(set(words[pairs[0][1] : pairs[-1][1] + 1]).difference(template)):
+                named = {self.words[t][i] for i, _ in pairs}.issuperset(self.naming[t])
+                if named and FOREIGN.isdisjoint(set(words[pairs[0][1] : pairs[-1][1] + 1]).difference(self.words[t])):
                     found.append(pairs)
                 else:
                     tried += [j for _, j in pairs]
-                for _, j in pairs:
-                    rest[j] = None
-            for j in tried:
-                rest[j] = words[j]
+                rest[[j for _, j in pairs]] = MASKED
+            rest[tried] = codes[tried]
         return found
 
     def scan(self, text: str | None, least: float) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, stop) of the notices, by start; of overlapping ones that with most matched words."""
         words, spans = word_spans(text) if text else ([], np.empty((0, 2), np.int64))
         grams = gram_hashes(words)
-        places = np.union1d(winnowed(grams), np.flatnonzero(np.isin(grams, self.short))).astype(np.int64)
+        places = winnowed(grams)
+        if len(self.short):
+            places = np.union1d(places, np.flatnonzero(np.isin(grams, self.short)))
         lo, hi = np.searchsorted(self.keys, grams[places]), np.searchsorted(self.keys, grams[places], "right")
         hits: dict[int, list[int]] = {}
         for p in np.flatnonzero(hi > lo):
@@ -181,7 +252,8 @@ class Templates:
         for p, w in enumerate(words):
             for t, i in self.anchors.get(w, ()):
                 hits.setdefault(t, []).append((p - i, p))
-        found = [(len(f), len(f) / len(self.words[t]), f[0][1], f[-1][1], t) for t, some in hits.items() for f in self.notices(t, words, some, least)]
+        codes = np.fromiter((self.codes.get(w, OTHER) for w in words), np.int64, len(words)) if hits else None
+        found = [(len(f), len(f) / len(self.words[t]), f[0][1], f[-1][1], t) for t, some in hits.items() for f in self.notices(t, words, codes, some, least)]
         taken, used = [], np.zeros(len(words), bool)
         for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
             if not used[f[2] : f[3] + 1].any():
