@@ -6,7 +6,9 @@ Wald-Wolfowitz runs of upper and lower half of the alphabet, and the lag-one ser
 probabilities combine to one p by Fisher's rule. Random tokens have uniform p, language and code pile up near 0, more
 so the longer they are. So within each class of encoding and length the share of random tokens is estimated from the
 upper half of p, and the least cut-off is taken at which the expected share of others among the tokens above it is
-at most `fdr`.
+at most `fdr`. Classes of under LEAST tokens are judged as one, and if that has no LEAST either, nothing is added from
+them. Tokens of letters of one case alone are taken for words and not tested: their counts say too little against names
+and compounds of natural language.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ ENCODINGS = (
 )
 LENGTHS = (20, 24, 32, 48, 64)
 BINS = 20
+LEAST = 20
 BLOCK = 512
 
 
@@ -164,16 +167,21 @@ def cut_offs(tokens: DataFrame, fdr: float) -> dict[int, float]:
     counts: dict[int, list[int]] = {}
     for r in binned.collect():  # at most 40 classes of 20 bins
         counts.setdefault(r["cls"], [0] * BINS)[r["bin"]] = r["count"]
-    out = {}
-    for cls, n in counts.items():
-        m = sum(n)
-        share = min(1.0, (1 + sum(n[BINS // 2 :])) / (0.5 * (m + 2)))
-        for b in range(BINS):
-            above = sum(n[b:])
-            if above and 1 - share * (1 - b / BINS) * m / above <= fdr:
-                out[cls] = b / BINS
-                break
-    return out
+    sparse = [cls for cls, n in counts.items() if sum(n) < LEAST]
+    pooled = [sum(counts[cls][b] for cls in sparse) for b in range(BINS)]
+    groups = [([cls], n) for cls, n in counts.items() if cls not in sparse] + [(sparse, pooled)]
+    return {cls: cut for classes, n in groups if sum(n) >= LEAST and (cut := cut_off(n, fdr)) is not None for cls in classes}
+
+
+def cut_off(n: list[int], fdr: float) -> float | None:
+    """From the tokens by bin of p; none if no part of them is random enough."""
+    m = sum(n)
+    share = min(1.0, (1 + sum(n[BINS // 2 :])) / (0.5 * (m + 2)))
+    for b in range(BINS):
+        above = sum(n[b:])
+        if above and 1 - share * (1 - b / BINS) * m / above <= fdr:
+            return b / BINS
+    return None
 
 
 def all_spans(base: Column, more: Column, cuts: dict[int, float]) -> Column:
@@ -208,8 +216,9 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by mark; spans that meet become one. Null texts stay null."""
     text = F.col(text_col)
-    cuts = cut_offs(examined(docs, text_col).select(F.explode("__more").alias("t")).select("t.cls", "t.p"), fdr)
-    seen = examined(docs, text_col).withColumn("__spans", all_spans(F.col("__base"), F.col("__more"), cuts))
+    seen = written(examined(docs, text_col), "examined")  # each text is examined once
+    cuts = cut_offs(seen.select(F.explode("__more").alias("t")).select("t.cls", "t.p"), fdr)
+    seen = seen.withColumn("__spans", all_spans(F.col("__base"), F.col("__more"), cuts))
     none = F.array().cast("array<string>")
 
     def step(acc: Column, x: Column) -> Column:

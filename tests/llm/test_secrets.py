@@ -4,7 +4,7 @@ import string
 
 import pytest
 
-from lociflow.llm.secrets import redacted, secret_report
+from lociflow.llm.secrets import cut_off, redacted, secret_report
 
 from .helpers import documents, prose, rng, rows_of
 
@@ -55,6 +55,21 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert sum("random:" in got[1000 + i] for i in range(150)) <= 8
 
 
+def test_a_few_tokens_of_a_kind_are_no_evidence():
+    one = [0] * 20
+    one[15] = 1
+    assert cut_off([8] * 20, 0.05) == 0.0 and cut_off([160] + [0] * 19, 0.05) is None
+    assert cut_off(one, 0.05) == 0.0  # which is why cut_offs asks for LEAST tokens
+
+
+def test_sparse_classes_are_judged_together(spark):
+    r = rng(4)
+    lone = [(i, f"word {random_token(r, 40)} word") for i in range(3)]
+    assert not any("random" in x["spans"] for x in secret_report(documents(spark, lone)).collect())
+    some = [(i, f"word {random_token(r, n)} word") for i, n in enumerate([22, 26, 34, 50, 70] * 12)]
+    assert sum("random" in x["spans"] for x in secret_report(documents(spark, some)).collect()) >= 50
+
+
 def test_redaction_takes_out_every_span(spark):
     rows = list(enumerate(texts(3)))
     df = documents(spark, rows, extra=True)
