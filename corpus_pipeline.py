@@ -22,13 +22,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, on five-word shingles at 0.8: the one with the smallest id.
 
-    Documents without words stay, and of rows that repeat a kept id and its text one stays.
+    Documents without words and with a null id stay. Where several rows of a group have that id, the one with the
+    smallest hash of its text stays, and one of rows that repeat it in id and text. Ids that other texts have as well
+    don't matter: a row goes by its id and text.
     """
     groups = written(near_duplicates(docs, shingle_words=5, percent=80), "groups")
-    gone = groups.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    repeats = groups.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    grouped = groups.where("component is not null")
+    heads = grouped.where("kept").groupBy("component").agg(F.min("text_key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = written(heads, "heads")  # groups with several rows of the smallest id: none where ids are unique
+    others = grouped.where("kept").join(heads, "component").where("text_key <> head")
+    gone = grouped.where("not kept").select("doc_id", "text_key").unionByName(others.select("doc_id", "text_key")).distinct()
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
+    named = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
+    kept = keyed.join(named.hint("merge"), ["__id", "__text"], "left_anti")
+    if not heads.isEmpty():
+        repeated = grouped.where("kept").join(heads, "component").where("text_key = head").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
+        once = kept.join(repeated, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"])
+        kept = kept.join(repeated, ["__id", "__text"], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
