@@ -8,7 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -16,7 +16,7 @@ def beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 500):
+    for m in range(1, 20_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + num * d
             d = 1 / (d if abs(d) > tiny else tiny)
@@ -41,6 +41,45 @@ def t_two_sided(t: float, df: float) -> float:
     return front * beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * beta_fraction(b, a, 1 - x) / b
 
 
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * beta_fraction(b, a, 1 - x) / b
+
+
+def binomial_upper(k: int, n: int, p: float) -> float:
+    """P(K >= k) of n trials with chance p."""
+    return 1.0 if k <= 0 else 0.0 if k > n else beta_share(k, n - k + 1, p)
+
+
+def fold_test(n: int, share: float, eps: float, observed: float) -> tuple[float, float, float]:
+    """(p, lo, hi) for log2((K / n + eps) / (share + eps)) with K binomial of n trials with chance share.
+
+    p is the chance of a fold at least as far from 0 as the observed one; lo and hi are the folds at which the law first
+    reaches 0.025 and 0.975. The fold grows with K, so all are single tails.
+    """
+    fold = lambda k: math.log2((k / n + eps) / (share + eps))
+    far = abs(observed) - 1e-12
+    high = max(0, math.ceil(n * ((share + eps) * 2**far - eps)) - 2)
+    while high <= n and fold(high) < far:
+        high += 1
+    low = min(n, math.floor(n * ((share + eps) * 2**-far - eps)) + 2)
+    while low >= 0 and fold(low) > -far:
+        low -= 1
+    p = 1.0 if low >= high else binomial_upper(high, n, share) + 1 - binomial_upper(low + 1, n, share)
+
+    def quantile(q: float) -> float:
+        a, b = 0, n  # the least k with P(K <= k) >= q
+        while a < b:
+            k = (a + b) // 2
+            a, b = (a, k) if 1 - binomial_upper(k + 1, n, share) >= q - 1e-12 else (k + 1, b)
+        return fold(a)
+
+    return min(p, 1.0), quantile(0.025), quantile(0.975)
+
+
 def kolmogorov_sf(d: float, n: int) -> float:
     """P(D >= d) of n uniform values, by the asymptotic law with Stephens's correction."""
     x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
@@ -82,6 +121,12 @@ def t_column(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(*x) for x in zip(t, df, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(StructType([StructField(name, DoubleType()) for name in ("p", "null_lo", "null_hi")]))
+def fold_test_column(n: pd.Series, share: pd.Series, eps: pd.Series, observed: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None) if not x[0] or any(map(pd.isna, x)) else fold_test(int(x[0]), *x[1:]) for x in zip(n, share, eps, observed, strict=True)]
+    return pd.DataFrame(rows, columns=["p", "null_lo", "null_hi"], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def kolmogorov_column(d: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([kolmogorov_sf(*x) for x in zip(d, n, strict=True)], dtype="float64")
@@ -94,28 +139,31 @@ def z_score(value: str, *keys: str) -> Column:
     return (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd).otherwise(1.0)
 
 
-def with_global_rank(df: DataFrame, value: str, rank: str, buckets: int = 4096) -> DataFrame:
-    """df with the average rank of value among all rows, ties sharing the mean of theirs; null values have none.
+def value_ranks(df: DataFrame, value: str, rank: str, buckets: int = 256) -> DataFrame:
+    """(value, rank): the average rank of each distinct value among all rows, ties sharing the mean of theirs; nulls have none.
 
-    Distinct values are counted and dealt into ranges, ranges are summed, and only within a range are values ordered:
-    no window holds all rows.
+    Distinct values are counted and dealt into ranges between approximate quantiles, ranges are summed, and only within
+    a range are values ordered: no window holds all rows, wherever the values lie.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    span = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))  # one row
-    share = F.coalesce(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
-    placed = counts.join(F.broadcast(span), how="cross").withColumn("__b", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    cuts = counts.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("__cuts"))  # one row
+    placed = counts.join(F.broadcast(cuts), how="cross").withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     sums = placed.groupBy("__b").agg(F.sum("__n").alias("__s"))
     before = F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")
     bases = sums.select("__b", before.alias("__base"))  # at most `buckets` rows
-    inside = F.sum("__n").over(Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-    ranks = placed.join(F.broadcast(bases), "__b").select("__v", (F.col("__base") + inside + (F.col("__n") + 1) / 2).alias(rank))
-    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
+    inside = F.sum("__n").over(Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    return placed.join(F.broadcast(bases), "__b").select(value, (F.col("__base") + inside + (F.col("__n") + 1) / 2).alias(rank))
+
+
+def with_global_rank(df: DataFrame, value: str, rank: str, buckets: int = 256) -> DataFrame:
+    """df with the average rank of value among all rows; null values have none."""
+    return df.join(value_ranks(df, value, rank, buckets), value, "left").select(*df.columns, rank)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho, p): rank correlation of the rows where both are known, p from Student's law with n - 2."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("__x"), F.col(y).alias("__y"))
-    ranked = with_global_rank(with_global_rank(both, "__x", "__rx"), "__y", "__ry")
+    ranked = both.join(value_ranks(both, "__x", "__rx"), "__x").join(value_ranks(both, "__y", "__ry"), "__y")
     out = ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho"))
     t = F.col("rho") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("rho") * F.col("rho")))
     p = F.when(F.abs("rho") >= 1, 0.0).otherwise(t_column(F.coalesce(t, F.lit(float("nan"))), (F.col("n") - 2).cast("double")))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import z_score
 from ..schema import ACTIVE_MARKS
+from ..sources.scratch import written
 from .intervals import bins
 
+# Names of contrasts and the lymphoid tissues.
 CONTRAST_NAMES = ("background", "signal", "immune", "tumor")
 LYMPHOID = ("Tcell", "CD8", "NK")
 
@@ -80,8 +82,12 @@ def contrasts(tracks: DataFrame) -> DataFrame:
 
 
 def build_atlas(peaks: DataFrame, grid: DataFrame, width: int, method: str = "zmean", weighted: bool = False) -> DataFrame:
-    """(tissue, track, bin_key, value): all tracks and contrasts of replicate peaks(tissue, assay, replicate, chrom, start, end, signal)."""
-    tracks = tissue_tracks(aggregate_replicates(peaks_to_coverage(peaks, grid, width, weighted), method))
+    """(tissue, track, bin_key, value): all tracks and contrasts of replicate peaks(tissue, assay, replicate, chrom, start, end, signal).
+
+    The values by assay and the tracks are written, as contrasts refer to them many times.
+    """
+    assays = written(aggregate_replicates(peaks_to_coverage(peaks, grid, width, weighted), method), "assays")
+    tracks = written(tissue_tracks(assays), "tracks")
     return tracks.drop("n").unionByName(contrasts(tracks))
 
 
@@ -91,6 +97,33 @@ def wide_atlas(atlas: DataFrame, grid: DataFrame, columns: list[str]) -> DataFra
     return grid.join(named.groupBy("bin_key").pivot("name", columns).agg(F.first("value")), "bin_key", "left")
 
 
-def panel_from_catalog(catalog: DataFrame, key) -> DataFrame:
-    """(group, assay, accessions) of catalog(group, file_accession, ...): replicates by group and assay; key is assay_key's column."""
+def panel_from_catalog(catalog: DataFrame, key, groups: tuple[str, ...] | None = None) -> DataFrame:
+    """(group, assay, accessions) of catalog(group, file_accession, ...): replicates by group and assay; key is assay_key's column.
+
+    groups keeps these groups only.
+    """
+    catalog = catalog if groups is None else catalog.where(F.col("group").isin(*groups))
     return catalog.where("group is not null").withColumn("assay", key).where("assay is not null").groupBy("group", "assay").agg(F.array_sort(F.collect_list("file_accession")).alias("accessions"))
+
+
+def tissue_columns(columns: list[str], prefix: str) -> list[str]:
+    """The columns of a wide atlas that hold a tissue's track: by prefix, without contrasts."""
+    named = [c for c in columns if c.startswith(f"{prefix}_")]
+    return [c for c in named if not c.endswith("_specific") and c.removeprefix(f"{prefix}_") not in CONTRAST_NAMES]
+
+
+def long_atlas(wide: DataFrame, prefix: str) -> DataFrame:
+    """(bin_key, tissue, track, value) of a wide atlas(key, ..., prefix_tissue columns).
+
+    Of rows with the same key the last one counts, by the table's order, which a file that Spark reads keeps.
+    """
+    names = tissue_columns(wide.columns, prefix)
+    entry = lambda c: F.struct(F.lit(c.removeprefix(f"{prefix}_")).alias("tissue"), F.col(f"`{c}`").cast("double").alias("value"))
+    rows = wide.withColumn("__i", F.monotonically_increasing_id()).select(F.col("key").alias("bin_key"), "__i", F.array(*map(entry, names)).alias("x"))
+    last = rows.groupBy("bin_key").agg(F.max_by("x", "__i").alias("x"))
+    return last.select("bin_key", F.explode("x").alias("v")).select("bin_key", "v.tissue", F.lit(prefix).alias("track"), "v.value")
+
+
+def describe_catalog(catalog: DataFrame) -> DataFrame:
+    """(modality, group, n_files, n_experiments) of catalog(modality, group, file_accession, experiment); a null group is what no pattern fits."""
+    return catalog.groupBy("modality", "group").agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("experiment").alias("n_experiments"))

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import unit_hash
-from ..functions.stats import kolmogorov_column
+from ..functions.stats import fold_test_column, kolmogorov_column
+from ..sources.scratch import written
+from .annotate import annotate_regions
+from .marks import track_coverage
+from .nulls import sample_matched, sample_sets
 
 COVERAGE_PSEUDO = 1e-4
 
@@ -16,27 +20,14 @@ def label_enrichment(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
 
     (keys, label, query_frac, null_frac, log2_fold, null_lo, null_hi, p, n_query, n_null). Labels of nq regions drawn
     from the background with replacement are binomial, so the two-sided p of |log2 fold| and the 95 % range of the
-    background's own log2 fold are exact sums over 0..nq rather than draws. Without queries or background they are null.
+    background's own log2 fold are exact tails of that law rather than draws. Without queries or background they are null.
     """
     nq, nb = F.col("nq").cast("double"), F.col("nb").cast("double")
     eps = F.lit(0.5) / F.greatest(nq, F.lit(1.0))
     base = counts.withColumns({"query_frac": F.try_divide("q", nq), "null_frac": F.try_divide("b", nb), "eps": eps})
     base = base.withColumn("log2_fold", F.log2((F.col("query_frac") + F.col("eps")) / (F.col("null_frac") + F.col("eps"))))
-    by = [*keys, "label"]
-    steps = base.where("nq > 0 and nb > 0").withColumn("k", F.explode(F.expr("sequence(0L, cast(nq as bigint))")))
-    order = Window.partitionBy(*by).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    choose = F.sum(F.when(F.col("k") > 0, F.log((F.col("nq") - F.col("k") + 1) / F.col("k"))).otherwise(0.0)).over(order)
-    log_or = lambda n, p: F.when(n == 0, 0.0).when(p <= 0, float("-inf")).otherwise(n * F.log(F.greatest(p, F.lit(1e-300))))
-    mass = F.exp(choose + log_or(F.col("k"), F.col("null_frac")) + log_or(F.col("nq") - F.col("k"), 1 - F.col("null_frac")))
-    fold = F.log2((F.col("k") / nq + F.col("eps")) / (F.col("null_frac") + F.col("eps")))
-    law = steps.withColumns({"mass": mass, "fold": fold}).withColumn("below", F.sum("mass").over(order))
-    tests = law.groupBy(*by).agg(
-        F.least(F.sum(F.when(F.abs("fold") >= F.abs("log2_fold") - 1e-12, F.col("mass")).otherwise(0.0)), F.lit(1.0)).alias("p"),
-        F.min(F.when(F.col("below") >= 0.025 - 1e-12, F.col("fold"))).alias("null_lo"),
-        F.min(F.when(F.col("below") >= 0.975 - 1e-12, F.col("fold"))).alias("null_hi"),
-    )
-    out = base.join(tests, by, "left")
-    return out.select(*by, "query_frac", "null_frac", "log2_fold", "null_lo", "null_hi", "p", F.col("nq").alias("n_query"), F.col("nb").alias("n_null"))
+    out = base.withColumn("t", fold_test_column(F.col("nq").cast("long"), "null_frac", "eps", "log2_fold"))
+    return out.select(*keys, "label", "query_frac", "null_frac", "log2_fold", "t.null_lo", "t.null_hi", "t.p", F.col("nq").alias("n_query"), F.col("nb").alias("n_null"))
 
 
 def label_counts(query: DataFrame, null: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -58,7 +49,7 @@ def coverage_enrichment(query: DataFrame, null: DataFrame, n_boot: int = 1000, s
     q = query.groupBy("assay").agg(F.avg("coverage").alias("query_mean"), F.count(F.lit(1)).alias("n_query"))
     n = null.groupBy("assay").agg(F.avg("coverage").alias("null_mean"), F.count(F.lit(1)).alias("n_null"))
     sizes = q.join(n, "assay", "left")
-    numbered = null.select("assay", "coverage", (F.row_number().over(Window.partitionBy("assay").orderBy("item")) - 1).alias("at"))
+    numbered = _numbered(null)
     draws = sizes.where("n_null > 0").select("assay", "n_query", "n_null", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
     draws = draws.withColumn("i", F.explode(F.expr("sequence(0L, n_query - 1)")))
     draws = draws.withColumn("at", F.floor(unit_hash(seed, F.col("assay"), F.col("b"), F.col("i")) * F.col("n_null")))
@@ -73,11 +64,62 @@ def coverage_enrichment(query: DataFrame, null: DataFrame, n_boot: int = 1000, s
     return sizes.withColumn("log2_fold", fold(F.col("query_mean"))).join(tests, "assay", "left").select("assay", "query_mean", "null_mean", "log2_fold", "null_lo", "null_hi", "p", "n_query", F.coalesce("n_null", F.lit(0)).alias("n_null"))
 
 
+def _numbered(null: DataFrame) -> DataFrame:
+    """(assay, coverage, at): numbers from 0 within each assay, in parts by a hash of the item, so that no assay is one task."""
+    keyed = null.select("assay", "item", "coverage", F.substring(F.md5(F.col("item").cast("string")), 1, 2).alias("part"))
+    counts = keyed.groupBy("assay", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("assay").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    bases = counts.select("assay", "part", before.alias("base"))  # 256 rows for each assay
+    inside = F.row_number().over(Window.partitionBy("assay", "part").orderBy("item", "coverage")) - 1
+    return keyed.withColumn("inside", inside).join(bases, ["assay", "part"]).select("assay", "coverage", (F.col("base") + F.col("inside")).alias("at"))
+
+
+def state_enrichment_test(
+    queries: DataFrame, segments: DataFrame, chunks: DataFrame, width: int, labels: DataFrame, active=(), keys: tuple[str, ...] = (), **matching
+) -> tuple[DataFrame, DataFrame]:
+    """(tests, meta): the dominant states of queries(keys, region_id, chrom, start, end) against matched background.
+
+    Each query gets background regions of its length and GC share (sample_matched, which takes **matching and returns
+    meta); both are annotated with segments, and label_enrichment tests the labels of labels(state, label), within keys.
+    """
+    null, meta = sample_matched(queries, chunks, width, **matching)
+    known = queries.select("region_id", *keys)
+    background = null.join(known, "region_id").withColumn("region_id", F.struct("region_id", "draw"))
+    dominant = lambda rows: annotate_regions(rows, segments, active).select("region_id", "dominant_state").join(rows.select("region_id", *keys), "region_id")
+    return label_enrichment(label_counts(dominant(queries), dominant(background), labels, keys), keys), meta
+
+
+def track_enrichment_test(queries: DataFrame, peaks: DataFrame, tracks: DataFrame, chunks: DataFrame, width: int, n_boot: int = 1000, seed: int = 0, **matching) -> tuple[DataFrame, DataFrame]:
+    """(tests, meta): coverage of queries(region_id, chrom, start, end) by one tissue's marks, or by its open chromatin, against matched background.
+
+    tracks(tissue, assay) names the tracks to test, of one tissue; meta is sample_matched's.
+    """
+    null, meta = sample_matched(queries, chunks, width, seed=seed, **matching)
+    background = null.withColumn("region_id", F.struct("region_id", "draw"))
+    covered = lambda rows: track_coverage(rows, peaks, tracks).select("assay", F.col("region_id").alias("item"), "coverage")
+    return coverage_enrichment(covered(queries), covered(background), n_boot, seed), meta
+
+
+def calibration_run(
+    segments: DataFrame, chunks: DataFrame, width: int, labels: DataFrame, n_sets: int = 100, set_size: int = 50, region_length: int = 50_000, n_per: int = 50, seed: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """(summary, tests): state_enrichment_test of n_sets sets of random regions, all sets in one job, and how far their p are from uniform."""
+    sets = written(sample_sets(chunks, width, n_sets, set_size, region_length, seed=seed), "sets")
+    tests, _ = state_enrichment_test(sets, segments, chunks, width, labels, keys=("set_id",), n_per=n_per, seed=seed + 1)
+    tests = written(tests, "tests")
+    return calibration_summary(tests.select("label", "p")), tests
+
+
 def calibration_summary(tests: DataFrame, alpha: float = 0.05, least: int = 5) -> DataFrame:
     """(label, n, fpr, mean_p, ks_d, ks_p) of tests(label, p): how far p is from uniform; labels with few p are left out."""
-    known = tests.where(F.col("p").isNotNull() & ~F.isnan("p"))
-    w = Window.partitionBy("label")
-    ranked = known.withColumns({"i": F.row_number().over(w.orderBy("p")), "n": F.count(F.lit(1)).over(w)})
-    gap = F.greatest(F.col("i") / F.col("n") - F.col("p"), F.col("p") - (F.col("i") - 1) / F.col("n"))
-    out = ranked.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") < alpha).cast("double")).alias("fpr"), F.avg("p").alias("mean_p"), F.max(gap).alias("ks_d"))
+    known = tests.where(F.col("p").isNotNull() & ~F.isnan("p")).groupBy("label", "p").agg(F.count(F.lit(1)).alias("c"))
+    placed = known.withColumn("part", F.least(F.floor(F.col("p") * 1024), F.lit(1023)).cast("int"))  # values in ranges, so that no label is one task
+    sums = placed.groupBy("label", "part").agg(F.sum("c").alias("s"))
+    to_here = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    bases = sums.select("label", "part", (F.sum("s").over(to_here) - F.col("s")).alias("base"), F.sum("s").over(Window.partitionBy("label")).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy("label", "part").orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.withColumn("inside", inside).join(bases, ["label", "part"]).withColumn("i", F.col("base") + F.col("inside"))
+    gap = F.greatest(F.col("i") / F.col("n") - F.col("p"), F.col("p") - (F.col("i") - F.col("c")) / F.col("n"))
+    mean = lambda x: F.sum(x * F.col("c")) / F.sum("c")
+    out = ranked.groupBy("label").agg(F.sum("c").alias("n"), mean((F.col("p") < alpha).cast("double")).alias("fpr"), mean(F.col("p")).alias("mean_p"), F.max(gap).alias("ks_d"))
     return out.where(F.col("n") >= least).withColumn("ks_p", kolmogorov_column("ks_d", "n"))

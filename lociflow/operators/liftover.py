@@ -6,9 +6,11 @@ where it begins in the new one; on the minus strand to_start counts from the end
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.readers import read_bed_rest
+from ..sources.writers import write_bed
 from .intervals import point_join
 
 STATUSES = ("mapped", "unmapped", "diff_chrom", "degenerate", "round_trip")
@@ -80,3 +82,10 @@ def lift_counts(status: DataFrame) -> DataFrame:
     n, count = F.count(F.lit(1)), lambda s: F.count_if(F.col("status") == s)
     rate = F.coalesce(F.try_divide(count("mapped").cast("double"), n), F.lit(0.0))
     return status.agg(n.alias("n_in"), count("mapped").alias("n_mapped"), rate.alias("mapping_rate"), *(count(s).alias(f"dropped_{s}") for s in STATUSES[1:]))
+
+
+def lift_bed_file(spark: SparkSession, path: str, out: str, blocks: DataFrame, round_trip: bool = False, compressed: bool = True, **options) -> DataFrame:
+    """Lifts a BED file to another, further columns as they are, and returns the row of quality counts."""
+    lifted, counts = lift_regions(read_bed_rest(spark, path), blocks, round_trip=round_trip, **options)
+    write_bed(lifted, out, compressed)
+    return counts

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ACTIVE_MARKS, MARKS, REPRESSIVE_MARKS
-from .intervals import overlap_join, union_coverage
+from .intervals import disjoint, overlap_join, union_coverage
 
 
 def track_coverage(regions: DataFrame, peaks: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -43,3 +43,40 @@ def mean_coverage(coverage: DataFrame) -> DataFrame:
 def activity(coverage: DataFrame, marks: tuple[str, ...] = ACTIVE_MARKS) -> DataFrame:
     """(region_id, tissue, activity): mean coverage of the active marks, a missing one counting as 0."""
     return coverage.groupBy("region_id", "tissue").agg((F.coalesce(F.sum(F.when(F.col("assay").isin(*marks), F.col("coverage"))), F.lit(0.0)) / len(marks)).alias("activity"))
+
+
+def track_means(regions: DataFrame, peaks: DataFrame, tracks: DataFrame) -> DataFrame:
+    """What mean_coverage gives of track_coverage(regions, peaks, tracks), without a row for each region and track.
+
+    Covered shares are summed by track as overlaps are found; regions without overlap only count.
+    """
+    pieces = disjoint(peaks.select("tissue", "assay", "chrom", "start", "end"), ["tissue", "assay"])
+    pairs = overlap_join(regions.select("chrom", "start", "end"), pieces)
+    sums = pairs.groupBy("tissue", "assay").agg(F.sum(F.col("overlap_bp") / (F.col("end") - F.col("start"))).alias("s"))
+    n = regions.agg(F.count(F.lit(1)).alias("n"))  # one row
+    every = tracks.join(sums, ["tissue", "assay"], "left").join(F.broadcast(n), how="cross")
+    return every.where("n > 0").select("tissue", "assay", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("coverage"))
+
+
+def track_activity(regions: DataFrame, peaks: DataFrame, tracks: DataFrame, marks: tuple[str, ...] = ACTIVE_MARKS) -> DataFrame:
+    """What activity gives of track_coverage(regions, peaks, tracks): (region_id, tissue, activity).
+
+    Only peaks of these marks are read; a region's sums, a column for each tissue and mark, come from one shuffle, and
+    the regions are joined once. tracks is the small list of tracks to report.
+    """
+    listed = sorted({(r["tissue"], r["assay"]) for r in tracks.select("tissue", "assay").collect()})
+    tissues = sorted({t for t, _ in listed})
+    used = [(t, m) for t, m in listed if m in marks]
+    pieces = disjoint(peaks.where(F.col("assay").isin(*marks)).select("tissue", "assay", "chrom", "start", "end"), ["tissue", "assay"])
+    pairs = overlap_join(regions.select("region_id", "chrom", "start", "end"), pieces)
+    own = lambda t, m: F.sum(F.when((F.col("tissue") == t) & (F.col("assay") == m), F.col("overlap_bp")))
+    out = regions.select("region_id", (F.col("end") - F.col("start")).alias("length"))
+    if used:
+        out = out.join(pairs.groupBy("region_id").agg(*(own(t, m).alias(f"__{i}") for i, (t, m) in enumerate(used))), "region_id", "left")
+
+    def share(tissue: str):
+        total = sum((F.coalesce(F.col(f"__{i}"), F.lit(0)) / F.col("length") for i, (t, _) in enumerate(used) if t == tissue), F.lit(0.0))
+        return F.when(F.col("length") > 0, total / len(marks)).otherwise(0.0)
+
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("tissue"), share(t).alias("activity")) for t in tissues)))
+    return out.select("region_id", each.alias("x")).select("region_id", "x.tissue", "x.activity")

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import unit_hash
+from ..sources.scratch import written
+
+PLACES = 4096
+#: Where waves of tries end; the last one goes to the end.
+WAVES = (8, 40)
 
 
 def letter_count(seq: Column, letters: str) -> Column:
@@ -15,12 +20,14 @@ def letter_count(seq: Column, letters: str) -> Column:
 def genome_chunks(pieces: DataFrame, width: int) -> DataFrame:
     """(chrom, chunk, seq, n, gc, nn, cum_gc, cum_nn) of pieces(chrom, chunk, seq): chunks of `width` bases in order.
 
-    cum_gc and cum_nn count G or C, and N, before the chunk. Case doesn't matter; other letters count as neither.
+    cum_gc and cum_nn count G or C, and N, before the chunk; they are summed over counts alone, without the sequences.
+    Case doesn't matter; other letters count as neither.
     """
-    counted = pieces.select("chrom", "chunk", "seq", F.length("seq").alias("n"), letter_count(F.col("seq"), "GCgc").alias("gc"), letter_count(F.col("seq"), "Nn").alias("nn"))
+    counted = pieces.select("chrom", "chunk", F.length("seq").alias("n"), letter_count(F.col("seq"), "GCgc").alias("gc"), letter_count(F.col("seq"), "Nn").alias("nn"))
     before = Window.partitionBy("chrom").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    return counted.withColumns({"cum_gc": total("gc"), "cum_nn": total("nn"), "width": F.lit(width)})
+    sums = counted.withColumns({"cum_gc": total("gc"), "cum_nn": total("nn"), "width": F.lit(width)})
+    return pieces.select("chrom", "chunk", "seq").join(sums, ["chrom", "chunk"])
 
 
 def chromosome_lengths(chunks: DataFrame) -> DataFrame:
@@ -33,7 +40,7 @@ def region_content(regions: DataFrame, chunks: DataFrame, width: int) -> DataFra
     Counts come from the sums before the two chunks that hold the ends, so a region costs two equi-joins whatever its
     length. gc is the share of G or C among bases other than N, null if there are none; an empty region has nfrac 1.
     """
-    sized = regions.join(F.broadcast(chromosome_lengths(chunks)), "chrom", "left")  # a row for each chromosome
+    sized = regions.join(chromosome_lengths(chunks), "chrom", "left")
     cut = sized.withColumns({"__a": F.greatest("start", F.lit(0)), "__b": F.least("end", F.coalesce("size", F.lit(0)))})
     at = chunks.select("chrom", "chunk", "seq", "cum_gc", "cum_nn")
     for side in ("a", "b"):
@@ -49,49 +56,61 @@ def region_content(regions: DataFrame, chunks: DataFrame, width: int) -> DataFra
     return cut.select(*regions.columns, known.alias("gc"), F.when(some, nn / length).otherwise(1.0).alias("nfrac"), length.cast("long").alias("length"))
 
 
-def _placed(tries: DataFrame, sizes: list[tuple[str, int]], seed: int, names: list[str]) -> DataFrame:
+def chromosome_places(chunks: DataFrame) -> tuple[DataFrame, int, int]:
+    """(places, total, step): where each chromosome lies on one line of `total` bases, a row for each stretch of `step` bases that it touches.
+
+    places is (chrom, size, begin, cell). Chromosomes are put in parts, which are summed first, so that any number of
+    them is fine; there are at most twice as many rows as chromosomes and PLACES together.
+    """
+    sizes = chromosome_lengths(chunks).withColumn("part", F.substring(F.md5("chrom"), 1, 2))
+    sums = sizes.groupBy("part").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+    known = sums.agg(F.sum("s").alias("total"), F.sum("n").alias("n")).first()
+    total, step = known["total"] or 0, 1
+    if total:
+        step = max(1, -(-total // max(PLACES, known["n"])))
+    bases = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # 256 rows
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lined = sizes.withColumn("inside", inside).join(bases, "part").select("chrom", "size", (F.col("base") + F.col("inside")).alias("begin")).where("size > 0")
+    return written(lined.withColumn("cell", F.explode(F.expr(f"sequence(begin div {step}L, (begin + size - 1) div {step}L)"))), "places"), total, step
+
+
+def _placed(tries: DataFrame, places: tuple[DataFrame, int, int], seed: int, names: list[str]) -> DataFrame:
     """tries(length, names...) with a chromosome drawn by length and a start within it; those that don't fit go."""
-    total, steps, at = sum(n for _, n in sizes), [], 0
-    for _, n in sizes:
-        at += n
-        steps.append(at)
-    u = F.floor(unit_hash(seed, "chrom", *map(F.col, names)) * total)
-    k = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= u))
-    drawn = tries.withColumn("__k", k).withColumn("chrom", F.element_at(F.array(*(F.lit(c) for c, _ in sizes)), F.col("__k") + 1))
-    drawn = drawn.withColumn("__size", F.element_at(F.array(*(F.lit(n).cast("long") for _, n in sizes)), F.col("__k") + 1)).where("__size > length")
-    start = F.floor(unit_hash(seed, "start", *map(F.col, names)) * (F.col("__size") - F.col("length"))).cast("long")
-    return drawn.withColumn("start", start).withColumn("end", F.col("start") + F.col("length")).drop("__k", "__size")
+    line, total, step = places
+    at = F.floor(unit_hash(seed, "chrom", *map(F.col, names)) * total)
+    drawn = tries.withColumn("__at", at).withColumn("cell", F.expr(f"__at div {step}L"))
+    known = drawn.join(line, "cell").where("begin <= __at and __at < begin + size and size > length")
+    start = F.floor(unit_hash(seed, "start", *map(F.col, names)) * (F.col("size") - F.col("length"))).cast("long")
+    return known.withColumn("start", start).withColumn("end", F.col("start") + F.col("length")).drop("__at", "cell", "begin", "size")
 
 
 def sample_matched(
-    queries: DataFrame, chunks: DataFrame, width: int, n_per: int = 100, max_nfrac: float = 0.10, gc_tol: float = 0.02, seed: int = 0, tries: int = 200, first_wave: int = 8
+    queries: DataFrame, chunks: DataFrame, width: int, n_per: int = 100, max_nfrac: float = 0.10, gc_tol: float = 0.02, seed: int = 0, tries: int = 200
 ) -> tuple[DataFrame, DataFrame]:
     """(null, meta): for each of queries(region_id, chrom, start, end) up to n_per random regions of its length.
 
     null has (region_id, draw, chrom, start, end): the first of `tries` random places with N share at most max_nfrac
     and GC share within gc_tol of the query's. Chromosomes are drawn by length. Random numbers are hashes of seed,
-    query, draw and try, so the result doesn't depend on order. Most draws succeed in the first wave of tries; only the
-    rest are tried further. meta has (region_id, gc, length, matched, reason); a query without GC share has no null.
+    query, draw and try, so the result doesn't depend on order. Tries go in WAVES, each for the draws that are still
+    without a place. meta has (region_id, gc, length, matched, reason); a query without GC share has no null.
     """
-    sizes = sorted((r["chrom"], r["size"]) for r in chromosome_lengths(chunks).limit(100_001).collect())
-    if len(sizes) > 100_000:
-        raise ValueError("more than 100,000 chromosomes")
-    asked = region_content(queries.select("region_id", "chrom", "start", "end"), chunks, width)
+    places = chromosome_places(chunks)
+    asked = written(region_content(queries.select("region_id", "chrom", "start", "end"), chunks, width), "asked")
     fit = asked.where("gc is not null and length > 0").select("region_id", F.col("gc").alias("q_gc"), "length")
-    draws = fit.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_per - 1))))
+    open_ = fit.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_per - 1))))
 
     def wave(some: DataFrame, first: int, last: int) -> DataFrame:
         each = some.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
-        seen = region_content(_placed(each.withColumnRenamed("length", "q_length").withColumn("length", F.col("q_length")), sizes, seed, ["region_id", "draw", "try"]).drop("length"), chunks, width)
+        seen = region_content(_placed(each, places, seed, ["region_id", "draw", "try"]).drop("length"), chunks, width)
         good = seen.where(F.col("gc").between(F.col("q_gc") - gc_tol, F.col("q_gc") + gc_tol) & (F.col("nfrac") <= max_nfrac))
         return good.groupBy("region_id", "draw").agg(F.min_by(F.struct("chrom", "start", "end"), "try").alias("r")).select("region_id", "draw", "r.*")
 
-    if not sizes:
-        null = draws.select("region_id", "draw", F.lit("").alias("chrom"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).limit(0)
-    else:
-        null = wave(draws, 0, min(first_wave, tries))
-        if tries > first_wave:
-            null = null.unionByName(wave(draws.join(null.select("region_id", "draw"), ["region_id", "draw"], "left_anti"), first_wave, tries))
+    null = None
+    for first, last in zip((0, *WAVES), (*WAVES, tries), strict=True):
+        if first < min(last, tries):
+            found = written(wave(open_, first, min(last, tries)), "null")
+            open_ = open_.join(found.select("region_id", "draw"), ["region_id", "draw"], "left_anti")
+            null = found if null is None else null.unionByName(found)
     got = null.groupBy("region_id").agg(F.count(F.lit(1)).alias("matched"))
     reason = F.when(F.col("gc").isNull() | (F.col("length") <= 0), "query undefined GC")
     meta = asked.join(got, "region_id", "left").select("region_id", "gc", "length", F.coalesce("matched", F.lit(0)).alias("matched"), reason.alias("reason"))
@@ -100,10 +119,8 @@ def sample_matched(
 
 def sample_sets(chunks: DataFrame, width: int, n_sets: int, set_size: int, length: int, max_nfrac: float = 0.10, seed: int = 0, tries: int = 50) -> DataFrame:
     """(set_id, region_id, chrom, start, end): n_sets sets of up to set_size random regions with N share at most max_nfrac."""
-    spark = chunks.sparkSession
-    sizes = sorted((r["chrom"], r["size"]) for r in chromosome_lengths(chunks).limit(100_001).collect())
-    slots = spark.range(n_sets).select(F.col("id").alias("set_id"), F.explode(F.sequence(F.lit(0), F.lit(set_size - 1))).alias("slot"))
+    slots = chunks.sparkSession.range(n_sets).select(F.col("id").alias("set_id"), F.explode(F.sequence(F.lit(0), F.lit(set_size - 1))).alias("slot"))
     each = slots.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("length", F.lit(length).cast("long"))
-    seen = region_content(_placed(each, sizes, seed, ["set_id", "slot", "try"]).drop("length"), chunks, width)
+    seen = region_content(_placed(each, chromosome_places(chunks), seed, ["set_id", "slot", "try"]).drop("length"), chunks, width)
     first = seen.where((F.col("nfrac") <= max_nfrac) & F.col("gc").isNotNull()).groupBy("set_id", "slot").agg(F.min_by(F.struct("chrom", "start", "end"), "try").alias("r"))
     return first.select("set_id", (F.col("set_id") * set_size + F.col("slot")).alias("region_id"), "r.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import bin_part
 from ..functions.stats import mann_whitney_column, spearman
+from ..sources.scratch import written
 from .attribute import panel_tissues
 
 
@@ -83,6 +84,11 @@ def top_regions(ranked_bins: DataFrame, top_n: int | None = None, top_frac: floa
     return ranked_bins if top_n is None else ranked_bins.where(F.col("rank") <= top_n)
 
 
+def on_reference(ranked_bins: DataFrame, chroms: list[str] | tuple[str, ...]) -> DataFrame:
+    """The bins of a ranking on chromosomes that a reference has; ranks stay as they are."""
+    return ranked_bins.where(F.col("chrom").isin(*chroms))
+
+
 def compartment_activity(activity: DataFrame, roles: DataFrame) -> DataFrame:
     """(region_id, signal_activity, background_activity, signal_specific): mean activity of the signal tissues, and of background and inflammation."""
     named = activity.join(F.broadcast(panel_tissues(roles)), "tissue")
@@ -97,7 +103,7 @@ def compartment_importance(bins: DataFrame, activities: DataFrame, use_abs_direc
     bins(region_id, importance, direction); background_specific mirrors signal_specific.
     """
     score: Column = F.abs("direction") if use_abs_direction else F.col("importance")
-    joined = bins.join(activities, "region_id", "left").withColumn("score", score)
+    joined = written(bins.join(activities, "region_id", "left").withColumn("score", score), "scores")  # ranked three times
     targets = [spearman(joined, "score", t).select(F.lit(t).alias("target"), "n", "rho", "p") for t in ("signal_specific", "signal_activity", "background_activity")]
     mirror = targets[0].select(F.lit("background_specific").alias("target"), "n", (-F.col("rho")).alias("rho"), "p")
     return targets[0].unionByName(targets[1]).unionByName(targets[2]).unionByName(mirror)

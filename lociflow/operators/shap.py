@@ -12,6 +12,58 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import feature_key
 
+#: Features of one order that are predicted together.
+STEPS = 256
+# Parts of class and module names that tell the kind of a model.
+TREE_NAMES = ("xgboost", "lightgbm", "catboost", "forest", "tree", "gradientboost")
+LINEAR_MODULE, LINEAR_NAMES = "linear_model", ("lasso", "ridge", "elasticnet", "linearregression", "logisticregression")
+
+
+def explainer_kind(model) -> str:
+    """tree, linear or kernel, by the names of the model's class and module."""
+    module, name = type(model).__module__.lower(), type(model).__name__.lower()
+    if any(part in where for part in TREE_NAMES for where in (module, name)):
+        return "tree"
+    return "linear" if LINEAR_MODULE in module or name in LINEAR_NAMES else "kernel"
+
+
+def predictor(model) -> Callable[[np.ndarray], np.ndarray]:
+    """What a model is explained by: the second class's probability where it tells probabilities, else its prediction."""
+    if not hasattr(model, "predict_proba"):
+        return model.predict
+
+    def probability(x: np.ndarray) -> np.ndarray:
+        found = np.asarray(model.predict_proba(x))
+        return found[:, 1] if found.ndim == 2 else found
+
+    return probability
+
+
+def last_class(values: DataFrame) -> DataFrame:
+    """(sample_id, bin_key, value) of attributions with a class column: those of the last class."""
+    last = values.agg(F.max("class").alias("class"))  # one row
+    return values.join(F.broadcast(last), "class").select("sample_id", "bin_key", "value")
+
+
+def shap_of_model(matrix: DataFrame, model, bins: list[str], background: np.ndarray | None = None, kind: str = "auto", orders: int = 64, seed: int = 0) -> DataFrame:
+    """(sample_id, bin_key, value): attributions of a fitted model to bins, by the explainer for its kind.
+
+    A tree model has trees, a list of Tree; a linear one coef_, a weight for each bin, and is explained against the
+    background, or else the matrix; any other is sampled against the background, or else the means of the matrix.
+    """
+    kind = explainer_kind(model) if kind == "auto" else kind
+    if kind == "tree":
+        return forest_shap(wide_rows(matrix, bins), bins, model.trees)
+    spark = matrix.sparkSession
+    if kind == "linear":
+        weights = spark.createDataFrame([(b, float(w)) for b, w in zip(bins, np.ravel(model.coef_), strict=True)], "bin_key string, weight double")
+        rows = None if background is None else [(str(i), b, float(v)) for i, row in enumerate(background) for b, v in zip(bins, row, strict=True)]
+        return linear_shap(matrix, weights, None if rows is None else spark.createDataFrame(rows, "sample_id string, bin_key string, value double"))
+    if background is None:
+        means = {r["bin_key"]: r["m"] for r in matrix.where(F.col("bin_key").isin(*bins)).groupBy("bin_key").agg(F.avg("value").alias("m")).collect()}  # a row for each bin
+        background = np.array([[means[b] for b in bins]])
+    return sampled_shap(wide_rows(matrix, bins), bins, predictor(model), background, orders, seed)
+
 
 def linear_shap(matrix: DataFrame, weights: DataFrame, background: DataFrame | None = None) -> DataFrame:
     """(sample_id, bin_key, value): weight times deviation from the background's mean, exact for a linear model.
@@ -63,8 +115,8 @@ def genomic_importance(features: DataFrame) -> DataFrame:
 
 def wide_rows(matrix: DataFrame, bins: list[str]) -> DataFrame:
     """(sample_id, x): the values of each sample as an array in the order of bins, NaN where one is missing."""
-    order = F.create_map(*(y for i, b in enumerate(bins) for y in (F.lit(b), F.lit(i))))
-    rows = matrix.withColumn("i", order[F.col("bin_key")]).where("i is not null").groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
+    order = matrix.sparkSession.createDataFrame(list(enumerate(bins)), "i int, bin_key string")
+    rows = matrix.join(order, "bin_key").groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
     return rows.select("sample_id", F.transform(F.sequence(F.lit(0), F.lit(len(bins) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(float("nan")))).alias("x"))
 
 
@@ -72,7 +124,8 @@ def sampled_shap(rows: DataFrame, bins: list[str], predict: Callable[[np.ndarray
     """(sample_id, bin_key, value): Shapley values of any model, from random orders of the features and background rows.
 
     Orders come in reversed pairs. Values sum to the prediction less the mean prediction of the background rows that
-    were drawn. rows is as wide_rows returns it; background is a small sample.
+    were drawn. rows is as wide_rows returns it; background is a small sample. An order is predicted STEPS features at a
+    time, so memory grows with the number of bins, not with its square.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,10 +137,14 @@ def sampled_shap(rows: DataFrame, bins: list[str], predict: Callable[[np.ndarray
                 for _ in range(-(-orders // 2)):
                     order, base = rng.permutation(d), background[rng.integers(len(background))]
                     for way in (order, order[::-1]):
-                        steps = np.tile(base, (d + 1, 1))
-                        for k, j in enumerate(way):
-                            steps[k + 1 :, j] = x[j]
-                        phi[way] += np.diff(predict(steps))
+                        now = base.copy()
+                        for a in range(0, d, STEPS):
+                            part = way[a : a + STEPS]
+                            steps = np.tile(now, (len(part) + 1, 1))
+                            for k, j in enumerate(part):
+                                steps[k + 1 :, j] = x[j]
+                            phi[part] += np.diff(predict(steps))
+                            now = steps[-1]
                         runs += 1
                 yield pd.DataFrame({"sample_id": name, "bin_key": bins, "value": phi / runs})
 

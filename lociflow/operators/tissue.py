@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import coordinates_key, normal_key
+from ..functions.keys import coordinates_key, normal_key, unit_hash
+from ..sources.scratch import written
 
+# Names of key and importance columns, in order of preference.
 KEY_COLUMNS, IMPORTANCE_COLUMNS = ("key", "interval", "bin"), ("mean_abs_shap", "importance", "abs_shap", "shap", "mean_shap")
-#: Numbers in the matrix of bins and tissues, at most, that permutation broadcasts.
-MATRIX_LIMIT = 20_000_000
 
 
 def load_importance(table: DataFrame, importance_col: str | None = None, key_col: str | None = None) -> DataFrame:
@@ -70,31 +66,20 @@ def tissue_enrichment(spec: DataFrame, top: DataFrame) -> DataFrame:
 def permutation_p(spec: DataFrame, top: DataFrame, n_perm: int = 2000, seed: int = 0, plus_one: bool = False) -> DataFrame:
     """(topn, tissue, abs_p, spec_p): how often random bins lie as far from their mean as the top bins do.
 
-    The permutations are dealt over tasks; the matrix of bins and tissues goes to each, if its size allows.
+    A permutation orders the bins by a hash of seed, permutation and bin; its first k bins are the sample for a cut of k.
+    So permutations are rows like others, each ordered by itself, and the result is the same in every run.
     """
-    sizes = top.groupBy("topn").agg(F.max("k").alias("k")).orderBy("topn").collect()  # a row for each cut
-    shape = spec.agg(F.count_distinct("bin_key").alias("b"), F.count_distinct("tissue").alias("t")).first()
-    if shape["b"] * shape["t"] > MATRIX_LIMIT:
-        raise ValueError("the matrix of bins and tissues is too large to broadcast; use tissue_enrichment's closed form")
-    rows = spec.select("bin_key", "tissue", "value", "spec").toPandas()
-    mats = [rows.pivot(index="bin_key", columns="tissue", values=c).sort_index() for c in ("value", "spec")]
-    tissues, data = list(mats[0].columns), [m.to_numpy(float) for m in mats]
-    spark = spec.sparkSession
-    shipped = spark.sparkContext.broadcast(data)
-    ks = [(int(r["topn"]), int(r["k"])) for r in sizes]
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        value, special = shipped.value
-        for batch in batches:
-            for b in batch["id"]:
-                for topn, k in ks:
-                    pick = np.random.default_rng([seed, int(b), topn]).choice(len(value), k, replace=False)
-                    yield pd.DataFrame({"topn": topn, "tissue": tissues, "abs_null": np.nanmean(value[pick], 0), "spec_null": np.nanmean(special[pick], 0)})
-
-    null = spark.range(n_perm).mapInPandas(draw, "topn int, tissue string, abs_null double, spec_null double")
+    bins = spec.select("bin_key").distinct()
+    each = bins.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    order = Window.partitionBy("perm").orderBy(unit_hash(seed, F.col("perm"), F.col("bin_key")), "bin_key")
+    sizes = top.groupBy("topn").agg(F.max("k").alias("k"))  # a row for each cut
+    most = sizes.agg(F.max("k")).first()[0] or 0
+    drawn = each.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).join(F.broadcast(sizes), F.col("i") <= F.col("k"))
+    means = lambda df, *keys: df.join(spec, "bin_key").groupBy("topn", "tissue", *keys)
+    null = written(means(drawn, "perm").agg(F.avg("value").alias("abs_null"), F.avg("spec").alias("spec_null")), "permutations")
     mid = null.groupBy("topn", "tissue").agg(F.avg("abs_null").alias("abs_mu"), F.avg("spec_null").alias("spec_mu"))
-    seen = top.join(spec, "bin_key").groupBy("topn", "tissue").agg(F.avg("value").alias("abs_obs"), F.avg("spec").alias("spec_obs"))
-    both = null.join(F.broadcast(mid.join(seen, ["topn", "tissue"])), ["topn", "tissue"])
+    seen = means(top).agg(F.avg("value").alias("abs_obs"), F.avg("spec").alias("spec_obs"))
+    both = null.join(mid.join(seen, ["topn", "tissue"]), ["topn", "tissue"])
     far = lambda c: F.count_if(F.abs(F.col(f"{c}_null") - F.col(f"{c}_mu")) >= F.abs(F.col(f"{c}_obs") - F.col(f"{c}_mu")))
     p = (lambda c: (far(c) + 1) / (F.count(F.lit(1)) + 1)) if plus_one else (lambda c: far(c) / F.count(F.lit(1)))
     return both.groupBy("topn", "tissue").agg(p("abs").alias("abs_p"), p("spec").alias("spec_p"))

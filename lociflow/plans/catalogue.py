@@ -1,7 +1,7 @@
 """Queries by name over the driver's tables, each over its whole tables, and the equivalent DuckDB SQL.
 
-Numbers are rounded alike in both. Queries whose numbers DuckDB has no functions for (tails of laws, random draws,
-trees) have no SQL; small tests cover their operators.
+Numbers are rounded alike in both. Random numbers are md5 hashes, so that SQL repeats the draws; tails of laws are series
+and fractions in SQL. sampled_shap draws by numpy and has no SQL; queries of models that it explains exactly have.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..operators import annotate, atlas, attribute, enrich, liftover, marks, nul
 from ..operators.intervals import bin_grid
 from ..schema import ACTIVE_MARKS, MARKS, REPRESSIVE_MARKS, panel_roles
 from ..sources.readers import build_catalog, catalog_files
+from ..sources.scratch import written
 from . import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,20 @@ def r(value: str | Column, digits: int = 6) -> Column:
     return F.round(value, digits)
 
 
+def unit_sql(*parts: str) -> str:
+    """unit_hash in SQL."""
+    return f"(('0x' || substr(md5({" || '/' || ".join(parts)}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
+def erfc_sql(x: str) -> str:
+    """erfc for x >= 0: a series near 0, else Laplace's continued fraction."""
+    fraction = x
+    for k in range(80, 0, -1):
+        fraction = f"({x} + {k / 2}::DOUBLE / {fraction})"
+    series = f"list_sum([2.0::DOUBLE * exp(-{x} * {x} + n * ln(2.0) + (2 * n + 1) * ln({x} + 1e-300) - lgamma(n + 1.5) + lgamma(0.5) - (n + 1) * ln(2.0)) for n in range(80)]) / sqrt(pi())"
+    return f"CASE WHEN {x} < 2 THEN 1 - {series} ELSE exp(-{x} * {x}) / sqrt(pi()) / {fraction} END"
+
+
 # Chromatin states
 
 OVERLAPS = """ov AS (
@@ -150,7 +165,8 @@ def mark_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_ctes(*COVERAGE_PARTS, "SELECT tissue, assay, round(avg(coverage), 6) AS coverage FROM cov GROUP BY tissue, assay"))
 def mean_track_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marks.mean_coverage(coverage(spark, sf_dir)).select("tissue", "assay", r("coverage").alias("coverage"))
+    found = marks.track_means(A.regions(spark, sf_dir), A.peaks(spark, sf_dir), A.tracks(spark))
+    return found.select("tissue", "assay", r("coverage").alias("coverage"))
 
 
 FINGERPRINT_SQL = f"""SELECT region_id, tissue, round(avg(coverage) FILTER (WHERE assay IN {ACTIVE_MARKS}) - avg(coverage) FILTER (WHERE assay IN {REPRESSIVE_MARKS}), 6) AS active_minus_repressive,
@@ -164,7 +180,7 @@ def mark_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marks.activity(coverage(spark, sf_dir))
+    return marks.track_activity(A.regions(spark, sf_dir), A.peaks(spark, sf_dir), A.tracks(spark))
 
 
 ROLES_CTE = "rol(tissue, role, k) AS (VALUES " + ", ".join(f"('{t}', '{role}', {k})" for role, k in (("signal", 0), ("inflammation", 1), ("background", 2), ("control", 3)) for t in A.PANEL[role]) + ")"
@@ -237,23 +253,71 @@ def compartment_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compartment_importance_test(spark, sf_dir).select("target", "n", r("rho").alias("rho"))
 
 
-@query()
+T_TAIL = """tt AS (SELECT target, n, n - 2 AS nu, rho, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM rho),
+th AS (SELECT *, atan(t / sqrt(nu)) AS theta FROM tt),
+ser AS (
+  SELECT target, n, rho, CASE WHEN nu % 2 = 0
+    THEN sin(theta) * list_sum([exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1) + 2 * j * ln(cos(theta))) for j in range(nu // 2)])
+    ELSE 2 / pi() * (theta + sin(theta) * coalesce(list_sum([exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5) + (2 * j + 1) * ln(cos(theta))) for j in range((nu - 1) // 2)]), 0)) END AS inner_
+  FROM th
+)"""
+
+
+@query(
+    with_ctes(
+        *COVERAGE_PARTS, ROLES_CTE, ACTIVITY, COMPARTMENT,
+        """vals AS (
+          SELECT importance AS x, unnest(['signal_specific', 'signal_activity', 'background_activity']) AS target,
+                 unnest([round(signal_activity - background_activity, 6), round(signal_activity, 6), round(background_activity, 6)]) AS y FROM regs JOIN comp USING (region_id)
+        ), ranks AS (
+          SELECT target, rank() OVER (PARTITION BY target ORDER BY x) + (count(*) OVER (PARTITION BY target, x) - 1) / 2 AS rx,
+                 rank() OVER (PARTITION BY target ORDER BY y) + (count(*) OVER (PARTITION BY target, y) - 1) / 2 AS ry FROM vals
+        ), rho AS (SELECT target, count(*) AS n, corr(rx, ry) AS rho FROM ranks GROUP BY target)""",
+        T_TAIL,
+        """SELECT target, n, round(rho, 6) AS rho, round(1 - inner_, 6) AS p FROM ser
+           UNION ALL SELECT 'background_specific', n, round(-rho, 6), round(1 - inner_, 6) FROM ser WHERE target = 'signal_specific'""",
+    )
+)
 def compartment_importance_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = A.regions(spark, sf_dir).select("region_id", "importance", (F.col("importance") - 100_000).alias("direction"))
-    return selection.compartment_importance(bins, compartment_activity(spark, sf_dir))
+    found = selection.compartment_importance(bins, compartment_activity(spark, sf_dir))
+    return found.select("target", "n", r("rho").alias("rho"), r("p").alias("p"))
 
 
-@query()
+@query(
+    with_ctes(
+        *COVERAGE_PARTS,
+        """own AS (SELECT c.assay, c.region_id, c.coverage, r.priority = '1-URGENT' AS urgent FROM cov c JOIN regs r USING (region_id) WHERE c.tissue = 'placenta'),
+        sums AS (
+          SELECT assay, avg(coverage) FILTER (WHERE urgent) AS query_mean, count(*) FILTER (WHERE urgent) AS n_query, avg(coverage) FILTER (WHERE NOT urgent) AS null_mean,
+                 count(*) FILTER (WHERE NOT urgent) AS n_null FROM own GROUP BY assay
+        ), numbered AS (
+          SELECT assay, coverage, row_number() OVER (PARTITION BY assay ORDER BY substr(md5(region_id::VARCHAR), 1, 2), region_id) - 1 AS spot FROM own WHERE NOT urgent
+        )""",
+        f"""draws AS (
+          SELECT assay, b, floor({unit_sql("'0'", "assay", "b", "i")} * n_null)::BIGINT AS spot FROM sums, range(1000) x(b), range((SELECT max(n_query) FROM sums)) y(i) WHERE i < n_query
+        ), means AS (SELECT assay, b, avg(coverage) AS m FROM draws JOIN numbered USING (assay, spot) GROUP BY assay, b),
+        folds AS (
+          SELECT s.*, log2((m + 1e-4::DOUBLE) / (null_mean + 1e-4::DOUBLE)) AS fold, log2((query_mean + 1e-4::DOUBLE) / (null_mean + 1e-4::DOUBLE)) AS obs FROM means JOIN sums s USING (assay)
+        )""",
+        """SELECT assay, round(any_value(query_mean), 6) AS query_mean, round(any_value(null_mean), 6) AS null_mean, round(any_value(obs), 6) AS log2_fold, round(quantile_cont(fold, 0.025), 6) AS null_lo,
+                  round(quantile_cont(fold, 0.975), 6) AS null_hi, round((count(*) FILTER (WHERE abs(fold) >= abs(obs)) + 1) / 1001, 6) AS p, any_value(n_query) AS n_query, any_value(n_null) AS n_null
+           FROM folds GROUP BY assay""",
+    )
+)
 def coverage_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placenta's marks in urgent regions against all others, by resampling."""
-    found = coverage(spark, sf_dir).where("tissue = 'placenta'").join(A.regions(spark, sf_dir).select("region_id", "priority"), "region_id")
+    peaks, tracks = (df.where("tissue = 'placenta'") for df in (A.peaks(spark, sf_dir), A.tracks(spark)))
+    found = written(marks.track_coverage(A.regions(spark, sf_dir), peaks, tracks).join(A.regions(spark, sf_dir).select("region_id", "priority"), "region_id"), "coverage")
     part = lambda cond: found.where(cond).select("assay", F.col("region_id").alias("item"), "coverage")
-    return enrich.coverage_enrichment(part("priority = '1-URGENT'"), part("priority <> '1-URGENT'"))
+    out = enrich.coverage_enrichment(part("priority = '1-URGENT'"), part("priority <> '1-URGENT'"))
+    return out.select("assay", *(r(c).alias(c) for c in ("query_mean", "null_mean", "log2_fold", "null_lo", "null_hi", "p")), "n_query", "n_null")
 
 
 # Sequence content and matched background
 
-CHUNK = 1000
+#: Letters of a chunk; counting within one is what a lookup costs.
+CHUNK = 64
 
 
 @query(
@@ -270,22 +334,22 @@ def region_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("region_id", r("gc").alias("gc"), r("nfrac").alias("nfrac"), "length")
 
 
-@query()
-def matched_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many matched regions each query got."""
-    chunks = nulls.genome_chunks(A.sequences(spark, sf_dir, CHUNK), CHUNK)
-    return nulls.sample_matched(A.text_regions(spark, sf_dir), chunks, CHUNK)[1]
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(nulls.genome_chunks(A.sequences(spark, sf_dir, CHUNK), CHUNK), "chunks")
 
 
 @query(
     """WITH t AS (SELECT l_returnflag AS label, (l_orderkey * 7919 + l_linenumber * 104729) % 100003 / 100003 AS p FROM lineitem),
-k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p) AS i, count(*) OVER (PARTITION BY label) AS n FROM t)
-SELECT label, count(*) AS n, round(avg((p < 0.05)::INT), 6) AS fpr, round(avg(p), 6) AS mean_p, round(max(greatest(i / n - p, p - (i - 1) / n)), 6) AS ks_d FROM k GROUP BY label"""
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p) AS i, count(*) OVER (PARTITION BY label) AS n FROM t),
+s AS (SELECT label, count(*) AS n, avg((p < 0.05)::INT) AS fpr, avg(p) AS mean_p, max(greatest(i / n - p, p - (i - 1) / n)) AS d FROM k GROUP BY label),
+x AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS x FROM s)
+SELECT label, n, round(fpr, 6) AS fpr, round(mean_p, 6) AS mean_p, round(d, 6) AS ks_d,
+       round(CASE WHEN x > 0.2 THEN least(1, greatest(0, 2 * list_sum([(CASE j % 2 WHEN 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * x * x) for j in range(1, 101)]))) ELSE 1 END, 6) AS ks_p FROM x"""
 )
 def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = (F.col("l_orderkey") * 7919 + F.col("l_linenumber").cast("long") * 104729) % 100_003 / 100_003
     tests = A.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), p.alias("p"))
-    return enrich.calibration_summary(tests).select("label", "n", *(r(c).alias(c) for c in ("fpr", "mean_p", "ks_d")))
+    return enrich.calibration_summary(tests).select("label", "n", *(r(c).alias(c) for c in ("fpr", "mean_p", "ks_d", "ks_p")))
 
 
 # Ranking and model attribution
@@ -324,9 +388,24 @@ def differential_rank_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bin_key", "n1", "n2", "u", r("ties", 3).alias("ties"), r("direction").alias("direction"))
 
 
-@query()
+@query(
+    with_ctes(
+        A.MATRIX_SQL,
+        """t AS (SELECT bin_key, value, label, rank() OVER w + (count(*) OVER (PARTITION BY bin_key, value) - 1) / 2 AS rk, count(*) OVER (PARTITION BY bin_key, value) AS c
+          FROM mat WINDOW w AS (PARTITION BY bin_key ORDER BY value)),
+        u AS (
+          SELECT bin_key, count(*) FILTER (WHERE label = 'B')::DOUBLE AS m, count(*) FILTER (WHERE label = 'A')::DOUBLE AS n, sum(rk) FILTER (WHERE label = 'B') AS s, sum(c * c - 1)::DOUBLE AS ties,
+                 avg(value) FILTER (WHERE label = 'B') - avg(value) FILTER (WHERE label = 'A') AS direction FROM t GROUP BY bin_key
+        ), z AS (
+          SELECT *, greatest(s - m * (m + 1) / 2, m * n - s + m * (m + 1) / 2) AS high, m * n / 12 * (m + n + 1 - ties / ((m + n) * (m + n - 1))) AS var FROM u
+        ), y AS (SELECT *, (high - m * n / 2 - 0.5) / sqrt(var) / sqrt(2.0) AS x FROM z)""",
+        f"p AS (SELECT *, least(1.0, {erfc_sql('greatest(x, 0)')}) AS p FROM y)",
+        "SELECT bin_key, round(-log10(p), 5) AS importance, round(direction, 6) AS direction, round(p, 6) AS p, (row_number() OVER (ORDER BY p, regexp_extract(bin_key, '^chr\\w+'), bin_key))::INTEGER AS rank FROM p",
+    )
+)
 def rank_by_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.rank_by_differential(A.matrix(spark, sf_dir), A.sample_labels(spark, sf_dir))
+    found = selection.rank_by_differential(A.matrix(spark, sf_dir), A.sample_labels(spark, sf_dir))
+    return found.select("bin_key", r("importance", 5).alias("importance"), r("direction").alias("direction"), r("p").alias("p"), "rank")
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -368,6 +447,64 @@ def sampled_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.importance_by_shap(found)
 
 
+class ForestOfStumps:
+    """A stump for each of the first two bins, split at 0."""
+
+    def __init__(self):
+        self.trees = [shap.Tree([j, -1, -1], [0.0, 0, 0], [1, 0, 0], [2, 0, 0], [0, low, high], [4, 1, 3]) for j, low, high in ((0, -1.0, 2.0), (1, 0.5, 4.0))]
+
+
+class LinearRegression:
+    """Weights 1, 2, ... of the bins in order."""
+
+    def __init__(self, n: int):
+        import numpy as np
+
+        self.coef_ = np.arange(1.0, n + 1)
+
+
+class Odds:
+    """An additive model that tells two probabilities, the second of which is explained."""
+
+    def predict_proba(self, x):
+        import numpy as np
+
+        p = x @ np.arange(1.0, x.shape[1] + 1) / 1000
+        return np.stack([1 - p, p], 1)
+
+
+def _modelled(spark: SparkSession, sf_dir: str, model, **options) -> DataFrame:
+    names = [row["bin_key"] for row in A.matrix(spark, sf_dir).select("bin_key").distinct().orderBy("bin_key").collect()]  # 64 names
+    found = shap.shap_of_model(A.matrix(spark, sf_dir), model(len(names)), names, **options)
+    return found.select("sample_id", "bin_key", r("value").alias("value"))
+
+
+ORDERED = "ord AS (SELECT bin_key, row_number() OVER (ORDER BY bin_key) AS j, avg(value) AS m FROM mat GROUP BY bin_key)"
+
+
+@query(with_ctes(A.MATRIX_SQL, ORDERED, """SELECT sample_id, bin_key, round(CASE j WHEN 1 THEN CASE WHEN value <= 0 THEN -1 ELSE 2 END - (0.25 * -1 + 0.75 * 2)
+  WHEN 2 THEN CASE WHEN value <= 0 THEN 0.5 ELSE 4 END - (0.25 * 0.5 + 0.75 * 4) ELSE 0 END::DOUBLE, 6) AS value FROM mat JOIN ord USING (bin_key)"""))
+def shap_of_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modelled(spark, sf_dir, lambda n: ForestOfStumps())
+
+
+@query(with_ctes(A.MATRIX_SQL, ORDERED, "SELECT sample_id, bin_key, round(j * (value - m), 6) AS value FROM mat JOIN ord USING (bin_key)"))
+def shap_of_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modelled(spark, sf_dir, LinearRegression)
+
+
+@query(with_ctes(A.MATRIX_SQL, ORDERED, "SELECT sample_id, bin_key, round(j * (value - m) / 1000, 6) AS value FROM mat JOIN ord USING (bin_key)"))
+def shap_of_other_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled values of an additive model are exact."""
+    return _modelled(spark, sf_dir, lambda n: Odds())
+
+
+@query(with_ctes(A.MATRIX_SQL, "SELECT sample_id, bin_key, round(value * 2, 6) AS value FROM mat"))
+def shap_of_last_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = A.matrix(spark, sf_dir).withColumn("class", F.explode(F.array(*map(F.lit, range(3)))))
+    return shap.last_class(each.withColumn("value", r(F.col("value") * F.col("class"))))
+
+
 KEYS_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN '-' WHEN 1 THEN ':' ELSE '_' END AS sep, 'chr' || (1 + l_suppkey % 22) AS chrom, l_orderkey AS s, l_orderkey + 500 AS e FROM lineitem"""
 
 
@@ -484,7 +621,7 @@ def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     at = F.expr(f"start div {A.WIDTH} * {A.WIDTH}")
     name = F.concat_ws(":", "chrom", at.cast("string"), F.least(F.lit(A.SIZE), at + A.WIDTH).cast("string"))
     rows = A.peaks(spark, sf_dir, A.ATLAS_ASSAYS).groupBy(name.alias("bin")).agg(F.sum(F.round(F.col("signal") * 100).cast("long")).alias("importance"))
-    return tissue.specificity(composite), tissue.top_bins(tissue.load_importance(rows), bin_grid(A.sizes(spark), A.WIDTH), CUTS)
+    return written(tissue.specificity(composite), "specificity"), tissue.top_bins(tissue.load_importance(rows), bin_grid(A.sizes(spark), A.WIDTH), CUTS)
 
 
 @query(with_ctes(*SCORE_PARTS, "SELECT topn, tissue, round(abs_obs, 5) AS abs_obs, round(abs_z, 4) AS abs_z, round(spec_obs, 5) AS spec_obs, round(spec_z, 4) AS spec_z, round(proportion, 5) AS proportion, n_bins_used FROM enr"))
@@ -499,9 +636,22 @@ def tissue_plot_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tissue.plot_order(tissue.tissue_enrichment(*scored(spark, sf_dir)))
 
 
-@query()
+@query(
+    with_ctes(
+        *SCORE_PARTS,
+        f"""drawn AS (
+          SELECT perm, bin_key, row_number() OVER (PARTITION BY perm ORDER BY u, bin_key) AS i FROM (
+            SELECT perm, bin_key, {unit_sql("'0'", "perm", "bin_key")} AS u FROM (SELECT DISTINCT bin_key FROM spec), range(2000) x(perm)
+          ) QUALIFY i <= (SELECT max(k) FROM tops)
+        ), cut AS (SELECT DISTINCT topn, k FROM tops),
+        nul AS (SELECT topn, tissue, perm, avg(value) AS a, avg(spec) AS s FROM drawn JOIN cut ON i <= k JOIN spec USING (bin_key) GROUP BY topn, tissue, perm),
+        mid AS (SELECT topn, tissue, avg(a) AS am, avg(s) AS sm FROM nul GROUP BY topn, tissue)""",
+        """SELECT topn, tissue, round(avg((abs(a - am) >= abs(abs_obs - am))::INT), 6) AS abs_p, round(avg((abs(s - m.sm) >= abs(spec_obs - m.sm))::INT), 6) AS spec_p
+           FROM nul JOIN mid m USING (topn, tissue) JOIN seen USING (topn, tissue) GROUP BY topn, tissue""",
+    )
+)
 def tissue_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tissue.permutation_p(*scored(spark, sf_dir))
+    return tissue.permutation_p(*scored(spark, sf_dir)).select("topn", "tissue", r("abs_p").alias("abs_p"), r("spec_p").alias("spec_p"))
 
 
 # Crossing builds

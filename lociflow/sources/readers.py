@@ -6,9 +6,13 @@ to Parquet once.
 
 from __future__ import annotations
 
+import csv
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import tissue_group
 from ..schema import AUTOSOMES, STATES
 
 AUTOSOME_NAMES = tuple(f"chr{i}" for i in range(1, len(AUTOSOMES["hg38"]) + 1))
@@ -17,8 +21,8 @@ FILE_ACCESSION = "ENCFF[0-9A-Z]+"
 
 
 def fields(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(f, file): tab-separated fields of every line that isn't blank."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    """(f, file): tab-separated fields of every line that isn't blank, and the path of its file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     return lines.where(F.trim("value") != "").select(F.split("value", "\t").alias("f"), "file")
 
 
@@ -62,8 +66,9 @@ def read_panel(spark: SparkSession, folder: str, manifest: str, assay_col: str,
     paths = [f"{folder}/{r['file']}" for r in last.select("file").collect()]  # a row for each track
     if not paths:
         return spark.createDataFrame([], "tissue string, assay string, replicate string, chrom string, start long, end long, signal double")
-    named = last.select("tissue", "assay", F.substring_index("file", "/", -1).alias("file"))
-    return read_peaks(spark, paths, chroms).join(F.broadcast(named), "file").select("tissue", "assay", F.col("file").alias("replicate"), "chrom", "start", "end", "signal")
+    inside = F.substring_index("file", "/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)  # the path within the folder: names alone may repeat
+    found = read_peaks(spark, paths, chroms).withColumn("file", F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B"))))
+    return found.join(F.broadcast(last), "file").select("tissue", "assay", F.col("file").alias("replicate"), "chrom", "start", "end", "signal")
 
 
 def narrow_to_four(lines: DataFrame) -> DataFrame:
@@ -99,8 +104,8 @@ def read_replicates(spark: SparkSession, entries: DataFrame, reader=read_any_pea
     for r in entries.collect():
         try:
             parts.append(reader(spark, r["path"]).select(F.lit(r["tissue"]).alias("tissue"), F.lit(r["assay"]).alias("assay"), F.lit(r["path"]).alias("replicate"), "chrom", "start", "end", "signal"))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
     empty = spark.createDataFrame([], "tissue string, assay string, replicate string, chrom string, start long, end long, signal double")
     for p in parts:
@@ -128,16 +133,38 @@ def read_fasta(spark: SparkSession, path: str, chrom: str, width: int = 10_000)
     return whole.select(F.lit(chrom).alias("chrom"), "chunk", "seq")
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, bin_key, value) of a CSV with samples as rows and bins as named columns, however many."""
+def read_matrix(spark: SparkSession, path: str, samples_axis: int = 0) -> DataFrame:
+    """(sample_id, bin_key, value) of a CSV matrix, however wide: samples as rows and bins as named columns, or with samples_axis=1 the other way round.
+
+    Empty cells, NA and NaN are null; other text in a cell is an error. Names may be quoted.
+    """
     lines = spark.read.text(path)
     head = lines.first()
-    names = [x.strip().strip('"') for x in head["value"].split(",")][1:] if head else []
-    cells = F.split("value", ",")
-    rows = lines.where(F.col("value") != (head["value"] if head else "")).select(F.regexp_replace(cells[0], '"', "").alias("sample_id"), F.slice(cells, F.lit(2), F.lit(len(names))).alias("x"))
-    keyed = rows.select("sample_id", F.posexplode("x").alias("i", "v"))
-    order = spark.createDataFrame(list(enumerate(names)), "i int, bin_key string")
-    return keyed.join(order, "i").select("sample_id", "bin_key", F.expr("try_cast(v as double)").alias("value"))
+    names = next(csv.reader([head["value"]]))[1:] if head else []
+    rows = lines.where(F.col("value") != (head["value"] if head else "")).where("value <> ''")
+    quoted = F.regexp_extract("value", '^"((?:[^"]|"")*)",', 1)
+    name = F.when(F.col("value").startswith('"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.substring_index("value", ",", 1))
+    rest = F.regexp_replace("value", '^(?:"(?:[^"]|"")*"|[^,]*),', "")
+    keyed = rows.select(name.alias("row"), F.posexplode(F.split(rest, ",", -1)).alias("i", "v"))
+    order = spark.createDataFrame(list(enumerate(names)), "i int, column string")
+    text = F.trim(F.replace("v", F.lit('"'), F.lit("")))
+    value = F.when(~F.lower(text).isin("", "na", "nan", "null"), text.cast("double"))
+    first, second = ("sample_id", "bin_key") if samples_axis == 0 else ("bin_key", "sample_id")
+    return keyed.join(order, "i").select(F.col("row").alias(first), F.col("column").alias(second), value.alias("value")).select("sample_id", "bin_key", "value")
+
+
+def read_named_csv(spark: SparkSession, path: str, text: tuple[str, ...] = ("key", "chrom", "interval", "bin"), whole: tuple[str, ...] = ("start", "end")) -> DataFrame:
+    """A CSV with header whose columns are numbers, but for names and coordinates: wide atlases and tables of importance."""
+    head = spark.read.text(path).first()
+    names = next(csv.reader([head["value"]])) if head else []
+    kind = lambda n: "string" if n in text else "long" if n in whole else "double"
+    return spark.read.option("header", True).schema(", ".join(f"`{n}` {kind(n)}" for n in names)).csv(path)
+
+
+def read_coefficients(spark: SparkSession, path: str, schema: str = "pc string, b double") -> DataFrame:
+    """A model's coefficients, or loadings with another schema, from Parquet or JSON lines; models themselves aren't unpickled."""
+    reader = spark.read.schema(schema)
+    return reader.parquet(path) if path.rstrip("/").endswith(".parquet") else reader.json(path)
 
 
 def read_promoters(spark: SparkSession, path: str, flank: int = 2000) -> DataFrame:
@@ -152,9 +179,13 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).withColumn("i", F.monotonically_increasing_id()).where("trim(value) <> '' and not value like '#%'")
     f = F.split(F.trim("value"), "\\s+")
-    head = F.when(F.col("value").startswith("chain"), f)
-    by_file = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a chain file is small
-    tagged = lines.select("i", f.alias("f"), F.last(head, ignorenulls=True).over(by_file).alias("h"), F.last(F.when(F.col("value").startswith("chain"), F.col("i")), ignorenulls=True).over(by_file).alias("c"))
+    head = F.when(F.col("value").startswith("chain"), F.struct("i", f.alias("f")))
+    parted = lines.select("i", f.alias("f"), head.alias("head"), F.shiftright("i", 33).alias("part"))
+    ends = parted.groupBy("part").agg(F.max("head").alias("last"))  # a row for each part of the file
+    carried = ends.select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    inside = F.last("head", ignorenulls=True).over(Window.partitionBy("part").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    known = parted.withColumn("own", inside).join(carried, "part").withColumn("chain", F.coalesce("own", "earlier"))
+    tagged = known.select("i", "f", F.col("chain.f").alias("h"), F.col("chain.i").alias("c"))
     body = tagged.where("f[0] <> 'chain'").select("c", "i", "h", F.col("f")[0].cast("long").alias("n"), *(F.coalesce(F.try_element_at("f", F.lit(k)).cast("long"), F.lit(0)).alias(a) for k, a in ((2, "dt"), (3, "dq"))))
     before = Window.partitionBy("c").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     run = lambda gap: F.coalesce(F.sum(F.col("n") + F.col(gap)).over(before), F.lit(0))
@@ -211,3 +242,16 @@ def build_catalog(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def name_column(columns: list[str]) -> str | None:
+    """The column of a catalog that holds biosample names: the first whose name has biosample and name in it."""
+    return next((c for c in columns if "biosample" in c.lower() and "name" in c.lower()), None)
+
+
+def with_tissue_group(catalog: DataFrame, name_col: str | None = None) -> DataFrame:
+    """catalog with group, the tissue group of its biosample name."""
+    found = name_col or name_column(catalog.columns)
+    if found is None:
+        raise KeyError("no column of biosample names")
+    return catalog.withColumn("group", tissue_group(F.col(f"`{found}`")))

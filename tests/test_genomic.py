@@ -97,6 +97,66 @@ def test_sequence_content_and_matched_background(spark):
     assert null.exceptAll(nulls.sample_matched(regions(spark, ("chrT", 0, 200), ("chrT", 1900, 1950)), chunks, 64, n_per=10, gc_tol=0.05)[0]).count() == 0
 
 
+def test_sums_by_track_equal_the_dense_frame(spark):
+    r = np.random.default_rng(8)
+    some = regions(spark, *[(f"chr{r.integers(2)}", int(a), int(a + r.integers(0, 900))) for a in r.integers(0, 200_000, 80)], ("chr9", 0, 10))
+    rows = [(str(r.choice(["t", "u"])), str(r.choice(MARKS)), f"chr{r.integers(2)}", int(a), int(a + r.integers(-2, 4000)), 1.0) for a in r.integers(0, 200_000, 900)]
+    peaks, tracks = spark.createDataFrame(rows, PEAK), spark.createDataFrame([(t, m) for t in ("t", "u", "none") for m in MARKS], "tissue string, assay string")
+    dense = marks.track_coverage(some, peaks, tracks).cache()
+    key = lambda df, *by: {tuple(x[b] for b in by): pytest.approx(x[df.columns[-1]]) for x in df.collect()}
+    assert key(marks.track_activity(some, peaks, tracks), "region_id", "tissue") == key(marks.activity(dense), "region_id", "tissue")
+    assert key(marks.track_means(some, peaks, tracks), "tissue", "assay") == key(marks.mean_coverage(dense), "tissue", "assay")
+
+
+def test_any_number_of_chromosomes(spark):
+    """More chromosomes than an expression could list: each has its place, and no draw is lost."""
+    n = 100_002
+    chunks = nulls.genome_chunks(spark.range(n).select(F.format_string("c%d", "id").alias("chrom"), F.lit(0).cast("long").alias("chunk"), F.lit("GATC").alias("seq")), 10)
+    line, total, step = nulls.chromosome_places(chunks)
+    assert total == 4 * n and line.select("chrom").distinct().count() == n
+    spans = line.select("chrom", "begin", "size").distinct().agg(F.sum("size"), F.max(F.col("begin") + F.col("size")), F.count_distinct("begin")).first()
+    assert tuple(spans) == (4 * n, 4 * n, n)
+    sets = nulls.sample_sets(chunks, 10, n_sets=20, set_size=50, length=2)
+    assert sets.count() == 1000 and sets.where("chrom is null or start < 0 or end > 4").count() == 0
+
+
+def test_enrichment_against_matched_background(spark):
+    """Promoter regions stand out; blank background and calibration come from the same chain."""
+    seq = "GATC" * 2500
+    pieces = spark.createDataFrame([("chrT", i, seq[i * 500 : (i + 1) * 500]) for i in range(20)], "chrom string, chunk long, seq string")
+    chunks = nulls.genome_chunks(pieces, 500)
+    states = spark.createDataFrame([("chrT", 0, 1000, "TssA"), ("chrT", 1000, 10_000, "Quies")], "chrom string, start long, end long, state string")
+    labels = spark.createDataFrame([("TssA", "Promoter"), ("Quies", "Quiescent")], "state string, label string")
+    tests, meta = enrich.state_enrichment_test(regions(spark, *[("chrT", 0, 300)] * 10), states, chunks, 500, labels, n_per=20, gc_tol=1.0)
+    got = {r["label"]: r for r in tests.collect()}
+    assert got["Promoter"]["log2_fold"] > 2 and got["Promoter"]["p"] < 0.01 and got["Promoter"]["n_null"] == 200 and meta.agg(F.sum("matched")).first()[0] == 200
+    peaks = spark.createDataFrame([("t", "DNase", "chrT", 0, 1000, 5.0)], PEAK)
+    opened, _ = enrich.track_enrichment_test(regions(spark, *[("chrT", 0, 300)] * 10), peaks, spark.createDataFrame([("t", "DNase")], "tissue string, assay string"), chunks, 500, n_boot=200, n_per=20)
+    row = opened.first()
+    assert row["query_mean"] == 1.0 and row["null_mean"] < 0.3 and row["log2_fold"] > 1.5 and 0 < row["p"] <= 1
+    summary, each = enrich.calibration_run(states, chunks, 500, labels, n_sets=12, set_size=8, region_length=300, n_per=10)
+    assert each.count() == 24 and {r["label"] for r in summary.collect()} == {"Promoter", "Quiescent"} and all(r["n"] == 12 and r["fpr"] <= 0.5 for r in summary.collect())
+
+
+def test_binomial_tails():
+    for n, share, seen in ((20, 0.3, 9), (20, 0.0, 0), (7, 1.0, 7), (50, 0.01, 3), (400, 0.5, 170)):
+        eps = 0.5 / n
+        fold = lambda k: math.log2((k / n + eps) / (share + eps))  # noqa: B023, E731
+        law = [math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(n + 1)]
+        p, lo, hi = stats.fold_test(n, share, eps, fold(seen))
+        assert p == pytest.approx(min(1.0, sum(m for k, m in enumerate(law) if abs(fold(k)) >= abs(fold(seen)) - 1e-12)))
+        below = np.cumsum(law)
+        assert [lo, hi] == pytest.approx([fold(int(np.argmax(below >= q - 1e-12))) for q in (0.025, 0.975)])
+
+
+def test_global_rank_with_outliers(spark):
+    values = [1e18, -1e18, None, *[float(i % 40) for i in range(500)]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = sorted((r["v"], r["k"]) for r in stats.with_global_rank(df, "v", "k", buckets=8).collect() if r["v"] is not None)
+    known = sorted(v for v in values if v is not None)
+    assert got == [(v, known.index(v) + (known.count(v) + 1) / 2) for v in known]
+
+
 def test_coverage_enrichment_of_open_regions(spark):
     query = spark.createDataFrame([("t", i, 1.0) for i in range(2)], "assay string, item long, coverage double")
     null = spark.createDataFrame([("t", i, 0.0) for i in range(50)], "assay string, item long, coverage double")
@@ -143,6 +203,41 @@ def test_shapley_values(spark):
     assert {(r["sample_id"], r["bin_key"]): r["value"] for r in got.collect()}[("a", KEYS[2])] == pytest.approx(9.0)
 
 
+class Lasso:
+    coef_ = np.array([1.0, 2.0, 3.0])
+
+
+class Doubt:
+    def predict_proba(self, x):
+        return np.stack([1 - x @ Lasso.coef_, x @ Lasso.coef_], 1)
+
+
+class Plain:
+    def predict(self, x):
+        return x @ Lasso.coef_
+
+
+def test_kinds_of_models(spark):
+    rows = spark.createDataFrame([(s, k, float(v)) for s, row in (("a", (1, 2, 3)), ("b", (3, 2, 1))) for k, v in zip(KEYS, row, strict=True)], MATRIX)
+    assert [shap.explainer_kind(m) for m in (Lasso(), Doubt(), type("RandomForestRegressor", (), {})())] == ["linear", "kernel", "tree"]
+    want = {("a", KEYS[0]): -1.0, ("b", KEYS[0]): 1.0, ("a", KEYS[1]): 0.0, ("b", KEYS[1]): 0.0, ("a", KEYS[2]): 3.0, ("b", KEYS[2]): -3.0}
+    for model in (Lasso(), Doubt(), Plain()):
+        got = {(r["sample_id"], r["bin_key"]): r["value"] for r in shap.shap_of_model(rows, model, KEYS).collect()}
+        assert got == pytest.approx(want)
+    got = {(r["sample_id"], r["bin_key"]): r["value"] for r in shap.shap_of_model(rows, Lasso(), KEYS, np.zeros((1, 3))).collect()}
+    assert got[("a", KEYS[2])] == 9.0
+    classes = rows.withColumn("class", F.lit(0)).unionByName(rows.withColumns({"class": F.lit(1), "value": F.col("value") + 1}))
+    assert sorted(r["value"] for r in shap.last_class(classes).collect()) == [2.0, 2.0, 3.0, 3.0, 4.0, 4.0]
+
+
+def test_long_atlas_takes_the_last_of_equal_keys(spark):
+    wide = spark.createDataFrame([("chr1:0-5", 1.0, 9.0, 3.0), ("chr1:0-5", 2.0, 9.0, None)], "key string, C_lung double, C_infl_specific double, H_lung double").coalesce(1)
+    assert atlas.tissue_columns(["C_lung", "C_background", "C_infl_specific", "H_lung", "key"], "C") == ["lung".join(["C_", ""])]
+    assert [tuple(r) for r in atlas.long_atlas(wide, "C").collect()] == [("chr1:0-5", "lung", "C", 2.0)]
+    rows = spark.createDataFrame([("lung", "D", "x"), ("skin", "D", "y")], "group string, assay string, file_accession string")
+    assert atlas.panel_from_catalog(rows, F.col("assay"), groups=("lung",)).count() == 1
+
+
 BLOCKS = "chrom string, start long, end long, to_chrom string, to_start long, to_strand string, to_size long, score double"
 
 
@@ -206,6 +301,16 @@ def test_readers_and_stream(spark, tmp_path):
     assert seq == "ACGTNNgcTT"
     (tmp_path / "m.csv").write_text("sample,chr1:1-2,chr1:2-3\ns1,0.5,1\ns2,,2\n")
     assert sorted((r["sample_id"], r["bin_key"], r["value"]) for r in readers.read_matrix(spark, str(tmp_path / "m.csv")).where("value is not null").collect()) == [("s1", "chr1:1-2", 0.5), ("s1", "chr1:2-3", 1.0), ("s2", "chr1:2-3", 2.0)]
+    (tmp_path / "t.csv").write_text('bin,s1,"s,2"\n"chr1:1-2",0.5,NA\nchr1:2-3,,2\n')
+    assert sorted((r["sample_id"], r["bin_key"], r["value"]) for r in readers.read_matrix(spark, str(tmp_path / "t.csv"), samples_axis=1).where("value is not null").collect()) == [("s,2", "chr1:2-3", 2.0), ("s1", "chr1:1-2", 0.5)]
+    (tmp_path / "j.csv").write_text("sample,chr1:1-2\ns1,junk\n")
+    with pytest.raises(Exception, match="junk"):
+        readers.read_matrix(spark, str(tmp_path / "j.csv")).collect()
+    (tmp_path / "j.bed").write_text("chr1\t1\t5\tjunk\n")
+    with pytest.raises(Exception, match="junk"):
+        readers.read_peaks(spark, str(tmp_path / "j.bed")).collect()
+    found = readers.with_tissue_group(spark.createDataFrame([("Liver", 1)], "`Biosample term name` string, n int"))
+    assert found.first()["group"] == "liver"
     (tmp_path / "c.chain").write_text("chain 1000 chr1 9000 + 100 500 chr1 9000 + 1100 1510 1\n100 50 60\n250\n\n")
     assert [(r["start"], r["end"], r["to_start"]) for r in readers.read_chain(spark, str(tmp_path / "c.chain")).orderBy("start").collect()] == [(100, 200, 1100), (250, 500, 1260)]
     writers.write_parquet(regions(spark, ("chrT", 500, 1500), ("chrT", 0, 800)), str(tmp_path / "in"))
@@ -218,7 +323,7 @@ def test_queries_draw_as_often_as_their_operators(spark, sf_dir, monkeypatch):
     import inspect
 
     from lociflow.operators import enrich, nulls, shap, tissue
-    from lociflow.plans import catalogue
+    from lociflow.plans import background, catalogue  # noqa: F401
 
     class Called(Exception):
         pass
