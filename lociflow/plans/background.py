@@ -137,13 +137,13 @@ def state_enrichment_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covered_sql(name: str, source: str, keys: str) -> str:
-    """CTE name(keys, assay, coverage) for every region of source(keys, chrom, start, stop) and mark; peaks of one mark never overlap."""
+    """CTE name(keys, assay, coverage) for every region of source(keys, chrom, start, stop) and mark, 0 without a peak; peaks of one mark never overlap."""
     end = f"k * {PEAK_STEP} + x.doc_id % 40 + 60 + k % 7 * 20"
     return f"""{name} AS (
-  SELECT {keys}, m.assay, coalesce(sum(bp) FILTER (WHERE c.assay = m.assay), 0) / any_value(c.stop - c.start)::DOUBLE AS coverage FROM (
-    SELECT {keys}, s.start, s.stop, {list(MARKS)}[(x.doc_id + k) % {len(MARKS)} + 1] AS assay, greatest(0, least(s.stop, {end}) - greatest(s.start, k * {PEAK_STEP} + x.doc_id % 40)) AS bp
-    FROM {source} s JOIN texts x USING (chrom), unnest(range(0, (x.size - 1) // {PEAK_STEP} + 1)) u(k) WHERE k BETWEEN s.start // {PEAK_STEP} - 2 AND s.stop // {PEAK_STEP} + 1
-  ) c, (SELECT unnest({list(MARKS)}) AS assay) m GROUP BY {keys}, m.assay
+  SELECT {keys}, m.assay, coalesce(c.bp, 0) / (s.stop - s.start)::DOUBLE AS coverage FROM {source} s CROSS JOIN (SELECT unnest({list(MARKS)}) AS assay) m LEFT JOIN (
+    SELECT {keys}, {list(MARKS)}[(x.doc_id + k) % {len(MARKS)} + 1] AS assay, sum(greatest(0, least(s.stop, {end}) - greatest(s.start, k * {PEAK_STEP} + x.doc_id % 40))) AS bp
+    FROM {source} s JOIN texts x USING (chrom), unnest(range(0, (x.size - 1) // {PEAK_STEP} + 1)) u(k) WHERE k BETWEEN s.start // {PEAK_STEP} - 2 AND s.stop // {PEAK_STEP} + 1 GROUP BY ALL
+  ) c USING ({keys}, assay)
 )"""
 
 
