@@ -7,8 +7,8 @@ independent. Bands of `rows` coordinates make bucket keys; documents that share
 
 Links are exact: equal sets are one class from the start, classes are compared on their full sets, and a link is
 confirmed only by 100 * intersection >= percent * union. Buckets are never expanded into all pairs. First the members
-of a bucket are compared with one member of it, and the classes joined so far collapse. Then pairs of one small bucket
-in different components are compared in full. In a large bucket sketches tell, by their concentration, which classes
+of a bucket of some bands are compared with one member of it, and the classes joined so far collapse. Then, of all bands,
+the buckets that hold several components matter alone: pairs of one small bucket in different components are compared in full. In a large bucket sketches tell, by their concentration, which classes
 may link with which larger component (a pair at similarity 0.8 fails with probability below 1e-8), and such a class is
 compared with every member of that component, in blocks, by products of incidence matrices. So a pair that shares a
 bucket is found whatever the size of the bucket. Sketches are compared for the members outside a bucket's largest
@@ -34,6 +34,10 @@ MASK = (1 << 64) - 1
 CACHED_WORDS = 100_000
 SMALL_BUCKET = 32
 PARTNERS = 256
+#: Bands whose buckets are collapsed by comparing members with one of them; after that only buckets that are still split matter.
+STAR_BANDS = 10
+#: Documents whose ids are broadcast to find their texts, at most.
+FEW_IDS = 100_000
 BUCKET_BLOCK, SET_BLOCK, SET_BLOCK_SHINGLES, COLUMNS = 2048, 256, 200_000, 8192
 
 
@@ -152,7 +156,9 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: st
         del cache
         release()
 
-    found = _slim(docs, id_col, text_col).join(wanted.select("node", "set", "id").hint("merge"), "id").select("node", "set", "text")
+    asked = written(wanted.select("node", "set", "id"), "asked")
+    asked = F.broadcast(asked) if asked.count() <= FEW_IDS else asked.hint("merge")
+    found = _slim(docs, id_col, text_col).join(asked, "id").select("node", "set", "text")
     return found.mapInArrow(work, "node binary, shingles binary").dropDuplicates(["node"])
 
 
@@ -178,8 +184,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], s.type) for k, s in enumerate(schema)], schema=schema)
         release()
 
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("blocks"))
-    partners = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), "b", F.col("b").alias("node"))
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counts.select("a", F.ceil(F.col("n") / PARTNERS).alias("blocks"))
+    partners = spread_join(pairs, blocks, "a", hot_keys(counts, "a", pairs.count())).select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), "b", F.col("b").alias("node"))
     heads = blocks.select("a", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.lit(None).cast("binary").alias("b"), F.col("a").alias("node"))
     units = partners.unionByName(heads).join(sets, "node").select("a", "block", "b", "shingles")
     return units.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(work, "a binary, b binary, linked boolean")
@@ -296,24 +303,25 @@ def near_duplicates(
     classes = rows_.where("set is not null and id is not null").groupBy("set")
     classes = classes.agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "keys", "bits"))).withColumnRenamed("n_shingles", "n")
     classes = written(classes.withColumn("node", class_name("id", "set")), "classes")
-    in_bands = classes.select("node", "n", F.explode("keys").alias("key"))
-    full = in_bands.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = written(in_bands.join(full, "key").select("key", "m", "node", "n"), "members")
-    nodes = written(classes.drop("keys").join(members.select("node").distinct(), "node", "left_semi"), "nodes")
-    sets = written(candidate_sets(docs, nodes, id_col, text_col, shingle_words), "sets")
-
-    fits = f"least(n, o_n) * 100 >= greatest(n, o_n) * {percent}"
-    first = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("s"))
+    some = classes.select("node", "n", F.explode(F.slice("keys", 1, STAR_BANDS)).alias("key"))
+    first = some.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("s"), F.count(F.lit(1)).alias("m")).where("m > 1")
     first = first.select("key", F.col("s.node").alias("o"), F.col("s.n").alias("o_n"))
-    stars = members.join(first, "key").where(f"node <> o and {fits}").select(F.col("o").alias("a"), F.col("node").alias("b")).distinct()
-    tried = written(verified(written(stars, "pairs"), sets, percent), "stars")
-    labels = nodes.select("node", "n").join(connected_components(tried.where("linked").select("a", "b")), "node", "left")
+    fits = f"least(n, o_n) * 100 >= greatest(n, o_n) * {percent}"
+    stars = some.join(first, "key").where(f"node <> o and {fits}").select(F.col("o").alias("a"), F.col("node").alias("b")).distinct()
+    stars = written(stars, "pairs")
+    in_stars = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    sets = written(candidate_sets(docs, classes.join(in_stars, "node", "left_semi"), id_col, text_col, shingle_words), "sets")
+    tried = written(verified(stars, sets, percent), "stars")
+    labels = classes.select("node", "n").join(connected_components(tried.where("linked").select("a", "b")), "node", "left")
     labels = written(labels.withColumn("component", F.coalesce("component", "node")), "labels")
     n_nodes, sizes = labels.count(), labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    of = written(spread_join(labels.select("node", "component"), sizes.withColumnRenamed("n", "size"), "component", hot_keys(sizes, "component", n_nodes)).withColumnRenamed("component", "c"), "sizes")
-    at = written(members.join(of, "node"), "labelled")
-    split = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    at = written(at.join(split, "key", "left_semi"), "split")
+    of = spread_join(labels, sizes.withColumnRenamed("n", "size"), "component", hot_keys(sizes, "component", n_nodes)).withColumnRenamed("component", "c")
+    of = written(of.join(classes.select("node", "keys"), "node"), "labelled")
+    in_bands = of.select("node", "n", "c", "size", F.explode("keys").alias("key"))
+    split = in_bands.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+    at = written(in_bands.join(split, "key"), "split")
+    more = written(at.select("node").distinct().join(sets.select("node"), "node", "left_anti"), "more")
+    sets = sets.unionByName(written(candidate_sets(docs, classes.join(more, "node", "left_semi"), id_col, text_col, shingle_words), "sets"))
 
     few = at.where(F.col("m") <= SMALL_BUCKET)
     other = few.select("key", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("c").alias("d"))
@@ -322,7 +330,7 @@ def near_duplicates(
     found = written(verified(written(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), sets, percent), "verified").where("linked").select("a", "b")
     many = at.where(F.col("m") > SMALL_BUCKET)
     if not many.isEmpty():
-        asked = written(suspects(many.join(nodes.select("node", "bits"), "node"), percent, bands * rows), "suspects")
+        asked = written(suspects(many.join(classes.select("node", "bits"), "node"), percent, bands * rows), "suspects")
         if not asked.isEmpty():
             found = found.unionByName(written(links_with(asked, labels, sets, percent), "links"))
     name = of.select("node", "c")

@@ -31,7 +31,7 @@ def pages():
 
 def test_parts_rules_and_propagation(spark):
     rows = pages()
-    got = rows_of(judged_pages(with_clashing_names(spark.createDataFrame(rows, PAGES)).drop("host")), "page_id")
+    got = rows_of(judged_pages(with_clashing_names(spark.createDataFrame(rows, PAGES))), "page_id")
     for (i, url, _), r in zip(rows, got, strict=True):
         host, path = parts(url)
         rule, verdict = rule_of(host, path)

@@ -102,3 +102,24 @@ def test_search_few_or_no_candidates(spark):
     assert search(alone, F.col("vec_id") == 0).count() == 0
     empty = frame(spark, [], clash=False)
     assert search(empty, F.col("vec_id") == 0).count() == 0
+
+
+def test_search_ties_go_to_the_smaller_id(spark):
+    v = vectors(6, 60)
+    rows = [(0, v[0]), *((100 + i, v[0]) for i in (7, 3, 9, 1, 5, 2, 8)), *((i, v[i]) for i in range(1, 50))]
+    got = [r["vec_id"] for r in search(frame(spark, rows), F.col("vec_id") == 0, k=5, probe_share=1.0).orderBy("rank").collect()]
+    assert got == [101, 102, 103, 105, 107]
+
+
+def test_search_probes_on_until_there_are_k_rows(spark):
+    v = vectors(7, 200)
+    got = search(frame(spark, list(enumerate(v))), F.col("vec_id") % 20 == 0, k=5, probe_share=0.01).groupBy("query_id").count().collect()
+    assert len(got) == 10 and all(r["count"] == 5 for r in got)
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    v = vectors(8, 40)
+    rows = [*enumerate(v), (500, v[0][:8]), (550, v[0][:8])]
+    assert not {r["vec_id"] for r in search(frame(spark, rows), F.col("vec_id") % 50 == 0, k=50, probe_share=1.0).collect()} & {500, 550}
+    got = {r["vec_id"]: tuple(r)[1:4] for r in vector_near_duplicates(frame(spark, rows)).collect()}
+    assert got[500] == (0, 500, True) and got[550] == (0, 550, True)
