@@ -94,7 +94,7 @@ def search(
     k: int = 5,
     lists: int | None = None,
     probe_share: float | None = None,
-    recall: float = 0.93,
+    recall: float = 0.95,
     rerank: int = 128,
     sub_dims: int = 2,
 ) -> DataFrame:
