@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_dir, written
 
-__all__ = ["hot_keys", "release", "shared_dir", "spread_join", "values", "words_of", "written"]
+__all__ = ["hot_keys", "numbered", "release", "shared_dir", "spread_join", "values", "words_of", "written"]
 
 #: A key with more rows than this, and than a thousandth of all rows, is hot; so at most a thousand keys are.
 HOT_ROWS, HOT_KEYS = 256, 1000
@@ -29,6 +29,27 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame, how:
     return left.drop("__parts").join(right.drop("__parts"), [key, "__part"], how).drop("__part")
 
 
+def numbered(rows: DataFrame, order: list[str], number: str) -> tuple[DataFrame, int]:
+    """(rows with their number from 0 in this order, how many there are), for any number of partitions and any repeated keys.
+
+    Rows are range-sorted and counted within their partitions, and each partition adds what earlier ones hold. Rows that
+    are equal in `order` are numbered in the order they came, which splits a key that many rows share.
+    """
+    salted = written(rows.withColumn("__salt", F.monotonically_increasing_id()), "rows")
+    by = [*order, "__salt"]
+    ordered = salted.repartitionByRange(*by).sortWithinPartitions(*by).drop("__salt")
+    ordered = written(ordered.withColumn("__at", F.monotonically_increasing_id()), "ordered")  # partition << 33 | row in it
+    part = F.shiftright("__at", 33)
+    counts = ordered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()  # a row a partition
+    bases, total = [], 0
+    for c in counts:
+        bases.append((c["__part"], total))
+        total += c["n"]
+    base = rows.sparkSession.createDataFrame(bases, "__part long, __base long")
+    out = ordered.withColumn("__part", part).join(F.broadcast(base), "__part")
+    return out.withColumn(number, F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__base", "__at"), total
+
+
 def values(batch: pa.RecordBatch | dict[str, pa.Array], name: str, step: int = 256) -> Iterator:
     """The values of a column as Python objects, few at a time."""
     column = batch[name]

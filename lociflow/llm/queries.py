@@ -12,6 +12,7 @@ from .mixing import MIX_SQL, mixed_sizes
 from .packing import pack
 from .quality import quality_scores
 from .secrets import secret_report
+from .sharding import shard_report, shard_sql
 from .toxicity import toxicity_scores
 from .urls import judged_pages
 from .vector_dedup import NEAR_VECTORS_SQL, vector_near_duplicates
@@ -68,6 +69,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op13_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES = {
     "op1_ivf_pq_search": op1_ivf_pq_search,
     "op2_url_filter": op2_url_filter,
@@ -79,9 +84,11 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity_network": op9_toxicity_network,
     "op10_secret_scan": op10_secret_scan,
+    "op13_feistel_shards": op13_feistel_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_vector_near_dedup": NEAR_VECTORS_SQL,
     "op6_mix_sources": MIX_SQL,
+    "op13_feistel_shards": shard_sql(),
 }
