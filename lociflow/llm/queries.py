@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import search
+from .divergence import DIVERGENCE_SQL, source_divergence
 from .licenses import license_report
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mixed_sizes
@@ -69,6 +70,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
 def op13_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"), shards=24)
 
@@ -84,11 +89,13 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity_network": op9_toxicity_network,
     "op10_secret_scan": op10_secret_scan,
+    "op11_source_divergence": op11_source_divergence,
     "op13_feistel_shards": op13_feistel_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_vector_near_dedup": NEAR_VECTORS_SQL,
     "op6_mix_sources": MIX_SQL,
+    "op11_source_divergence": DIVERGENCE_SQL,
     "op13_feistel_shards": shard_sql(),
 }
