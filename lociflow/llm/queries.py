@@ -15,6 +15,7 @@ from .quality import quality_scores
 from .secrets import secret_report
 from .sharding import shard_report, shard_sql
 from .toxicity import toxicity_scores
+from .trie import TRIE_SQL, prefix_trie
 from .urls import judged_pages
 from .vector_dedup import NEAR_VECTORS_SQL, vector_near_duplicates
 
@@ -74,6 +75,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"), min_docs=10, top=10)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"), shards=24)
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op9_toxicity_network": op9_toxicity_network,
     "op10_secret_scan": op10_secret_scan,
     "op11_source_divergence": op11_source_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_feistel_shards": op13_feistel_shards,
 }
 
@@ -97,5 +103,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_vector_near_dedup": NEAR_VECTORS_SQL,
     "op6_mix_sources": MIX_SQL,
     "op11_source_divergence": DIVERGENCE_SQL,
+    "op12_prefix_trie": TRIE_SQL,
     "op13_feistel_shards": shard_sql(),
 }
