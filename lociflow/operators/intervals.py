@@ -1,62 +1,141 @@
 """Joins of genomic intervals, which are 0-based and half-open.
 
-An overlap join has only the chromosome as equality, so it is binned: both sides are exploded to the fixed-width bins
-they touch and joined on (chromosome, bin); a pair counts in the first bin that both touch, so it comes once. Empty and
-inverted intervals overlap nothing.
+An overlap join has only the chromosome as equality, so both sides are laid out in bins. An interval has a level by its
+length, and the bins of a level are at least as wide as its intervals, so none touches more than two of them, however
+long it is. Two intervals meet in the bins of the coarser level of theirs, and a pair counts in the first bin that both
+touch, so it comes once. A histogram of both sides tells which bins are crowded; these are dealt into blocks, each of
+which a part of one side meets a part of the other in. Empty and inverted intervals overlap nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 BIN = 65_536
+#: A bin of level k is STEP ** k times as wide as one of level 0; intervals above the last level touch more of its bins.
+STEP, LEVELS = 8, 9
+#: Rows of one side that a bin holds before it is dealt out, and bins that may be dealt out at most.
+CROWD, CROWDED_BINS = 4096, 1000
 
 
 def bins(start: str, end: str, width: int) -> Column:
     return F.expr(f"sequence({start} div {width}, ({end} - 1) div {width})")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
+def _level(start: str, end: str, width: int) -> Column:
+    longer = [F.when(F.col(end) - F.col(start) > width * STEP**k, 1).otherwise(0) for k in range(LEVELS - 1)]
+    return reduce(lambda a, b: a + b, longer).cast("int")
+
+
+def _cells(start: str, end: str, width: int, met: set[int]) -> Column:
+    """The (level, bin) in which an interval may meet ones of the levels in `met`: those of its own and of coarser levels."""
+    level, none = _level(start, end, width), F.array().cast("array<struct<level:int,bin:bigint>>")
+    at = lambda k: lambda b: F.struct(F.lit(k).alias("level"), b.cast("bigint").alias("bin"))
+    parts = []
+    for k in range(min(met, default=LEVELS), LEVELS):  # finer bins have none to meet
+        here = F.transform(bins(start, end, width * STEP**k), at(k))
+        parts.append(F.when((level == k) if k not in met else (level <= k), here).otherwise(none))
+    return F.flatten(F.array(*parts)) if parts else none
+
+
+def crowded_bins(left: DataFrame, right: DataFrame, width: int, crowd: int) -> tuple[DataFrame | None, set[int], set[int]]:
+    """(chrom, level, bin, p, q) of the bins that hold many rows of a side and into how many parts to deal each side, or None; the levels of both sides.
+
+    Both sides are counted once, by level and first bin, and the counts of coarser bins follow. A bin is crowded above
+    `crowd` rows of a side and above a thousandth of that side, so at most 1000 bins a side and level are.
+    """
+    def counted(df: DataFrame, start: str, end: str, side: int) -> DataFrame:
+        level = _level(start, end, width)
+        first = reduce(lambda out, k: F.when(level == k, F.expr(f"{start} div {width * STEP**k}")).otherwise(out), range(LEVELS), F.lit(0).cast("bigint"))
+        return df.select("chrom", F.lit(side).alias("side"), level.alias("level"), first.alias("bin"))
+
+    both = counted(left, "start", "end", 0).unionByName(counted(right, "r_start", "r_end", 1))
+    loads = written(both.groupBy("chrom", "side", "level", "bin").agg(F.count(F.lit(1)).alias("n")), "loads")
+    seen = {0: (set(), 0), 1: (set(), 0)} | {r["side"]: (set(r["levels"]), r["n"]) for r in loads.groupBy("side").agg(F.collect_set("level").alias("levels"), F.sum("n").alias("n")).collect()}
+    (a, n), (b, m) = seen[0], seen[1]
+    most = [max(crowd, -(-x // CROWDED_BINS)) for x in (n, m)]
+    if n <= most[0] and m <= most[1]:
+        return None, a, b
+    up = F.explode(F.array(*(F.lit(k) for k in sorted(a | b)))).alias("at")
+    wide = loads.select("chrom", "side", "level", "bin", "n", up).where("at >= level")
+    wide = wide.withColumn("bin", F.expr(f"bin div cast(pow({STEP}, at - level) as bigint)"))
+    parts = lambda k: F.ceil(F.greatest(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)) / most[k], F.lit(1.0))).alias("pq"[k])
+    dealt = wide.groupBy("chrom", F.col("at").alias("level"), "bin").agg(parts(0), parts(1)).where("p > 1 or q > 1")
+    return None if dealt.isEmpty() else dealt, a, b
+
+
+def _paired(left: DataFrame, right: DataFrame, width: int, crowd: int) -> DataFrame:
+    """Overlapping pairs of left(chrom, start, end, ...) and right(chrom, r_start, r_end, ...), which are not empty."""
+    dealt, a_levels, b_levels = crowded_bins(left, right, width, crowd)
+    a = left.withColumn("__cell", F.explode(_cells("start", "end", width, b_levels))).withColumn("__own", _level("start", "end", width))
+    b = right.withColumn("__cell", F.explode(_cells("r_start", "r_end", width, a_levels))).withColumn("__r_own", _level("r_start", "r_end", width))
+    a, b = (df.withColumns({"__level": F.col("__cell.level"), "__bin": F.col("__cell.bin")}).drop("__cell") for df in (a, b))
+    keys = ["chrom", "__level", "__bin"]
+    if dealt is not None:
+        parts = F.broadcast(dealt.withColumnsRenamed({"level": "__level", "bin": "__bin"}))
+        part = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.coalesce(k, F.lit(1))).cast("int")
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(k), F.lit(1)).cast("int") - 1))
+        a = a.join(parts, keys, "left").withColumn("__i", part(a, F.col("p"))).withColumn("__j", each("q")).drop("p", "q")
+        b = b.join(parts, keys, "left").withColumn("__j", part(b, F.col("q"))).withColumn("__i", each("p")).drop("p", "q")
+        keys += ["__i", "__j"]
+    first = reduce(lambda out, k: F.when(F.col("__level") == k, F.expr(f"greatest(start, r_start) div {width * STEP**k}")).otherwise(out), range(LEVELS), F.lit(0).cast("bigint"))
+    pairs = a.join(b, keys).where((F.col("r_start") < F.col("end")) & (F.col("r_end") > F.col("start")) & (F.col("__level") == F.greatest("__own", "__r_own")) & (F.col("__bin") == first))
+    return pairs.drop("__level", "__bin", "__own", "__r_own", "__i", "__j")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN, crowd: int = CROWD) -> DataFrame:
     """Pairs of left(chrom, start, end, ...) and right(chrom, start, end, ...) that overlap.
 
     The columns are left's, right's with start and end named r_start and r_end, and overlap_bp. Column names other than
-    these must not clash.
+    these must not clash. Both sides are read twice, once for their histogram; starts are 0 or more.
     """
-    a = left.where("end > start").withColumn("__bin", F.explode(bins("start", "end", width)))
-    b = right.where("end > start").withColumnsRenamed({"start": "r_start", "end": "r_end"}).withColumn("__bin", F.explode(bins("r_start", "r_end", width)))
-    pairs = a.join(b, ["chrom", "__bin"]).where(f"r_start < end and r_end > start and __bin = greatest(start, r_start) div {width}")
-    return pairs.withColumn("overlap_bp", F.least("end", "r_end") - F.greatest("start", "r_start")).drop("__bin")
+    a = left.where("end > start")
+    b = right.where("end > start").withColumnsRenamed({"start": "r_start", "end": "r_end"})
+    return _paired(a, b, width, crowd).withColumn("overlap_bp", F.least("end", "r_end") - F.greatest("start", "r_start"))
 
 
 def union_coverage(overlaps: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, union_bp, signal_bp) of overlap_join's rows with a signal: bases covered by any interval, and the sum of signal times overlap.
 
-    The union is a running maximum of ends: each interval adds what lies beyond all earlier ones.
+    The union is a running maximum of ends: each start adds what its longest piece has beyond all earlier ones. Pieces
+    of one start are one row before that, so a window holds no more rows than its region has bases.
     """
     a, b = F.greatest("start", "r_start"), F.least("end", "r_end")
-    order = Window.partitionBy(*keys).orderBy("__a", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = overlaps.groupBy(*keys, a.alias("__a")).agg(F.max(b).alias("__b"), F.sum(F.col("signal") * F.col("overlap_bp")).alias("__s"))
+    order = Window.partitionBy(*keys).orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)
     beyond = F.greatest(F.lit(0), F.col("__b") - F.greatest("__a", F.coalesce(F.max("__b").over(order), "__a")))
-    cut = overlaps.withColumns({"__a": a, "__b": b}).withColumn("__new", beyond)
-    return cut.groupBy(*keys).agg(F.sum("__new").cast("long").alias("union_bp"), F.sum(F.col("signal") * F.col("overlap_bp")).alias("signal_bp"))
+    return starts.withColumn("__new", beyond).groupBy(*keys).agg(F.sum("__new").cast("long").alias("union_bp"), F.sum("__s").alias("signal_bp"))
 
 
-def disjoint(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """intervals(keys, chrom, start, end, ...) cut to what lies beyond the earlier ones of their keys and chromosome.
+def disjoint(intervals: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
+    """(keys, chrom, start, end): intervals cut to what lies beyond the earlier ones of their keys and chromosome.
 
     The pieces cover what the intervals cover, once, so sums of their overlaps are union coverage without a sort of all
-    pairs. One window per key and chromosome, over the intervals alone.
+    pairs. A running maximum of ends in segments: of intervals with one start the longest counts; within a segment of
+    `width` bases they are ordered, and segments hand on the maximum of all earlier ones. So a window holds `width` rows
+    at most, or a row for each segment of a chromosome.
     """
-    order = Window.partitionBy(*keys, "chrom").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    cut = intervals.where("end > start").withColumn("__seen", F.max("end").over(order))
-    return cut.withColumn("start", F.greatest("start", F.coalesce("__seen", "start"))).where("end > start").drop("__seen")
-
-
-def point_join(points: DataFrame, blocks: DataFrame, width: int = BIN) -> DataFrame:
-    """Pairs of points(chrom, pos, ...) and blocks(chrom, start, end, ...) with start <= pos < end."""
-    a = points.withColumn("__bin", F.expr(f"pos div {width}"))
-    b = blocks.where("end > start").withColumn("__bin", F.explode(bins("start", "end", width)))
-    return a.join(b, ["chrom", "__bin"]).where("start <= pos and pos < end").drop("__bin")
+    by = [*keys, "chrom"]
+    starts = intervals.where("end > start").groupBy(*by, "start").agg(F.max("end").alias("end")).withColumn("__seg", F.expr(f"start div {width}"))
+    earlier = lambda *w: Window.partitionBy(*w[:-1]).orderBy(w[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    tops = starts.groupBy(*by, "__seg").agg(F.max("end").alias("__top"))
+    carried = tops.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), F.col("__seg").alias("__s"), F.max("__top").over(earlier(*by, "__seg")).alias("__carry"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)), F.col("__seg") == F.col("__s"))
+    inside = starts.withColumn("__seen", F.max("end").over(earlier(*by, "__seg", "start")))
+    cut = inside.join(carried, same).withColumn("start", F.greatest("start", "__seen", "__carry"))  # greatest skips nulls
+    return cut.where("end > start").select(*by, "start", "end")
+
+
+def point_join(points: DataFrame, blocks: DataFrame, width: int = BIN, crowd: int = CROWD) -> DataFrame:
+    """Pairs of points(chrom, pos, ...) and blocks(chrom, start, end, ...) with start <= pos < end; pos is 0 or more."""
+    a = blocks.where("end > start")
+    b = points.withColumns({"r_start": F.col("pos"), "r_end": F.col("pos") + 1})
+    return _paired(a, b, width, crowd).drop("r_start", "r_end").select(*points.columns, *(c for c in blocks.columns if c != "chrom"))
 
 
 def bin_grid(sizes: DataFrame, width: int) -> DataFrame:
