@@ -1,10 +1,10 @@
 """Audit of how the sources of a language differ in their words, by sort-based streaming.
 
 Documents become runs in the order (lang, term, source, document): each task sorts what it holds and scans it for run
-lengths before anything is shuffled, then all runs are range-sorted and scanned again. A range may end within a run, even
-within the documents of one term and source, so no frequent word fills one task; runs at the edges of ranges are added
-up afterwards. A second scan over (lang, term, source) emits partial sums for pairs of sources and the leading terms of
-each run of terms.
+lengths before anything is shuffled, so a frequent word sends a row for each chunk of documents, not for each document.
+The runs are dealt by (lang, term), sorted and scanned again. That scan holds a run and the sources of a term until the
+term has enough documents, and no more. Another scan over the kept terms emits partial sums for pairs of sources, and
+the leading terms of each run of terms.
 
 A pair's value is a sum over all kept terms, but most sources lack most terms. With p0 the share of an absent term,
     sum f(p, q) = V f(p0, q0) + sum over a's terms (f(p, q0) - f(p0, q0)) + the same for b's + a correction for common terms,
@@ -27,9 +27,11 @@ from .common import hot_keys, release, spread_join, values, written
 #: Bytes that end terms become spaces; A-Z become a-z; those of other characters stay.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Occurrences that a task sorts at once, words whose numbers it keeps, sources of a language that a block of pairs has.
-CHUNK, CACHED_TERMS, BLOCK = 1 << 20, 300_000, 64
+CHUNK, CACHED_TERMS, BLOCK = 1 << 21, 300_000, 64
 SCALE = 1_000_000_000
 RUN = ["lang", "term", "source"]
+#: Kinds of scanned rows: a source of a language, a source's count of a kept term, a language's count of it.
+GROUP, COUNT, TOTAL = 0, 1, 2
 
 
 def terms_of(text: str) -> list[bytes]:
@@ -43,12 +45,11 @@ class TermIds(dict):
 
 
 def document_runs(docs: DataFrame) -> DataFrame:
-    """(lang, term, source, doc, df, n): sorted runs of docs(doc, lang, source, text), a run for a task's chunk of documents at most.
+    """(lang, term, source, df, n): sorted runs of docs(doc, lang, source, text), a run for a task's chunk of documents at most.
 
-    df is the run's number of documents, n of occurrences, doc its first document. A run of the empty term says that the
-    language has the source; its df counts all documents.
+    df is the run's number of documents, n of occurrences. A run of the empty term says that the language has the source.
     """
-    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("doc", pa.int64()), ("df", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("df", pa.int64()), ("n", pa.int64())])
 
     def runs(found: list[tuple[str, str, int, np.ndarray]], ids: TermIds) -> Iterator[pa.RecordBatch]:
         found.sort(key=lambda d: d[:3])
@@ -69,15 +70,13 @@ def document_runs(docs: DataFrame) -> DataFrame:
         df = np.add.reduceat(new_doc.astype(np.int64), start) if len(start) else np.empty(0, np.int64)
         n = np.diff(np.append(start, len(keys)))
         lang, source = (pa.array([found[i][k] for i in first], pa.string()) for k in (0, 1))
-        number = pa.array([d[2] for d in found], pa.int64())
         words = pa.array([""] + [w.decode("utf-8", "surrogatepass") for w in ids], pa.string())
         g = np.concatenate([np.arange(len(first)), group[doc[start]]])
         t = np.concatenate([np.zeros(len(first), np.int64), term[start] + 1])
-        d = np.concatenate([first, doc[start]])
         counts = [np.concatenate([group_docs, df]), np.concatenate([np.zeros(len(first), np.int64), n])]
         for a in range(0, len(g), 20_000):
             at = slice(a, a + 20_000)
-            cols = [lang.take(pa.array(g[at])), words.take(pa.array(t[at])), source.take(pa.array(g[at])), number.take(pa.array(d[at])), *(pa.array(c[at], pa.int64()) for c in counts)]
+            cols = [lang.take(pa.array(g[at])), words.take(pa.array(t[at])), source.take(pa.array(g[at])), *(pa.array(c[at], pa.int64()) for c in counts)]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +96,7 @@ def document_runs(docs: DataFrame) -> DataFrame:
         del ids, found
         release()
 
-    return docs.select("doc", "lang", "source", "text").mapInArrow(work, "lang string, term string, source string, doc long, df long, n long")
+    return docs.select("doc", "lang", "source", "text").mapInArrow(work, "lang string, term string, source string, df long, n long")
 
 
 def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -109,33 +108,56 @@ def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
     return out
 
 
-def scanned_runs(runs: DataFrame) -> DataFrame:
-    """(lang, term, source, df, n), once for each (lang, term, source): the runs range-sorted, scanned, and joined where a range ends."""
-    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("df", pa.int64()), ("n", pa.int64()), ("edge", pa.bool_())])
+def scanned_runs(runs: DataFrame, min_docs: int) -> DataFrame:
+    """(kind, lang, term, source, n): groups, and for terms in min_docs documents of a language the counts of each source and of all."""
+    schema = pa.schema([("kind", pa.int8()), ("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64())])
+
+    def collapsed(rows: pa.Table) -> pa.Table:
+        """A row for each run of equal (lang, term, source)."""
+        start = np.flatnonzero(_changes(rows, RUN))
+        out = rows.select(RUN).take(pa.array(start))
+        for c in ("df", "n"):
+            out = out.append_column(c, pa.array(np.add.reduceat(rows[c].to_numpy(), start)))
+        return out
+
+    def of_terms(rows: pa.Table, seen: tuple[int, int], ended: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of kept terms. seen is df and n of what has gone out of the first term; the last one gets its total if it has ended."""
+        start = np.flatnonzero(_changes(rows, ["lang", "term"]))
+        sums = [np.add.reduceat(rows[c].to_numpy(), start) for c in ("df", "n")]
+        for x, before in zip(sums, seen, strict=True):
+            x[0] += before
+        is_group = pc.equal(rows["term"], "").to_numpy(zero_copy_only=False)
+        keep = (sums[0] >= min_docs) & ~is_group[start]
+        sizes = np.diff(np.append(start, len(rows)))
+        kind = np.where(is_group, GROUP, COUNT).astype(np.int8)
+        own = np.flatnonzero(np.repeat(keep, sizes) | is_group)
+        out = pa.Table.from_arrays([pa.array(kind[own]), *(rows[c].take(pa.array(own)) for c in (*RUN, "n"))], schema=schema)
+        yield from out.combine_chunks().to_batches()
+        whole = np.flatnonzero(keep if ended else np.append(keep[:-1], False))
+        at = pa.array(start[whole])
+        cols = [pa.array(np.full(len(whole), TOTAL, np.int8)), rows["lang"].take(at), rows["term"].take(at), pa.nulls(len(whole), pa.string()), pa.array(sums[1][whole])]
+        yield from pa.Table.from_arrays(cols, schema=schema).combine_chunks().to_batches()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_run, edge = None, True  # the first run of a range and the last may go on in another
+        held, seen = None, (0, 0)
         for batch in batches:
             rows = pa.table(batch)
-            if open_run is not None:
-                rows = pa.concat_tables([open_run, rows])
-            start = np.flatnonzero(_changes(rows, RUN))
-            sums = [np.add.reduceat(rows[c].to_numpy(), start) for c in ("df", "n")]
-            heads = rows.select(RUN).take(pa.array(start))
-            last = len(start) - 1
-            open_run = heads.slice(last).append_column("df", pa.array(sums[0][last:])).append_column("n", pa.array(sums[1][last:]))
+            held = collapsed(rows if held is None else pa.concat_tables([held, rows]))
+            last = int(np.flatnonzero(_changes(held, ["lang", "term"]))[-1])
             if last:
-                edges = np.zeros(last, bool)
-                edges[0], edge = edge, False
-                yield from pa.Table.from_arrays([*heads.slice(0, last).columns, *(pa.array(s[:last]) for s in sums), pa.array(edges)], schema=schema).combine_chunks().to_batches()
-        if open_run is not None:
-            yield from pa.Table.from_arrays([*open_run.columns, pa.array([True])], schema=schema).to_batches()
+                yield from of_terms(held.slice(0, last), seen, ended=True)
+                held, seen = held.slice(last).combine_chunks(), (0, 0)
+            done = len(held) - 1  # the last run may go on
+            df, n = (int(held[c].to_numpy()[:done].sum()) for c in ("df", "n"))
+            if done and (seen[0] + df >= min_docs or held["term"][0].as_py() == ""):
+                yield from of_terms(held.slice(0, done), seen, ended=False)
+                held, seen = held.slice(done).combine_chunks(), (seen[0] + df, seen[1] + n)
+        if held is not None and len(held):
+            yield from of_terms(held, seen, ended=True)
+        release()
 
-    by = [*RUN, "doc"]
-    ranges = runs.repartitionByRange(*by).sortWithinPartitions(*by).select(*RUN, "df", "n")
-    found = written(ranges.mapInArrow(work, "lang string, term string, source string, df long, n long, edge boolean"), "runs")
-    edges = found.where("edge").groupBy(*RUN).agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
-    return found.where("not edge").drop("edge").unionByName(edges)
+    by_term = runs.repartition("lang", "term").sortWithinPartitions(*RUN)
+    return by_term.mapInArrow(work, "kind byte, lang string, term string, source string, n long")
 
 
 def share(count: Column, whole: Column) -> Column:
@@ -223,14 +245,13 @@ def source_divergence(
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text"))
     slim = slim.withColumn("doc", F.coalesce("doc", F.lit(-1)))
-    counts = scanned_runs(written(document_runs(slim), "document-runs"))
-    terms = counts.where("term <> ''")
-    in_lang = terms.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n_lang")).where(F.col("df") >= min_docs)
-    in_lang = written(in_lang.drop("df"), "terms")
-    kept = written(terms.join(in_lang, ["lang", "term"]).select(*RUN, "n", "n_lang"), "kept")
+    scanned = written(scanned_runs(document_runs(slim), min_docs), "runs")
+    of = lambda kind: scanned.where(F.col("kind") == kind)
+    in_lang = of(TOTAL).select("lang", "term", F.col("n").alias("n_lang"))
+    kept = written(of(COUNT).join(in_lang, ["lang", "term"]).select(*RUN, "n", "n_lang"), "kept")
     totals = in_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n_lang").alias("all"))
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("rows"))
-    groups = counts.where("term = ''").select("lang", "source").join(totals, "lang", "left").join(sizes, ["lang", "source"], "left")
+    groups = of(GROUP).select("lang", "source").join(totals, "lang", "left").join(sizes, ["lang", "source"], "left")
     v = F.coalesce("v", F.lit(0))
     none = F.lit(0).cast("long")
     groups = groups.select("lang", "source", v.alias("v"), (F.coalesce("size", none) + 2 * v).alias("d"), (F.coalesce("all", none) + 2 * v).alias("d_lang"), F.coalesce("rows", none).alias("n"))

@@ -67,21 +67,21 @@ def test_against_brute_force(spark, monkeypatch, chunk):
     assert as_set(source_divergence(df.repartition(5))) == want
 
 
-def test_one_word_over_many_ranges(spark):
-    """A run that spans several ranges is joined: its documents and occurrences are counted once."""
-    rows = [(i, "same " * (1 + i % 3) + ("rare" if i < 12 else ""), "en", "big" if i % 3 else "small", 0) for i in range(3000)]
+def test_a_word_of_all_documents(spark):
+    """A word's runs of many chunks and sources are one count each, and its language's total comes once."""
+    rows = [(i, "same " * (1 + i % 3) + ("rare " if i < 12 else "") + ("few" if i < 9 else ""), "en", f"s{i % 50:02}", 0) for i in range(3000)]
     slim = spark.createDataFrame(rows, DOCS).selectExpr("doc_id as doc", "lang", "source", "text").repartition(40)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     try:
-        got = {(r["term"], r["source"]): (r["df"], r["n"]) for r in scanned_runs(document_runs(slim)).collect()}
+        got = scanned_runs(document_runs(slim), 10).collect()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    big = [i for i in range(3000) if i % 3]
-    assert got["same", "big"] == (len(big), sum(1 + i % 3 for i in big)) and got["", "big"] == (len(big), 0)
-    assert got["rare", "small"] == (4, 4) and len(got) == 6
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {(r["kind"], r["term"], r["source"]): r["n"] for r in got}
+    assert len(found) == len(got) and {r["lang"] for r in got} == {"en"}
+    want = {(0, "", f"s{k:02}"): 0 for k in range(50)}
+    want |= {(1, "same", f"s{k:02}"): sum(1 + i % 3 for i in range(k, 3000, 50)) for k in range(50)}
+    want |= {(1, "rare", f"s{k:02}"): 1 for k in range(12)} | {(2, "rare", None): 12, (2, "same", None): 6000}
+    assert found == want
 
 
 def test_many_sources_in_blocks(spark, monkeypatch):
