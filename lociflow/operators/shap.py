@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.keys import feature_key
 
-#: Features of one order that are predicted together.
-STEPS = 256
+#: Features of one order that are predicted together; numbers that a block of samples and leaves holds; rows of a default background.
+STEPS, BLOCK_NUMBERS, CENTRES = 256, 4_000_000, 10
 # Parts of class and module names that tell the kind of a model.
 TREE_NAMES = ("xgboost", "lightgbm", "catboost", "forest", "tree", "gradientboost")
 LINEAR_MODULE, LINEAR_NAMES = "linear_model", ("lasso", "ridge", "elasticnet", "linearregression", "logisticregression")
@@ -49,7 +50,8 @@ def shap_of_model(matrix: DataFrame, model, bins: list[str], background: np.ndar
     """(sample_id, bin_key, value): attributions of a fitted model to bins, by the explainer for its kind.
 
     A tree model has trees, a list of Tree; a linear one coef_, a weight for each bin, and is explained against the
-    background, or else the matrix; any other is sampled against the background, or else the means of the matrix.
+    background, or else the matrix; any other is sampled against the background, or else the centres of up to ten
+    clusters of samples, drawn by the clusters' sizes.
     """
     kind = explainer_kind(model) if kind == "auto" else kind
     if kind == "tree":
@@ -59,10 +61,32 @@ def shap_of_model(matrix: DataFrame, model, bins: list[str], background: np.ndar
         weights = spark.createDataFrame([(b, float(w)) for b, w in zip(bins, np.ravel(model.coef_), strict=True)], "bin_key string, weight double")
         rows = None if background is None else [(str(i), b, float(v)) for i, row in enumerate(background) for b, v in zip(bins, row, strict=True)]
         return linear_shap(matrix, weights, None if rows is None else spark.createDataFrame(rows, "sample_id string, bin_key string, value double"))
+    rows, sizes = wide_rows(matrix, bins), None
     if background is None:
-        means = {r["bin_key"]: r["m"] for r in matrix.where(F.col("bin_key").isin(*bins)).groupBy("bin_key").agg(F.avg("value").alias("m")).collect()}  # a row for each bin
-        background = np.array([[means[b] for b in bins]])
-    return sampled_shap(wide_rows(matrix, bins), bins, predictor(model), background, orders, seed)
+        background, sizes = cluster_centres(rows, seed=seed)
+    return sampled_shap(rows, bins, predictor(model), background, orders, seed, sizes)
+
+
+def cluster_centres(rows: DataFrame, k: int = CENTRES, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, shares) of up to k clusters of wide_rows' samples, by k-means; missing values count as 0."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    known = F.transform("x", lambda v: F.when(F.isnan(v), 0.0).otherwise(v))
+    distinct = rows.groupBy(known.alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    few = distinct.limit(k + 1).collect()  # k + 1 rows at most
+    if not few:
+        raise ValueError("no samples to take a background from")
+    if len(few) <= k:
+        centres, counts = np.array([row["x"] for row in few]), np.array([row["n"] for row in few])
+    else:
+        vectors = distinct.select(array_to_vector("x").alias("features"), "n")
+        model = KMeans(k=k, seed=seed, initMode="random", weightCol="n").fit(vectors)
+        centres = np.array(model.clusterCenters())
+        counts = np.zeros(len(centres))
+        for row in model.transform(vectors).groupBy("prediction").agg(F.sum("n").alias("n")).collect():
+            counts[row["prediction"]] = row["n"]
+    return centres, counts / counts.sum()
 
 
 def linear_shap(matrix: DataFrame, weights: DataFrame, background: DataFrame | None = None) -> DataFrame:
@@ -114,17 +138,35 @@ def genomic_importance(features: DataFrame) -> DataFrame:
 
 
 def wide_rows(matrix: DataFrame, bins: list[str]) -> DataFrame:
-    """(sample_id, x): the values of each sample as an array in the order of bins, NaN where one is missing."""
+    """(sample_id, x): the values of each sample as an array in the order of bins, NaN where one is missing; of repeated ones the largest.
+
+    A sample's places and values are two lists of one order, and its array is filled from them, so a row costs its length.
+    """
+    d = len(bins)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def filled(at: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for i, v in zip(at, values, strict=True):
+            x = np.full(d, np.nan)
+            x[i] = v
+            out.append(x)
+        return pd.Series(out, dtype=object)
+
     order = matrix.sparkSession.createDataFrame(list(enumerate(bins)), "i int, bin_key string")
-    rows = matrix.join(order, "bin_key").groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
-    return rows.select("sample_id", F.transform(F.sequence(F.lit(0), F.lit(len(bins) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(float("nan")))).alias("x"))
+    known = matrix.where("value is not null").join(order, "bin_key").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("m"))
+    missing = F.lit(float("nan"))  # comes back from Arrow as null
+    samples = known.select("sample_id", filled(F.col("m.i"), F.col("m.value")).alias("x")).withColumn("x", F.transform("x", lambda v: F.coalesce(v, missing)))
+    blank = matrix.groupBy("sample_id").agg(F.count("value").alias("n")).where("n = 0")
+    return samples.unionByName(blank.select("sample_id", F.array_repeat(missing, d).alias("x")))
 
 
-def sampled_shap(rows: DataFrame, bins: list[str], predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray, orders: int = 64, seed: int = 0) -> DataFrame:
+def sampled_shap(rows: DataFrame, bins: list[str], predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray, orders: int = 64, seed: int = 0, shares: np.ndarray | None = None) -> DataFrame:
     """(sample_id, bin_key, value): Shapley values of any model, from random orders of the features and background rows.
 
-    Orders come in reversed pairs. Values sum to the prediction less the mean prediction of the background rows that
-    were drawn. rows is as wide_rows returns it; background is a small sample. An order is predicted STEPS features at a
+    Orders come in reversed pairs; each sample has its own, drawn from seed and its id. Values sum to the prediction less
+    the mean prediction of the background rows that were drawn, alike or by shares. rows is as wide_rows returns it;
+    background is a small sample. An order is predicted STEPS features at a
     time, so memory grows with the number of bins, not with its square.
     """
 
@@ -132,10 +174,10 @@ def sampled_shap(rows: DataFrame, bins: list[str], predict: Callable[[np.ndarray
         d = len(bins)
         for batch in batches:
             for name, x in zip(batch["sample_id"], batch["x"], strict=True):
-                rng = np.random.default_rng(seed)
+                rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
                 phi, runs = np.zeros(d), 0
                 for _ in range(-(-orders // 2)):
-                    order, base = rng.permutation(d), background[rng.integers(len(background))]
+                    order, base = rng.permutation(d), background[rng.choice(len(background), p=shares)]
                     for way in (order, order[::-1]):
                         now = base.copy()
                         for a in range(0, d, STEPS):
@@ -170,56 +212,90 @@ class Tree:
         total = self.weight[left] + self.weight[right]
         return (self.weight[left] * self.expected(x, known, left) + self.weight[right] * self.expected(x, known, right)) / total
 
-    def leaves(self) -> list[tuple[int, dict[int, list[tuple[float, int, int]]]]]:
-        """Each leaf with the splits on its path by feature: (threshold, side, the parent's child taken)."""
+    def paths(self) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
+        """(value, {feature: (low, high, share)}) of each leaf: where x must lie to go there, and the branches' share of the weight if unknown."""
         found, stack = [], [(0, {})]
         while stack:
             node, path = stack.pop()
             f = int(self.feature[node])
             if f < 0:
-                found.append((node, path))
+                found.append((float(self.value[node]), path))
                 continue
-            for side, child in ((0, int(self.left[node])), (1, int(self.right[node]))):
-                share = self.weight[child] / (self.weight[self.left[node]] + self.weight[self.right[node]])
-                stack.append((child, path | {f: [*path.get(f, []), (float(self.threshold[node]), side, share)]}))
+            whole, t = self.weight[self.left[node]] + self.weight[self.right[node]], float(self.threshold[node])
+            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+            for child, span in ((self.left[node], (low, min(high, t))), (self.right[node], (max(low, t), high))):
+                stack.append((int(child), path | {f: (*span, share * self.weight[child] / whole)}))
         return found
 
 
+class LeafPaths:
+    """The leaves of trees as arrays, those with equally many features together: feature, low, high and share of (leaf, place), value of leaf."""
+
+    def __init__(self, trees: list[Tree]):
+        by_size: dict[int, list] = {}
+        for tree in trees:
+            for value, path in tree.paths():
+                if path:
+                    by_size.setdefault(len(path), []).append((value, path))
+        self.groups = []
+        for m, leaves in sorted(by_size.items()):
+            spans = np.array([list(path.values()) for _, path in leaves])
+            feature = np.array([list(path) for _, path in leaves])
+            self.groups.append((feature, spans[:, :, 0], spans[:, :, 1], spans[:, :, 2], np.array([v for v, _ in leaves]), *half_rule(-(-m // 2))))
+
+    def shap(self, x: np.ndarray) -> np.ndarray:
+        """Path-dependent Shapley values of the sum of trees, for the rows of x.
+
+        A leaf pays its value times a product over the features on its path: 1 or 0 for a known feature, by where x goes,
+        and the share of the branch's weight for an unknown one. The Shapley value of feature k in such a product is
+        (one_k - share_k) times the integral over t from 0 to 1 of the product of (1 - t) share_j + t one_j over the
+        other features j. That is a polynomial in t below degree m, which a Gauss rule of m / 2 points sums exactly; products
+        over the others come from running products of both ways. So a leaf costs the square of its features.
+        """
+        phi = np.zeros((x.shape[1], len(x)))
+        for feature, low, high, share, value, points, weights in self.groups:
+            m = feature.shape[1]
+            step = max(1, BLOCK_NUMBERS // (m * len(x)))
+            for a in range(0, len(feature), step):
+                f, lo, hi, zero, v = (y[a : a + step] for y in (feature, low, high, share, value))
+                at = x[:, f]
+                one = (((hi == np.inf) | (at <= hi)) & ((lo == -np.inf) | ~(at <= lo))).astype(float)  # what is missing goes right
+                mean = np.zeros_like(one)
+                for t, w in zip(points, weights, strict=True):
+                    terms = (1 - t) * zero + t * one
+                    before, after = np.ones_like(terms), np.ones_like(terms)
+                    np.cumprod(terms[:, :, :-1], axis=2, out=before[:, :, 1:])
+                    after[:, :, :-1] = np.cumprod(terms[:, :, :0:-1], axis=2)[:, :, ::-1]
+                    mean += w * before * after
+                gain = (v[None, :, None] * (one - zero) * mean).reshape(len(x), -1)
+                order = np.argsort(f.ravel(), kind="stable")
+                names, first = np.unique(f.ravel()[order], return_index=True)
+                phi[names] += np.add.reduceat(gain[:, order], first, axis=1).T
+        return phi.T
+
+
+def half_rule(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights of Gauss's rule on [0, 1], exact for polynomials below degree 2n."""
+    points, weights = np.polynomial.legendre.leggauss(n)
+    return (points + 1) / 2, weights / 2
+
+
 def tree_shap(trees: list[Tree], x: np.ndarray) -> np.ndarray:
-    """Path-dependent Shapley values of the sum of trees at x.
+    """LeafPaths.shap at one x."""
+    return LeafPaths(trees).shap(np.asarray(x, float)[None, :])[0]
 
-    A leaf pays its value times a product over the features on its path: 1 or 0 for a known feature, by where x goes,
-    and the share of the branch's weight for an unknown one. The Shapley value of such a product is a sum over the sizes
-    of coalitions of elementary symmetric polynomials, so a leaf costs the cube of its path's features, not their power set.
-    """
-    phi = np.zeros(len(x))
-    for tree in trees:
-        for leaf, path in tree.leaves():
-            names = list(path)
-            m = len(names)
-            if not m:
-                continue
-            one = np.array([float(all((x[f] <= t) == (side == 0) for t, side, _ in path[f])) for f in names])
-            zero = np.array([np.prod([share for *_, share in path[f]]) for f in names])
-            for k in range(m):
-                poly = np.array([1.0])  # coefficient s: all coalitions of s other features
-                for j in range(m):
-                    if j != k:
-                        poly = np.append(poly * zero[j], 0) + np.append(0, poly * one[j])
-                share = np.ones(m) / m
-                for s, (a, b) in enumerate(pairwise(range(m))):
-                    share[b] = share[a] * (s + 1) / (m - 1 - s) if m - 1 - s else 0.0
-                phi[names[k]] += tree.value[leaf] * (one[k] - zero[k]) * float((poly * share).sum())
-    return phi
-
-
-def forest_shap(rows: DataFrame, bins: list[str], trees: list[Tree]) -> DataFrame:
-    """(sample_id, bin_key, value): tree_shap of every sample; rows is as wide_rows returns it."""
+
+def forest_shap(rows: DataFrame, bins: list[str], trees: list[Tree], block: int = 256) -> DataFrame:
+    """(sample_id, bin_key, value): path-dependent Shapley values of every sample, blocks of samples together; rows is as wide_rows returns it."""
+    d = len(bins)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paths = LeafPaths(trees)
         for batch in batches:
-            for name, x in zip(batch["sample_id"], batch["x"], strict=True):
-                yield pd.DataFrame({"sample_id": name, "bin_key": bins, "value": tree_shap(trees, np.asarray(x))})
+            for a in range(0, len(batch), block):
+                part = batch.iloc[a : a + block]
+                phi = paths.shap(np.stack(part["x"].to_numpy()))
+                yield pd.DataFrame({"sample_id": part["sample_id"].repeat(d), "bin_key": bins * len(part), "value": phi.ravel()})
 
     kind = dict(rows.dtypes)["sample_id"]
     return rows.mapInPandas(work, f"sample_id {kind}, bin_key string, value double")

@@ -454,6 +454,40 @@ class ForestOfStumps:
         self.trees = [shap.Tree([j, -1, -1], [0.0, 0, 0], [1, 0, 0], [2, 0, 0], [0, low, high], [4, 1, 3]) for j, low, high in ((0, -1.0, 2.0), (1, 0.5, 4.0))]
 
 
+class TreeOfDepthThree:
+    """A full tree over the first three bins: its value is a product-like mix of all three, so they interact; thresholds differ by branch."""
+
+    #: Of each inner node: bin, threshold, share of the left branch. Children of node n are 2n + 1 and 2n + 2.
+    SPLITS = ((0, 0.0, 0.25), (1, -0.02, 0.5), (1, 0.03, 0.75), (2, 0.0, 0.4), (2, 0.05, 0.5), (2, -0.05, 0.2), (0, 0.08, 0.6))
+    VALUES = (1.0, -2.0, 3.5, 0.25, -1.5, 4.0, 2.0, -3.0)
+
+    def __init__(self):
+        weight = [1000.0]
+        for n, (_, _, left) in enumerate(self.SPLITS):
+            weight += [weight[n] * left, weight[n] * (1 - left)]
+        inner = range(7)
+        feature, threshold = [f for f, _, _ in self.SPLITS] + [-1] * 8, [t for _, t, _ in self.SPLITS] + [0] * 8
+        left, right = [2 * n + 1 for n in inner] + [0] * 8, [2 * n + 2 for n in inner] + [0] * 8
+        self.trees = [shap.Tree(feature, threshold, left, right, [0] * 7 + list(self.VALUES), weight)] * 2
+
+    @classmethod
+    def sql(cls) -> str:
+        """The Shapley value of bin j of x1, x2, x3 by its definition: a sum over all coalitions of the others."""
+        def mean(known: frozenset[int], n: int = 0) -> str:
+            if n >= 7:
+                return f"{cls.VALUES[n - 7]}::DOUBLE"
+            f, t, left = cls.SPLITS[n]
+            a, b = mean(known, 2 * n + 1), mean(known, 2 * n + 2)
+            return f"(CASE WHEN x{f + 1} <= {t}::DOUBLE THEN {a} ELSE {b} END)" if f in known else f"({left}::DOUBLE * {a} + {1 - left}::DOUBLE * {b})"
+
+        def value(j: int) -> str:
+            others = [f for f in range(3) if f != j]
+            terms = ((frozenset(f for k, f in enumerate(others) if bits >> k & 1), (2, 1, 1, 2)[bits]) for bits in range(4))
+            return " + ".join(f"{w}::DOUBLE / 6 * ({mean(s | {j})} - {mean(s)})" for s, w in terms)
+
+        return "CASE j " + " ".join(f"WHEN {j + 1} THEN 2 * ({value(j)})" for j in range(3)) + " ELSE 0 END"
+
+
 class LinearRegression:
     """Weights 1, 2, ... of the bins in order."""
 
@@ -488,6 +522,13 @@ def shap_of_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _modelled(spark, sf_dir, lambda n: ForestOfStumps())
 
 
+@query(with_ctes(A.MATRIX_SQL, ORDERED, """firsts AS (
+  SELECT sample_id, max(value) FILTER (WHERE j = 1) AS x1, max(value) FILTER (WHERE j = 2) AS x2, max(value) FILTER (WHERE j = 3) AS x3 FROM mat JOIN ord USING (bin_key) GROUP BY sample_id
+)""", f"SELECT sample_id, bin_key, round({TreeOfDepthThree.sql()}, 6) AS value FROM mat JOIN ord USING (bin_key) JOIN firsts USING (sample_id)"))
+def shap_of_deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modelled(spark, sf_dir, lambda n: TreeOfDepthThree())
+
+
 @query(with_ctes(A.MATRIX_SQL, ORDERED, "SELECT sample_id, bin_key, round(j * (value - m), 6) AS value FROM mat JOIN ord USING (bin_key)"))
 def shap_of_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _modelled(spark, sf_dir, LinearRegression)
@@ -495,8 +536,11 @@ def shap_of_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_ctes(A.MATRIX_SQL, ORDERED, "SELECT sample_id, bin_key, round(j * (value - m) / 1000, 6) AS value FROM mat JOIN ord USING (bin_key)"))
 def shap_of_other_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled values of an additive model are exact."""
-    return _modelled(spark, sf_dir, lambda n: Odds())
+    """Sampled values of an additive model are exact; the background is the mean of each bin."""
+    import numpy as np
+
+    means = [row["m"] for row in A.matrix(spark, sf_dir).groupBy("bin_key").agg(F.avg("value").alias("m")).orderBy("bin_key").collect()]  # 64 rows
+    return _modelled(spark, sf_dir, lambda n: Odds(), background=np.array([means]))
 
 
 @query(with_ctes(A.MATRIX_SQL, "SELECT sample_id, bin_key, round(value * 2, 6) AS value FROM mat"))

@@ -222,7 +222,7 @@ def test_kinds_of_models(spark):
     assert [shap.explainer_kind(m) for m in (Lasso(), Doubt(), type("RandomForestRegressor", (), {})())] == ["linear", "kernel", "tree"]
     want = {("a", KEYS[0]): -1.0, ("b", KEYS[0]): 1.0, ("a", KEYS[1]): 0.0, ("b", KEYS[1]): 0.0, ("a", KEYS[2]): 3.0, ("b", KEYS[2]): -3.0}
     for model in (Lasso(), Doubt(), Plain()):
-        got = {(r["sample_id"], r["bin_key"]): r["value"] for r in shap.shap_of_model(rows, model, KEYS).collect()}
+        got = {(r["sample_id"], r["bin_key"]): r["value"] for r in shap.shap_of_model(rows, model, KEYS, np.full((1, 3), 2.0)).collect()}
         assert got == pytest.approx(want)
     got = {(r["sample_id"], r["bin_key"]): r["value"] for r in shap.shap_of_model(rows, Lasso(), KEYS, np.zeros((1, 3))).collect()}
     assert got[("a", KEYS[2])] == 9.0
