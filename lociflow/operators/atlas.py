@@ -112,14 +112,16 @@ def tissue_columns(columns: list[str], prefix: str) -> list[str]:
     return [c for c in named if not c.endswith("_specific") and c.removeprefix(f"{prefix}_") not in CONTRAST_NAMES]
 
 
-def long_atlas(wide: DataFrame, prefix: str) -> DataFrame:
+def long_atlas(wide: DataFrame, prefix: str, order: str | None = None) -> DataFrame:
     """(bin_key, tissue, track, value) of a wide atlas(key, ..., prefix_tissue columns).
 
-    Of rows with the same key the last one counts, by the table's order, which a file that Spark reads keeps.
+    Of rows with the same key the last one counts, by the order column that read_named_csv adds; without one, by the
+    table's own order, which is that of its partitions.
     """
     names = tissue_columns(wide.columns, prefix)
     entry = lambda c: F.struct(F.lit(c.removeprefix(f"{prefix}_")).alias("tissue"), F.col(f"`{c}`").cast("double").alias("value"))
-    rows = wide.withColumn("__i", F.monotonically_increasing_id()).select(F.col("key").alias("bin_key"), "__i", F.array(*map(entry, names)).alias("x"))
+    at = F.monotonically_increasing_id() if order is None else F.col(order)
+    rows = wide.withColumn("__i", at).select(F.col("key").alias("bin_key"), "__i", F.array(*map(entry, names)).alias("x"))
     last = rows.groupBy("bin_key").agg(F.max_by("x", "__i").alias("x"))
     return last.select("bin_key", F.explode("x").alias("v")).select("bin_key", "v.tissue", F.lit(prefix).alias("track"), "v.value")
 

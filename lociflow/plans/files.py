@@ -20,9 +20,9 @@ PEAK_COLUMNS = 'chrom, start, stop AS "end", signal'
 
 
 def lines(spark: SparkSession, rows: DataFrame, name: str, order: str | None = None) -> str:
-    """The path of a text file of rows(value); with order, one file in that order."""
+    """The path of a text file of rows(value); with order, a folder whose files by name hold ranges of that order."""
     path = new_path(spark, name)
-    (rows if order is None else rows.repartition(1).sortWithinPartitions(order)).select("value").write.text(path)
+    (rows if order is None else rows.repartitionByRange(order).sortWithinPartitions(order)).select("value").write.text(path)
     return path
 
 
@@ -199,8 +199,20 @@ def wide_atlas_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [f"{track}_{t}" for track in ("C", "H") for t in (*A.TISSUES.values(), "infl_specific", "background")]
     path = new_path(spark, "atlas.csv")
     writers.write_csv(atlas.wide_atlas(found, grid, columns).withColumnRenamed("bin_key", "key"), path, compressed=True)
-    wide = readers.read_named_csv(spark, path)
-    return atlas.long_atlas(wide, "C").where("value is not null").withColumn("value", r("value", 5))
+    wide = readers.read_named_csv(spark, path, order="line")
+    return atlas.long_atlas(wide, "C", order="line").where("value is not null").withColumn("value", r("value", 5))
+
+
+@query("SELECT 'chr1:' || l_partkey || '-' || (l_partkey + 1) AS bin_key, 'lung' AS tissue, 'C' AS track, arg_max(l_quantity, l_orderkey * 10 + l_linenumber)::DOUBLE AS value FROM lineitem GROUP BY l_partkey")
+def repeated_atlas_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An atlas of several files of unequal size that repeat their keys: the last row of a key counts."""
+    rows = A.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("chr1:"), F.col("l_partkey").cast("string"), F.lit("-"), (F.col("l_partkey") + 1).cast("string")).alias("key"),
+        F.col("l_quantity").cast("double").alias("C_lung"), "l_orderkey", "l_linenumber", F.floor(F.log2(F.col("l_orderkey") + 1)).alias("part"),
+    )
+    path = new_path(spark, "atlas.csv")
+    writers.write_csv(rows.repartitionByRange(6, "part").sortWithinPartitions("l_orderkey", "l_linenumber").select("key", "C_lung"), path)
+    return atlas.long_atlas(readers.read_named_csv(spark, path, order="line"), "C", order="line")
 
 
 @query(with_ctes(A.MATRIX_SQL, SHAP_RANKED, "SELECT bin_key AS key, round(importance, 6) AS importance FROM rnk"))
@@ -241,8 +253,10 @@ def coefficients_at_a_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
 def promoter_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows around the start sites of a JSON list."""
     one = F.struct(F.format_string("s%d", "s_suppkey").alias("gene"), F.format_string("chr%d", "s_nationkey").alias("chrom"), (F.col("s_suppkey") * 1000).alias("tss"), F.lit(-1).alias("strand"))
-    text = A.table(spark, sf_dir, "supplier").agg(F.to_json(F.collect_list(one)).alias("value"))
-    return readers.read_promoters(spark, lines(spark, text, "promoters.json"))
+    text = A.table(spark, sf_dir, "supplier").groupBy(F.expr("s_suppkey div 1000").alias("block")).agg(F.to_json(F.collect_list(one)).alias("value"))  # a list, and a file, for each thousand
+    path = new_path(spark, "promoters.json")
+    text.write.partitionBy("block").text(path)
+    return readers.read_promoters(spark, path)
 
 
 def chain_file(spark: SparkSession) -> str:
@@ -258,6 +272,29 @@ def chain_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_chain(spark, chain_file(spark)).select("chrom", "start", "end", "to_chrom", "to_start", "to_strand", "to_size")
 
 
+CHAINS_SQL = """SELECT 'chr' || s_nationkey AS chrom, 1000 * s_suppkey + k * 200 + k * s_suppkey % 7 * 10 AS start, 1000 * s_suppkey + k * 200 + k * s_suppkey % 7 * 10 + 90 + k AS "end",
+  'new' || s_nationkey AS to_chrom, 500 + k * 150 AS to_start, CASE s_suppkey % 2 WHEN 0 THEN '+' ELSE '-' END AS to_strand, 5000 AS to_size
+FROM supplier, range(6) x(k) WHERE k <= s_suppkey % 6"""
+
+
+@query(CHAINS_SQL)
+def chains_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain for each supplier, of one to six blocks with gaps on both sides, in a folder of several files."""
+    s, k = F.col("s_suppkey"), F.col("k")
+    start = lambda j: 1000 * s + j * 200 + j * s % 7 * 10
+    rows = A.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), (s % 6).cast("int"))).alias("k"))
+    n = 90 + k
+    gaps = F.concat_ws(" ", n, start(k + 1) - start(k) - n, 150 - n)
+    block = rows.select("s_suppkey", (k + 1).alias("j"), F.when(k == s % 6, n.cast("string")).otherwise(gaps).alias("value"))
+    last = s % 6
+    head = F.concat_ws(" ", F.lit("chain 1000"), F.concat(F.lit("chr"), "s_nationkey"), F.lit(99_000_000), F.lit("+"), start(F.lit(0)), start(last) + 90 + last, F.concat(F.lit("new"), "s_nationkey"), F.lit(5000), F.when(s % 2 == 0, "+").otherwise("-"), F.lit(500), 500 + last * 150 + 90 + last, s)
+    heads = A.table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(0).alias("j"), head.alias("value"))
+    blank = heads.withColumns({"j": F.lit(9), "value": F.lit("")})
+    every = heads.unionByName(block).unionByName(blank).withColumn("o", F.struct("s_suppkey", "j"))
+    found = readers.read_chain(spark, lines(spark, every, "gaps.over.chain", "o"))
+    return found.select("chrom", "start", "end", "to_chrom", "to_start", "to_strand", "to_size")
+
+
 @query(with_ctes(*LIFT_PARTS, """SELECT l.c0 AS chrom, least(p0, p1) AS start, greatest(p0, p1) AS "end", r.priority || chr(9) || r.region_id AS rest FROM lft l JOIN regs r USING (region_id) WHERE status = 'mapped'"""))
 def lifted_bed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as a BED file with further columns, lifted over a chain file to another BED file and read back."""

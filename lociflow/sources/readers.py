@@ -7,8 +7,8 @@ to Parquet once.
 from __future__ import annotations
 
 import csv
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +26,27 @@ def fields(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.where(F.trim("value") != "").select(F.split("value", "\t").alias("f"), "file")
 
 
+def place() -> Column:
+    """Where a row of a text or CSV source stands: these sort by file name, then by place in the file, however Spark splits and orders files."""
+    m = F.col("_metadata")
+    return F.struct(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("i"))
+
+
+def placed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, at): lines and their place."""
+    return spark.read.text(path).select("value", place().alias("at"))
+
+
+def first_lines(spark: SparkSession, path: str, n: int = 1) -> list[str]:
+    """The first n lines of a file, or of a folder's files by name."""
+    found: list[str] = []
+    for file in sorted(map(unquote, spark.read.text(path).inputFiles())):
+        found += [r["value"] for r in spark.read.text(file).limit(n - len(found)).collect()]
+        if len(found) == n:
+            break
+    return found
+
+
 def only_chroms(df: DataFrame, chroms: list[str] | tuple[str, ...] | None) -> DataFrame:
     return df if chroms is None else df.where(F.col("chrom").isin(*chroms))
 
@@ -79,8 +100,8 @@ def narrow_to_four(lines: DataFrame) -> DataFrame:
 
 def read_any_peaks(spark: SparkSession, path: str, autosomes_only: bool = True) -> DataFrame:
     """(chrom, start, end, signal): a CSV whose header has seqnames, or tab-separated columns without header, told by the first line."""
-    head = spark.read.text(path).limit(1).collect()
-    if head and "," in head[0]["value"] and "seqnames" in head[0]["value"]:
+    head = first_lines(spark, path)
+    if head and "," in head[0] and "seqnames" in head[0]:
         rows = spark.read.option("header", True).csv(path).select(F.col("seqnames").alias("chrom"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("signalValue").cast("double").alias("signal"))
     else:
         rows = read_peaks(spark, path).drop("file")
@@ -95,33 +116,73 @@ def read_atlas_peaks(spark: SparkSession, path: str, autosomes_only: bool = True
     return only_chroms(rows, AUTOSOME_NAMES if autosomes_only else None)
 
 
-def read_replicates(spark: SparkSession, entries: DataFrame, reader=read_any_peaks) -> DataFrame:
-    """(tissue, assay, replicate, chrom, start, end, signal) of entries(tissue, assay, path), a small table of paths or globs.
+def matched_files(spark: SparkSession, entries: DataFrame) -> DataFrame:
+    """(tissue, assay, replicate, file) of entries(tissue, assay, path), a small table of paths or globs: a row for each file that a path fits."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf, rows = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for r in entries.collect():
+        pattern = hadoop.Path(r["path"])
+        fs = pattern.getFileSystem(conf)
+        for found in fs.globStatus(pattern) or ():
+            files = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+            names = [f.getPath() for f in files if f.isFile() and f.getPath().getName()[0] not in "_."]
+            rows += [(r["tissue"], r["assay"], r["path"], f.toString()) for f in names]
+    return spark.createDataFrame(rows, "tissue string, assay string, replicate string, file string")
+
 
-    A path that matches nothing is left out; a file that can't be read is an error.
+def _plain_path(path: Column) -> Column:
+    """A file's path as Hadoop writes it, from the URI that Spark tells."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
+def scan_replicates(spark: SparkSession, entries: DataFrame, autosomes_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(peaks, left_out): peaks(tissue, assay, replicate, chrom, start, end, signal) of entries(tissue, assay, path), and what couldn't be read.
+
+    All files are one scan: paths and globs become a table of files, and lines find their entry by the file they come
+    from. A file is a CSV if its header names seqnames, else tab-separated columns as read_peaks takes them. left_out is
+    (file, reason): a file with a line that doesn't parse goes as a whole, and so does one of which nothing could be
+    read; a path that matches nothing has no file. Spark skips the rest of a file whose compression is damaged.
     """
-    parts = []
-    for r in entries.collect():
-        try:
-            parts.append(reader(spark, r["path"]).select(F.lit(r["tissue"]).alias("tissue"), F.lit(r["assay"]).alias("assay"), F.lit(r["path"]).alias("replicate"), "chrom", "start", "end", "signal"))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-    empty = spark.createDataFrame([], "tissue string, assay string, replicate string, chrom string, start long, end long, signal double")
-    for p in parts:
-        empty = empty.unionByName(p)
-    return empty
+    files = matched_files(spark, entries)
+    paths = [r["file"] for r in files.select("file").distinct().collect()]  # a row for each file of a small table
+    schema = "tissue string, assay string, replicate string, chrom string, start long, end long, signal double"
+    if not paths:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "file string, reason string")
+    lines = spark.read.option("ignoreCorruptFiles", True).text(paths).where("trim(value) <> ''")
+    lines = lines.select("value", _plain_path(F.col("_metadata.file_path")).alias("file"))
+    is_head = F.col("value").contains("seqnames") & F.col("value").contains(",")
+    cells = F.transform(F.regexp_extract_all("value", F.lit('("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1)), lambda c: F.regexp_replace(c, '^"|"$', ""))
+    heads = F.broadcast(lines.where(is_head).select("file", cells.alias("names")).dropDuplicates(["file"]))
+    known = lines.where(~is_head).join(heads, "file", "left")
+    named = lambda name: F.try_element_at(cells, F.array_position("names", F.lit(name)).cast("int"))
+    is_csv, f = F.col("names").isNotNull(), F.split("value", "\t")
+    cell = lambda name, i: F.when(is_csv, named(name)).otherwise(F.try_element_at(f, F.lit(i)))
+    raw = known.where(is_csv | (F.size(f) >= 3)).select("file", cell("seqnames", 1).alias("chrom"), cell("start", 2).alias("start"), cell("end", 3).alias("end"), cell("signalValue", 4).alias("signal"), is_csv.alias("csv"))
+    blank = F.col("signal").isNull() | F.trim("signal").isin("", ".")
+    signal = F.when(blank, F.when(~F.col("csv"), 1.0)).otherwise(F.col("signal").try_cast("double"))
+    parsed = raw.select("file", "chrom", F.col("start").try_cast("long").alias("start"), F.col("end").try_cast("long").alias("end"), signal.alias("signal"), (~blank & signal.isNull()).alias("junk"))
+    bad = parsed.where("start is null or end is null or junk").select("file").distinct()
+    none = files.select("file").distinct().join(lines.select("file").distinct(), "file", "left_anti")
+    left_out = bad.withColumn("reason", F.lit("a line doesn't parse")).unionByName(none.withColumn("reason", F.lit("nothing could be read")))
+    good = parsed.drop("junk").join(F.broadcast(bad), "file", "left_anti").join(F.broadcast(files), "file")
+    return only_chroms(good.select(*(c.split()[0] for c in schema.split(", "))), AUTOSOME_NAMES if autosomes_only else None), left_out
+
+
+def read_replicates(spark: SparkSession, entries: DataFrame, autosomes_only: bool = True) -> DataFrame:
+    """The peaks of scan_replicates."""
+    return scan_replicates(spark, entries, autosomes_only)[0]
 
 
 def read_fasta(spark: SparkSession, path: str, chrom: str, width: int = 10_000) -> DataFrame:
-    """(chrom, chunk, seq): the bases of one chromosome's file in chunks of `width`, header lines dropped.
+    """(chrom, chunk, seq): the bases of one chromosome in chunks of `width`, from a file or a folder's files by name, header lines dropped.
 
-    A line's place is the length of the lines before it, summed by part and then within parts; a line is cut where it
-    crosses chunks.
+    A line's place is the length of the lines before it, summed by block of a file and then within blocks; a line is cut
+    where it crosses chunks.
     """
-    lines = spark.read.text(path).withColumn("i", F.monotonically_increasing_id()).where(~F.col("value").startswith(">"))
-    lines = lines.select(F.trim("value").alias("s"), "i", F.shiftright("i", 33).alias("part"))
-    parts = lines.groupBy("part").agg(F.sum(F.length("s")).alias("n"))
+    lines = placed_lines(spark, path).where(~F.col("value").startswith(">"))
+    lines = lines.select(F.trim("value").alias("s"), "at.i", F.struct("at.file", "at.block").alias("part"))
+    parts = lines.groupBy("part").agg(F.sum(F.length("s")).alias("n"))  # a row for each block of a file
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     inside = F.coalesce(F.sum(F.length("s")).over(Window.partitionBy("part").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = lines.withColumn("inside", inside).join(F.broadcast(base), "part").withColumn("at", F.col("base") + F.col("inside")).where("length(s) > 0")
@@ -138,10 +199,9 @@ def read_matrix(spark: SparkSession, path: str, samples_axis: int = 0) -> DataFr
 
     Empty cells, NA and NaN are null; other text in a cell is an error. Names may be quoted.
     """
-    lines = spark.read.text(path)
-    head = lines.first()
-    names = next(csv.reader([head["value"]]))[1:] if head else []
-    rows = lines.where(F.col("value") != (head["value"] if head else "")).where("value <> ''")
+    head = first_lines(spark, path)
+    names = next(csv.reader(head))[1:] if head else []
+    rows = spark.read.text(path).where(~F.col("value").isin(*head, ""))
     quoted = F.regexp_extract("value", '^"((?:[^"]|"")*)",', 1)
     name = F.when(F.col("value").startswith('"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.substring_index("value", ",", 1))
     rest = F.regexp_replace("value", '^(?:"(?:[^"]|"")*"|[^,]*),', "")
@@ -153,12 +213,16 @@ def read_matrix(spark: SparkSession, path: str, samples_axis: int = 0) -> DataFr
     return keyed.join(order, "i").select(F.col("row").alias(first), F.col("column").alias(second), value.alias("value")).select("sample_id", "bin_key", "value")
 
 
-def read_named_csv(spark: SparkSession, path: str, text: tuple[str, ...] = ("key", "chrom", "interval", "bin"), whole: tuple[str, ...] = ("start", "end")) -> DataFrame:
-    """A CSV with header whose columns are numbers, but for names and coordinates: wide atlases and tables of importance."""
-    head = spark.read.text(path).first()
-    names = next(csv.reader([head["value"]])) if head else []
+def read_named_csv(spark: SparkSession, path: str, text: tuple[str, ...] = ("key", "chrom", "interval", "bin"), whole: tuple[str, ...] = ("start", "end"), order: str | None = None) -> DataFrame:
+    """A CSV with header whose columns are numbers, but for names and coordinates: wide atlases and tables of importance.
+
+    order names a further column that sorts the rows as they stand in the file, or in a folder's files by name.
+    """
+    head = first_lines(spark, path)
+    names = next(csv.reader(head)) if head else []
     kind = lambda n: "string" if n in text else "long" if n in whole else "double"
-    return spark.read.option("header", True).schema(", ".join(f"`{n}` {kind(n)}" for n in names)).csv(path)
+    rows = spark.read.option("header", True).schema(", ".join(f"`{n}` {kind(n)}" for n in names)).csv(path)
+    return rows if order is None else rows.select("*", place().alias(order))
 
 
 def read_coefficients(spark: SparkSession, path: str, schema: str = "pc string, b double") -> DataFrame:
@@ -177,17 +241,17 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
 
     Header lines start chains; a chain's lines are its block lengths and gaps, whose running sums place the blocks.
     """
-    lines = spark.read.text(path).withColumn("i", F.monotonically_increasing_id()).where("trim(value) <> '' and not value like '#%'")
+    lines = placed_lines(spark, path).where("trim(value) <> '' and not value like '#%'")
     f = F.split(F.trim("value"), "\\s+")
-    head = F.when(F.col("value").startswith("chain"), F.struct("i", f.alias("f")))
-    parted = lines.select("i", f.alias("f"), head.alias("head"), F.shiftright("i", 33).alias("part"))
-    ends = parted.groupBy("part").agg(F.max("head").alias("last"))  # a row for each part of the file
+    head = F.when(F.col("value").startswith("chain"), F.struct("at", f.alias("f")))
+    parted = lines.select("at", f.alias("f"), head.alias("head"), F.struct("at.file", "at.block").alias("part"))
+    ends = parted.groupBy("part").agg(F.max("head").alias("last"))  # a row for each block of a file
     carried = ends.select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
-    inside = F.last("head", ignorenulls=True).over(Window.partitionBy("part").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = F.last("head", ignorenulls=True).over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     known = parted.withColumn("own", inside).join(carried, "part").withColumn("chain", F.coalesce("own", "earlier"))
-    tagged = known.select("i", "f", F.col("chain.f").alias("h"), F.col("chain.i").alias("c"))
-    body = tagged.where("f[0] <> 'chain'").select("c", "i", "h", F.col("f")[0].cast("long").alias("n"), *(F.coalesce(F.try_element_at("f", F.lit(k)).cast("long"), F.lit(0)).alias(a) for k, a in ((2, "dt"), (3, "dq"))))
-    before = Window.partitionBy("c").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    tagged = known.select("at", "f", F.col("chain.f").alias("h"), F.col("chain.at").alias("c"))
+    body = tagged.where("f[0] <> 'chain'").select("c", "at", "h", F.col("f")[0].cast("long").alias("n"), *(F.coalesce(F.try_element_at("f", F.lit(k)).cast("long"), F.lit(0)).alias(a) for k, a in ((2, "dt"), (3, "dq"))))
+    before = Window.partitionBy("c").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     run = lambda gap: F.coalesce(F.sum(F.col("n") + F.col(gap)).over(before), F.lit(0))
     h = F.col("h")
     start = h[5].cast("long") + run("dt")
@@ -203,8 +267,7 @@ def read_bed_rest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """An experiment index of tab-separated strings; the header is the first of the first five lines with Accession and a tab, else the first."""
-    lines = spark.read.text(path)
-    first = [r["value"] for r in lines.limit(5).collect()]
+    lines, first = spark.read.text(path), first_lines(spark, path, 5)
     head = next((x for x in first if "Accession" in x and "\t" in x), first[0] if first else "")
     names = [n.strip() for n in head.split("\t")]
     skipped = first[: first.index(head) + 1] if first else []
