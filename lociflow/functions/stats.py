@@ -10,13 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .ranking import with_global_rank
+
+
+#: Terms of a continued fraction; one that needs more is an error.
+TERMS = 2_000_000
+
 
 def beta_fraction(a: float, b: float, x: float) -> float:
     """The continued fraction of the incomplete beta function (modified Lentz)."""
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 20_000):
+    for m in range(1, TERMS):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + num * d
             d = 1 / (d if abs(d) > tiny else tiny)
@@ -24,8 +30,8 @@ def beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"the fraction of the incomplete beta function doesn't converge at a = {a}, b = {b}, x = {x}")
 
 
 def t_two_sided(t: float, df: float) -> float:
@@ -86,26 +92,29 @@ def kolmogorov_sf(d: float, n: int) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)))) if x > 0.2 else 1.0
 
 
-@lru_cache(maxsize=256)
-def u_counts(m: int, n: int) -> tuple[int, ...]:
-    """How many orders of m and n untied values have each value of Mann and Whitney's U."""
-    ways = [1] + [0] * (m * n)
+@lru_cache(maxsize=1024)
+def u_orders(m: int, n: int, most: int) -> int:
+    """How many orders of m and n untied values have a U of `most` or less: coefficients of the Gaussian binomial, multiplied out up to there."""
+    ways = [1] + [0] * most
     for i in range(1, m + 1):  # multiply by (1 - q^(n+i)) / (1 - q^i)
-        for j in range(len(ways) - 1, n + i - 1, -1):
+        for j in range(most, n + i - 1, -1):
             ways[j] -= ways[j - n - i]
-        for j in range(i, len(ways)):
+        for j in range(i, most + 1):
             ways[j] += ways[j - i]
-    return tuple(ways)
+    return sum(ways)
 
 
 def mann_whitney_p(u: float, m: int, n: int, ties: float) -> float:
-    """Two-sided p: exact if a group has 8 values at most and none tie, else normal with tie and continuity correction."""
+    """Two-sided p: exact if a group has 8 values at most and none tie, else normal with tie and continuity correction.
+
+    The exact tail counts orders up to the nearer end of U, with whole numbers, so its cost grows with that tail alone.
+    """
     if not m or not n:
         return math.nan
     high = max(u, m * n - u)
-    if min(m, n) <= 8 and not ties and max(m, n) <= 2000:
-        ways = u_counts(min(m, n), max(m, n))
-        return min(1.0, 2 * sum(ways[math.ceil(high) :]) / sum(ways))
+    if min(m, n) <= 8 and not ties:
+        low = math.floor(m * n - math.ceil(high))  # the law is symmetric: P(U >= high) = P(U <= m n - high)
+        return min(1.0, 2 * u_orders(min(m, n), max(m, n), low) / math.comb(m + n, min(m, n))) if low >= 0 else 0.0
     total = m + n
     var = m * n / 12 * (total + 1 - ties / (total * (total - 1)))
     return 1.0 if var <= 0 else min(1.0, math.erfc((high - m * n / 2 - 0.5) / math.sqrt(var) / math.sqrt(2)))
@@ -139,31 +148,10 @@ def z_score(value: str, *keys: str) -> Column:
     return (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd).otherwise(1.0)
 
 
-def value_ranks(df: DataFrame, value: str, rank: str, buckets: int = 256) -> DataFrame:
-    """(value, rank): the average rank of each distinct value among all rows, ties sharing the mean of theirs; nulls have none.
-
-    Distinct values are counted and dealt into ranges between approximate quantiles, ranges are summed, and only within
-    a range are values ordered: no window holds all rows, wherever the values lie.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = counts.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("__cuts"))  # one row
-    placed = counts.join(F.broadcast(cuts), how="cross").withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
-    sums = placed.groupBy("__b").agg(F.sum("__n").alias("__s"))
-    before = F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")
-    bases = sums.select("__b", before.alias("__base"))  # at most `buckets` rows
-    inside = F.sum("__n").over(Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-    return placed.join(F.broadcast(bases), "__b").select(value, (F.col("__base") + inside + (F.col("__n") + 1) / 2).alias(rank))
-
-
-def with_global_rank(df: DataFrame, value: str, rank: str, buckets: int = 256) -> DataFrame:
-    """df with the average rank of value among all rows; null values have none."""
-    return df.join(value_ranks(df, value, rank, buckets), value, "left").select(*df.columns, rank)
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho, p): rank correlation of the rows where both are known, p from Student's law with n - 2."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("__x"), F.col(y).alias("__y"))
-    ranked = both.join(value_ranks(both, "__x", "__rx"), "__x").join(value_ranks(both, "__y", "__ry"), "__y")
+    ranked = with_global_rank(with_global_rank(both, "__x", "__rx"), "__y", "__ry")
     out = ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho"))
     t = F.col("rho") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("rho") * F.col("rho")))
     p = F.when(F.abs("rho") >= 1, 0.0).otherwise(t_column(F.coalesce(t, F.lit(float("nan"))), (F.col("n") - 2).cast("double")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import bin_part
+from ..functions.ranking import numbered
 from ..functions.stats import mann_whitney_column, spearman
 from ..sources.scratch import written
 from .attribute import panel_tissues
@@ -21,11 +22,9 @@ def with_coordinates(bins: DataFrame) -> DataFrame:
 
 
 def ranked(bins: DataFrame) -> DataFrame:
-    """bins with rank 1.. by importance, the largest first, nulls last; equal ones by chromosome, start and key.
-
-    One window over the bins: a row for each bin of the genome, not for each sample.
-    """
-    return bins.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc_nulls_last(), "chrom", "start", "bin_key")))
+    """bins with rank 1.. by importance, the largest first, nulls last; equal ones by chromosome, start and key."""
+    out, _ = numbered(bins, [F.col("importance").desc_nulls_last(), "chrom", "start", "bin_key"], "rank")
+    return out.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def importance_by_shap(matrix: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ def specificity(composite: DataFrame) -> DataFrame:
 def top_bins(importance: DataFrame, bins: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
     """(topn, bin_key, k): the most important bins that the atlas has, for each cut; k is how many there are."""
     known = importance.join(bins.select(F.col("bin_key").alias("key")).distinct(), "key", "left_semi")
-    rank = F.row_number().over(Window.orderBy(F.col("importance").desc_nulls_last(), "key"))
-    some = known.withColumn("rank", rank).where(F.col("rank") <= max(cuts))
+    order = F.col("importance").desc_nulls_last(), F.col("key")
+    first = known.orderBy(*order).limit(max(cuts))  # each task keeps that many, so the window sees the largest cut alone
+    some = first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     each = some.withColumn("topn", F.explode(F.array(*map(F.lit, cuts)))).where("rank <= topn")
     return each.select("topn", F.col("key").alias("bin_key"), F.count(F.lit(1)).over(Window.partitionBy("topn")).alias("k"))
 
@@ -67,14 +70,19 @@ def permutation_p(spec: DataFrame, top: DataFrame, n_perm: int = 2000, seed: int
     """(topn, tissue, abs_p, spec_p): how often random bins lie as far from their mean as the top bins do.
 
     A permutation orders the bins by a hash of seed, permutation and bin; its first k bins are the sample for a cut of k.
-    So permutations are rows like others, each ordered by itself, and the result is the same in every run.
+    Only bins whose hash is below a threshold, which leaves few more than k, are ordered; a permutation in which fewer are
+    left is drawn again without it. So the result is exact and the same in every run, and rows near n_perm times k move.
     """
-    bins = spec.select("bin_key").distinct()
-    each = bins.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    order = Window.partitionBy("perm").orderBy(unit_hash(seed, F.col("perm"), F.col("bin_key")), "bin_key")
+    bins = written(spec.select("bin_key").distinct(), "bins")
     sizes = top.groupBy("topn").agg(F.max("k").alias("k"))  # a row for each cut
-    most = sizes.agg(F.max("k")).first()[0] or 0
-    drawn = each.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).join(F.broadcast(sizes), F.col("i") <= F.col("k"))
+    n = bins.count()
+    most = min(sizes.agg(F.max("k")).first()[0] or 0, n)
+    drawn = written(_bottom(bins, range(n_perm), most, seed, _threshold(most, n)), "drawn")
+    counts = {r["perm"]: r["n"] for r in drawn.groupBy("perm").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each permutation
+    short = [k for k in range(n_perm) if counts.get(k, 0) < most]
+    if short:  # too few hashes below the threshold: these are drawn without one
+        drawn = drawn.where(~F.col("perm").isin(short)).unionByName(_bottom(bins, short, most, seed, 1.0))
+    drawn = drawn.join(F.broadcast(sizes), F.col("i") <= F.col("k"))
     means = lambda df, *keys: df.join(spec, "bin_key").groupBy("topn", "tissue", *keys)
     null = written(means(drawn, "perm").agg(F.avg("value").alias("abs_null"), F.avg("spec").alias("spec_null")), "permutations")
     mid = null.groupBy("topn", "tissue").agg(F.avg("abs_null").alias("abs_mu"), F.avg("spec_null").alias("spec_mu"))
@@ -85,6 +93,19 @@ def permutation_p(spec: DataFrame, top: DataFrame, n_perm: int = 2000, seed: int
     return both.groupBy("topn", "tissue").agg(p("abs").alias("abs_p"), p("spec").alias("spec_p"))
 
 
+def _threshold(k: int, n: int) -> float:
+    """A hash below which k of n bins lie, but for about one permutation in a billion."""
+    return min(1.0, (k + 6 * math.sqrt(k) + 12) / max(n, 1))
+
+
+def _bottom(bins: DataFrame, perms: range | list[int], k: int, seed: int, threshold: float) -> DataFrame:
+    """(perm, bin_key, i): the k bins of the smallest hashes of each permutation, numbered from 1."""
+    each = bins.withColumn("perm", F.explode(F.array(*map(F.lit, perms)) if isinstance(perms, list) else F.sequence(F.lit(0), F.lit(len(perms) - 1))))
+    each = each.withColumn("u", unit_hash(seed, F.col("perm"), F.col("bin_key"))).where(F.col("u") < threshold) if threshold < 1 else each.withColumn("u", unit_hash(seed, F.col("perm"), F.col("bin_key")))
+    order = Window.partitionBy("perm").orderBy("u", "bin_key")
+    return each.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k).select("perm", "bin_key", "i")
+
+
 def plot_order(enrichment: DataFrame, lead: str = "placenta") -> DataFrame:
     """(tissue, position): the lead tissue, then the others by specific z at the smallest cut."""
     first = enrichment.agg(F.min("topn").alias("least"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import TISSUE_PATTERNS, assay_key, feature_key, normal_key, tissue_group
-from ..functions.stats import with_global_rank
+from ..functions.ranking import with_global_rank
 from ..operators import annotate, atlas, attribute, enrich, liftover, marks, nulls, selection, shap, tissue
 from ..operators.intervals import bin_grid
 from ..schema import ACTIVE_MARKS, MARKS, REPRESSIVE_MARKS, panel_roles
@@ -329,8 +329,7 @@ CHUNK = 64
 ) SELECT region_id, round(CASE WHEN len - nn > 0 THEN gc / (len - nn) END, 6) AS gc, round(CASE WHEN len > 0 THEN nn / len ELSE 1 END, 6) AS nfrac, len AS length FROM n"""
 )
 def region_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = nulls.genome_chunks(A.sequences(spark, sf_dir, CHUNK), CHUNK)
-    found = nulls.region_content(A.text_regions(spark, sf_dir), chunks, CHUNK)
+    found = nulls.region_content(A.text_regions(spark, sf_dir), text_chunks(spark, sf_dir), CHUNK)
     return found.select("region_id", r("gc").alias("gc"), r("nfrac").alias("nfrac"), "length")
 
 

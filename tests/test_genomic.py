@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.functions import stats
+from lociflow.functions import ranking, stats
 from lociflow.functions.keys import bin_part, feature_key, normal_key, tissue_group
 from lociflow.operators import annotate, atlas, attribute, enrich, liftover, marks, nulls, selection, shap, tissue
 from lociflow.operators.intervals import overlap_join
@@ -152,7 +152,7 @@ def test_binomial_tails():
 def test_global_rank_with_outliers(spark):
     values = [1e18, -1e18, None, *[float(i % 40) for i in range(500)]]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = sorted((r["v"], r["k"]) for r in stats.with_global_rank(df, "v", "k", buckets=8).collect() if r["v"] is not None)
+    got = sorted((r["v"], r["k"]) for r in ranking.with_global_rank(df, "v", "k").collect() if r["v"] is not None)
     known = sorted(v for v in values if v is not None)
     assert got == [(v, known.index(v) + (known.count(v) + 1) / 2) for v in known]
 
