@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import release, values, written
 
 END_ID = 1
-CACHED_WORDS = 200_000
+#: Words that a Python worker keeps, and bytes of text whose words it looks up together.
+CACHED_WORDS, TEXT_BLOCK = 1_000_000, 12_000_000
 RANK_BITS = 44
 FINAL_MARKS = b".,;:!?"
 
@@ -74,20 +75,33 @@ class WordTokens:
         self.known.update((w, self.known[c] + self.known[m]) for w, (c, m) in zip(new, pairs, strict=True) if m)
         return list({*new, *parts})
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The ids of a text, in order, then END_ID. Words stay known while there are fewer than CACHED_WORDS: frequent ones come early."""
-        raw = text.encode("utf-8", "replace") if text else b""
-        words = (raw if b"<|" in raw else raw.lower()).split()  # the names of special tokens are told by case
+    def many(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order, then END_ID.
+
+        Texts go in blocks, so that a block's new words are encoded together. Words stay known while there are fewer than
+        CACHED_WORDS: frequent ones come early.
+        """
+        block, size = [], 0
+        for text in texts:
+            raw = text.encode("utf-8", "replace") if text else b""
+            block.append((raw if b"<|" in raw else raw.lower()).split())  # the names of special tokens are told by case
+            size += len(raw) + 1
+            if size >= TEXT_BLOCK:
+                yield from self._of_block(block)
+                block, size = [], 0
+        yield from self._of_block(block)
+
+    def _of_block(self, block: list[list[bytes]]) -> Iterator[np.ndarray]:
+        full = len(self.known) >= CACHED_WORDS
+        new = self.learned(list(set().union(*block))) if block else []
         get = self.known.__getitem__
-        try:
-            ids = b"".join(map(get, words))
-        except KeyError:
-            full = len(self.known) >= CACHED_WORDS
-            new = self.learned(words)
-            ids = b"".join(map(get, words))
-            for w in new if full else ():
-                del self.known[w]
-        return np.append(np.frombuffer(ids, self.kind), self.kind.type(END_ID))
+        for words in block:
+            yield np.append(np.frombuffer(b"".join(map(get, words)), self.kind), self.kind.type(END_ID))
+        for w in new if full else ():
+            del self.known[w]
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return next(self.many(iter([text])))
 
 
 @cache
@@ -105,8 +119,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: st
         tokens = word_tokens(tokenizer_path)
         for batch in batches:
             row, start, length, crc = [], [], [], []
-            for i, text in enumerate(values(batch, "text")):
-                ids = tokens(text).astype("<u4")
+            for i, ids in enumerate(tokens.many(values(batch, "text"))):
+                ids = ids.astype("<u4")
                 for a in range(0, len(ids), capacity):
                     part = ids[a : a + capacity]
                     row.append(i)
