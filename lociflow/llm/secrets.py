@@ -6,9 +6,10 @@ Wald-Wolfowitz runs of upper and lower half of the alphabet, and the lag-one ser
 probabilities combine to one p by Fisher's rule. Random tokens have uniform p, language and code pile up near 0, more
 so the longer they are. So within each class of encoding and length the share of random tokens is estimated from the
 upper half of p, and the least cut-off is taken at which the expected share of others among the tokens above it is
-at most `fdr`. Classes of under LEAST tokens are judged as one, and if that has no LEAST either, nothing is added from
-them. Tokens of letters of one case alone are taken for words and not tested: their counts say too little against names
-and compounds of natural language.
+at most `fdr`. A token that repeats counts once for this. Classes of under LEAST tokens are judged as one, however few
+they hold together; the estimate counts one token more in the upper half than there are, and two more in all, so a lone
+token is added if its own p lies in the upper half. Tokens of letters of one case, or with a capital before small ones,
+are taken for words and not tested: as classes of their own they were tried, and long words of prose passed the tests.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def randomness(token: Column, alphabet: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, stop, cls, p>> of long tokens that aren't words and meet no fixed kind."""
+    """array<struct<start, stop, cls, p, h>> of long tokens that aren't words and meet no fixed kind."""
     free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"]))
     hits = F.filter(found(text, TOKEN), lambda x: ~x["token"].rlike(WORDLIKE) & free(x))
 
@@ -156,21 +157,24 @@ def candidates(text: Column, base: Column) -> Column:
             alphabet = F.when(x["token"].rlike(pattern), F.lit(letters)).otherwise(alphabet)
         size = sum(((F.length(x["token"]) >= n).cast("int") for n in LENGTHS[1:]), F.lit(0))
         p = let(alphabet, lambda a: randomness(x["token"], a))
-        return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), (no * len(LENGTHS) + size).alias("cls"), p.alias("p"))
+        return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), (no * len(LENGTHS) + size).alias("cls"), p.alias("p"), F.xxhash64(x["token"]).alias("h"))
 
     return F.transform(hits, judged)
 
 
 def cut_offs(tokens: DataFrame, fdr: float) -> dict[int, float]:
-    """By class, the least p at which tokens above it are random but for a share of fdr; classes without one are left out."""
-    binned = tokens.groupBy("cls", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count()
+    """By class, the least p at which tokens above it are random but for a share of fdr; classes without one are left out.
+
+    tokens(cls, p, h): h names a token, and equal ones count once.
+    """
+    binned = tokens.distinct().groupBy("cls", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count()
     counts: dict[int, list[int]] = {}
     for r in binned.collect():  # at most 40 classes of 20 bins
         counts.setdefault(r["cls"], [0] * BINS)[r["bin"]] = r["count"]
     sparse = [cls for cls, n in counts.items() if sum(n) < LEAST]
     pooled = [sum(counts[cls][b] for cls in sparse) for b in range(BINS)]
     groups = [([cls], n) for cls, n in counts.items() if cls not in sparse] + [(sparse, pooled)]
-    return {cls: cut for classes, n in groups if sum(n) >= LEAST and (cut := cut_off(n, fdr)) is not None for cls in classes}
+    return {cls: cut for classes, n in groups if (cut := cut_off(n, fdr)) is not None for cls in classes}
 
 
 def cut_off(n: list[int], fdr: float) -> float | None:
@@ -205,7 +209,7 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     seen = written(examined(slim, "text").drop("text"), "spans")
-    cuts = cut_offs(seen.select(F.explode("__more").alias("t")).select("t.cls", "t.p"), fdr)
+    cuts = cut_offs(seen.select(F.explode("__more").alias("t")).select("t.cls", "t.p", "t.h"), fdr)
     names = F.array(*(F.lit(k[0]) for k in KINDS), F.lit(RANDOM))
     told = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", names[x["no"]], x["start"].cast("string"), x["stop"].cast("string"))), ",")
     count = lambda no: F.size(F.filter("__base", lambda x: x["no"] == no)).cast("long")
@@ -217,7 +221,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fd
     """docs with every span of the text replaced by mark; spans that meet become one. Null texts stay null."""
     text = F.col(text_col)
     seen = written(examined(docs, text_col), "examined")  # each text is examined once
-    cuts = cut_offs(seen.select(F.explode("__more").alias("t")).select("t.cls", "t.p"), fdr)
+    cuts = cut_offs(seen.select(F.explode("__more").alias("t")).select("t.cls", "t.p", "t.h"), fdr)
     seen = seen.withColumn("__spans", all_spans(F.col("__base"), F.col("__more"), cuts))
     none = F.array().cast("array<string>")
 

@@ -55,17 +55,27 @@ def test_random_tokens_are_added_and_words_are_not(spark):
     assert sum("random:" in got[1000 + i] for i in range(150)) <= 8
 
 
-def test_a_few_tokens_of_a_kind_are_no_evidence():
-    one = [0] * 20
-    one[15] = 1
-    assert cut_off([8] * 20, 0.05) == 0.0 and cut_off([160] + [0] * 19, 0.05) is None
-    assert cut_off(one, 0.05) == 0.0  # which is why cut_offs asks for LEAST tokens
+def test_cut_off_of_few_tokens():
+    high, low = [0] * 20, [0] * 20
+    high[15], low[3] = 1, 1
+    assert cut_off([8] * 20, 0.05) == 0.0 and cut_off([160] + [0] * 19, 0.05) is None and cut_off([0] * 20, 0.05) is None
+    assert cut_off(high, 0.05) == 0.0 and cut_off(low, 0.05) is None
+
+
+def test_a_lone_key_is_found_in_tables_of_any_size(spark):
+    """One key among few tokens and among many of another kind; it counts once however often it repeats."""
+    key = random_token(rng(2), 36)
+    names = [f"internationalization_of_{'very_' * k}long_identifiers" for k in range(1, 4)]
+    for n in (0, 3, 60):
+        rows = [(0, f"word {key} word")] + [(1 + i, f"see {names[i % 3]} {i}") for i in range(n)]
+        got = {x["doc_id"]: x["spans"] for x in secret_report(documents(spark, rows)).collect()}
+        assert got[0] == f"random:5:{5 + len(key)}" and not any(got[1 + i] for i in range(n)), n
+    repeated = [(i, f"w {names[0]} w") for i in range(500)]
+    assert not any(x["spans"] for x in secret_report(documents(spark, repeated)).collect())
 
 
 def test_sparse_classes_are_judged_together(spark):
     r = rng(4)
-    lone = [(i, f"word {random_token(r, 40)} word") for i in range(3)]
-    assert not any("random" in x["spans"] for x in secret_report(documents(spark, lone)).collect())
     some = [(i, f"word {random_token(r, n)} word") for i, n in enumerate([22, 26, 34, 50, 70] * 12)]
     assert sum("random" in x["spans"] for x in secret_report(documents(spark, some)).collect()) >= 50
 
