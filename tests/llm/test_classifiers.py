@@ -111,3 +111,47 @@ def test_network_gradient_learns_a_pair_of_words():
     net.start_from_odds(texts[:200], np.array(y[:200]))
     net.train(texts[:200], np.array(y[:200]), epochs=20)
     assert auc(y[200:], [net.raw(t) for t in texts[200:]]) > 0.95
+
+
+def test_convolution_and_pooling_by_plain_loops():
+    """Scores of a network with random filters: every window of every width, the largest value of each filter, the logistic output."""
+    from lociflow.llm import toxicity as T
+
+    net, cache = T.ConvNet(seed=11), T.WordCodes()
+    for w in T.WIDTHS:
+        net.p[f"b{w}"] = rng(w).normal(0, 0.3, T.FILTERS).astype(np.float32)
+    net.p["bias"][0] = 0.25
+    r = rng(12)
+    for n in (0, 1, 2, 3, 40, 5000):  # above 4096 words the text goes in chunks
+        codes = T.coded(" ".join(f"w{i}" for i in r.integers(0, 300, n)), cache)
+        vectors = [np.concatenate([net.p["t0"][c & 0xFFFF], net.p["t1"][c >> 16 & 0xFFFF]]) for c in codes.tolist()]
+        zero = np.zeros(2 * T.HALF, np.float32)
+        total = float(net.p["bias"][0])
+        for k, w in enumerate(T.WIDTHS):
+            for f in range(T.FILTERS) if n else ():
+                best = -np.inf
+                for i in range(n):
+                    window = [vectors[i + j] if i + j < n else zero for j in range(w)]
+                    best = max(best, sum(float(x @ net.p[f"w{w}"][j][:, f]) for j, x in enumerate(window)))
+                total += max(0.0, best + float(net.p[f"b{w}"][f])) * float(net.p["out"][k * T.FILTERS + f])
+        assert net.raw(codes) == pytest.approx(total, abs=1e-3), n
+        assert net.score(codes) == pytest.approx(1 / (1 + np.exp(-total - net.shift[T.language(codes)])), abs=1e-3)
+
+
+def test_one_training_step_follows_the_numeric_gradient():
+    """The output's and a filter's gradients, from the loss of one text at slightly moved parameters."""
+    from lociflow.llm import toxicity as T
+
+    codes = T.coded("a b c d e f g a b", T.WordCodes())
+    loss = lambda net: float(np.log1p(np.exp(-net.raw(codes))))  # noqa: E731  label 1
+    for name, at in (("out", (3,)), ("w2", (1, 4, 5)), ("b3", (7,))):
+        net = T.ConvNet(seed=2)
+        before, grads = net.p[name][at], []
+        for h in (1e-2, -1e-2):
+            net.p[name][at] = before + np.float32(h)
+            grads.append(loss(net))
+        slope = (grads[0] - grads[1]) / 2e-2
+        net.p[name][at] = before
+        net.train([codes], np.array([1]), epochs=1, batch=1, rate=1e-3)
+        moved = float(net.p[name][at] - before)  # a first Adam step moves by the rate against the sign of the gradient
+        assert abs(slope) < 1e-4 or np.sign(moved) == -np.sign(slope), name
