@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import unit_hash
+from ..functions.ranking import numbered
 from ..functions.stats import fold_test_column, kolmogorov_column
 from ..sources.scratch import written
 from .annotate import annotate_regions
@@ -49,11 +50,10 @@ def coverage_enrichment(query: DataFrame, null: DataFrame, n_boot: int = 1000, s
     q = query.groupBy("assay").agg(F.avg("coverage").alias("query_mean"), F.count(F.lit(1)).alias("n_query"))
     n = null.groupBy("assay").agg(F.avg("coverage").alias("null_mean"), F.count(F.lit(1)).alias("n_null"))
     sizes = q.join(n, "assay", "left")
-    numbered = _numbered(null)
     draws = sizes.where("n_null > 0").select("assay", "n_query", "n_null", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
     draws = draws.withColumn("i", F.explode(F.expr("sequence(0L, n_query - 1)")))
     draws = draws.withColumn("at", F.floor(unit_hash(seed, F.col("assay"), F.col("b"), F.col("i")) * F.col("n_null")))
-    means = draws.join(numbered, ["assay", "at"]).groupBy("assay", "b").agg(F.avg("coverage").alias("m"))
+    means = draws.join(_numbered(null), ["assay", "at"]).groupBy("assay", "b").agg(F.avg("coverage").alias("m"))
     fold = lambda x: F.log2((x + COVERAGE_PSEUDO) / (F.col("null_mean") + COVERAGE_PSEUDO))
     seen = means.join(sizes, "assay").withColumns({"fold": fold(F.col("m")), "obs": fold(F.col("query_mean"))})
     tests = seen.groupBy("assay").agg(
@@ -65,13 +65,10 @@ def coverage_enrichment(query: DataFrame, null: DataFrame, n_boot: int = 1000, s
 
 
 def _numbered(null: DataFrame) -> DataFrame:
-    """(assay, coverage, at): numbers from 0 within each assay, in parts by a hash of the item, so that no assay is one task."""
-    keyed = null.select("assay", "item", "coverage", F.substring(F.md5(F.col("item").cast("string")), 1, 2).alias("part"))
-    counts = keyed.groupBy("assay", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("assay").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    bases = counts.select("assay", "part", before.alias("base"))  # 256 rows for each assay
-    inside = F.row_number().over(Window.partitionBy("assay", "part").orderBy("item", "coverage")) - 1
-    return keyed.withColumn("inside", inside).join(bases, ["assay", "part"]).select("assay", "coverage", (F.col("base") + F.col("inside")).alias("at"))
+    """(assay, coverage, at): numbers from 0 within each assay, in the order of items."""
+    rows, _ = numbered(null.select("assay", "item", "coverage"), ["assay", "item", "coverage"], "number")
+    first = rows.groupBy("assay").agg(F.min("number").alias("first"))  # a row for each assay
+    return rows.join(F.broadcast(first), "assay").select("assay", "coverage", (F.col("number") - F.col("first")).alias("at"))
 
 
 def state_enrichment_test(

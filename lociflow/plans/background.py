@@ -154,7 +154,7 @@ def covered_sql(name: str, source: str, keys: str) -> str:
         covered_sql("cq", "whole", "region_id"), covered_sql("cn", "nul", "region_id, draw"),
         "qs AS (SELECT assay, avg(coverage) AS query_mean, count(*) AS n_query FROM cq GROUP BY assay)",
         "ns AS (SELECT assay, avg(coverage) AS null_mean, count(*) AS n_null FROM cn GROUP BY assay)",
-        "numbered AS (SELECT assay, coverage, row_number() OVER (PARTITION BY assay ORDER BY substr(md5('{' || region_id || ', ' || draw || '}'), 1, 2), region_id, draw) - 1 AS spot FROM cn)",
+        "numbered AS (SELECT assay, coverage, row_number() OVER (PARTITION BY assay ORDER BY region_id, draw) - 1 AS spot FROM cn)",
         f"""draws AS (SELECT assay, b, floor({unit_sql("'0'", "assay", "b", "i")} * n_null)::BIGINT AS spot
           FROM qs JOIN ns USING (assay), range(1000) x(b), range((SELECT max(n_query) FROM qs)) y(i) WHERE i < n_query)""",
         "means AS (SELECT assay, b, avg(coverage) AS m FROM draws JOIN numbered USING (assay, spot) GROUP BY assay, b)",

@@ -292,7 +292,7 @@ def compartment_importance_test(spark: SparkSession, sf_dir: str) -> DataFrame:
           SELECT assay, avg(coverage) FILTER (WHERE urgent) AS query_mean, count(*) FILTER (WHERE urgent) AS n_query, avg(coverage) FILTER (WHERE NOT urgent) AS null_mean,
                  count(*) FILTER (WHERE NOT urgent) AS n_null FROM own GROUP BY assay
         ), numbered AS (
-          SELECT assay, coverage, row_number() OVER (PARTITION BY assay ORDER BY substr(md5(region_id::VARCHAR), 1, 2), region_id) - 1 AS spot FROM own WHERE NOT urgent
+          SELECT assay, coverage, row_number() OVER (PARTITION BY assay ORDER BY region_id) - 1 AS spot FROM own WHERE NOT urgent
         )""",
         f"""draws AS (
           SELECT assay, b, floor({unit_sql("'0'", "assay", "b", "i")} * n_null)::BIGINT AS spot FROM sums, range(1000) x(b), range((SELECT max(n_query) FROM sums)) y(i) WHERE i < n_query
