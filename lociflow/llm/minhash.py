@@ -9,9 +9,10 @@ Links are exact: equal sets are one class from the start, classes are compared o
 confirmed only by 100 * intersection >= percent * union. Buckets are never expanded into all pairs. First the members
 of a bucket are compared with one member of it, and the classes joined so far collapse. Then pairs of one small bucket
 in different components are compared in full. In a large bucket sketches tell, by their concentration, which classes
-may link with which larger component (a pair at similarity 0.8 fails with probability below 1e-8), and such a class is
-compared with every member of that component, in blocks, by products of incidence matrices. So a pair that shares a
-bucket is found whatever the size of the bucket. Sketches are compared for the members outside a bucket's largest
+may link with which larger component (a pair at similarity 0.8 fails with probability below 1e-8). The strongest
+agreements that connect a bucket, one for each of its classes at most, are confirmed first, and what they link collapses
+again. A class that may still link with another component is compared with every member of it, in blocks, by products of
+incidence matrices. So a pair that shares a bucket is found whatever the size of the bucket. Sketches are compared for the members outside a bucket's largest
 component only, so a bucket costs its size times the share of members that don't belong to its main group; a large bucket
 of texts that share much but link with nothing is the case that stays quadratic.
 """
@@ -186,11 +187,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return units.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(work, "a binary, b binary, linked boolean")
 
 
+def strongest_links(agree_with, component: np.ndarray) -> list[tuple[int, int]]:
+    """Edges between different components of a maximum spanning forest: agree_with(i) tells how far each agrees with i, below 0 where they can't link."""
+    m = len(component)
+    best, link, open_ = np.full(m, -1), np.zeros(m, np.int64), np.ones(m, bool)
+    edges = []
+    for _ in range(m):
+        i = int(np.argmax(np.where(open_, best, -2)))
+        if best[i] >= 0 and component[i] != component[link[i]]:
+            edges.append((i, int(link[i])))
+        open_[i] = False
+        agree = agree_with(i)
+        nearer = open_ & (agree > best)
+        best[nearer], link[nearer] = agree[nearer], i
+    return edges
+
+
 def suspects(at: DataFrame, percent: int, t: int) -> DataFrame:
-    """(node, component) for classes of a large bucket whose sketch may link with a class of a larger component.
+    """(node, n, c, components, partners) for classes of a large bucket whose sketch may link with a class of a larger component.
 
     at(key, node, n, c, size, bits): members of buckets with their component and its size. Members of a bucket's largest
-    component are only compared with: of a bucket, blocks of the others meet blocks of all.
+    component are only compared with: of a bucket, blocks of the others meet blocks of all. partners are the classes with
+    which a spanning forest of the strongest agreements in such a pair of blocks connects the node.
     """
     share = percent / 100
     need = t * share - 6.5 * np.sqrt(t * share * (1 - share))
@@ -200,13 +218,22 @@ def suspects(at: DataFrame, percent: int, t: int) -> DataFrame:
         code = {c: i for i, (_, c) in enumerate(names)}
         order, n, asks = group["c"].map(code).to_numpy(), group["n"].to_numpy(), group["side"].to_numpy() == 0
         bits = np.frombuffer(b"".join(group["bits"]), np.uint8).reshape(len(group), t)
+        fits = lambda i, k: 100 * np.minimum(n[k], n[i]) >= percent * np.maximum(n[k], n[i])
         found = []
         for i in np.flatnonzero(asks):
-            other = np.flatnonzero(~asks & (order > order[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            other = np.flatnonzero(~asks & (order > order[i]) & fits(i, slice(None)))
             agree = (bits[other] == bits[i]).sum(1)
             if len(some := np.unique(order[other[agree >= need]])):
-                found.append((group["node"].iat[i], [names[c][1] for c in some]))
-        return pd.DataFrame(found, columns=["node", "components"])
+                found.append((group["node"].iat[i], n[i], group["c"].iat[i], [names[c][1] for c in some], []))
+        if found:
+            own = np.flatnonzero(~group["node"].duplicated().to_numpy())
+
+            def agree_with(i: int) -> np.ndarray:
+                agree = np.where(order[own] == order[own[i]], t + 1, (bits[own] == bits[own[i]]).sum(1))
+                return np.where((agree >= need) & ((agree > t) | fits(own[i], own)), agree, -1)
+
+            found += [(group["node"].iat[own[i]], n[own[i]], group["c"].iat[own[i]], [], [group["node"].iat[own[j]]]) for i, j in strongest_links(agree_with, order[own])]
+        return pd.DataFrame(found, columns=["node", "n", "c", "components", "partners"])
 
     size = lambda col: F.ceil(col / BUCKET_BLOCK)
     parts = at.groupBy("key", "c").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
@@ -219,9 +246,9 @@ def suspects(at: DataFrame, percent: int, t: int) -> DataFrame:
     cols = ["key", "node", "n", "c", "size", "bits"]
     asking = known.where("asks").select(*cols, F.lit(0).alias("side"), own("p").alias("i"), span("q").alias("j"))
     asked = known.select(*cols, F.lit(1).alias("side"), span("p").alias("i"), own("q").alias("j"))
-    found = asking.unionByName(asked).groupBy("key", "i", "j").applyInPandas(work, "node binary, components array<binary>")
-    of_node = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("components"))).alias("components"))
-    return of_node.select("node", F.explode("components").alias("component"))
+    found = asking.unionByName(asked).groupBy("key", "i", "j").applyInPandas(work, "node binary, n long, c binary, components array<binary>, partners array<binary>")
+    gathered = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"), gathered("components"), gathered("partners"))
 
 
 def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -241,12 +268,12 @@ def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
 
 
 def links_with(asked: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) for links of asked(node, component) with any class of that component, on full sets, in blocks.
+    """(a, b) for links of asked(node, n, component) with any class of that component, on full sets, in blocks.
 
     labels is (node, n, component).
     """
     n_blocks = lambda n, w: F.ceil(F.greatest(n / SET_BLOCK, w / SET_BLOCK_SHINGLES))
-    left, right = asked.join(labels.select("node", "n"), "node"), labels.select("component", "node", "n")
+    left, right = asked, labels.select("component", "node", "n")
     blocks = lambda df, name: df.groupBy("component").agg(n_blocks(F.count(F.lit(1)), F.sum("n")).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
     counts = written(blocks(left, "p").join(blocks(right, "q"), "component"), "blocks")
     total = counts.agg(F.sum("n_p").alias("p"), F.sum("n_q").alias("q")).first()
@@ -280,6 +307,13 @@ def id_of(name: str):
     return (F.conv(F.hex(F.substring(name, 1, 8)), 16, 10).cast("decimal(20,0)") - F.expr("9223372036854775808BD")).cast("long")
 
 
+def merged_components(links: DataFrame, of: DataFrame) -> DataFrame:
+    """(node, component) of the components of(node, c) that links(a, b) of their nodes join: node is the name of the old one."""
+    name = of.select("node", "c")
+    joined = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return connected_components(joined.where("a <> b").distinct())
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5
 ) -> DataFrame:
@@ -320,15 +354,24 @@ def near_duplicates(
     other = few.select("key", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("c").alias("d"))
     pairs = few.join(other, "key").where(f"c < d and {fits}").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = written(verified(written(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), sets, percent), "verified").where("linked").select("a", "b")
+    compared = written(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
+    found = written(verified(compared, sets, percent), "verified").where("linked").select("a", "b")
     many = at.where(F.col("m") > SMALL_BUCKET)
     if not many.isEmpty():
         asked = written(suspects(many.join(nodes.select("node", "bits"), "node"), percent, bands * rows), "suspects")
         if not asked.isEmpty():
-            found = found.unionByName(written(links_with(asked, labels, sets, percent), "links"))
-    name = of.select("node", "c")
-    joined = found.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    merged = connected_components(joined)
+            strong = asked.select("node", F.explode("partners").alias("o")).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+            done = known.unionByName(compared)
+            strong = written(verified(written(strong.join(done, ["a", "b"], "left_anti"), "strongest"), sets, percent), "strong").where("linked").select("a", "b")
+            found = written(found.unionByName(strong), "found")
+            root = written(merged_components(found, of), "merged")
+            n_asked = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+            rooted = lambda df, c: spread_join(df, root.toDF(c, f"{c}_root"), c, hot_keys(n_asked.withColumnRenamed("component", c), c, n_nodes), "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+            rest = rooted(rooted(asked.select("node", "n", "c", F.explode("components").alias("component")), "component"), "c").where("c <> component")
+            rest = written(rest.select("node", "n", "component").distinct(), "asked")
+            if not rest.isEmpty():
+                found = found.unionByName(written(links_with(rest, rooted(labels, "component"), sets, percent), "links"))
+    merged = merged_components(found, of)
     labels = spread_join(labels.select("node", "component"), merged.toDF("component", "root"), "component", hot_keys(sizes, "component", n_nodes), "left")
     labels = labels.select("node", F.coalesce("root", "component").alias("component"))
     named = written(classes.select("set", "node").join(labels, "node", "left").select("set", F.coalesce("component", "node").alias("component")), "components")

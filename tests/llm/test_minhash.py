@@ -1,6 +1,6 @@
 import numpy as np
 
-from lociflow.llm.minhash import WordHashes, near_duplicates, round_seeds, shingle_set, sketch
+from lociflow.llm.minhash import WordHashes, near_duplicates, round_seeds, shingle_set, sketch, strongest_links
 
 from .helpers import components, documents, prose, rng, rows_of
 
@@ -75,3 +75,18 @@ def test_shingles_of_whole_text():
     cache = WordHashes()
     assert len(shingle_set("a b c d", 2, cache)) == 3 and len(shingle_set("a", 5, cache)) == 1 and not len(shingle_set(None, 2, cache))
     assert set(shingle_set("A  b\tC", 2, cache)) == set(shingle_set("a B c", 2, cache))
+
+
+def test_strongest_links_connect_what_agrees():
+    r = rng(8)
+    agree = r.integers(0, 100, (40, 40))
+    agree = np.maximum(agree, agree.T)
+    agree[agree < 92] = -1
+    component = r.integers(0, 25, 40)
+    same = component[:, None] == component[None, :]
+    agree[same] = 101
+    edges = strongest_links(lambda i: agree[i], component)
+    links = [(i, j) for i in range(40) for j in range(40) if agree[i, j] >= 0]
+    assert all(not same[i, j] and agree[i, j] >= 92 for i, j in edges)
+    joined = components(range(40), [*edges, *((i, j) for i, j in links if same[i, j])])
+    assert joined == components(range(40), links) and len(edges) < 25
