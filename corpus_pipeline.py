@@ -15,7 +15,12 @@ from lociflow.llm.secrets import redacted
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier accepts."""
+    """The documents that the quality classifier accepts, with all their columns.
+
+    A null or empty text is scored like a text without words; whole texts are scored, however long. Rows that repeat an id,
+    or have a null one, are scored each for itself. Without labels of a class its law is the pooled one. An empty table
+    gives an empty one.
+    """
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -43,18 +48,30 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by a mark and n_chars set anew where one was."""
+    """All documents, with secrets in their texts replaced by a mark and n_chars set anew where one was.
+
+    Null and empty texts stay as they are, with their n_chars. Rows that repeat an id, or have a null one, are changed each
+    for itself. An empty table gives an empty one; other columns stay.
+    """
     clean = redacted(docs.withColumn("__was", F.length("text")))
     return clean.withColumn("n_chars", F.when(F.length("text") != F.col("__was"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, sorted by training position."""
+    """The documents as often as the mix takes them, sorted by training position.
+
+    Documents without words, null texts among them, are never taken. A null source is a source of its own; rows of a
+    source that repeat an id are taken alike, rows with a null id too. An empty table gives an empty one.
+    """
     return mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 4096 tokens."""
+    """The pieces of all documents with their places in sequences of at most 4096 tokens.
+
+    A null or empty text is one piece that holds the end id alone; a longer text than a sequence is cut. Rows that repeat an
+    id are packed each for itself, and a null id stays null. An empty table gives an empty one.
+    """
     return pack(docs, tokenizer_path(), capacity=4096)
 
 
