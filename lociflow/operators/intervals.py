@@ -32,12 +32,12 @@ def _level(start: str, end: str, width: int) -> Column:
     return reduce(lambda a, b: a + b, longer).cast("int")
 
 
-def _cells(start: str, end: str, width: int, met: set[int]) -> Column:
-    """The (level, bin) in which an interval may meet ones of the levels in `met`: those of its own and of coarser levels."""
+def _cells(start: str, end: str, width: int, met: set[int], own: set[int]) -> Column:
+    """The (level, bin) in which an interval, of a level in `own`, may meet ones of the levels in `met`: those of its own and of coarser levels."""
     level, none = _level(start, end, width), F.array().cast("array<struct<level:int,bin:bigint>>")
     at = lambda k: lambda b: F.struct(F.lit(k).alias("level"), b.cast("bigint").alias("bin"))
     parts = []
-    for k in range(min(met, default=LEVELS), LEVELS):  # finer bins have none to meet
+    for k in sorted(x for x in met | own if x >= min(met, default=LEVELS)):  # finer bins have none to meet
         here = F.transform(bins(start, end, width * STEP**k), at(k))
         parts.append(F.when((level == k) if k not in met else (level <= k), here).otherwise(none))
     return F.flatten(F.array(*parts)) if parts else none
@@ -72,9 +72,15 @@ def crowded_bins(left: DataFrame, right: DataFrame, width: int, crowd: int) -> t
 def _paired(left: DataFrame, right: DataFrame, width: int, crowd: int) -> DataFrame:
     """Overlapping pairs of left(chrom, start, end, ...) and right(chrom, r_start, r_end, ...), which are not empty."""
     dealt, a_levels, b_levels = crowded_bins(left, right, width, crowd)
-    a = left.withColumn("__cell", F.explode(_cells("start", "end", width, b_levels))).withColumn("__own", _level("start", "end", width))
-    b = right.withColumn("__cell", F.explode(_cells("r_start", "r_end", width, a_levels))).withColumn("__r_own", _level("r_start", "r_end", width))
-    a, b = (df.withColumns({"__level": F.col("__cell.level"), "__bin": F.col("__cell.bin")}).drop("__cell") for df in (a, b))
+    levels = sorted(a_levels | b_levels)
+    if len(levels) == 1:  # as where all intervals are short: their bins without more ado
+        one = F.lit(levels[0])
+        a = left.withColumn("__bin", F.explode(bins("start", "end", width * STEP ** levels[0]))).withColumns({"__level": one, "__own": one})
+        b = right.withColumn("__bin", F.explode(bins("r_start", "r_end", width * STEP ** levels[0]))).withColumns({"__level": one, "__r_own": one})
+    else:
+        a = left.withColumn("__cell", F.explode(_cells("start", "end", width, b_levels, a_levels))).withColumn("__own", _level("start", "end", width))
+        b = right.withColumn("__cell", F.explode(_cells("r_start", "r_end", width, a_levels, b_levels))).withColumn("__r_own", _level("r_start", "r_end", width))
+        a, b = (df.withColumns({"__level": F.col("__cell.level"), "__bin": F.col("__cell.bin")}).drop("__cell") for df in (a, b))
     keys = ["chrom", "__level", "__bin"]
     if dealt is not None:
         parts = F.broadcast(dealt.withColumnsRenamed({"level": "__level", "bin": "__bin"}))
@@ -83,7 +89,7 @@ def _paired(left: DataFrame, right: DataFrame, width: int, crowd: int) -> DataFr
         a = a.join(parts, keys, "left").withColumn("__i", part(a, F.col("p"))).withColumn("__j", each("q")).drop("p", "q")
         b = b.join(parts, keys, "left").withColumn("__j", part(b, F.col("q"))).withColumn("__i", each("p")).drop("p", "q")
         keys += ["__i", "__j"]
-    first = reduce(lambda out, k: F.when(F.col("__level") == k, F.expr(f"greatest(start, r_start) div {width * STEP**k}")).otherwise(out), range(LEVELS), F.lit(0).cast("bigint"))
+    first = reduce(lambda out, k: F.when(F.col("__level") == k, F.expr(f"greatest(start, r_start) div {width * STEP**k}")).otherwise(out), levels, F.lit(0).cast("bigint"))
     pairs = a.join(b, keys).where((F.col("r_start") < F.col("end")) & (F.col("r_end") > F.col("start")) & (F.col("__level") == F.greatest("__own", "__r_own")) & (F.col("__bin") == first))
     return pairs.drop("__level", "__bin", "__own", "__r_own", "__i", "__j")
 
