@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ACTIVE_MARKS, MARKS, REPRESSIVE_MARKS
+from ..sources.scratch import written
 from .intervals import disjoint, overlap_join, union_coverage
 
 
@@ -50,7 +51,7 @@ def track_means(regions: DataFrame, peaks: DataFrame, tracks: DataFrame) -> Data
 
     Covered shares are summed by track as overlaps are found; regions without overlap only count.
     """
-    pieces = disjoint(peaks.select("tissue", "assay", "chrom", "start", "end"), ["tissue", "assay"])
+    pieces = written(disjoint(peaks.select("tissue", "assay", "chrom", "start", "end"), ["tissue", "assay"]), "pieces")  # the join reads them twice
     pairs = overlap_join(regions.select("chrom", "start", "end"), pieces)
     sums = pairs.groupBy("tissue", "assay").agg(F.sum(F.col("overlap_bp") / (F.col("end") - F.col("start"))).alias("s"))
     n = regions.agg(F.count(F.lit(1)).alias("n"))  # one row
@@ -67,7 +68,7 @@ def track_activity(regions: DataFrame, peaks: DataFrame, tracks: DataFrame, mark
     listed = sorted({(r["tissue"], r["assay"]) for r in tracks.select("tissue", "assay").collect()})
     tissues = sorted({t for t, _ in listed})
     used = [(t, m) for t, m in listed if m in marks]
-    pieces = disjoint(peaks.where(F.col("assay").isin(*marks)).select("tissue", "assay", "chrom", "start", "end"), ["tissue", "assay"])
+    pieces = written(disjoint(peaks.where(F.col("assay").isin(*marks)).select("tissue", "assay", "chrom", "start", "end"), ["tissue", "assay"]), "pieces")
     pairs = overlap_join(regions.select("region_id", "chrom", "start", "end"), pieces)
     own = lambda t, m: F.sum(F.when((F.col("tissue") == t) & (F.col("assay") == m), F.col("overlap_bp")))
     out = regions.select("region_id", (F.col("end") - F.col("start")).alias("length"))
