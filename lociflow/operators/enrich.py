@@ -81,7 +81,7 @@ def state_enrichment_test(
     """
     null, meta = sample_matched(queries, chunks, width, **matching)
     known = queries.select("region_id", *keys)
-    background = null.join(known, "region_id").withColumn("region_id", F.struct("region_id", "draw"))
+    background = null.join(known.hint("merge"), "region_id").withColumn("region_id", F.struct("region_id", "draw"))
     dominant = lambda rows: annotate_regions(rows, segments, active).select("region_id", "dominant_state").join(rows.select("region_id", *keys), "region_id")
     return label_enrichment(label_counts(dominant(queries), dominant(background), labels, keys), keys), meta
 

@@ -120,6 +120,16 @@ def test_any_number_of_chromosomes(spark):
     assert sets.count() == 1000 and sets.where("chrom is null or start < 0 or end > 4").count() == 0
 
 
+def test_tries_do_not_go_to_every_task(spark):
+    """A small table of queries comes to many tries; they meet the places, which are few, where they are."""
+    chunks = nulls.genome_chunks(spark.range(5000).select(F.format_string("c%d", "id").alias("chrom"), F.lit(0).cast("long").alias("chunk"), F.lit("GATC").alias("seq")), 10)
+    tries = spark.range(10).select(F.col("id").alias("region_id"), F.explode(F.sequence(F.lit(0), F.lit(9999))).alias("try"), F.lit(2).cast("long").alias("length"))
+    placed = nulls._placed(tries, nulls.chromosome_places(chunks), 0, ["region_id", "try"])
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert placed.count() == 100_000
+
+
 def test_enrichment_against_matched_background(spark):
     """Promoter regions stand out; blank background and calibration come from the same chain."""
     seq = "GATC" * 2500
