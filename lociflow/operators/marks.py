@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ACTIVE_MARKS, MARKS, REPRESSIVE_MARKS
-from ..sources.scratch import written
-from .intervals import disjoint, overlap_join, union_coverage
+from .profiles import track_sums
 
 
 def track_coverage(regions: DataFrame, peaks: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -17,12 +16,16 @@ def track_coverage(regions: DataFrame, peaks: DataFrame, tracks: DataFrame) -> D
     0. coverage is the covered share of the region's whole length; mean_signal is the sum of signal times overlap by
     covered bases, so overlapping peaks may lift it above each.
     """
-    pairs = overlap_join(regions.select("region_id", "chrom", "start", "end"), peaks.select("tissue", "assay", "chrom", "start", "end", "signal"))
-    covered = union_coverage(pairs, ["region_id", "tissue", "assay"])
-    every = regions.select("region_id", (F.col("end") - F.col("start")).alias("length")).join(F.broadcast(tracks), how="cross")
-    out = every.join(covered, ["region_id", "tissue", "assay"], "left")
-    coverage = F.when(F.col("length") > 0, F.coalesce("union_bp", F.lit(0)) / F.col("length")).otherwise(0.0)
-    return out.select("region_id", "tissue", "assay", coverage.alias("coverage"), F.coalesce(F.try_divide("signal_bp", "union_bp"), F.lit(0.0)).alias("mean_signal"))
+    listed = [(r["tissue"], r["assay"]) for r in tracks.select("tissue", "assay").collect()]
+    names = sorted({x for x in listed if None not in x})
+    rows = track_sums(regions.select("region_id", "chrom", "start", "end"), peaks, names, with_signal=True)
+    track = [F.struct(F.lit(t).alias("tissue"), F.lit(a).alias("assay"), F.lit(names.index((t, a)) if (t, a) in names else None).cast("int").alias("i")) for t, a in listed]
+    if not track:
+        return rows.select("region_id", *(F.lit(None).cast(k).alias(c) for c, k in (("tissue", "string"), ("assay", "string"), ("coverage", "double"), ("mean_signal", "double")))).limit(0)
+    each = rows.select("region_id", (F.col("end") - F.col("start")).alias("length"), "covered", "weight", F.explode(F.array(*track)).alias("x"))
+    union, signal = (F.coalesce(F.get(F.col(c), F.col("x.i")), F.lit(0)) for c in ("covered", "weight"))
+    coverage = F.when(F.col("length") > 0, union / F.col("length")).otherwise(0.0)
+    return each.select("region_id", "x.tissue", "x.assay", coverage.alias("coverage"), F.coalesce(F.try_divide(signal, union), F.lit(0.0)).alias("mean_signal"))
 
 
 def fingerprints(coverage: DataFrame, marks: tuple[str, ...] = MARKS) -> DataFrame:
@@ -49,34 +52,29 @@ def activity(coverage: DataFrame, marks: tuple[str, ...] = ACTIVE_MARKS) -> Data
 def track_means(regions: DataFrame, peaks: DataFrame, tracks: DataFrame) -> DataFrame:
     """What mean_coverage gives of track_coverage(regions, peaks, tracks), without a row for each region and track.
 
-    Covered shares are summed by track as overlaps are found; regions without overlap only count.
+    Covered shares are summed by track; regions without overlap only count.
     """
-    pieces = written(disjoint(peaks.select("tissue", "assay", "chrom", "start", "end"), ["tissue", "assay"]), "pieces")  # the join reads them twice
-    pairs = overlap_join(regions.select("chrom", "start", "end"), pieces)
-    sums = pairs.groupBy("tissue", "assay").agg(F.sum(F.col("overlap_bp") / (F.col("end") - F.col("start"))).alias("s"))
-    n = regions.agg(F.count(F.lit(1)).alias("n"))  # one row
-    every = tracks.join(sums, ["tissue", "assay"], "left").join(F.broadcast(n), how="cross")
-    return every.where("n > 0").select("tissue", "assay", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("coverage"))
+    names = sorted({(r["tissue"], r["assay"]) for r in tracks.select("tissue", "assay").collect() if None not in (r["tissue"], r["assay"])})
+    rows = track_sums(regions.select("chrom", "start", "end"), peaks, names)
+    share = lambda i: F.sum(F.col("covered")[i] / (F.col("end") - F.col("start")))
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*(share(i) for i in range(len(names)))).cast("array<double>").alias("s"))  # one row
+    index = tracks.sparkSession.createDataFrame([(*x, i) for i, x in enumerate(names)], "tissue string, assay string, i int")
+    every = tracks.join(F.broadcast(index), ["tissue", "assay"], "left").join(F.broadcast(sums), how="cross")
+    return every.where("n > 0").select("tissue", "assay", (F.coalesce(F.get("s", F.col("i")), F.lit(0.0)) / F.col("n")).alias("coverage"))
 
 
 def track_activity(regions: DataFrame, peaks: DataFrame, tracks: DataFrame, marks: tuple[str, ...] = ACTIVE_MARKS) -> DataFrame:
     """What activity gives of track_coverage(regions, peaks, tracks): (region_id, tissue, activity).
 
-    Only peaks of these marks are read; a region's sums, a column for each tissue and mark, come from one shuffle, and
-    the regions are joined once. tracks is the small list of tracks to report.
+    Only peaks of these marks are read. tracks is the small list of tracks to report.
     """
     listed = sorted({(r["tissue"], r["assay"]) for r in tracks.select("tissue", "assay").collect()})
     tissues = sorted({t for t, _ in listed})
     used = [(t, m) for t, m in listed if m in marks]
-    pieces = written(disjoint(peaks.where(F.col("assay").isin(*marks)).select("tissue", "assay", "chrom", "start", "end"), ["tissue", "assay"]), "pieces")
-    pairs = overlap_join(regions.select("region_id", "chrom", "start", "end"), pieces)
-    own = lambda t, m: F.sum(F.when((F.col("tissue") == t) & (F.col("assay") == m), F.col("overlap_bp")))
-    out = regions.select("region_id", (F.col("end") - F.col("start")).alias("length"))
-    if used:
-        out = out.join(pairs.groupBy("region_id").agg(*(own(t, m).alias(f"__{i}") for i, (t, m) in enumerate(used))), "region_id", "left")
+    out = track_sums(regions.select("region_id", "chrom", "start", "end"), peaks, used).withColumn("length", F.col("end") - F.col("start"))
 
     def share(tissue: str):
-        total = sum((F.coalesce(F.col(f"__{i}"), F.lit(0)) / F.col("length") for i, (t, _) in enumerate(used) if t == tissue), F.lit(0.0))
+        total = sum((F.col("covered")[i] / F.col("length") for i, (t, _) in enumerate(used) if t == tissue), F.lit(0.0))
         return F.when(F.col("length") > 0, total / len(marks)).otherwise(0.0)
 
     each = F.explode(F.array(*(F.struct(F.lit(t).alias("tissue"), share(t).alias("activity")) for t in tissues)))

@@ -95,3 +95,53 @@ def test_union_coverage_of_repeated_starts(spark):
         if own:
             want[i] = (len(set().union(*(range(x, y) for x, y, _ in own))), pytest.approx(sum((y - x) * v for x, y, v in own)))
     assert got == want
+
+
+@pytest.mark.parametrize("crowd", [3, 50_000])
+def test_sums_by_track_make_no_pairs(spark, monkeypatch, crowd):
+    """Regions and peaks of any length and place, crowded and not, equal the sums over pairs, but no pair is made."""
+    from lociflow.operators import intervals, marks, profiles
+
+    r = np.random.default_rng(9)
+    lengths = lambda n: np.where(r.random(n) < 0.1, r.integers(-2, 9_000_000, n), r.integers(-2, 60_000, n))
+    left = [(i, str(r.choice(["c", "d"])), int(s), int(s + n)) for i, (s, n) in enumerate(zip(r.integers(0, 2_000_000, 60), lengths(60), strict=True))] + [(60, "none", 5, 9), (61, "c", None, 9)]
+    right = [(str(r.choice(["t", "u"])), "x", str(r.choice(["c", "d"])), int(s), int(s + n), float(v)) for s, n, v in zip(r.integers(0, 2_000_000, 500), lengths(500), r.random(500) * 1e5, strict=True)]
+    right += [("v", "x", "c", 100, 900_000, float("nan")), ("w", "x", "d", 0, 1_500_000, float("inf")), ("w", "x", "d", 5, 9, None)]
+    a = spark.createDataFrame(left, "region_id long, chrom string, start long, end long")
+    b = spark.createDataFrame(right, "tissue string, assay string, chrom string, start long, end long, signal double")
+    names = [(t, "x") for t in ("t", "u", "v", "w", "no")]
+    want = {(x["region_id"], x["tissue"]): (x["union_bp"], x["signal_bp"]) for x in union_coverage(overlap_join(a, b), ["region_id", "tissue"]).collect()}
+
+    def forbidden(*_, **__):
+        raise AssertionError("pairs")
+
+    for module in (intervals, marks):
+        monkeypatch.setattr(module, "overlap_join", forbidden, raising=False)
+    got = profiles.track_sums(a, b, names, with_signal=True, crowd=crowd).collect()
+    assert sorted(x["region_id"] for x in got) == list(range(62))
+    for x in got:
+        if x["end"] is None or x["start"] is None or x["end"] <= x["start"]:
+            assert x["covered"] is None
+            continue
+        for (t, _), n, w in zip(names, x["covered"], x["weight"], strict=True):
+            union, signal = want.get((x["region_id"], t), (0, 0.0))
+            assert n == union and w == pytest.approx(signal or 0.0, rel=1e-12, abs=1e-4, nan_ok=True)
+    assert [list(x["covered"]) for x in sorted(profiles.track_sums(a, b, names, crowd=crowd).collect(), key=lambda x: x["region_id"]) if x["covered"] is not None] == [list(x["covered"]) for x in sorted(got, key=lambda x: x["region_id"]) if x["covered"] is not None]
+    tracks = spark.createDataFrame(names, "tissue string, assay string")
+    assert marks.track_coverage(a, b, tracks).count() == 62 * 5 and marks.track_means(a, b, tracks).count() == 5 and marks.track_activity(a, b, tracks).count() == 62 * 5
+
+
+@pytest.mark.parametrize("few", [0, 5, 64])
+def test_signal_sums_with_and_without_running_sums(monkeypatch, few):
+    from lociflow.operators import profiles
+
+    monkeypatch.setattr(profiles, "FEW", few)
+    r = np.random.default_rng(few)
+    a, s = r.integers(0, 5000, 300), r.integers(0, 5000, 50)
+    b, e = a + r.integers(1, 300, 300), s + r.integers(1, 900, 50)
+    signal = r.random(300) * 1e5
+    shared = np.maximum(0, np.minimum(b[None], e[:, None]) - np.maximum(a[None], s[:, None]))
+    assert profiles.signal_sums(a, b, signal, s, e) == pytest.approx((shared * signal).sum(1), rel=1e-12, abs=1e-6)
+    signal[:3] = np.nan, np.inf, -np.inf
+    want = np.where(shared > 0, shared * signal, 0).sum(1)
+    assert profiles.signal_sums(a, b, signal, s, e) == pytest.approx(want, rel=1e-12, abs=1e-6, nan_ok=True)
