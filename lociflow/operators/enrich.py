@@ -14,6 +14,8 @@ from .marks import track_coverage
 from .nulls import sample_matched, sample_sets
 
 COVERAGE_PSEUDO = 1e-4
+#: Rows of a background that go to every task; draws meet more of them by a shuffle, without a sort.
+FEW = 200_000
 
 
 def label_enrichment(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -51,9 +53,11 @@ def coverage_enrichment(query: DataFrame, null: DataFrame, n_boot: int = 1000, s
     n = null.groupBy("assay").agg(F.avg("coverage").alias("null_mean"), F.count(F.lit(1)).alias("n_null"))
     sizes = q.join(n, "assay", "left")
     draws = sizes.where("n_null > 0").select("assay", "n_query", "n_null", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    draws = draws.repartition(4 * null.sparkSession.sparkContext.defaultParallelism, "assay", "b")  # a row for each assay came to all draws in one task
     draws = draws.withColumn("i", F.explode(F.expr("sequence(0L, n_query - 1)")))
     draws = draws.withColumn("at", F.floor(unit_hash(seed, F.col("assay"), F.col("b"), F.col("i")) * F.col("n_null")))
-    means = draws.join(_numbered(null), ["assay", "at"]).groupBy("assay", "b").agg(F.avg("coverage").alias("m"))
+    rows, total = _numbered(null)
+    means = draws.select("assay", "b", "at").join(rows.hint("broadcast" if total <= FEW else "shuffle_hash"), ["assay", "at"]).groupBy("assay", "b").agg(F.avg("coverage").alias("m"))
     fold = lambda x: F.log2((x + COVERAGE_PSEUDO) / (F.col("null_mean") + COVERAGE_PSEUDO))
     seen = means.join(sizes, "assay").withColumns({"fold": fold(F.col("m")), "obs": fold(F.col("query_mean"))})
     tests = seen.groupBy("assay").agg(
@@ -64,11 +68,11 @@ def coverage_enrichment(query: DataFrame, null: DataFrame, n_boot: int = 1000, s
     return sizes.withColumn("log2_fold", fold(F.col("query_mean"))).join(tests, "assay", "left").select("assay", "query_mean", "null_mean", "log2_fold", "null_lo", "null_hi", "p", "n_query", F.coalesce("n_null", F.lit(0)).alias("n_null"))
 
 
-def _numbered(null: DataFrame) -> DataFrame:
-    """(assay, coverage, at): numbers from 0 within each assay, in the order of items."""
-    rows, _ = numbered(null.select("assay", "item", "coverage"), ["assay", "item", "coverage"], "number")
+def _numbered(null: DataFrame) -> tuple[DataFrame, int]:
+    """(assay, coverage, at), numbers from 0 within each assay in the order of items, and how many rows there are."""
+    rows, total = numbered(null.select("assay", "item", "coverage"), ["assay", "item", "coverage"], "number")
     first = rows.groupBy("assay").agg(F.min("number").alias("first"))  # a row for each assay
-    return rows.join(F.broadcast(first), "assay").select("assay", "coverage", (F.col("number") - F.col("first")).alias("at"))
+    return rows.join(F.broadcast(first), "assay").select("assay", "coverage", (F.col("number") - F.col("first")).alias("at")), total
 
 
 def state_enrichment_test(

@@ -356,3 +356,11 @@ def test_queries_draw_as_often_as_their_operators(spark, sf_dir, monkeypatch):
         assert {k: arguments[k] for k in draws} == draws
         if query == "sampled_shap":
             assert len(arguments["background"]) == 10
+
+
+def test_draws_of_one_assay_lie_in_many_tasks(spark, monkeypatch):
+    """Each draw takes the row numbered by its task, so draws of one task alone would all have one mean."""
+    rows = lambda n: spark.range(n).select(F.lit("a").alias("assay"), F.col("id").alias("item"), F.col("id").cast("double").alias("coverage"))
+    monkeypatch.setattr(enrich, "unit_hash", lambda *_: F.spark_partition_id() / 1000.0)
+    out = enrich.coverage_enrichment(rows(3), rows(1000), n_boot=64).first()
+    assert out["null_lo"] < out["null_hi"]
