@@ -21,6 +21,8 @@ BIN = 65_536
 STEP, LEVELS = 8, 9
 #: Rows of one side that a bin holds before it is dealt out, and bins that may be dealt out at most.
 CROWD, CROWDED_BINS = 4096, 1000
+#: Rows of a side that go to every task instead of a shuffle of both.
+FEW = 20_000
 
 
 def bins(start: str, end: str, width: int) -> Column:
@@ -43,12 +45,8 @@ def _cells(start: str, end: str, width: int, met: set[int], own: set[int]) -> Co
     return F.flatten(F.array(*parts)) if parts else none
 
 
-def crowded_bins(left: DataFrame, right: DataFrame, width: int, crowd: int) -> tuple[DataFrame | None, set[int], set[int]]:
-    """(chrom, level, bin, p, q) of the bins that hold many rows of a side and into how many parts to deal each side, or None; the levels of both sides.
-
-    Both sides are counted once, by level and first bin, and the counts of coarser bins follow. A bin is crowded above
-    `crowd` rows of a side and above a thousandth of that side, so at most 1000 bins a side and level are.
-    """
+def _counted(left: DataFrame, right: DataFrame, width: int) -> tuple[DataFrame, tuple[set[int], int], tuple[set[int], int]]:
+    """(chrom, side, level, bin, n) of both sides by level and first bin; the levels and the number of rows of each side."""
     def counted(df: DataFrame, start: str, end: str, side: int) -> DataFrame:
         level = _level(start, end, width)
         first = reduce(lambda out, k: F.when(level == k, F.expr(f"{start} div {width * STEP**k}")).otherwise(out), range(LEVELS), F.lit(0).cast("bigint"))
@@ -57,21 +55,36 @@ def crowded_bins(left: DataFrame, right: DataFrame, width: int, crowd: int) -> t
     both = counted(left, "start", "end", 0).unionByName(counted(right, "r_start", "r_end", 1))
     loads = written(both.groupBy("chrom", "side", "level", "bin").agg(F.count(F.lit(1)).alias("n")), "loads")
     seen = {0: (set(), 0), 1: (set(), 0)} | {r["side"]: (set(r["levels"]), r["n"]) for r in loads.groupBy("side").agg(F.collect_set("level").alias("levels"), F.sum("n").alias("n")).collect()}
-    (a, n), (b, m) = seen[0], seen[1]
+    return loads, seen[0], seen[1]
+
+
+def crowded_bins(left: DataFrame, right: DataFrame, width: int, crowd: int) -> tuple[DataFrame | None, set[int], set[int]]:
+    """(chrom, level, bin, p, q) of the bins that hold many rows of a side and into how many parts to deal each side, or None; the levels of both sides.
+
+    Both sides are counted once, by level and first bin, and the counts of coarser bins follow. A bin is crowded above
+    `crowd` rows of a side and above a thousandth of that side, so at most 1000 bins a side and level are.
+    """
+    loads, (a, n), (b, m) = _counted(left, right, width)
+    return _dealt(loads, a | b, n, m, crowd), a, b
+
+
+def _dealt(loads: DataFrame, levels: set[int], n: int, m: int, crowd: int) -> DataFrame | None:
     most = [max(crowd, -(-x // CROWDED_BINS)) for x in (n, m)]
     if n <= most[0] and m <= most[1]:
-        return None, a, b
-    up = F.explode(F.array(*(F.lit(k) for k in sorted(a | b)))).alias("at")
+        return None
+    up = F.explode(F.array(*(F.lit(k) for k in sorted(levels)))).alias("at")
     wide = loads.select("chrom", "side", "level", "bin", "n", up).where("at >= level")
     wide = wide.withColumn("bin", F.expr(f"bin div cast(pow({STEP}, at - level) as bigint)"))
     parts = lambda k: F.ceil(F.greatest(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)) / most[k], F.lit(1.0))).alias("pq"[k])
     dealt = wide.groupBy("chrom", F.col("at").alias("level"), "bin").agg(parts(0), parts(1)).where("p > 1 or q > 1")
-    return None if dealt.isEmpty() else dealt, a, b
+    return None if dealt.isEmpty() else dealt
 
 
 def _paired(left: DataFrame, right: DataFrame, width: int, crowd: int) -> DataFrame:
     """Overlapping pairs of left(chrom, start, end, ...) and right(chrom, r_start, r_end, ...), which are not empty."""
-    dealt, a_levels, b_levels = crowded_bins(left, right, width, crowd)
+    loads, (a_levels, n), (b_levels, m) = _counted(left, right, width)
+    few = min(n, m) <= FEW
+    dealt = None if few else _dealt(loads, a_levels | b_levels, n, m, crowd)
     levels = sorted(a_levels | b_levels)
     if len(levels) == 1:  # as where all intervals are short: their bins without more ado
         one = F.lit(levels[0])
@@ -90,6 +103,8 @@ def _paired(left: DataFrame, right: DataFrame, width: int, crowd: int) -> DataFr
         b = b.join(parts, keys, "left").withColumn("__j", part(b, F.col("q"))).withColumn("__i", each("p")).drop("p", "q")
         keys += ["__i", "__j"]
     first = reduce(lambda out, k: F.when(F.col("__level") == k, F.expr(f"greatest(start, r_start) div {width * STEP**k}")).otherwise(out), levels, F.lit(0).cast("bigint"))
+    # by rows counted: the optimizer doesn't see what explode makes of a side
+    a, b = (a.hint("broadcast"), b) if few and n <= m else (a, b.hint("broadcast" if few else "merge"))
     pairs = a.join(b, keys).where((F.col("r_start") < F.col("end")) & (F.col("r_end") > F.col("start")) & (F.col("__level") == F.greatest("__own", "__r_own")) & (F.col("__bin") == first))
     return pairs.drop("__level", "__bin", "__own", "__r_own", "__i", "__j")
 
