@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
+#: Values whose ranks go to every task; rows of a value that are never dealt into parts.
+FEW, CROWD = 200_000, 10_000
+
 
 def _ordered(rows: DataFrame, order: list[Column | str], number: str) -> tuple[DataFrame, int]:
     """numbered's result with __part, the range that a row lies in."""
@@ -35,21 +38,45 @@ def numbered(rows: DataFrame, order: list[Column | str], number: str) -> tuple[D
     return out.drop("__part"), total
 
 
-def with_global_rank(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """df with the average rank of value among all rows, ties sharing the mean of theirs; null values have none.
+def value_ranks(df: DataFrame, value: str) -> tuple[DataFrame, int, int]:
+    """((__v, __n, __rank) of each known value of a column, how many values and how many rows there are).
+
+    __n rows hold __v, and __rank is the mean of theirs. Rows are counted by value before the sort, so a range holds a value once.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ordered = written(counts.repartitionByRange("__v").withColumn("__part", F.spark_partition_id()), "values")
+    sums = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("k"), F.sum("__n").alias("n")).orderBy("__part").collect()  # a row for each range
+    bases, total = [], 0
+    for c in sums:
+        bases.append((c["__part"], total))
+        total += c["n"]
+    base = df.sparkSession.createDataFrame(bases, "__part int, __base long")
+    to_here = Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("__base") + F.col("__seen") - F.col("__n")
+    ranks = ordered.withColumn("__seen", F.sum("__n").over(to_here)).join(F.broadcast(base), "__part").select("__v", "__n", (before + (F.col("__n") + 1) / 2).alias("__rank"))
+    return written(ranks, "ranks"), sum(c["k"] for c in sums), total
+
+
+def ranked_by(rows: DataFrame, value: str, rank: str, ranks: tuple[DataFrame, int, int]) -> DataFrame:
+    """rows with the rank of their value, null where value_ranks doesn't know it.
 
-    Rows of a value lie side by side in the order of all rows, in one range or in several that follow each other. Within a
-    range the first and the last number of a value are its own; only values that go on in another range, at most one for
-    each range, are summed up over ranges.
+    Many values meet their rows by a shuffle, in which a value of many rows, of which there are at most a thousand, is dealt
+    into parts.
     """
-    known, _ = _ordered(df.where(F.col(value).isNotNull()), [value], "__number")
-    inside = Window.partitionBy("__part", value)
-    known = known.withColumns({"__lo": F.min("__number").over(inside), "__hi": F.max("__number").over(inside)})
-    edges = known.groupBy("__part").agg(F.min(value).alias("a"), F.max(value).alias("b")).select("__part", F.explode(F.array("a", "b")).alias("__v")).distinct()
-    over = edges.groupBy("__v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__v")
-    over = written(over, "values-over-ranges")
-    spans = known.join(F.broadcast(over), F.col(value) == F.col("__v")).groupBy("__v").agg(F.min("__number").alias("__first"), F.max("__number").alias("__last"))
-    ranked = known.join(F.broadcast(spans), F.col(value) == F.col("__v"), "left")
-    mean = (F.coalesce("__first", "__lo") + F.coalesce("__last", "__hi")) / 2 + 1
-    none = df.where(F.col(value).isNull()).select("*", F.lit(None).cast("double").alias(rank))
-    return ranked.withColumn(rank, mean).select(*df.columns, rank).unionByName(none)
+    known, n, total = ranks
+    if n <= FEW:
+        return rows.join(F.broadcast(known.select("__v", F.col("__rank").alias(rank))), F.col(value) == F.col("__v"), "left").drop("__v")
+    most = max(CROWD, -(-total // 1000))
+    heavy = known.where(F.col("__n") > most).select(F.col("__v").alias("__h"), F.ceil(F.col("__n") / most).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = known.join(F.broadcast(heavy), F.col("__v") == F.col("__h"), "left").select("__v", F.col("__rank").alias(rank), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__s"))
+    some = rows.join(F.broadcast(heavy), F.col(value) == F.col("__h"), "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__h", "__parts")
+    return some.join(dealt, (F.col(value) == F.col("__v")) & (F.col("__salt") == F.col("__s")), "left").drop("__v", "__s", "__salt")
+
+
+def with_global_rank(df: DataFrame, value: str, rank: str) -> DataFrame:
+    """df with the average rank of value among all rows, ties sharing the mean of theirs; null values have none."""
+    rows = written(df, "rows")
+    known = F.col(value).isNotNull()
+    ranked = ranked_by(rows.where(known), value, rank, value_ranks(rows, value))
+    return ranked.unionByName(rows.where(~known).withColumn(rank, F.lit(None).cast("double")))

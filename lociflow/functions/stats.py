@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .ranking import with_global_rank
-
+from ..sources.scratch import written
+from .ranking import ranked_by, value_ranks
 
 #: Terms of a continued fraction; one that needs more is an error.
 TERMS = 2_000_000
@@ -150,9 +150,29 @@ def z_score(value: str, *keys: str) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho, p): rank correlation of the rows where both are known, p from Student's law with n - 2."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("__x"), F.col(y).alias("__y"))
-    ranked = with_global_rank(with_global_rank(both, "__x", "__rx"), "__y", "__ry")
-    out = ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho"))
+    return spearman_each(df, x, [y]).select("n", "rho", "p")
+
+
+def spearman_each(df: DataFrame, x: str, ys: list[str]) -> DataFrame:
+    """(target, n, rho, p): spearman's row for x with each column of ys. Columns known in the same rows share x's ranks and one pass."""
+    names = [f"__y{i}" for i in range(len(ys))]
+    rows = written(df.where(F.col(x).isNotNull()).select(F.col(x).alias("__x"), *(F.col(y).alias(n) for y, n in zip(ys, names, strict=True))), "pairs")
+    apart = lambda a, b: F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias(f"{a}{b}")
+    differ = rows.agg(F.count(F.lit(1)).alias("n"), *(apart(a, b) for i, b in enumerate(names) for a in names[:i])).first()
+    groups: list[list[str]] = []
+    for b in names:
+        same = next((g for g in groups if not differ[f"{g[0]}{b}"]), None)
+        same.append(b) if same else groups.append([b])
+    out = None
+    for group in groups:
+        both = rows.where(F.col(group[0]).isNotNull())
+        ranked = both
+        for c in ("__x", *group):
+            ranked = ranked_by(ranked, c, f"__r{c}", value_ranks(both, c)).drop(c)
+        sums = ranked.agg(F.count(F.lit(1)).alias("n"), F.array(*(F.corr("__r__x", f"__r{c}") for c in group)).alias("rhos"))
+        each = F.posexplode(F.arrays_zip(F.array(*(F.lit(ys[names.index(c)]) for c in group)).alias("target"), F.col("rhos").alias("rho")))
+        found = sums.select("n", each.alias("__i", "__z")).select("__z.target", "n", "__z.rho")
+        out = found if out is None else out.unionByName(found)
     t = F.col("rho") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("rho") * F.col("rho")))
     p = F.when(F.abs("rho") >= 1, 0.0).otherwise(t_column(F.coalesce(t, F.lit(float("nan"))), (F.col("n") - 2).cast("double")))
     return out.withColumn("p", F.when(F.col("n") > 2, p))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import bin_part
 from ..functions.ranking import numbered
-from ..functions.stats import mann_whitney_column, spearman
+from ..functions.stats import mann_whitney_column, spearman_each
 from ..sources.scratch import written
 from .attribute import panel_tissues
 
@@ -102,7 +102,7 @@ def compartment_importance(bins: DataFrame, activities: DataFrame, use_abs_direc
     bins(region_id, importance, direction); background_specific mirrors signal_specific.
     """
     score: Column = F.abs("direction") if use_abs_direction else F.col("importance")
-    joined = written(bins.join(activities, "region_id", "left").withColumn("score", score), "scores")  # ranked three times
-    targets = [spearman(joined, "score", t).select(F.lit(t).alias("target"), "n", "rho", "p") for t in ("signal_specific", "signal_activity", "background_activity")]
-    mirror = targets[0].select(F.lit("background_specific").alias("target"), "n", (-F.col("rho")).alias("rho"), "p")
-    return targets[0].unionByName(targets[1]).unionByName(targets[2]).unionByName(mirror)
+    joined = bins.join(activities, "region_id", "left").withColumn("score", score)
+    targets = written(spearman_each(joined, "score", ["signal_specific", "signal_activity", "background_activity"]), "targets")  # three rows
+    mirror = targets.where("target = 'signal_specific'").select(F.lit("background_specific").alias("target"), "n", (-F.col("rho")).alias("rho"), "p")
+    return targets.unionByName(mirror)

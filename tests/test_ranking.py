@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.functions import stats
+from lociflow.functions import ranking, stats
 from lociflow.functions.ranking import _ordered, numbered, with_global_rank
 from lociflow.operators import tissue
 
@@ -84,3 +84,30 @@ def test_permutations_with_a_threshold_are_exact(spark, monkeypatch):
     assert take() == got
     monkeypatch.setattr(tissue, "_threshold", lambda k, n: k / n)  # about half of the permutations come out short
     assert take() == got
+
+
+def test_many_values_meet_their_ranks_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "FEW", 3)
+    monkeypatch.setattr(ranking, "CROWD", 50)
+    values = [0.0] * 700 + [-0.0] * 50 + [float(i % 90) for i in range(400)] + [math.nan] * 60 + [None]
+    got = with_global_rank(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double"), "v", "k").collect()
+    known = [math.inf if v is not None and math.isnan(v) else v for v in values]
+    want = average_ranks([v for v in known if v is not None])
+    assert len(got) == len(values) and all(x["k"] == (None if x["v"] is None else want[known[x["id"]]]) for x in got)
+
+
+def test_correlations_rank_each_column_once(spark, monkeypatch):
+    """Three targets known in the same rows take four rankings; a fourth that lacks rows ranks x anew among its own."""
+    r = np.random.default_rng(8)
+    x = r.integers(0, 40, 300).astype(float)
+    ys = {k: x * (r.random(300) < 0.5) + r.integers(0, 9, 300) for k in "abcd"}
+    rows = [(float(v), *(None if k == "d" and i % 7 == 0 else float(y[i]) for k, y in ys.items())) for i, v in enumerate(x)]
+    ranked, first = [], stats.value_ranks
+    monkeypatch.setattr(stats, "value_ranks", lambda df, c: ranked.append(c) or first(df, c))
+    got = {v["target"]: v for v in stats.spearman_each(spark.createDataFrame(rows, "x double, a double, b double, c double, d double"), "x", list("abcd")).collect()}
+    assert len(ranked) == 6
+    for k, y in ys.items():
+        keep = [i for i in range(300) if k != "d" or i % 7]
+        a, b = ([v[i] for i in keep] for v in (x.tolist(), y.tolist()))
+        ra, rb = average_ranks(a), average_ranks(b)
+        assert got[k]["n"] == len(keep) and got[k]["rho"] == pytest.approx(np.corrcoef([ra[v] for v in a], [rb[v] for v in b])[0, 1])
