@@ -6,15 +6,16 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.keys import feature_key
 
 #: Features of one order that are predicted together; numbers that a block of samples and leaves holds; rows of a default background.
 STEPS, BLOCK_NUMBERS, CENTRES = 256, 4_000_000, 10
+#: Samples that are explained together.
+BLOCK = 256
 # Parts of class and module names that tell the kind of a model.
 TREE_NAMES = ("xgboost", "lightgbm", "catboost", "forest", "tree", "gradientboost")
 LINEAR_MODULE, LINEAR_NAMES = "linear_model", ("lasso", "ridge", "elasticnet", "linearregression", "logisticregression")
@@ -140,25 +141,37 @@ def genomic_importance(features: DataFrame) -> DataFrame:
 def wide_rows(matrix: DataFrame, bins: list[str]) -> DataFrame:
     """(sample_id, x): the values of each sample as an array in the order of bins, NaN where one is missing; of repeated ones the largest.
 
-    A sample's places and values are two lists of one order, and its array is filled from them, so a row costs its length.
+    A sample's known places are sorted and the gaps between them filled, so a row costs its length, and needs no Python.
     """
+    d, nan = len(bins), F.lit(float("nan"))
+    order = matrix.sparkSession.createDataFrame(list(enumerate(bins)), "i int, bin_key string")
+    known = matrix.where("value is not null").join(order, "bin_key").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("i", F.col("value").cast("double").alias("value")))).alias("m"))
+    last = F.filter("m", lambda v, k: F.coalesce(F.get("m", k + 1)["i"] != v["i"], F.lit(True)))
+    gap = lambda here, k: F.array_repeat(nan, here - F.coalesce(F.get("m", k - 1)["i"], F.lit(-1)) - 1)
+    filled = F.flatten(F.transform("m", lambda v, k: F.concat(gap(v["i"], k), F.array(v["value"]))))
+    tail = F.array_repeat(nan, d - 1 - F.element_at("m", -1)["i"])
+    whole = F.when(F.size("m") == d, F.col("m.value")).otherwise(F.concat(filled, tail))
+    samples = known.withColumn("m", last).select("sample_id", whole.alias("x"))
+    blank = matrix.groupBy("sample_id").agg(F.count("value").alias("n")).where("n = 0")
+    return samples.unionByName(blank.select("sample_id", F.array_repeat(nan, d).alias("x")))
+
+
+def _attributed(rows: DataFrame, bins: list[str], values: Callable[[list, np.ndarray], np.ndarray], block: int) -> DataFrame:
+    """(sample_id, bin_key, value) of wide_rows' samples: what values(names, x) returns for the x of up to `block` of them."""
     d = len(bins)
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def filled(at: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for i, v in zip(at, values, strict=True):
-            x = np.full(d, np.nan)
-            x[i] = v
-            out.append(x)
-        return pd.Series(out, dtype=object)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = pa.array(bins, pa.string())
+        for batch in batches:
+            for a in range(0, batch.num_rows, block):
+                part = batch.slice(a, block)
+                n, names = part.num_rows, part.column("sample_id")
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, d)
+                phi = values(names.to_pylist(), x)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(n), d))), pa.concat_arrays([keys] * n), pa.array(phi.ravel(), pa.float64(), from_pandas=True)], ["sample_id", "bin_key", "value"])
 
-    order = matrix.sparkSession.createDataFrame(list(enumerate(bins)), "i int, bin_key string")
-    known = matrix.where("value is not null").join(order, "bin_key").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("m"))
-    missing = F.lit(float("nan"))  # comes back from Arrow as null
-    samples = known.select("sample_id", filled(F.col("m.i"), F.col("m.value")).alias("x")).withColumn("x", F.transform("x", lambda v: F.coalesce(v, missing)))
-    blank = matrix.groupBy("sample_id").agg(F.count("value").alias("n")).where("n = 0")
-    return samples.unionByName(blank.select("sample_id", F.array_repeat(missing, d).alias("x")))
+    kind = dict(rows.dtypes)["sample_id"]
+    return rows.select("sample_id", "x").mapInArrow(work, f"sample_id {kind}, bin_key string, value double")
 
 
 def sampled_shap(rows: DataFrame, bins: list[str], predict: Callable[[np.ndarray], np.ndarray], background: np.ndarray, orders: int = 64, seed: int = 0, shares: np.ndarray | None = None) -> DataFrame:
@@ -166,32 +179,29 @@ def sampled_shap(rows: DataFrame, bins: list[str], predict: Callable[[np.ndarray
 
     Orders come in reversed pairs; each sample has its own, drawn from seed and its id. Values sum to the prediction less
     the mean prediction of the background rows that were drawn, alike or by shares. rows is as wide_rows returns it;
-    background is a small sample. An order is predicted STEPS features at a
-    time, so memory grows with the number of bins, not with its square.
+    background is a small sample. All orders of a sample are predicted together, STEPS features and about BLOCK_NUMBERS numbers
+    at a time, so memory grows with the number of bins, not with its square.
     """
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = len(bins)
-        for batch in batches:
-            for name, x in zip(batch["sample_id"], batch["x"], strict=True):
-                rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
-                phi, runs = np.zeros(d), 0
-                for _ in range(-(-orders // 2)):
-                    order, base = rng.permutation(d), background[rng.choice(len(background), p=shares)]
-                    for way in (order, order[::-1]):
-                        now = base.copy()
-                        for a in range(0, d, STEPS):
-                            part = way[a : a + STEPS]
-                            steps = np.tile(now, (len(part) + 1, 1))
-                            for k, j in enumerate(part):
-                                steps[k + 1 :, j] = x[j]
-                            phi[part] += np.diff(predict(steps))
-                            now = steps[-1]
-                        runs += 1
-                yield pd.DataFrame({"sample_id": name, "bin_key": bins, "value": phi / runs})
-
-    kind = dict(rows.dtypes)["sample_id"]
-    return rows.mapInPandas(work, f"sample_id {kind}, bin_key string, value double")
+    d, half = len(bins), -(-orders // 2)
+    background = np.asarray(background)
+
+    def of_sample(name, x: np.ndarray) -> np.ndarray:
+        rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
+        drawn = [(rng.permutation(d), rng.choice(len(background), p=shares)) for _ in range(half)]
+        way = np.array([w for order, _ in drawn for w in (order, order[::-1])]).reshape(2 * half, d)
+        base = np.repeat([b for _, b in drawn], 2)
+        place = np.argsort(way, axis=1)  # of each feature in each order
+        phi = np.zeros(d)
+        for a in range(0, d, STEPS):
+            known = np.arange(a, min(a + STEPS, d) + 1)  # how many features of an order are the sample's
+            runs = max(1, BLOCK_NUMBERS // (4 * len(known) * max(1, d)))
+            for r in range(0, len(way), runs):
+                steps = np.where(place[r : r + runs, None, :] < known[:, None], x, background[base[r : r + runs], None, :])
+                gains = np.diff(np.reshape(predict(steps.reshape(-1, d)), steps.shape[:2]), axis=1)
+                phi += np.bincount(way[r : r + runs, a : known[-1]].ravel(), gains.ravel(), d)
+        return phi / max(1, len(way))
+
+    return _attributed(rows, bins, lambda names, x: np.array([of_sample(*each) for each in zip(names, x, strict=True)]), BLOCK)
 
 
 class Tree:
@@ -285,17 +295,7 @@ def tree_shap(trees: list[Tree], x: np.ndarray) -> np.ndarray:
     return LeafPaths(trees).shap(np.asarray(x, float)[None, :])[0]
 
 
-def forest_shap(rows: DataFrame, bins: list[str], trees: list[Tree], block: int = 256) -> DataFrame:
+def forest_shap(rows: DataFrame, bins: list[str], trees: list[Tree], block: int = BLOCK) -> DataFrame:
     """(sample_id, bin_key, value): path-dependent Shapley values of every sample, blocks of samples together; rows is as wide_rows returns it."""
-    d = len(bins)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        paths = LeafPaths(trees)
-        for batch in batches:
-            for a in range(0, len(batch), block):
-                part = batch.iloc[a : a + block]
-                phi = paths.shap(np.stack(part["x"].to_numpy()))
-                yield pd.DataFrame({"sample_id": part["sample_id"].repeat(d), "bin_key": bins * len(part), "value": phi.ravel()})
-
-    kind = dict(rows.dtypes)["sample_id"]
-    return rows.mapInPandas(work, f"sample_id {kind}, bin_key string, value double")
+    paths = LeafPaths(trees)
+    return _attributed(rows, bins, lambda _, x: paths.shap(x), block)

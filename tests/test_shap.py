@@ -1,6 +1,7 @@
 import itertools
 import math
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -93,3 +94,45 @@ def test_default_background_is_clustered(spark):
 
     got = {(r["sample_id"], r["bin_key"]): r["value"] for r in shap.shap_of_model(spark.createDataFrame(rows, MATRIX), Plain(), ["x", "y"], orders=200).collect()}
     assert got["s0", "y"] == pytest.approx(-20, abs=6) and got["s2", "y"] == pytest.approx(20, abs=6)
+
+
+def plain_orders(x, background, predict, orders, rng):
+    """Sampled values feature by feature."""
+    phi = np.zeros(len(x))
+    for _ in range(orders // 2):
+        order, base = rng.permutation(len(x)), background[rng.choice(len(background))]
+        for way in (order, order[::-1]):
+            now = base.copy()
+            for j in way:
+                before = predict(now[None, :])[0]
+                now[j] = x[j]
+                phi[j] += predict(now[None, :])[0] - before
+    return phi / orders
+
+
+@pytest.mark.parametrize(("steps", "numbers"), [(256, 4_000_000), (3, 300)])
+def test_orders_are_predicted_together(spark, monkeypatch, steps, numbers):
+    monkeypatch.setattr(shap, "STEPS", steps)
+    monkeypatch.setattr(shap, "BLOCK_NUMBERS", numbers)
+    r, bins = np.random.default_rng(2), [f"b{k}" for k in range(7)]
+    x, background, least = r.normal(size=(5, 7)), r.normal(size=(4, 7)), 16 * 8 if steps > 7 else 2
+
+    def predict(z):
+        if len(z) < least:
+            raise ValueError(f"{len(z)} rows at a time")
+        return z[:, 0] * z[:, 3] + np.maximum(z[:, 1], z[:, 6])
+
+    rows = spark.createDataFrame([(f"s{i}", b, float(v)) for i, row in enumerate(x) for b, v in zip(bins, row, strict=True)], MATRIX)
+    got = {(v["sample_id"], v["bin_key"]): v["value"] for v in shap.sampled_shap(shap.wide_rows(rows, bins), bins, predict, background, orders=16).collect()}
+    plain = lambda z: z[:, 0] * z[:, 3] + np.maximum(z[:, 1], z[:, 6])
+    for i, row in enumerate(x):
+        want = plain_orders(row, background, plain, 16, np.random.default_rng([0, zlib.crc32(f"s{i}".encode())]))
+        assert [got[f"s{i}", b] for b in bins] == pytest.approx(want)
+
+
+def test_one_python_worker_a_task(spark):
+    """Samples become arrays without Python, so a task that explains them has one worker and not two."""
+    rows = spark.createDataFrame([("a", "x", 1.0), ("b", "z", 3.0)], MATRIX)
+    tree = shap.Tree([0, -1, -1], [0.0, 0, 0], [1, 0, 0], [2, 0, 0], [0, 1.0, 2.0], [2, 1, 1])
+    plan = shap.forest_shap(shap.wide_rows(rows, ["x", "y", "z"]), ["x", "y", "z"], [tree])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
