@@ -144,8 +144,8 @@ BLOCKS_SQL = "blk(chrom, start, stop, to_chrom, to_start, to_strand, to_size, sc
 def sequences(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
     """(chrom, chunk, seq): the text of each document in chunks, as if it were a chromosome."""
     rows = table(spark, sf_dir, "documents").where("length(text) > 0").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("chrom"), "text")
-    cut = rows.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (length(text) - 1) div {width})")))
-    return cut.select("chrom", "chunk", F.substring(F.col("text"), (F.col("chunk") * width + 1).cast("int"), F.lit(width)).alias("seq"))
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))  # in one pass; a substring for each chunk reads the text from its start
+    return rows.select("chrom", F.posexplode(cut).alias("chunk", "seq")).select("chrom", F.col("chunk").cast("long").alias("chunk"), "seq")
 
 
 def text_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

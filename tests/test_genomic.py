@@ -364,3 +364,24 @@ def test_draws_of_one_assay_lie_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(enrich, "unit_hash", lambda *_: F.spark_partition_id() / 1000.0)
     out = enrich.coverage_enrichment(rows(3), rows(1000), n_boot=64).first()
     assert out["null_lo"] < out["null_hi"]
+
+
+def test_sums_of_chunks_go_on_over_segments(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    texts = {f"c{i}": "".join(r.choice(list("ACGTNgc"), 64 * 40 + i)) for i in range(3)}
+    pieces = spark.createDataFrame([(c, k, s[k * 64 : (k + 1) * 64]) for c, s in texts.items() for k in range(-(-len(s) // 64))], "chrom string, chunk long, seq string")
+    monkeypatch.setattr(nulls, "SEGMENT", 7, raising=False)
+    for c, k, gc, nn in nulls.genome_chunks(pieces, 64).select("chrom", "chunk", "cum_gc", "cum_nn").collect():
+        before = texts[c][: 64 * k].upper()
+        assert (gc, nn) == (before.count("G") + before.count("C"), before.count("N"))
+
+
+def test_texts_are_cut_in_one_pass(spark, tmp_path):
+    """No substring for each chunk, which reads a text from its start each time."""
+    from lociflow.plans import adapters
+
+    texts = ["ab\nc\u00e9\U0001f600\r\n" * 30, "x" * 64, "y" * 65, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = adapters.sequences(spark, str(tmp_path), 64)
+    want = sorted((f"doc{i}", k, t[k * 64 : (k + 1) * 64]) for i, t in enumerate(texts) if t for k in range(-(-len(t) // 64)))
+    assert sorted(map(tuple, got.collect())) == want and "substring" not in got._jdf.queryExecution().optimizedPlan().toString()
