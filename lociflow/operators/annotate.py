@@ -5,35 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import overlap_join
+from ..sources.scratch import written
+from .profiles import state_lists
 
 
-def state_overlaps(regions: DataFrame, segments: DataFrame) -> DataFrame:
-    """(region_id, state, bp, first): bases of each state in each region, and where the first such segment starts."""
-    pairs = overlap_join(regions.select("region_id", "chrom", "start", "end"), segments.select("chrom", "start", "end", "state"))
-    return pairs.groupBy("region_id", "state").agg(F.sum("overlap_bp").alias("bp"), F.min("r_start").alias("first"))
+def state_overlaps(regions: DataFrame, segments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(region_id, chrom, start, end, keep, states) for every region: states is an array of (state, bp, first), bases of each state in the region, and where the first such segment starts.
+
+    What rows of one region_id overlap is added up; without an id a row has no states.
+    """
+    regions = regions.select("region_id", "chrom", "start", "end", *keep)
+    lists = state_lists(regions, segments)
+    lists = lists.withColumn("states", F.when(F.col("region_id").isNotNull(), F.col("states")).otherwise(F.slice("states", 1, 0)))
+    repeated = written(regions.groupBy("region_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("region_id"), "repeated")
+    if repeated.isEmpty():
+        return lists
+    each = lists.join(repeated, "region_id").select("region_id", F.explode("states").alias("x")).groupBy("region_id", F.col("x.state").alias("state"))
+    sums = each.agg(F.sum("x.bp").alias("bp"), F.min("x.first").alias("first")).groupBy("region_id").agg(F.collect_list(F.struct("state", "bp", "first")).alias("sums"))
+    return lists.join(sums, "region_id", "left").withColumn("states", F.coalesce("sums", "states")).select(*lists.columns)
 
 
-def annotate_regions(regions: DataFrame, segments: DataFrame, active: list[str] | tuple[str, ...]) -> DataFrame:
-    """(region_id, chrom, start, end, dominant_state, covered_bp, active_fraction, composition) for every region.
+def annotate_regions(regions: DataFrame, segments: DataFrame, active: list[str] | tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(region_id, chrom, start, end, keep, dominant_state, covered_bp, active_fraction, composition) for every region.
 
     Fractions are of the covered bases; the state with most bases dominates, of equal ones that whose first segment is
-    leftmost. A region that no segment overlaps has nulls, 0 covered bases and an empty composition.
+    leftmost. A region that no segment overlaps has nulls, 0 covered bases and an empty composition. Columns of regions
+    named in keep stay.
     """
-    by_state = state_overlaps(regions, segments)
-    total = by_state.groupBy("region_id").agg(
-        F.max_by("state", F.struct("bp", -F.col("first"))).alias("dominant_state"),
-        F.sum("bp").alias("covered_bp"),
-        F.coalesce(F.sum(F.when(F.col("state").isin(*active), F.col("bp"))), F.lit(0)).alias("active_bp"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "bp")))).alias("bp_by_state"),
-    )
-    out = regions.select("region_id", "chrom", "start", "end").join(total, "region_id", "left")
-    share = F.transform_values("bp_by_state", lambda _, bp: bp / F.col("covered_bp"))
-    return out.select(
-        "region_id", "chrom", "start", "end", "dominant_state",
-        F.coalesce("covered_bp", F.lit(0)).alias("covered_bp"),
-        (F.col("active_bp") / F.col("covered_bp")).alias("active_fraction"),
-        F.coalesce(share, F.create_map().cast("map<string,double>")).alias("composition"),
+    total = lambda states: F.aggregate(states, F.lit(0).cast("long"), lambda n, x: n + x["bp"])
+    most = F.array_max(F.transform("states", lambda x: F.struct(x["bp"].alias("bp"), (-x["first"]).alias("at"), x["state"].alias("state"))))
+    found = state_overlaps(regions, segments, keep).withColumn("covered_bp", total("states"))
+    bases = F.map_from_entries(F.array_sort(F.transform("states", lambda x: F.struct(x["state"], x["bp"]))))
+    covered = F.when(F.col("covered_bp") > 0, F.col("covered_bp"))
+    return found.select(
+        "region_id", "chrom", "start", "end", *keep,
+        most["state"].alias("dominant_state"),
+        "covered_bp",
+        (total(F.filter("states", lambda x: x["state"].isin(*active))) / covered).alias("active_fraction"),
+        F.transform_values(bases, lambda _, bp: bp / covered).alias("composition"),
     )
 
 

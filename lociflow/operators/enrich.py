@@ -35,12 +35,18 @@ def label_enrichment(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
 
 def label_counts(query: DataFrame, null: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The counts that label_enrichment tests, from query(keys, dominant_state) and null alike; regions without one don't count."""
-    named = lambda df: df.where("dominant_state is not null").join(F.broadcast(labels), F.col("dominant_state") == F.col("state"))
-    both = named(query).select(*keys, "label", F.lit(1).alias("q"), F.lit(0).alias("b")).unionByName(named(null).select(*keys, "label", F.lit(0).alias("q"), F.lit(1).alias("b")))
-    totals = both.groupBy(*keys).agg(F.sum("q").alias("nq"), F.sum("b").alias("nb"))
-    sums = both.groupBy(*keys, "label").agg(F.sum("q").alias("q"), F.sum("b").alias("b"))
+    marked = lambda df, asked: df.select(*keys, "dominant_state", F.lit(asked).alias("asked"))
+    return marked_counts(marked(query, True).unionByName(marked(null, False)), labels, keys)
+
+
+def marked_counts(regions: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """label_counts of regions(keys, dominant_state, asked), read once: asked is true for a query, false for background and null for neither."""
+    named = regions.where("dominant_state is not null").join(F.broadcast(labels), F.col("dominant_state") == F.col("state"))
+    sums = named.groupBy(*keys, "label").agg(F.count_if("asked").alias("q"), F.count_if(~F.col("asked")).alias("b"))
+    totals = sums.groupBy(*keys).agg(F.sum("q").alias("nq"), F.sum("b").alias("nb"), F.collect_list(F.struct("label", "q", "b")).alias("sums"))
     every = totals.join(F.broadcast(labels.select("label").distinct()), how="cross")
-    return every.join(sums, [*keys, "label"], "left").withColumns({"q": F.coalesce("q", F.lit(0)), "b": F.coalesce("b", F.lit(0))})
+    own = F.get(F.filter("sums", lambda x: x["label"] == F.col("label")), F.lit(0))
+    return every.select(*keys, "label", "nq", "nb", *(F.coalesce(own[c], F.lit(0)).alias(c) for c in ("q", "b")))
 
 
 def coverage_enrichment(query: DataFrame, null: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
@@ -86,7 +92,7 @@ def state_enrichment_test(
     null, meta = sample_matched(queries, chunks, width, **matching)
     known = queries.select("region_id", *keys)
     background = null.join(known.hint("merge"), "region_id").withColumn("region_id", F.struct("region_id", "draw"))
-    dominant = lambda rows: annotate_regions(rows, segments, active).select("region_id", "dominant_state").join(rows.select("region_id", *keys), "region_id")
+    dominant = lambda rows: annotate_regions(rows, segments, active, keys).select("dominant_state", *keys)
     return label_enrichment(label_counts(dominant(queries), dominant(background), labels, keys), keys), meta
 
 

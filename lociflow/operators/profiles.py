@@ -23,6 +23,8 @@ TILE, LEVELS = 4 * BIN, 15
 CROWD = 50_000
 #: So few peaks are added up one by one, which rounds as a plain sum does.
 FEW = 64
+#: Groups over which tiles are spread where many small ones share a group.
+GROUPS = 4096
 
 
 def _width(level: Column | str) -> str:
@@ -114,6 +116,33 @@ def _tile_sums(n: int, names: list[str], with_signal: bool, regions: pa.Table, p
     return out.append_column("weight", pa.ListArray.from_arrays(at, pa.array(weight.ravel()))) if with_signal else out
 
 
+def _placed(regions: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """regions, which are not empty, with their __level and __tile; (chrom, __level, __tile, __parts) of the tiles that hold any; the levels."""
+    level = reduce(lambda x, y: x + y, (F.when(F.col("end") - F.col("start") > BIN * STEP**k, 1).otherwise(0) for k in range(LEVELS - 1)))
+    placed = regions.withColumn("__level", level.cast("int")).withColumn("__tile", F.expr(_tile("start")))
+    loads = written(placed.groupBy("chrom", "__level", "__tile").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("__parts")), "tiles")
+    return placed, loads, sorted(r["__level"] for r in loads.select("__level").distinct().collect())
+
+
+def _reaching(intervals: DataFrame, loads: DataFrame) -> DataFrame:
+    """The intervals that lie near tiles with regions, with the span (__low, __high) of these on the chromosome."""
+    span = F.expr(f"__tile * {_width('__level')}")
+    reach = loads.groupBy("chrom").agg(F.min(span).alias("__low"), F.max(span + F.expr(f"{_width('__level')} div 4 * 5")).alias("__high"))
+    return intervals.join(reach, "chrom").where("start < __high and end > __low")
+
+
+def _dealt(placed: DataFrame, cut: DataFrame, loads: DataFrame, levels: list[int]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The regions by tile, of crowded ones in parts; the intervals of cut by all tiles and parts that they reach into; the keys of both."""
+    each = cut.withColumn("__level", F.explode(F.array(*map(F.lit, levels))))
+    a, b = f"greatest(start, __low) - {_width('__level')} div 4", "least(end, __high) - 1"
+    each = each.withColumn("__tile", F.explode(F.expr(f"sequence({_tile(a)}, {_tile(b)})"))).drop("__low", "__high")
+    keys = ["chrom", "__level", "__tile"]
+    each = each.join(loads, keys).withColumn("__part", F.explode(F.expr("sequence(0, __parts - 1)"))).drop("__parts")
+    own = [c for c in placed.columns if c not in ("__level", "__tile")]
+    dealt = placed.join(loads.where("__parts > 1"), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*own), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    return dealt, each, [*keys, "__part"]
+
+
 def track_sums(regions: DataFrame, peaks: DataFrame, tracks: list[tuple], with_signal: bool = False, crowd: int = CROWD) -> DataFrame:
     """regions(chrom, start, end, ...) with covered, an array of the bases that each of `tracks` covers, and weight, of the sums of signal times overlap.
 
@@ -128,30 +157,90 @@ def track_sums(regions: DataFrame, peaks: DataFrame, tracks: list[tuple], with_s
         schema = schema.add("weight", ArrayType(DoubleType()))
     some = F.coalesce(F.col("end") > F.col("start"), F.lit(False))
     nothing = regions.where(~some).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[len(fields) :]))
-    level = reduce(lambda x, y: x + y, (F.when(F.col("end") - F.col("start") > BIN * STEP**k, 1).otherwise(0) for k in range(LEVELS - 1)))
-    placed = regions.where(some).withColumn("__level", level.cast("int")).withColumn("__tile", F.expr(_tile("start")))
-    loads = written(placed.groupBy("chrom", "__level", "__tile").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("__parts")), "tiles")
-    levels = sorted(r["__level"] for r in loads.select("__level").distinct().collect())
+    placed, loads, levels = _placed(regions.where(some), crowd)
     if not levels or not tracks:
         return regions.select("*", *(F.when(some, F.array_repeat(F.lit(0).cast(f.dataType.elementType), len(tracks))).alias(f.name) for f in schema.fields[len(fields) :]))
 
     index = spark.createDataFrame([(*t, i) for i, t in enumerate(tracks)], "__tissue string, __assay string, __track int")
     own = peaks.where("end > start").join(F.broadcast(index), (F.col("tissue") == F.col("__tissue")) & (F.col("assay") == F.col("__assay")))
-    span = F.expr(f"__tile * {_width('__level')}")
-    reach = loads.groupBy("chrom").agg(F.min(span).alias("__low"), F.max(span + F.expr(f"{_width('__level')} div 4 * 5")).alias("__high"))
-    cut = own.join(reach, "chrom").where("start < __high and end > __low")
+    cut = _reaching(own, loads)
     by = ["chrom", "__track", "start"]
     if with_signal:
         cut = cut.groupBy(*by, "end", "__low", "__high").agg(F.sum(F.coalesce("signal", F.lit(0.0))).alias("signal"))
     else:
         cut = cut.groupBy(*by, "__low", "__high").agg(F.max("end").alias("end"))
-    each = cut.withColumn("__level", F.explode(F.array(*map(F.lit, levels))))
-    a, b = f"greatest(start, __low) - {_width('__level')} div 4", "least(end, __high) - 1"
-    each = each.withColumn("__tile", F.explode(F.expr(f"sequence({_tile(a)}, {_tile(b)})"))).drop("__low", "__high")
-    keys = ["chrom", "__level", "__tile"]
-    each = each.join(loads, keys).withColumn("__part", F.explode(F.expr("sequence(0, __parts - 1)"))).drop("__parts")
-    dealt = placed.join(loads.where("__parts > 1"), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*regions.columns), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-    keys = [*keys, "__part"]
     f = partial(_tile_sums, len(tracks), [x.name for x in fields], with_signal)
+    dealt, each, keys = _dealt(placed, cut, loads, levels)
     sums = dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(lambda left, right: f(left, right), schema)
     return sums.unionByName(nothing)
+
+
+def _side_by_side(keys: list[str], regions: pa.Table, segments: pa.Table) -> tuple[np.ndarray, ...]:
+    """start and end of regions and of segments with all tiles of both laid on one line, each as long as its regions span, and which segments lie on it."""
+    n, both = regions.num_rows, pa.concat_tables([regions.select([*keys, "start", "end"]), segments.select([*keys, "start", "end"])])
+    by = [(both.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices).to_numpy() for c in keys]
+    order = np.lexsort(by)
+    new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in by], axis=0)])[: len(order)]
+    tile = np.empty(len(order), np.int64)
+    tile[order] = np.cumsum(new) - 1
+    start, end = (both.column(c).to_numpy() for c in ("start", "end"))
+    low, high = np.full(tile.max(initial=-1) + 1, np.iinfo(np.int64).max), np.full(tile.max(initial=-1) + 1, np.iinfo(np.int64).min)
+    np.minimum.at(low, tile[:n], start[:n])
+    np.maximum.at(high, tile[:n], end[:n])
+    held = high > low  # a part of a tile may have got no region
+    low, high = np.where(held, low, 0), np.where(held, high, 0)
+    shift = np.concatenate([[0], np.cumsum(high - low)[:-1]]) - low
+    start, end = (np.clip(x, low[tile], high[tile]) + shift[tile] for x in (start, end))
+    return start[:n], end[:n], start[n:], end[n:], end[n:] > start[n:]
+
+
+def _state_lists(names: list[str], keys: list[str], regions: pa.Table, segments: pa.Table) -> pa.Table:
+    """The rows `names` of some tiles' regions with a list of (state, bp, first) of the states that reach into each."""
+    s, e, a, b, on = _side_by_side(keys, regions, segments)
+    a, b, n, origin = a[on], b[on], *(segments.column(c).to_numpy()[on] for c in ("n", "start"))
+    states = segments.column("state").combine_chunks().dictionary_encode(null_encoding="encode")
+    code = states.indices.to_numpy()[on]
+    order, longest = np.argsort(s, kind="stable"), (e - s).max(initial=0)
+    begun, by = s[order], np.lexsort((origin, a, code))
+    bounds = np.searchsorted(code[by], np.arange(len(states.dictionary) + 1))
+    found = [(np.zeros(0, np.int64),) * 4]
+    for t in np.flatnonzero(np.diff(bounds)):
+        own = by[bounds[t] : bounds[t + 1]]
+        i, j, k = a[own], b[own], n[own]
+        top = np.maximum.accumulate(j)
+        near = order[np.searchsorted(begun, i[0] - longest) : np.searchsorted(begun, top[-1])]
+        first = np.searchsorted(top, s[near], "right")  # the leftmost segment that ends beyond the region's start
+        met = i[np.minimum(first, len(i) - 1)] < e[near]
+        near, first = near[met], first[met]
+        (starts, opened), (_, opened_at), (ends, closed), (_, closed_at) = _sums(i, k), _sums(i, k * i), _sums(j, k), _sums(j, k * j)
+        p, q = (np.searchsorted(x, (s[near], e[near])) for x in (starts, ends))
+        before = (opened[p] - closed[q]) * (s[near], e[near]) - (opened_at[p] - closed_at[q])  # bases of the state up to each end of a region
+        found.append((near, np.full(len(near), t), before[1] - before[0], origin[own][first]))
+    row, t, bp, first = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(row, kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(s)))]).astype(np.int32)
+    parts = [states.dictionary.take(pa.array(t[order])), pa.array(bp[order]), pa.array(first[order])]
+    return regions.select(names).append_column("states", pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(parts, ["state", "bp", "first"])))
+
+
+def state_lists(regions: DataFrame, segments: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """regions(chrom, start, end, ...) with states, an array of (state, bp, first): bases of each state in the region, and where the first such segment starts.
+
+    segments(chrom, start, end, state) may overlap; each then counts. Regions and segments are each shuffled once, and no
+    pairs are made; work grows with the regions times the states around them. Regions that are empty, or that no segment
+    overlaps, have no states. Tiles share groups, so that many short chromosomes cost no group each.
+    """
+    lists = ArrayType(StructType().add("state", segments.schema["state"].dataType).add("bp", LongType()).add("first", LongType()))
+    none = F.array().cast(lists)
+    some = F.coalesce(F.col("end") > F.col("start"), F.lit(False))
+    placed, loads, levels = _placed(regions.where(some), crowd)
+    if not levels:
+        return regions.withColumn("states", none)
+    spans = segments.where("end > start").select("chrom", *(F.col(c).cast("long").alias(c) for c in ("start", "end")), "state")
+    copies = _reaching(spans, loads).groupBy("chrom", "start", "end", "state", "__low", "__high").agg(F.count(F.lit(1)).alias("n"))
+    dealt, each, keys = _dealt(placed, copies, loads, levels)
+    groups = max(GROUPS, loads.agg(F.sum("__parts")).first()[0] // GROUPS)
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("__group")
+    f, schema = partial(_state_lists, regions.columns, keys), StructType([*regions.schema.fields]).add("states", lists)
+    found = dealt.groupBy(group).cogroup(each.groupBy(group)).applyInArrow(lambda left, right: f(left, right), schema)
+    return found.unionByName(regions.where(~some).withColumn("states", none))

@@ -76,8 +76,7 @@ LABELS_CTE = "labs(state, label) AS (VALUES " + ", ".join(map(str, A.STATE_LABEL
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = A.regions(spark, sf_dir)
-    return annotate.annotate_regions(regions, A.segments(spark, sf_dir), A.ACTIVE).join(regions.select("region_id", "priority"), "region_id")
+    return annotate.annotate_regions(A.regions(spark, sf_dir), A.segments(spark, sf_dir), A.ACTIVE, ("priority",))
 
 
 def state_labels(spark: SparkSession) -> DataFrame:
@@ -132,9 +131,8 @@ def dominant_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def label_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urgent regions against all others."""
-    found = annotated(spark, sf_dir).select("dominant_state", "priority")
-    counts = enrich.label_counts(found.where("priority = '1-URGENT'"), found.where("priority <> '1-URGENT'"), state_labels(spark))
-    out = enrich.label_enrichment(counts)
+    found = annotated(spark, sf_dir).select("dominant_state", (F.col("priority") == "1-URGENT").alias("asked"))
+    out = enrich.label_enrichment(enrich.marked_counts(found, state_labels(spark)))
     return out.select("label", *(r(c).alias(c) for c in ("query_frac", "null_frac", "log2_fold", "null_lo", "null_hi", "p")), "n_query", "n_null")
 
 

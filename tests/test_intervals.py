@@ -145,3 +145,56 @@ def test_signal_sums_with_and_without_running_sums(monkeypatch, few):
     signal[:3] = np.nan, np.inf, -np.inf
     want = np.where(shared > 0, shared * signal, 0).sum(1)
     assert profiles.signal_sums(a, b, signal, s, e) == pytest.approx(want, rel=1e-12, abs=1e-6, nan_ok=True)
+
+
+@pytest.mark.parametrize("crowd", [3, 50_000])
+def test_states_make_no_pairs(spark, monkeypatch, crowd):
+    """Regions of any length, crowded and not, one id twice, and segments that overlap and recur equal a plain sum, but no pair is made."""
+    from functools import partial
+
+    from lociflow.operators import annotate, intervals, profiles
+
+    r = np.random.default_rng(crowd)
+    lengths = lambda n: np.where(r.random(n) < 0.1, r.integers(-2, 9_000_000, n), r.integers(-2, 60_000, n))
+    place = lambda n: [(str(r.choice(["c", "d"])), int(s), int(s + x)) for s, x in zip(r.integers(-100_000, 2_000_000, n), lengths(n), strict=True)]
+    left = [(i, *x) for i, x in enumerate(place(90))] + [(90, "none", 5, 9), (91, "c", None, 9), (7, "d", 0, 400_000), (None, "c", 0, 900_000)]
+    left += [(100 + i, f"short{i}", 5 * i, 5 * i + 20) for i in range(30)]
+    right = [(*x, str(r.choice(["u", "v", "w"]))) for x in place(400)]
+    right += right[:50] + [(f"short{i}", 5 * i + at, 5 * i + at + 6, "uv"[at % 2]) for i in range(30) for at in (-3, 4, 9)] + [(None, 0, 900_000, "u")]
+    want = {}
+    for i, c, s, e in left:
+        for d, t, f, state in right:
+            if i is not None and s is not None and c == d and e > s and f > t and min(e, f) > max(s, t):
+                own = want.setdefault(i, {})
+                bp, first = own.get(state, (0, t))
+                own[state] = (bp + min(e, f) - max(s, t), min(first, t))
+    a = spark.createDataFrame(left, "region_id long, chrom string, start long, end long")
+    b = spark.createDataFrame(right, "chrom string, start long, end long, state string")
+
+    def forbidden(*_, **__):
+        raise AssertionError("pairs")
+
+    for module in (intervals, annotate):
+        monkeypatch.setattr(module, "overlap_join", forbidden, raising=False)
+    monkeypatch.setattr(annotate, "state_lists", partial(profiles.state_lists, crowd=crowd), raising=False)
+    monkeypatch.setattr(profiles, "GROUPS", 5, raising=False)  # so that tiles share groups
+    got = annotate.annotate_regions(a, b, ("u",)).collect()
+    assert sorted((x["region_id"] is None, x["region_id"] or 0, x["chrom"]) for x in got) == sorted((i is None, i or 0, c) for i, c, _, _ in left)
+    for x in got:
+        own = want.get(x["region_id"], {})
+        total = sum(bp for bp, _ in own.values())
+        assert x["covered_bp"] == total
+        assert x["dominant_state"] == max(own, key=lambda k: (own[k][0], -own[k][1]), default=None)
+        assert x["composition"] == {k: bp / total for k, (bp, _) in own.items()}
+        assert x["active_fraction"] == (own.get("u", (0,))[0] / total if own else None)
+    lists = annotate.state_overlaps(a.where("region_id <> 7"), b).collect()
+    assert {x["region_id"]: {y["state"]: (y["bp"], y["first"]) for y in x["states"]} for x in lists if x["states"]} == {i: x for i, x in want.items() if i != 7}
+    for rows, segments in ((a.where("false"), b), (a, b.where("false")), (a.where("chrom = 'none'"), b)):
+        assert all(x["covered_bp"] == 0 and x["dominant_state"] is None and x["composition"] == {} for x in annotate.annotate_regions(rows, segments, ("u",)).collect())
+
+
+def test_labels_are_counted_in_one_pass(spark, sf_dir):
+    from lociflow.plans import catalogue
+
+    plan = catalogue.label_enrichment(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapCoGroups") == 1
