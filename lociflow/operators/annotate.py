@@ -52,6 +52,7 @@ def dominant_counts(annotated: DataFrame, labels: DataFrame) -> DataFrame:
     total counts the regions with a dominant state; without any the fraction is null. labels is a small vocabulary.
     """
     counts = annotated.where("dominant_state is not null").join(F.broadcast(labels), F.col("dominant_state") == F.col("state")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    every = labels.select("label").distinct().join(counts, "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
-    return every.join(F.broadcast(whole), how="cross").withColumn("fraction", F.try_divide(F.col("n").cast("double"), F.col("total")))
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.collect_list(F.struct("label", "n")).alias("counts"))  # one row, so that regions are read once
+    own = F.get(F.filter("counts", lambda x: x["label"] == F.col("label")), F.lit(0))
+    every = labels.select("label").distinct().join(F.broadcast(whole), how="cross").select("label", F.coalesce(own["n"], F.lit(0)).alias("n"), "total")
+    return every.withColumn("fraction", F.try_divide(F.col("n").cast("double"), F.col("total")))

@@ -193,8 +193,9 @@ def test_states_make_no_pairs(spark, monkeypatch, crowd):
         assert all(x["covered_bp"] == 0 and x["dominant_state"] is None and x["composition"] == {} for x in annotate.annotate_regions(rows, segments, ("u",)).collect())
 
 
-def test_labels_are_counted_in_one_pass(spark, sf_dir):
+@pytest.mark.parametrize("name", ["label_enrichment", "dominant_label_counts"])
+def test_labels_are_counted_in_one_pass(spark, sf_dir, name):
     from lociflow.plans import catalogue
 
-    plan = catalogue.label_enrichment(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapCoGroups") == 1
