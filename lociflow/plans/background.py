@@ -14,6 +14,8 @@ from . import adapters as A
 from .catalogue import CHUNK, LABELS_CTE, query, r, state_labels, text_chunks, unit_sql, with_ctes
 
 TILE, PEAK_STEP = 200, 150
+#: Where SQL's waves of tries end.
+WAVES = (8, 40)
 SETS = {"n_sets": 100, "set_size": 50, "region_length": 500, "n_per": 50}
 
 
@@ -62,7 +64,7 @@ def matched_sql(keys: tuple[str, ...], n_per: int, seed: str, tries: int = 200)
           SELECT region_id, {COUNTS} FROM (SELECT a.region_id, substr(x.text, a.start + 1, greatest(0, a.stop - a.start)) AS s FROM asks a JOIN texts x USING (chrom))))""",
         f"open0 AS (SELECT region_id, gc AS q_gc, len AS q_len, draw FROM asked, range({n_per}) x(draw) WHERE gc IS NOT NULL AND len > 0)",
     ]
-    ends = [e for e in (*nulls.WAVES, tries) if e <= tries]
+    ends = [e for e in (*WAVES, tries) if e <= tries]
     for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
         out += placed_sql(f"w{k}", f"open{k}", ("region_id", "draw"), seed, a, b)
         good = f"{GC} BETWEEN q_gc - 0.02::DOUBLE AND q_gc + 0.02::DOUBLE AND {NFRAC} <= 0.1::DOUBLE"

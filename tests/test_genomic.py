@@ -385,3 +385,46 @@ def test_texts_are_cut_in_one_pass(spark, tmp_path):
     got = adapters.sequences(spark, str(tmp_path), 64)
     want = sorted((f"doc{i}", k, t[k * 64 : (k + 1) * 64]) for i, t in enumerate(texts) if t for k in range(-(-len(t) // 64)))
     assert sorted(map(tuple, got.collect())) == want and "substring" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tries_are_counted_in_pages(spark, monkeypatch):
+    """Matched regions by a plain loop: of chromosomes that share a page, of ones with several pages, and of regions longer than a page."""
+    import hashlib
+
+    r = np.random.default_rng(12)
+    texts = {f"c{i}": "".join(r.choice(list("ACGTNgcn\u00e9"), n, p=(0.2, 0.15, 0.15, 0.2, 0.02, 0.12, 0.1, 0.02, 0.04))) for i, n in enumerate((40, 7, 64, 65, 500, 30, 1, 300, 20, 90))}
+    pieces = spark.createDataFrame([(c, k, s[k * 8 : (k + 1) * 8]) for c, s in texts.items() for k in range(-(-len(s) // 8))], "chrom string, chunk long, seq string")
+    asked = regions(spark, ("c4", 3, 23), ("c0", -5, 12), ("c3", 0, 64), ("c7", 10, 110), ("c2", 60, 200), ("c6", 5, 9), ("nowhere", 0, 10), ("c9", 70, 95))
+    monkeypatch.setattr(nulls, "PAGE", 64)
+    monkeypatch.setattr(nulls, "CROWD", 50)
+    chunks = nulls.genome_chunks(pieces, 8)
+    null, meta = nulls.sample_matched(asked, chunks, 8, n_per=6, gc_tol=0.05, seed=3, tries=70)
+    order = sorted(texts, key=lambda c: (hashlib.md5(c.encode()).hexdigest()[:2], c))
+    begins = np.concatenate([[0], np.cumsum([len(texts[c]) for c in order])])
+
+    def unit(*parts):
+        return int(hashlib.md5("/".join(map(str, parts)).encode()).hexdigest()[:12], 16) / 2**48
+
+    def content(s):
+        s = s.lower()
+        known = len(s) - s.count("n")
+        return (s.count("g") + s.count("c")) / known if known else None, s.count("n") / max(1, len(s))
+
+    want, wanted = set(), {}
+    for q, c, a, b in asked.collect():
+        own = texts.get(c, "")[max(a, 0) : b]
+        gc = content(own)[0]
+        wanted[q] = (gc if gc is None else pytest.approx(gc), len(own), 0)
+        for draw in range(6 if gc is not None else 0):
+            for k in range(70):
+                at = math.floor(unit(3, "chrom", q, draw, k) * begins[-1])
+                home = order[np.searchsorted(begins, at, "right") - 1]
+                if (room := len(texts[home]) - len(own)) > 0:
+                    start = math.floor(unit(3, "start", q, draw, k) * room)
+                    found, nfrac = content(texts[home][start : start + len(own)])
+                    if found is not None and gc - 0.05 <= found <= gc + 0.05 and nfrac <= 0.1:
+                        want.add((q, draw, home, start, start + len(own)))
+                        wanted[q] = (*wanted[q][:2], wanted[q][2] + 1)
+                        break
+    assert {tuple(x) for x in null.collect()} == want and null.count() == len(want) and {q for q, *_ in want} >= {0, 2, 3}
+    assert {x["region_id"]: (x["gc"], x["length"], x["matched"]) for x in meta.collect()} == wanted
