@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
-from ..functions.keys import unit_hash
+from ..functions.draws import unit_hashes
+from ..functions.keys import unit_hash  # noqa: F401  what unit_hashes repeats
 from ..functions.ranking import numbered
 from ..functions.stats import fold_test_column, kolmogorov_column
 from ..sources.scratch import written
@@ -14,8 +20,8 @@ from .marks import track_coverage
 from .nulls import sample_matched, sample_sets
 
 COVERAGE_PSEUDO = 1e-4
-#: Rows of a background that go to every task; draws meet more of them by a shuffle, without a sort.
-FEW = 200_000
+#: Numbered rows of a background in a block, and in the part of it that a task holds; draws are made again for each part.
+BLOCK, PART = 1024, 1 << 26
 
 
 def label_enrichment(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -55,15 +61,69 @@ def coverage_enrichment(query: DataFrame, null: DataFrame, n_boot: int = 1000, s
     The background is resampled n_boot times at the query's size: draw i of resample b takes the row whose number is a
     hash of (assay, b, i). p counts resamples at least as far from the background's mean, plus one.
     """
-    q = query.groupBy("assay").agg(F.avg("coverage").alias("query_mean"), F.count(F.lit(1)).alias("n_query"))
-    n = null.groupBy("assay").agg(F.avg("coverage").alias("null_mean"), F.count(F.lit(1)).alias("n_null"))
-    sizes = q.join(n, "assay", "left")
-    draws = sizes.where("n_null > 0").select("assay", "n_query", "n_null", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    draws = draws.repartition(4 * null.sparkSession.sparkContext.defaultParallelism, "assay", "b")  # a row for each assay came to all draws in one task
-    draws = draws.withColumn("i", F.explode(F.expr("sequence(0L, n_query - 1)")))
-    draws = draws.withColumn("at", F.floor(unit_hash(seed, F.col("assay"), F.col("b"), F.col("i")) * F.col("n_null")))
-    rows, total = _numbered(null)
-    means = draws.select("assay", "b", "at").join(rows.hint("broadcast" if total <= FEW else "shuffle_hash"), ["assay", "at"]).groupBy("assay", "b").agg(F.avg("coverage").alias("m"))
+    return _coverage_tests(_means(query, "query"), _means(null, "null"), _blocks(null), n_boot, seed)
+
+
+def _means(rows: DataFrame, side: str) -> DataFrame:
+    return rows.groupBy("assay").agg(F.avg("coverage").alias(f"{side}_mean"), F.count(F.lit(1)).alias(f"n_{side}"))
+
+
+def _blocks(null: DataFrame) -> DataFrame:
+    """(assay, block, values): coverage of the rows of each assay in the order of items, BLOCK of them in a row."""
+    rows, _ = numbered(null.select("assay", "item", "coverage"), ["assay", "item", "coverage"], "number")
+    first = rows.groupBy("assay").agg(F.min("number").alias("first"))  # a row for each assay
+    placed = rows.join(F.broadcast(first), "assay").select("assay", "coverage", (F.col("number") - F.col("first")).alias("at"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("coverage").cast("double").alias("x")))), lambda v: v["x"])
+    return placed.groupBy("assay", F.expr(f"at div {BLOCK}L").alias("block")).agg(values.alias("values"))
+
+
+def _resampled(seed: int, width: int, names: list[str], draws: pa.Table, blocks: pa.Table) -> pa.Table:
+    """(assay, b, s, n): what the draws of each resample add up to in a part of the background, and how many of them are known."""
+    sums, counts = np.zeros(draws.num_rows), np.zeros(draws.num_rows, np.int64)
+    if draws.num_rows and blocks.num_rows:
+        block = blocks.column("block").to_numpy()
+        low = int(block.min()) * width
+        row, size = 0, sum(len(lists.flatten()) for lists in blocks.column("values").chunks)
+        values, known = np.empty(size), np.empty(size, bool)
+        for lists in blocks.column("values").chunks:
+            flat, lengths = lists.flatten(), lists.value_lengths().to_numpy()
+            x, valid = flat.to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+            for end, k in zip(np.cumsum(lengths), lengths, strict=True):
+                at = int(block[row]) * width - low
+                values[at : at + k], known[at : at + k] = x[end - k : end], valid[end - k : end]
+                row += 1
+        whole = known.all()
+        for i, (name, b, n, of) in enumerate(zip(*(draws.column(c).to_pylist() for c in ("name", "b", "n_query", "n_null")), strict=True)):
+            for u in unit_hashes(f"{seed}/{name}/{b}", n):
+                at = (u * of).astype(np.int64)
+                if of > len(values):
+                    at = at[(at >= low) & (at < low + len(values))]
+                at -= low
+                if not whole:
+                    at = at[known[at]]
+                sums[i] += values[at].sum()
+                counts[i] += len(at)
+    return draws.select(names).append_column("s", pa.array(sums)).append_column("n", pa.array(counts))
+
+
+def _coverage_tests(query: DataFrame, null: DataFrame, blocks: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """coverage_enrichment's rows from the means and counts of both sides and the background's _blocks.
+
+    The draws are many and the background is few beside them: each task takes some resamples of an assay and makes
+    their draws by itself, from a copy of the background's numbers. So no draw is shuffled.
+    """
+    sizes = written(query.join(null, "assay", "left"), "sizes")
+    parts = F.ceil(F.col("n_null") / PART).cast("int")
+    n = sizes.agg(F.sum(parts)).first()[0] or 0
+    groups = max(1, min(n_boot, -(-4 * query.sparkSession.sparkContext.defaultParallelism // max(1, n))))
+    draws = sizes.where("n_null > 0").select("assay", F.col("assay").cast("string").alias("name"), "n_query", "n_null", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"), F.sequence(F.lit(0), parts - 1).alias("parts"))
+    draws = draws.withColumn("group", F.col("b") % groups).withColumn("part", F.explode("parts")).drop("parts")
+    copies = written(blocks, "blocks").withColumn("part", F.expr(f"(block * {BLOCK}L) div {PART}L").cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    keys = ["assay", "part", "group"]
+    left, right = (df.repartition(4 * groups * max(1, n), *keys).groupBy(*keys) for df in (draws, copies))  # few groups share a task
+    schema = StructType([query.schema["assay"]]).add("b", IntegerType()).add("s", DoubleType()).add("n", LongType())
+    f = partial(_resampled, seed, BLOCK, ["assay", "b"])
+    means = left.cogroup(right).applyInArrow(lambda a, b: f(a, b), schema).groupBy("assay", "b").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
     fold = lambda x: F.log2((x + COVERAGE_PSEUDO) / (F.col("null_mean") + COVERAGE_PSEUDO))
     seen = means.join(sizes, "assay").withColumns({"fold": fold(F.col("m")), "obs": fold(F.col("query_mean"))})
     tests = seen.groupBy("assay").agg(
@@ -74,13 +134,6 @@ def coverage_enrichment(query: DataFrame, null: DataFrame, n_boot: int = 1000, s
     return sizes.withColumn("log2_fold", fold(F.col("query_mean"))).join(tests, "assay", "left").select("assay", "query_mean", "null_mean", "log2_fold", "null_lo", "null_hi", "p", "n_query", F.coalesce("n_null", F.lit(0)).alias("n_null"))
 
 
-def _numbered(null: DataFrame) -> tuple[DataFrame, int]:
-    """(assay, coverage, at), numbers from 0 within each assay in the order of items, and how many rows there are."""
-    rows, total = numbered(null.select("assay", "item", "coverage"), ["assay", "item", "coverage"], "number")
-    first = rows.groupBy("assay").agg(F.min("number").alias("first"))  # a row for each assay
-    return rows.join(F.broadcast(first), "assay").select("assay", "coverage", (F.col("number") - F.col("first")).alias("at")), total
-
-
 def state_enrichment_test(
     queries: DataFrame, segments: DataFrame, chunks: DataFrame, width: int, labels: DataFrame, active=(), keys: tuple[str, ...] = (), **matching
 ) -> tuple[DataFrame, DataFrame]:

@@ -428,3 +428,39 @@ def test_tries_are_counted_in_pages(spark, monkeypatch):
                         break
     assert {tuple(x) for x in null.collect()} == want and null.count() == len(want) and {q for q, *_ in want} >= {0, 2, 3}
     assert {x["region_id"]: (x["gc"], x["length"], x["matched"]) for x in meta.collect()} == wanted
+
+
+@pytest.mark.parametrize("head", ["0/H3K27ac/7", "x" * 53, "y" * 61, "z" * 130, "\u00e9/1"])
+def test_draws_in_arrays_are_the_hashes(spark, head):
+    from lociflow.functions import draws
+    from lociflow.functions.keys import unit_hash
+
+    some = (0, 9, 10, 99, 100, 65_535, 65_536, 99_999, 100_000, 131_072, 140_000)
+    got = np.concatenate(list(draws.unit_hashes(head, 140_001)))
+    assert len(got) == 140_001
+    want = spark.createDataFrame([(i,) for i in some], "i long").select(unit_hash(head, F.col("i"))).collect()
+    assert [got[i] for i in some] == [x[0] for x in want]
+
+
+def test_draws_are_made_where_the_background_is(spark, monkeypatch):
+    """No draw is shuffled; a background in several parts, one with nulls, and one without rows."""
+    import hashlib
+
+    monkeypatch.setattr(enrich, "BLOCK", 8)
+    monkeypatch.setattr(enrich, "PART", 32)
+    values = {"t": [((7 * i) % 101) / 100 for i in range(101)], "u": [i / 7 if i % 3 else None for i in range(20)], "v": [0.5] * 32}
+    null = spark.createDataFrame([(a, i, x) for a, xs in values.items() for i, x in enumerate(xs)], "assay string, item long, coverage double")
+    query = spark.createDataFrame([(a, i, 0.3) for a in ("t", "u", "v", "none") for i in range(15)], "assay string, item long, coverage double")
+    out = enrich.coverage_enrichment(query, null, n_boot=40, seed=5)
+    got = {r["assay"]: r for r in out.collect()}
+    for a, xs in values.items():
+        mean = np.mean([x for x in xs if x is not None])
+        folds = []
+        for b in range(40):
+            at = [math.floor(int(hashlib.md5(f"5/{a}/{b}/{i}".encode()).hexdigest()[:12], 16) / 2**48 * len(xs)) for i in range(15)]
+            folds.append(math.log2((np.mean([xs[k] for k in at if xs[k] is not None]) + 1e-4) / (mean + 1e-4)))
+        assert [got[a]["null_lo"], got[a]["null_hi"]] == pytest.approx(list(np.percentile(folds, [2.5, 97.5])), abs=1e-12)
+        obs = math.log2((0.3 + 1e-4) / (mean + 1e-4))
+        assert got[a]["p"] == pytest.approx((sum(abs(f) >= abs(obs) for f in folds) + 1) / 41) and got[a]["n_null"] == len(xs)
+    assert got["none"]["n_null"] == 0 and got["none"]["p"] is None
+    assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString()
