@@ -205,7 +205,8 @@ def read_matrix(spark: SparkSession, path: str, samples_axis: int = 0) -> DataFr
     quoted = F.regexp_extract("value", '^"((?:[^"]|"")*)",', 1)
     name = F.when(F.col("value").startswith('"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.substring_index("value", ",", 1))
     rest = F.regexp_replace("value", '^(?:"(?:[^"]|"")*"|[^,]*),', "")
-    keyed = rows.select(name.alias("row"), F.posexplode(F.split(rest, ",", -1)).alias("i", "v"))
+    cut = rows.select(name.alias("row"), F.split(rest, ",", -1).alias("cells"))  # once for a line; beside the generator a name would be sought in the line for each of its cells
+    keyed = cut.select("row", F.posexplode("cells").alias("i", "v"))
     order = spark.createDataFrame(list(enumerate(names)), "i int, column string")
     text = F.trim(F.replace("v", F.lit('"'), F.lit("")))
     value = F.when(~F.lower(text).isin("", "na", "nan", "null"), text.cast("double"))

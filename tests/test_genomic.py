@@ -464,3 +464,14 @@ def test_draws_are_made_where_the_background_is(spark, monkeypatch):
         assert got[a]["p"] == pytest.approx((sum(abs(f) >= abs(obs) for f in folds) + 1) / 41) and got[a]["n_null"] == len(xs)
     assert got["none"]["n_null"] == 0 and got["none"]["p"] is None
     assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_line_of_a_matrix_is_parsed_once(spark, tmp_path):
+    """Not once for each of its cells, which makes a wide line's cost grow with the square of its length."""
+    (tmp_path / "m.csv").write_text('bin,s1,s2,s3\n"chr1:1-2",1,2,\nchr1:2-3,NA,5,6\n')
+    from lociflow.sources import readers
+
+    found = readers.read_matrix(spark, str(tmp_path / "m.csv"), samples_axis=1)
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Generate ")
+    assert "regexp_extract" not in above and "regexp_extract" in below
+    assert sorted(map(tuple, found.where("value is not null").collect())) == [("s1", "chr1:1-2", 1.0), ("s2", "chr1:1-2", 2.0), ("s2", "chr1:2-3", 5.0), ("s3", "chr1:2-3", 6.0)]
