@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
@@ -25,6 +25,16 @@ def state_overlaps(regions: DataFrame, segments: DataFrame, keep: tuple[str, ...
     return lists.join(sums, "region_id", "left").withColumn("states", F.coalesce("sums", "states")).select(*lists.columns)
 
 
+def _dominant() -> Column:
+    """Of states the one with most bases, of equal ones that whose first segment is leftmost."""
+    return F.array_max(F.transform("states", lambda x: F.struct(x["bp"].alias("bp"), (-x["first"]).alias("at"), x["state"].alias("state"))))["state"].alias("dominant_state")
+
+
+def dominant_states(regions: DataFrame, segments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, dominant_state) for every row of regions(chrom, start, end, keep), as annotate_regions gives it for regions of different ids."""
+    return state_lists(regions.select("chrom", "start", "end", *keep), segments).select(*keep, _dominant())
+
+
 def annotate_regions(regions: DataFrame, segments: DataFrame, active: list[str] | tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
     """(region_id, chrom, start, end, keep, dominant_state, covered_bp, active_fraction, composition) for every region.
 
@@ -33,13 +43,12 @@ def annotate_regions(regions: DataFrame, segments: DataFrame, active: list[str]
     named in keep stay.
     """
     total = lambda states: F.aggregate(states, F.lit(0).cast("long"), lambda n, x: n + x["bp"])
-    most = F.array_max(F.transform("states", lambda x: F.struct(x["bp"].alias("bp"), (-x["first"]).alias("at"), x["state"].alias("state"))))
     found = state_overlaps(regions, segments, keep).withColumn("covered_bp", total("states"))
     bases = F.map_from_entries(F.array_sort(F.transform("states", lambda x: F.struct(x["state"], x["bp"]))))
     covered = F.when(F.col("covered_bp") > 0, F.col("covered_bp"))
     return found.select(
         "region_id", "chrom", "start", "end", *keep,
-        most["state"].alias("dominant_state"),
+        _dominant(),
         "covered_bp",
         (total(F.filter("states", lambda x: x["state"].isin(*active))) / covered).alias("active_fraction"),
         F.transform_values(bases, lambda _, bp: bp / covered).alias("composition"),

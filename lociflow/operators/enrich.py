@@ -6,7 +6,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
@@ -15,8 +15,8 @@ from ..functions.keys import unit_hash  # noqa: F401  what unit_hashes repeats
 from ..functions.ranking import numbered
 from ..functions.stats import fold_test_column, kolmogorov_column
 from ..sources.scratch import written
-from .annotate import annotate_regions
-from .marks import track_coverage
+from .annotate import annotate_regions, dominant_states
+from .marks import coverage_lists
 from .nulls import sample_matched, sample_sets
 
 COVERAGE_PSEUDO = 1e-4
@@ -143,10 +143,10 @@ def state_enrichment_test(
     meta); both are annotated with segments, and label_enrichment tests the labels of labels(state, label), within keys.
     """
     null, meta = sample_matched(queries, chunks, width, **matching)
-    known = queries.select("region_id", *keys)
-    background = null.join(known.hint("merge"), "region_id").withColumn("region_id", F.struct("region_id", "draw"))
-    dominant = lambda rows: annotate_regions(rows, segments, active, keys).select("dominant_state", *keys)
-    return label_enrichment(label_counts(dominant(queries), dominant(background), labels, keys), keys), meta
+    if keys:
+        null = null.join(queries.select("region_id", *keys).hint("merge"), "region_id")
+    asked = annotate_regions(queries, segments, active, keys).select("dominant_state", *keys)
+    return label_enrichment(label_counts(asked, dominant_states(null, segments, keys), labels, keys), keys), meta
 
 
 def track_enrichment_test(queries: DataFrame, peaks: DataFrame, tracks: DataFrame, chunks: DataFrame, width: int, n_boot: int = 1000, seed: int = 0, **matching) -> tuple[DataFrame, DataFrame]:
@@ -155,9 +155,29 @@ def track_enrichment_test(queries: DataFrame, peaks: DataFrame, tracks: DataFram
     tracks(tissue, assay) names the tracks to test, of one tissue; meta is sample_matched's.
     """
     null, meta = sample_matched(queries, chunks, width, seed=seed, **matching)
-    background = null.withColumn("region_id", F.struct("region_id", "draw"))
-    covered = lambda rows: track_coverage(rows, peaks, tracks).select("assay", F.col("region_id").alias("item"), "coverage")
-    return coverage_enrichment(covered(queries), covered(background), n_boot, seed), meta
+    listed = sorted({(x["tissue"], x["assay"]) for x in tracks.select("tissue", "assay").collect()}, key=str)
+    assays = [a for _, a in listed]
+    asked = written(coverage_lists(queries.select("region_id", "chrom", "start", "end"), peaks, listed), "asked")
+    background = written(coverage_lists(null, peaks, listed), "background")
+    return _coverage_tests(_list_means(asked, assays, "query"), _list_means(background, assays, "null"), _list_blocks(background, assays), n_boot, seed), meta
+
+
+def _each(assays: list[str], columns) -> Column:
+    """A row for each assay, with the columns that columns(its number) gives."""
+    return F.explode(F.array(*(F.struct(F.lit(a).cast("string").alias("assay"), *columns(i)) for i, a in enumerate(assays)))).alias("x")
+
+
+def _list_means(rows: DataFrame, assays: list[str], side: str) -> DataFrame:
+    """_means of rows whose coverage is an array with a value for each assay."""
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.col("coverage")[i]) for i in range(len(assays)))).alias("m")).where("n > 0")  # one row
+    return sums.select(_each(assays, lambda i: [F.col("m")[i].alias(f"{side}_mean"), F.col("n").alias(f"n_{side}")])).select("x.*")
+
+
+def _list_blocks(null: DataFrame, assays: list[str]) -> DataFrame:
+    """_blocks of null(region_id, draw, coverage), whose rows are numbered once for all assays."""
+    rows, _ = numbered(null.select("region_id", "draw", "coverage"), ["region_id", "draw"], "at")
+    blocks = rows.groupBy(F.expr(f"at div {BLOCK}L").alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "coverage"))).alias("v"))
+    return blocks.select("block", _each(assays, lambda i: [F.transform("v", lambda v: v["coverage"][i]).alias("values")])).select("x.assay", "block", "x.values")
 
 
 def calibration_run(

@@ -28,6 +28,15 @@ def track_coverage(regions: DataFrame, peaks: DataFrame, tracks: DataFrame) -> D
     return each.select("region_id", "x.tissue", "x.assay", coverage.alias("coverage"), F.coalesce(F.try_divide(signal, union), F.lit(0.0)).alias("mean_signal"))
 
 
+def coverage_lists(regions: DataFrame, peaks: DataFrame, tracks: list[tuple]) -> DataFrame:
+    """regions(chrom, start, end, ...) with coverage: an array of what track_coverage gives for each (tissue, assay) of tracks."""
+    names = sorted({x for x in tracks if None not in x})
+    length = F.col("end") - F.col("start")
+    share = lambda x: F.when(length > 0, F.coalesce(F.get("covered", F.lit(names.index(x))), F.lit(0)) / length).otherwise(0.0) if x in names else F.lit(0.0)
+    rows = track_sums(regions, peaks, names)
+    return rows.select(*regions.columns, F.array(*map(share, tracks)).alias("coverage"))
+
+
 def fingerprints(coverage: DataFrame, marks: tuple[str, ...] = MARKS) -> DataFrame:
     """(region_id, tissue, coverage, mean_signal, active_minus_repressive): maps by mark from track_coverage's rows.
 

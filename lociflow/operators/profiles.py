@@ -139,7 +139,8 @@ def _dealt(placed: DataFrame, cut: DataFrame, loads: DataFrame, levels: list[int
     keys = ["chrom", "__level", "__tile"]
     each = each.join(loads, keys).withColumn("__part", F.explode(F.expr("sequence(0, __parts - 1)"))).drop("__parts")
     own = [c for c in placed.columns if c not in ("__level", "__tile")]
-    dealt = placed.join(loads.where("__parts > 1"), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*own), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    # few tiles are crowded, which the optimizer doesn't see: it would shuffle the regions once more
+    dealt = placed.join(F.broadcast(loads.where("__parts > 1")), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*own), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
     return dealt, each, [*keys, "__part"]
 
 

@@ -475,3 +475,36 @@ def test_a_line_of_a_matrix_is_parsed_once(spark, tmp_path):
     above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Generate ")
     assert "regexp_extract" not in above and "regexp_extract" in below
     assert sorted(map(tuple, found.where("value is not null").collect())) == [("s1", "chr1:1-2", 1.0), ("s2", "chr1:1-2", 2.0), ("s2", "chr1:2-3", 5.0), ("s3", "chr1:2-3", 6.0)]
+
+
+def test_background_is_numbered_once_for_all_tracks(spark, monkeypatch):
+    """Rows of coverage come to regions, not to regions times tracks, and the tests are those of single rows."""
+    seq = "GATC" * 700
+    chunks = nulls.genome_chunks(spark.createDataFrame([("chrT", i, seq[i * 100 : (i + 1) * 100]) for i in range(28)], "chrom string, chunk long, seq string"), 100)
+    asked = regions(spark, *[("chrT", 40 * i, 40 * i + 60 + i) for i in range(6)])
+    peaks = spark.createDataFrame([("t", a, "chrT", k, k + 30, 1.0) for a, step in (("DNase", 90), ("ATAC", 170)) for k in range(0, 2800, step)], PEAK)
+    tracks = spark.createDataFrame([("t", a) for a in ("DNase", "ATAC", "none")], "tissue string, assay string")
+    seen, own = [], enrich.numbered
+    monkeypatch.setattr(enrich, "numbered", lambda rows, *rest: seen.append(rows.count()) or own(rows, *rest))
+    monkeypatch.setattr(enrich, "BLOCK", 16)
+    tests, meta = enrich.track_enrichment_test(asked, peaks, tracks, chunks, 100, n_boot=50, n_per=7, seed=2)
+    got = {r["assay"]: r for r in tests.collect()}
+    assert seen == [meta.agg(F.sum("matched")).first()[0]] and seen[0] > 30
+    null, _ = nulls.sample_matched(asked, chunks, 100, n_per=7, seed=2)
+    rows = lambda some: marks.track_coverage(some, peaks, tracks).select("assay", F.col("region_id").alias("item"), "coverage")
+    want = enrich.coverage_enrichment(rows(asked), rows(null.withColumn("region_id", F.struct("region_id", "draw"))), 50, 2)
+    assert {r["assay"]: pytest.approx(tuple(r)[1:]) for r in want.collect()} == {a: tuple(r)[1:] for a, r in got.items()} and len(got) == 3
+
+
+def test_background_is_annotated_without_its_ids(spark):
+    """The dominant states of annotate_regions, row by row; regions are shuffled once, to the group in which they are counted."""
+    from lociflow.operators import profiles
+
+    r = np.random.default_rng(4)
+    some = regions(spark, *[(f"chr{r.integers(3)}", int(a), int(a + r.integers(0, 900))) for a in r.integers(0, 20_000, 60)])
+    states = spark.createDataFrame([(f"chr{r.integers(2)}", int(a), int(a + r.integers(1, 900)), str(r.choice(["x", "y", "z"]))) for a in r.integers(0, 20_000, 80)], "chrom string, start long, end long, state string")
+    want = {x["region_id"]: x["dominant_state"] for x in annotate.annotate_regions(some, states, ()).collect()}
+    assert {x["region_id"]: x["dominant_state"] for x in annotate.dominant_states(some, states, ("region_id",)).collect()} == want and set(want.values()) > {None, "x"}
+    placed, loads, levels = profiles._placed(some.where("end > start"), 5)
+    dealt, *_ = profiles._dealt(placed, states.withColumns({"__low": F.lit(0).cast("long"), "__high": F.lit(99_999).cast("long")}), loads, levels)
+    assert "strategy=broadcast" in dealt._jdf.queryExecution().optimizedPlan().toString()
