@@ -91,15 +91,12 @@ def _running_sums(a: np.ndarray, b: np.ndarray, signal: np.ndarray, s: np.ndarra
     return out
 
 
-def _tile_sums(n: int, names: list[str], with_signal: bool, regions: pa.Table, peaks: pa.Table) -> pa.Table:
-    """The rows `names` of a tile's regions with lists of what each of n tracks covers."""
-    s, e = (regions.column(c).to_numpy() for c in ("start", "end"))
+def _tile_sums(n: int, names: list[str], keys: list[str], with_signal: bool, regions: pa.Table, peaks: pa.Table) -> pa.Table:
+    """The rows `names` of some tiles' regions with lists of what each of n tracks covers."""
     out = regions.select(names)
-    if not len(s):
+    if not regions.num_rows:
         return pa.Table.from_arrays([*out.columns, *(pa.array([], pa.list_(t)) for t in (pa.int64(), pa.float64())[: 1 + with_signal])], [*names, "covered", "weight"][: len(names) + 1 + with_signal])
-    low, high = s.min(), e.max()
-    a, b = np.maximum(peaks.column("start").to_numpy(), low) - low, np.minimum(peaks.column("end").to_numpy(), high) - low
-    s, e, met = s - low, e - low, b > a
+    s, e, a, b, met = _side_by_side(keys, regions, peaks)
     track, a, b = peaks.column("__track").to_numpy()[met], a[met], b[met]
     order = np.argsort(track, kind="stable")
     bounds = np.searchsorted(track[order], np.arange(n + 1))
@@ -170,15 +167,21 @@ def track_sums(regions: DataFrame, peaks: DataFrame, tracks: list[tuple], with_s
         cut = cut.groupBy(*by, "end", "__low", "__high").agg(F.sum(F.coalesce("signal", F.lit(0.0))).alias("signal"))
     else:
         cut = cut.groupBy(*by, "__low", "__high").agg(F.max("end").alias("end"))
-    f = partial(_tile_sums, len(tracks), [x.name for x in fields], with_signal)
     dealt, each, keys = _dealt(placed, cut, loads, levels)
-    sums = dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(lambda left, right: f(left, right), schema)
+    f, group = partial(_tile_sums, len(tracks), [x.name for x in fields], keys, with_signal), keys if with_signal else [_group(loads, keys)]
+    sums = dealt.groupBy(*group).cogroup(each.groupBy(*group)).applyInArrow(lambda left, right: f(left, right), schema)
     return sums.unionByName(nothing)
 
 
+def _group(loads: DataFrame, keys: list[str]) -> Column:
+    """The group of a tile, so that many short chromosomes cost no group each. Sums of signal don't share one, whose precision is their tile's."""
+    groups = max(GROUPS, loads.agg(F.sum("__parts")).first()[0] // GROUPS)
+    return F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("__group")
+
+
 def _side_by_side(keys: list[str], regions: pa.Table, segments: pa.Table) -> tuple[np.ndarray, ...]:
     """start and end of regions and of segments with all tiles of both laid on one line, each as long as its regions span, and which segments lie on it."""
-    n, both = regions.num_rows, pa.concat_tables([regions.select([*keys, "start", "end"]), segments.select([*keys, "start", "end"])])
+    n, both = regions.num_rows, pa.concat_tables([regions.select([*keys, "start", "end"]), segments.select([*keys, "start", "end"])], promote_options="permissive")
     by = [(both.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices).to_numpy() for c in keys]
     order = np.lexsort(by)
     new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in by], axis=0)])[: len(order)]
@@ -240,8 +243,7 @@ def state_lists(regions: DataFrame, segments: DataFrame, crowd: int = CROWD) ->
     spans = segments.where("end > start").select("chrom", *(F.col(c).cast("long").alias(c) for c in ("start", "end")), "state")
     copies = _reaching(spans, loads).groupBy("chrom", "start", "end", "state", "__low", "__high").agg(F.count(F.lit(1)).alias("n"))
     dealt, each, keys = _dealt(placed, copies, loads, levels)
-    groups = max(GROUPS, loads.agg(F.sum("__parts")).first()[0] // GROUPS)
-    group = F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("__group")
+    group = _group(loads, keys)
     f, schema = partial(_state_lists, regions.columns, keys), StructType([*regions.schema.fields]).add("states", lists)
     found = dealt.groupBy(group).cogroup(each.groupBy(group)).applyInArrow(lambda left, right: f(left, right), schema)
     return found.unionByName(regions.where(~some).withColumn("states", none))

@@ -199,3 +199,17 @@ def test_labels_are_counted_in_one_pass(spark, sf_dir, name):
 
     plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapCoGroups") == 1
+
+
+def test_short_chromosomes_share_groups_of_track_sums(spark, monkeypatch):
+    """Bases by a plain count, and fewer groups than chromosomes."""
+    from lociflow.operators import profiles
+
+    monkeypatch.setattr(profiles, "GROUPS", 4)
+    r = np.random.default_rng(6)
+    some = [(f"c{r.integers(40)}", int(a), int(a + r.integers(1, 300))) for a in r.integers(-50, 1000, 200)]
+    peaks = [(str(r.choice(["t", "u"])), "m", f"c{r.integers(40)}", int(a), int(a + r.integers(1, 200)), 1.0) for a in r.integers(0, 1000, 300)]
+    found = profiles.track_sums(spark.createDataFrame(some, "chrom string, start long, end long"), spark.createDataFrame(peaks, "tissue string, assay string, chrom string, start long, end long, signal double"), [("t", "m"), ("u", "m")])
+    assert "__group" in found._jdf.queryExecution().optimizedPlan().toString()
+    bases = lambda c, s, e, t: len({x for p in peaks if p[0] == t and p[2] == c for x in range(max(s, p[3]), min(e, p[4]))})
+    assert sorted((x["chrom"], x["start"], x["end"], *x["covered"]) for x in found.collect()) == sorted((*x, bases(*x, "t"), bases(*x, "u")) for x in some)
